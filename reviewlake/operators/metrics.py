@@ -25,7 +25,8 @@ def with_lines(files: DataFrame) -> DataFrame:
 def numbered_lines(files: DataFrame) -> DataFrame:
     """One row per line: project_id, path, language, line_number, raw, stripped."""
     exploded = files.select("project_id", "path", "language",
-                            F.posexplode(split_lines(F.col("content"))).alias("pos", "raw"))
+                            F.posexplode_outer(split_lines(F.col("content"))).alias("pos", "raw"))
+    exploded = exploded.where("raw IS NOT NULL")  # the split runs once (no inferred size filter)
     return exploded.select("project_id", "path", "language", (F.col("pos") + 1).alias("line_number"),
                            "raw", strip(F.col("raw")).alias("stripped"))
 

@@ -134,7 +134,9 @@ def with_hits(files: DataFrame, packs=None, kinds: tuple[str, ...] | None = None
 
 def explode_issues(reviewed: DataFrame, packs=None, keys: tuple[str, ...] = ("project_id", "path", "language")) -> DataFrame:
     """One row per finding, with the rule's texts filled in."""
-    hits = reviewed.select(*keys, F.explode("hits").alias("h")).select(*keys, "h.*")
+    # Outer explode: the plain form makes the optimizer push "size(hits) > 0" below
+    # the projections, where the whole rule set would be evaluated a second time.
+    hits = reviewed.select(*keys, F.explode_outer("hits").alias("h")).where("h IS NOT NULL").select(*keys, "h.*")
     rules = rule_table(reviewed.sparkSession, packs).select("rule_no", "rule_id", "phase", "title", "template",
                                                            "suggestion", "reason")
     joined = hits.join(F.broadcast(rules), "rule_no")  # one row per rule of the packs

@@ -1,0 +1,158 @@
+"""Synthetic training rows: one labelled feature vector per input id.
+
+Uniform draws are hashes of (id, name), so a row depends on nothing but its id:
+any partitioning gives the same table, and lost tasks recompute the same rows.
+"""
+
+from __future__ import annotations
+
+import math
+
+from pyspark.sql import DataFrame, functions as F
+
+# --- Fixed values -----------------------------------------------------------
+ARCHETYPES = ("excellent", "good", "average", "poor", "terrible")
+ARCHETYPE_WEIGHTS = (0.15, 0.25, 0.30, 0.20, 0.10)
+SEVERITY_OF_ARCHETYPE = ("INFO", "LOW", "MEDIUM", "HIGH", "CRITICAL")
+
+# Ranges (low, high) per archetype, in the order of ARCHETYPES.
+RANGES: dict[str, tuple[tuple[float, float], ...]] = {
+    "loc": ((20, 200), (50, 500), (100, 1000), (200, 2000), (500, 5000)),
+    "comment_ratio": ((0.15, 0.35), (0.10, 0.25), (0.05, 0.15), (0.0, 0.08), (0.0, 0.03)),
+    "function_count": ((3, 15), (5, 25), (5, 40), (3, 60), (1, 5)),
+    "cyclomatic": ((1.0, 8.0), (3.0, 12.0), (8.0, 20.0), (15.0, 40.0), (25.0, 80.0)),
+    "magic_numbers": ((0, 2), (1, 5), (3, 15), (10, 40), (20, 100)),
+    "nested_loops": ((0, 1), (0, 2), (1, 4), (2, 8), (3, 15)),
+    "eval_usage": ((0, 0), (0, 0), (0, 1), (0, 3), (1, 10)),
+    "credentials": ((0, 0), (0, 0), (0, 1), (0, 3), (1, 10)),
+    "sql": ((0, 0), (0, 1), (0, 2), (1, 5), (2, 15)),
+    "maintainability": ((75.0, 100.0), (55.0, 80.0), (35.0, 60.0), (15.0, 40.0), (0.0, 20.0)),
+    "naming_violations": ((0, 2), (0, 5), (3, 15), (10, 30), (20, 80)),
+    "duplicate_ratio": ((0.0, 0.05), (0.02, 0.10), (0.05, 0.20), (0.10, 0.35), (0.20, 0.60)),
+    "long_methods": ((0, 1), (0, 3), (1, 8), (3, 15), (5, 30)),
+    "exception_handling": ((1, 5), (1, 8), (0, 5), (0, 3), (0, 2)),
+}
+
+# Label centres per archetype.
+CENTRES: dict[str, tuple[float, ...]] = {
+    "quality_score": (88.0, 70.0, 50.0, 28.0, 12.0),
+    "security_score": (95.0, 78.0, 55.0, 30.0, 10.0),
+    "maintainability_score": (85.0, 68.0, 48.0, 25.0, 8.0),
+    "readability_score": (90.0, 72.0, 52.0, 28.0, 10.0),
+    "bug_probability": (0.05, 0.15, 0.35, 0.65, 0.90),
+    "security_risk": (0.02, 0.10, 0.30, 0.65, 0.92),
+}
+SCORE_NOISE, PROBABILITY_NOISE, FLAG_NOISE = 5.0, 0.05, 0.1
+
+# Features drawn from one range whatever the archetype: (low, high, whole number).
+FREE_RANGES: dict[str, tuple[float, float, bool]] = {
+    "import_count": (1, 30, True), "global_variables": (0, 10, True), "constants": (0, 15, True),
+    "recursion_count": (0, 3, True), "switch_statements": (0, 5, True), "avg_class_size": (3, 20, False),
+    "avg_identifier_length": (4, 12, False), "large_classes": (0, 3, True), "long_parameter_lists": (0, 5, True),
+    "file_operations": (0, 10, True), "network_operations": (0, 5, True), "memory_allocations": (0, 20, True),
+    "redundant_calculations": (0, 10, True), "object_creations": (0, 30, True), "collection_usage": (0, 20, True),
+    "expensive_operations": (0, 10, True),
+}
+# ----------------------------------------------------------------------------
+
+
+def uniform(name: str) -> str:
+    """SQL for a uniform number in [0, 1) from the row id and a draw name."""
+    return f"(CAST(conv(substring(md5(concat(id, '|{name}')), 1, 8), 16, 10) AS DOUBLE) / 4294967296D)"
+
+
+def normal(name: str, centre: str, spread: float) -> str:
+    """SQL for a normal draw (Box-Muller on two uniforms)."""
+    radius = f"sqrt(-2D * ln(1D - {uniform(name + '/r')}))"
+    return f"({centre} + {spread}D * {radius} * cos({2 * math.pi!r}D * {uniform(name + '/a')}))"
+
+
+def _of_archetype(values) -> str:
+    return f"element_at(array({', '.join(f'{float(v)}D' for v in values)}), a)"
+
+
+def _ranged(key: str, draw: str) -> str:
+    low, high = zip(*RANGES[key])
+    lo = _of_archetype(low)
+    return f"({lo} + ({_of_archetype(high)} - {lo}) * {uniform(draw)})"
+
+
+def _between(low: str, high: str, draw: str) -> str:
+    return f"({low} + ({high} - ({low})) * {uniform(draw)})"
+
+
+def _clamp(sql: str, top: float) -> str:
+    return f"greatest(0D, least({top}D, {sql}))"
+
+
+def training_rows(ids: DataFrame, id_column: str = "id") -> DataFrame:
+    """51 features, 9 labels and the archetype for every id."""
+    cumulative, total = [], 0.0
+    for weight in ARCHETYPE_WEIGHTS:
+        total += weight
+        cumulative.append(round(total, 10))
+    pick = "CASE " + " ".join(f"WHEN u < {c}D THEN {i + 1}" for i, c in enumerate(cumulative[:-1])) + " ELSE 5 END"
+    df = ids.select(F.col(id_column).cast("string").alias("id"))
+    df = df.withColumn("u", F.expr(uniform("archetype"))).withColumn("a", F.expr(pick)).drop("u")
+    base = {
+        "loc": f"floor({_ranged('loc', 'loc')})", "comment_ratio": _ranged("comment_ratio", "comment_ratio"),
+        "function_count": f"floor({_ranged('function_count', 'function_count')})",
+        "cyclomatic_complexity": _ranged("cyclomatic", "cyclomatic"),
+        "maintainability_index": _ranged("maintainability", "maintainability"),
+    }
+    df = df.withColumns({k: F.expr(v) for k, v in base.items()})
+    df = df.withColumns({
+        "comment_lines": F.expr("floor(loc * comment_ratio)"),
+        "blank_lines": F.expr(f"floor(loc * {_between('0.05D', '0.2D', 'blank')})")})
+    df = df.withColumn("sloc", F.expr("greatest(1, loc - blank_lines - comment_lines)"))
+    per_function = "loc / greatest(function_count, 1)"
+    more = {
+        "halstead_volume": "sloc * log2(greatest(cyclomatic_complexity * 2, 2D))",
+        "halstead_difficulty": "cyclomatic_complexity / 2", "halstead_length": "sloc * 2D",
+        "class_count": f"floor(floor({_ranged('function_count', 'class_count')}) / 4)",
+        "method_count": "function_count", "return_statements": "function_count",
+        "parameter_count": f"function_count * floor({_between('1D', '5D', 'parameters')})",
+        "exception_handling": f"floor({_ranged('exception_handling', 'exception_handling')})",
+        "loop_count": f"floor({_between('0D', 'cyclomatic_complexity * 0.5D', 'loops')})",
+        "nested_loops": f"floor({_ranged('nested_loops', 'nested_loops')})",
+        "conditional_count": "floor(cyclomatic_complexity * 0.7D)",
+        "max_nesting_depth": f"floor({_ranged('nested_loops', 'max_nesting_depth')}) + 1",
+        "avg_function_length": _between(f"{per_function} * 0.5D", f"{per_function} * 1.5D", "avg_function_length"),
+        "naming_violations": f"floor({_ranged('naming_violations', 'naming_violations')})",
+        "duplicate_lines": f"floor(sloc * {_ranged('duplicate_ratio', 'duplicate_lines')})",
+        "duplicate_ratio": _ranged("duplicate_ratio", "duplicate_ratio"),
+        "dead_code_lines": f"floor({_between('0D', 'sloc * 0.15D', 'dead_code')})",
+        "todo_count": f"floor(floor({_ranged('magic_numbers', 'todo')}) / 3)",
+        "fixme_count": f"floor(floor({_ranged('magic_numbers', 'fixme')}) / 5)",
+        "long_methods": f"floor({_ranged('long_methods', 'long_methods')})",
+        "magic_numbers": f"floor({_ranged('magic_numbers', 'magic_numbers')})",
+        "hardcoded_credentials": f"floor({_ranged('credentials', 'credentials')})",
+        "sql_queries": f"floor({_ranged('sql', 'sql')})",
+        "shell_executions": f"floor({_between('0D', _ranged('eval_usage', 'shell_limit'), 'shell')})",
+        "eval_usage": f"floor({_ranged('eval_usage', 'eval_usage')})",
+        "nested_iterations": f"floor({_ranged('nested_loops', 'nested_iterations')})",
+    }
+    for name, (low, high, whole) in FREE_RANGES.items():
+        draw = _between(f"{low}D", f"{high}D", name)
+        more[name] = f"floor({draw})" if whole else draw
+    df = df.withColumns({k: F.expr(v) for k, v in more.items()})
+    df = df.withColumn("halstead_effort", F.expr("halstead_volume * halstead_difficulty"))
+    labels = {}
+    for name, centres in CENTRES.items():
+        wide = name.endswith("_score")
+        labels[f"label_{name}"] = _clamp(normal(name, _of_archetype(centres), SCORE_NOISE if wide else PROBABILITY_NOISE),
+                                         100.0 if wide else 1.0)
+    flag = lambda key, draw: f"CAST({normal(draw, _of_archetype(CENTRES[key]), FLAG_NOISE)} > 0.5D AS INT)"
+    labels["label_has_bug"] = flag("bug_probability", "has_bug")
+    labels["label_has_security_risk"] = flag("security_risk", "has_security_risk")
+    names = lambda values: "element_at(array(" + ", ".join(f"'{v}'" for v in values) + "), a)"
+    labels["label_severity"] = names(SEVERITY_OF_ARCHETYPE)
+    labels["archetype"] = names(ARCHETYPES)
+    df = df.withColumns({k: F.expr(v) for k, v in labels.items()})
+    from reviewlake.packs.metric_patterns import FEATURES
+
+    return df.select("id", *[F.col(n).cast("double").alias(n) for n in FEATURES], *labels)
+
+
+def archetype_counts(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("archetype").agg(F.count("*").alias("rows"))
