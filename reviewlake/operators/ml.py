@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from reviewlake.operators.metrics import clean_vector
 from reviewlake.packs.metric_patterns import FEATURES
-from reviewlake.session import store
+from reviewlake.session import shared_folder, store
 
 # --- Fixed values -----------------------------------------------------------
 SEED = 42
@@ -39,6 +39,9 @@ PENALTY_C = 10.0
 # ----------------------------------------------------------------------------
 
 
+ROWS_PER_TASK = 100_000
+
+
 # --- scaling ---------------------------------------------------------------
 
 def scaler_stats(rows: DataFrame) -> DataFrame:
@@ -241,9 +244,12 @@ def regression_error(df: DataFrame, actual: str, predicted: str) -> DataFrame:
 
 
 def fit_one(frame: DataFrame, model: str, estimator) -> tuple[Model, dict[str, float]]:
-    columns = ["id", "target", "scaled", "kernel", "is_train"]
+    vector = "kernel" if model == "severity_classifier" else "scaled"
     df = labelled(frame, model)
-    df = df.select(*columns, *([c for c in ("class_weight",) if c in df.columns])).persist()
+    df = df.select("id", "target", vector, "is_train", *[c for c in ("class_weight",) if c in df.columns])
+    # Boosting runs hundreds of short jobs: tasks as large as memory allows, not as many as cores.
+    tasks = max(1, frame.count() // ROWS_PER_TASK)
+    df = df.coalesce(tasks).persist()
     fitted = estimator.fit(df.where("is_train"))
     scores = evaluate(model, fitted.transform(df.where("NOT is_train")))
     df.unpersist()
@@ -257,6 +263,9 @@ def train(rows: DataFrame, models: list[str] | None = None, trees: int = 100, ro
     The fits are independent, so their Spark jobs are submitted side by side.
     """
     started = time.time()
+    spark = rows.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:  # boosting cuts its lineage there
+        spark.sparkContext.setCheckpointDir(shared_folder(spark, "checkpoints"))
     scaler = fit_scaler(rows)
     frame = training_frame(rows, scaler)
     chosen = {k: v for k, v in estimators(trees, rounds).items() if models is None or k in models}
