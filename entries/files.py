@@ -81,8 +81,8 @@ def file_cap(spark, folder):
 
 def decode_text(spark, folder):
     odd = F.pmod("doc_id", F.lit(2)) == 1
-    raw = F.when(odd, F.encode("text", "ISO-8859-1")).otherwise(F.encode("text", "UTF-8"))
-    spark.conf.set("spark.sql.legacy.codingErrorAction", "true")  # unmappable characters become "?"
+    narrow = F.regexp_replace("text", r"[^\x00-\xff]", "?")
+    raw = F.when(odd, F.encode(narrow, "ISO-8859-1")).otherwise(F.encode("text", "UTF-8"))
     return table(spark, folder, "documents").select("doc_id", F.md5(decode(raw)).alias("content_md5"))
 
 

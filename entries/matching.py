@@ -7,7 +7,7 @@ from pyspark.sql import Window, functions as F
 from entries.common import event_files, features, found, long, pages, paths, programs, reviewed, table
 from entries.files import PATHS
 from oracle.base import EVENT_FILES, LINES, PAGE_FILES, PROGRAM_FILES, corpus, from_issues, from_review, round1
-from reviewlake import issues, review, spread
+from reviewlake import issues, keep_where, review, spread
 from reviewlake.functions.text import unify_newlines
 from reviewlake.operators import metrics, rules
 from reviewlake.operators.files import pack_language
@@ -162,15 +162,15 @@ ENTRIES = {
 }
 # Files without a pack carry an error and no scores; the others are checked above.
 ENTRIES["review_failed_files"] = (
-    lambda spark, folder: unsupported_files(spark, folder).where("error IS NOT NULL").select("path", "language", "unscored"),
+    lambda spark, folder: keep_where(unsupported_files(spark, folder), F.col("error").isNotNull()).select("path", "language", "unscored"),
     f"WITH {PATHS} SELECT path, 'Unknown' AS language, TRUE AS unscored FROM placed WHERE language IS NULL OR extension = '.fish'")
 # SQL files: SQL001 lowered to LOW (4 points back), one user rule on GRANT lines, other weights.
 _custom = round1("greatest(0, least(100, quality * 0.5::DOUBLE + security * 0.05::DOUBLE + maintainability * 0.2::DOUBLE "
                  "+ (performance + 4 * stars) * 0.15::DOUBLE + readability * 0.1::DOUBLE))")
 ENTRIES["user_rules_and_weights"] = (extra_rules, from_review(
     f"SELECT path, total + grants AS total, high + grants AS high, medium - stars AS medium, low + stars AS low, {_custom} AS overall "
-    "FROM reviewed JOIN (SELECT path, count_if(regexp_matches(raw, '(?i)\\bgrant\\b')) AS grants, "
-    "count_if(regexp_matches(raw, '(?i)\\bselect\\s+\\*')) AS stars FROM lines GROUP BY path) USING (path) WHERE language = 'SQL'"))
+    "FROM reviewed JOIN (SELECT path, CAST(count_if(regexp_matches(raw, '(?i)\\bgrant\\b')) AS BIGINT) AS grants, "
+    "CAST(count_if(regexp_matches(raw, '(?i)\\bselect\\s+\\*')) AS BIGINT) AS stars FROM lines GROUP BY path) USING (path) WHERE language = 'SQL'"))
 ENTRIES["user_language_pack"] = (user_pack, corpus(
     "SELECT path, 'OPS001' AS rule_id, 'Found at line ' || line_number || ': ' || substr(stripped, 1, 80) AS description, line_number "
     "FROM lines WHERE language = 'Bash' AND regexp_matches(raw, 'chmod\\s+777')", PROGRAM_FILES, LINES))

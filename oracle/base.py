@@ -124,7 +124,7 @@ def features() -> str:
                      for k, t in _inherit(mp.COMMENT_LITERALS).items()}, "0")
     kept = _case({k: f"stripped <> '' AND NOT starts_with(stripped, {text(s)})"
                   for k, s in _inherit(mp.DUPLICATE_SKIP).items()}, "FALSE")
-    stats = ("line_stats AS (SELECT path, count(*) AS loc, count_if(stripped = '') AS blank_lines, "
+    stats = ("line_stats AS (SELECT path, count(*) AS loc, CAST(count_if(stripped = '') AS BIGINT) AS blank_lines, "
              f"count_if({comment}) AS prefixed, count_if({kept}) AS kept, "
              f"count(DISTINCT CASE WHEN {kept} THEN stripped END) AS kept_distinct FROM lines GROUP BY path)")
     plain = [n for n in mp.FEATURES if n not in (
@@ -238,7 +238,7 @@ def findings(languages=LANGUAGES) -> str:
 def scores(weights=(0.30, 0.25, 0.20, 0.15, 0.10)) -> str:
     """CTEs issue_counts, heuristics, reviewed; needs features and issues."""
     counts = ("issue_counts AS (SELECT path, count(*) AS total, "
-              + ", ".join(f"count_if(severity = '{s}') AS {s.lower()}" for s in SEVERITIES)
+              + ", ".join(f"CAST(count_if(severity = '{s}') AS BIGINT) AS {s.lower()}" for s in SEVERITIES)
               + ", 20.0 * count_if(category = 'performance' AND severity = 'CRITICAL')"
                 " + 12 * count_if(category = 'performance' AND severity = 'HIGH')"
                 " + 6 * count_if(category = 'performance' AND severity = 'MEDIUM')"

@@ -1,6 +1,7 @@
 """Source-corpus review analytics on Spark."""
 
+from reviewlake.operators.topk import keep_where
 from reviewlake.plans.review import issues, review, spread
-from reviewlake.session import session, shared_folder
+from reviewlake.session import session, shared_folder, store
 
-__all__ = ["review", "issues", "spread", "session", "shared_folder"]
+__all__ = ["review", "issues", "spread", "keep_where", "session", "shared_folder", "store"]

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from reviewlake.functions.text import exact_mean, round1
 from reviewlake.operators.scoring import ML_SCORES, SCORES
-from reviewlake.operators.topk import top_per_group
+from reviewlake.operators.topk import keep_where, top_per_group
 from reviewlake.packs.rules import SEVERITIES
 
 COUNTS = ("total", "critical", "high", "medium", "low", "info")
@@ -102,8 +102,8 @@ def files_with_severity(reviewed: DataFrame, severity: str = "ALL") -> DataFrame
         test = (F.col("total") > 0) | F.col("error").isNotNull()
     else:
         test = F.col(severity.lower()) > 0
-    # The test rides along as a column and is filtered after a cheap projection.
-    return reviewed.select("project_id", "path", "language", "total", test.alias("_keep")).where("_keep").drop("_keep")
+    return keep_where(reviewed.select("project_id", "path", "language", "total", test.alias("_test")),
+                      F.col("_test")).drop("_test")
 
 
 def severity_series(issues: DataFrame) -> DataFrame:

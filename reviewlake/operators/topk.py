@@ -1,10 +1,10 @@
-"""Top rows per group that survive a hot group."""
+"""Row selection: top rows per group under skew, and filters evaluated once."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-SLICES = 64
+SLICES = 256
 
 
 def top_per_group(df: DataFrame, keys: list[str], order: list[Column], k: int, rank: str = "rank",
@@ -26,5 +26,16 @@ def top_per_group(df: DataFrame, keys: list[str], order: list[Column], k: int, r
     return local.withColumn(rank, F.row_number().over(last)).where(F.col(rank) <= k)
 
 
+def keep_where(df: DataFrame, test: Column) -> DataFrame:
+    """Filter on a costly computed column without computing it twice.
+
+    A plain ``where`` on a review column is pushed below the projections that
+    make it, so its whole expression runs once for the filter and once more for
+    the output.  A filter on a generated column stays above them.
+    """
+    kept = df.select("*", F.explode_outer(F.when(test, F.array(F.lit(True)))).alias("_kept"))
+    return kept.where(F.col("_kept")).drop("_kept")
+
+
 def _hashable(dtype: str) -> bool:
     return not dtype.startswith(("map", "array", "struct", "variant"))

@@ -29,10 +29,10 @@ def running_totals(issues: DataFrame) -> DataFrame:
 
 def windowed_totals(issues: DataFrame, late: str = "1 hour", window: str = "1 hour") -> DataFrame:
     """Findings per window, project and severity; rows later than ``late`` are dropped."""
-    return (issues.withWatermark("created_at", late)
+    return (issues.withColumn("created_at", F.col("created_at").cast("timestamp")).withWatermark("created_at", late)
             .groupBy(F.window("created_at", window).alias("w"), "project_id", "severity")
             .agg(F.count("*").alias("issues"))
-            .select(F.col("w.start").alias("window_start"), "project_id", "severity", "issues"))
+            .select(F.col("w.start").cast("timestamp_ntz").alias("window_start"), "project_id", "severity", "issues"))
 
 
 def run_available(df: DataFrame, out: str, checkpoint: str, mode: str = "append") -> StreamingQuery:
