@@ -4,18 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from reviewlake.functions.literals import required_literals
+
 # --- Fixed values -----------------------------------------------------------
 # Characters that end a line, and characters removed by stripping.
-LINE_ENDS = "\n\r\x0b\x0c\x1c\x1d\x1e\x85  "
+LINE_ENDS = "\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029"
 STRIP_CHARS = (
-    " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0 "
-    "           "
-    "    　"
+    " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680"
+    "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
 )
+# Characters outside ASCII that match an ASCII letter when case is ignored.
+FOLDED_SPECIALLY = {"\u017f": "s", "\u0131": "i", "\u0130": "i", "\u212a": "k"}
 # ----------------------------------------------------------------------------
 
 # Zero-width split after each terminator, so lines keep their line end.
-_LINE_SPLIT = "(?<=[\n\x0b\x0c\x1c\x1d\x1e\x85  ])|(?<=\r)(?!\n)"
+_LINE_SPLIT = "(?<=[\n\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029])|(?<=\r)(?!\n)"
 
 
 def dialect(pattern: str, flags: str = "") -> str:
@@ -32,16 +36,36 @@ def literal(text: str) -> str:
     return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def sql_matches(text: str, pattern: str, flags: str = "") -> str:
-    return f"{text} RLIKE {literal(dialect(pattern, flags))}"
+def sql_fold(text: str) -> str:
+    """Lower case in which every character that matches an ASCII letter is that letter."""
+    odd = " OR ".join(f"contains({text}, {literal(c)})" for c in FOLDED_SPECIALLY)
+    plain = f"translate({text}, {literal(''.join(FOLDED_SPECIALLY))}, {literal(''.join(FOLDED_SPECIALLY.values()))})"
+    return f"lower(IF({odd}, {plain}, {text}))"
+
 
+def sql_may_match(text: str, folded: str, pattern: str, flags: str) -> str | None:
+    """A substring test that holds wherever the pattern matches (null: none known).
+
+    Substring search is many times cheaper than a regex scan, and most patterns
+    need some word that most files lack.
+    """
+    words = required_literals(pattern, flags)
+    if not words:
+        return None
+    where = folded if "i" in flags else text
+    return "(" + " OR ".join(f"contains({where}, {literal(w)})" for w in words) + ")"
 
-def sql_count(text: str, pattern: str, flags: str = "") -> str:
-    return f"regexp_count({text}, {literal(dialect(pattern, flags))})"
 
+def sql_matches(text: str, pattern: str, flags: str = "", folded: str | None = None) -> str:
+    test = f"{text} RLIKE {literal(dialect(pattern, flags))}"
+    first = sql_may_match(text, folded, pattern, flags) if folded else None
+    return f"({first} AND {test})" if first else test
 
-def sql_strip(text: str) -> str:
-    return f"btrim({text}, {literal(STRIP_CHARS)})"
+
+def sql_count(text: str, pattern: str, flags: str = "", folded: str | None = None) -> str:
+    count = f"regexp_count({text}, {literal(dialect(pattern, flags))})"
+    first = sql_may_match(text, folded, pattern, flags) if folded else None
+    return f"IF({first}, {count}, 0)" if first else count
 
 
 def sql_case(branches, default: str) -> str:
@@ -66,8 +90,17 @@ def strip(text: Column) -> Column:
 
 
 def split_lines(content: Column) -> Column:
-    """Lines of a text with their terminators; no empty trailing line."""
-    return F.filter(F.split(content, _LINE_SPLIT, -1), lambda l: l != "")
+    """Lines of a text with their terminators; no empty trailing line.
+
+    Texts whose only line end is ``\\n`` are cut at a marker put after each one,
+    a plain substring split; the look-behind regex serves all others.
+    """
+    marker = "\0"
+    others = F.lit(False)
+    for end in (*LINE_ENDS.replace("\n", ""), marker):
+        others = others | F.contains(content, F.lit(end))
+    marked = F.split(F.replace(content, F.lit("\n"), F.lit("\n" + marker)), marker, -1)
+    return F.filter(F.when(others, F.split(content, _LINE_SPLIT, -1)).otherwise(marked), lambda l: l != "")
 
 
 def unify_newlines(content: Column) -> Column:

@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from reviewlake.functions.syntax import syntax_report
-from reviewlake.functions.text import (dialect, in_languages, literal, split_lines, sql_case, sql_count, strip)
+from reviewlake.functions.text import (dialect, in_languages, literal, split_lines, sql_case, sql_count, sql_fold,
+                                       strip)
 from reviewlake.packs import metric_patterns as mp
 from reviewlake.packs.languages import LANGUAGES
 
@@ -17,8 +18,12 @@ _NO_STRINGS = "CAST(array() AS array<string>)"
 
 
 def with_lines(files: DataFrame) -> DataFrame:
-    """Add ``lines`` (with terminators) and ``stripped`` arrays."""
-    return (files.withColumn("lines", split_lines(F.col("content")))
+    """Add ``lines`` (with terminators), ``stripped`` and case-folded text.
+
+    Folding keeps line ends, so ``folded_lines`` has the positions of ``lines``.
+    """
+    return (files.withColumn("folded", F.expr(sql_fold("content")))
+            .withColumns({"lines": split_lines(F.col("content")), "folded_lines": split_lines(F.col("folded"))})
             .withColumn("stripped", F.transform("lines", strip)))
 
 
@@ -51,7 +56,7 @@ def _per_language(values: dict[str, str], default: str) -> str:
 
 def pattern_count(metric: str) -> str:
     """Count metric of the row's language (0 where it has none)."""
-    counts = {lang: sql_count("content", pattern, flags)
+    counts = {lang: sql_count("content", pattern, flags, "folded")
               for lang, (flags, pattern) in _inherited(mp.patterns_for(metric)).items()}
     if metric == "function_count":
         # A C function head ends in "{": without one the backtracking scan is skipped.

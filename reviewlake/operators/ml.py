@@ -266,6 +266,7 @@ def train(rows: DataFrame, models: list[str] | None = None, trees: int = 100, ro
     spark = rows.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:  # boosting cuts its lineage there
         spark.sparkContext.setCheckpointDir(shared_folder(spark, "checkpoints"))
+    rows = store(rows, "rows")  # read twice: by the scaler and by the frame
     scaler = fit_scaler(rows)
     frame = training_frame(rows, scaler)
     chosen = {k: v for k, v in estimators(trees, rounds).items() if models is None or k in models}

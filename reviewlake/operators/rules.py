@@ -55,7 +55,7 @@ def _found(number: int, line: str, sub: str = "0", detail: str = "CAST(NULL AS S
 
 
 def _line_test(rule: Rule) -> str:
-    tests = [sql_matches("l", rule.pattern, rule.flags)]
+    tests = [sql_matches("l", rule.pattern, rule.flags, "get(folded_lines, i)")]
     tests += [f"contains(l, {literal(t)})" for t in rule.has]
     tests += [f"NOT contains(l, {literal(t)})" for t in rule.lacks]
     if rule.lacks_pattern:
@@ -76,7 +76,7 @@ def _content_screen(rule: Rule) -> str:
     is screened in multi-line mode, the latter without the look-ahead.
     """
     screen = re.sub(r"\(\?!.*\)$", "", rule.pattern)
-    return sql_matches("content", screen, rule.flags + ("m" if screen.endswith("$") else ""))
+    return sql_matches("content", screen, rule.flags + ("m" if screen.endswith("$") else ""), "folded")
 
 
 def _rule_hits(number: int, rule: Rule) -> str:
@@ -93,10 +93,10 @@ def _rule_hits(number: int, rule: Rule) -> str:
         test = f"cyclomatic_complexity > {rule.threshold}"
         hits = f"array({_found(number, '1', detail='CAST(CAST(cyclomatic_complexity AS BIGINT) AS STRING)')})"
     elif rule.kind == "absent":
-        test = "NOT " + sql_matches("content", rule.pattern, rule.flags)
+        test = "NOT " + sql_matches("content", rule.pattern, rule.flags, "folded")
         hits = f"array({_found(number, '1')})"
     elif rule.kind == "count":
-        n = sql_count("content", rule.pattern, rule.flags)
+        n = sql_count("content", rule.pattern, rule.flags, "folded")
         test, hits = f"{n} > {rule.threshold}", f"array({_found(number, '1', detail=f'CAST({n} AS STRING)')})"
     elif rule.kind == "large":
         test = f"syntax.has_tree AND length(content) > {rule.threshold}"

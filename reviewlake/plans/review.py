@@ -9,19 +9,22 @@ from reviewlake.operators.files import has_pack
 from reviewlake.packs.metric_patterns import FEATURES
 from reviewlake.packs.rules import builtin_packs, with_rules
 
+SPLIT_BYTES = 64 * 1024 * 1024
 NO_PACK = "No plugin available for this file type."
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Repartition a scan only when it has fewer tasks than the cluster has cores.
+    """Repartition a small scan so that the regex work reaches every core.
 
-    Large inputs arrive in many splits and are left alone; a few big parquet row
-    groups would otherwise run all regex work in a handful of tasks.
+    Large inputs arrive in many full splits and are left alone.  A small one may
+    sit in a single row group, which one task reads whole however many splits
+    the file is cut into.
     """
     if df.isStreaming:
         return df
     wanted = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= wanted else df.repartition(wanted, *keys)
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df if size >= wanted * SPLIT_BYTES else df.repartition(wanted, *keys)
 
 
 def review(files: DataFrame, packs=None, extra_rules=None, weights=None, models=None) -> DataFrame:
@@ -49,7 +52,8 @@ def review(files: DataFrame, packs=None, extra_rules=None, weights=None, models=
         df = scoring.with_fallback(models.predict(df), models.available)
     df = scoring.with_issue_counts(scoring.with_scores(df, weights))
     blank = {c: F.when(ok, F.col(c)) for c in (*FEATURES, *scoring.ML_SCORES, *scoring.SCORES)}
-    return df.withColumns(blank).drop("content", "lines", "stripped", "syntax", "_reviewable")
+    return df.withColumns(blank).drop(
+        "content", "folded", "lines", "folded_lines", "stripped", "syntax", "_reviewable")
 
 
 def issues(reviewed: DataFrame, packs=None) -> DataFrame:

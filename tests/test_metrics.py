@@ -162,7 +162,7 @@ def test_python_tree():
                 "constants": 1, "parameter_count": 3 + 1 + 1 + 8, "return_statements": 2, "exception_handling": 1,
                 "loop_count": 3, "nested_loops": 1, "recursion_count": 1, "max_nesting_depth": 3, "long_parameter_lists": 1,
                 "magic_numbers": 2, "eval_usage": 1, "network_operations": 1, "file_operations": 1, "avg_class_size": 2.0,
-                "naming_violations": 5}
+                "naming_violations": 6}
     for key, value in expected.items():
         assert r[key] == value, key
     found = {(f["rule_id"], f["line"]) for f in r["findings"]}
