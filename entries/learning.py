@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from entries.common import features, long, programs, rounded, table
 from oracle.base import text
+from reviewlake import spread
 from reviewlake.operators import ml, training_data as td
 from reviewlake.session import store
 
@@ -18,7 +19,7 @@ CHECKED_LABELS = ("label_quality_score", "label_bug_probability")
 
 
 def rows(spark, folder):
-    return td.training_rows(table(spark, folder, "documents"), "doc_id")
+    return td.training_rows(spread(table(spark, folder, "documents").select("doc_id"), "doc_id"), "doc_id")
 
 
 def training_rows(spark, folder):
