@@ -1,7 +1,7 @@
-"""Syntax reports for Python and JSON files.
+"""Syntax reports for Python, JSON and CSS files.
 
 The one place where built-in functions cannot express the semantics: a syntax
-tree.  A scalar pandas UDF keeps the plan narrow (no join back, no shuffle),
+tree, or repeated text of unknown form.  A scalar pandas UDF keeps the plan narrow (no join back, no shuffle),
 and the caller passes null for every other language so only the files that
 need a parser cross into Python.
 """
@@ -33,7 +33,8 @@ REPORT = T.StructType(
     [T.StructField("has_tree", T.BooleanType()),
      T.StructField("parse_errors", T.ArrayType(T.StringType())),
      T.StructField("findings", T.ArrayType(FINDING)),
-     T.StructField("failure", T.StringType())]
+     T.StructField("failure", T.StringType()),
+     T.StructField("css_repeats", T.DoubleType())]
     + [T.StructField(name, T.DoubleType()) for name in SYNTAX_FEATURES]
 )
 
@@ -50,7 +51,7 @@ MANY_NUMBERS = 5
 
 _FUNCTIONS = (ast.FunctionDef, ast.AsyncFunctionDef)
 _LOOPS = (ast.For, ast.While)
-_EMPTY = dict.fromkeys(SYNTAX_FEATURES, 0.0)
+_EMPTY = dict.fromkeys((*SYNTAX_FEATURES, "css_repeats"), 0.0)
 
 
 def _is_magic(node: ast.AST) -> bool:
@@ -129,7 +130,7 @@ def python_report(content: str) -> dict:
         "network_operations": sum(attributes[a] for a in NETWORK_ATTRIBUTES),
     }
     findings = list(_python_findings(content, order, functions, lengths, parameters, depths))
-    return {"has_tree": True, "parse_errors": [], "failure": None,
+    return {"has_tree": True, "parse_errors": [], "failure": None, "css_repeats": 0.0,
             "findings": [dict(rule_id=r, line=line, sub=i, detail=d) for i, (r, line, d) in enumerate(findings)],
             **{k: float(v) for k, v in features.items()}}
 
@@ -183,7 +184,30 @@ def json_report(content: str) -> dict:
     return report
 
 
-_PARSERS = {"Python": python_report, "JSON": json_report}
+_CSS_NAME = re.compile(r"[a-z-]+(?=:.)", re.DOTALL)
+
+
+def css_report(content: str) -> dict:
+    """Repeated CSS declarations: matches of ``name: value;`` up to its last repetition.
+
+    A declaration reaches from some letter of a property name to the next ``;``,
+    so it is a suffix of one ``;``-separated piece and repeats where a later
+    piece ends the same way.  A table of those suffixes replaces the regex with
+    a back-reference, whose time grows with the square of the file.
+    """
+    pieces = content.split(";")[:-1]
+    tails = [[piece[o:] for m in _CSS_NAME.finditer(piece) for o in range(m.start(), m.end())] for piece in pieces]
+    last = {tail: i for i, some in enumerate(tails) for tail in some}
+    repeats, i = 0, 0
+    while i < len(pieces):
+        end = next((last[tail] for tail in tails[i] if last[tail] > i), None)
+        repeats += end is not None
+        i = i + 1 if end is None else end + 1
+    return {"has_tree": True, "parse_errors": [], "findings": [], "failure": None, **_EMPTY,
+            "css_repeats": float(repeats)}
+
+
+_PARSERS = {"Python": python_report, "JSON": json_report, "CSS": css_report}
 _COLUMNS = REPORT.fieldNames()
 
 

@@ -10,10 +10,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from reviewlake.functions.syntax import syntax_report
 from reviewlake.functions.text import (dialect, in_languages, literal, split_lines, sql_case, sql_count, sql_fold,
-                                       strip)
+                                       sql_matches, strip)
 from reviewlake.packs import metric_patterns as mp
 from reviewlake.packs.languages import LANGUAGES
 
+C_HEAD_END = r"\)\s*\{"
 _NO_STRINGS = "CAST(array() AS array<string>)"
 
 
@@ -59,9 +60,9 @@ def pattern_count(metric: str) -> str:
     counts = {lang: sql_count("content", pattern, flags, "folded")
               for lang, (flags, pattern) in _inherited(mp.patterns_for(metric)).items()}
     if metric == "function_count":
-        # A C function head ends in "{": without one the backtracking scan is skipped.
+        # A C function head ends in ") {": without one the backtracking scan is skipped.
         for lang in ("C", "C++"):
-            counts[lang] = f"IF(contains(content, '{{'), {counts[lang]}, 0)"
+            counts[lang] = f"IF({sql_matches('content', C_HEAD_END)}, {counts[lang]}, 0)"
     return _per_language(counts, "0")
 
 
@@ -97,7 +98,7 @@ def _add(df: DataFrame, **expressions: str) -> DataFrame:
 
 
 def with_syntax(files: DataFrame) -> DataFrame:
-    """Add the ``syntax`` report struct (Python and JSON only)."""
+    """Add the ``syntax`` report struct (Python, JSON and CSS only)."""
     return files.withColumn("syntax", syntax_report(F.col("language"), F.col("content")))
 
 
@@ -130,7 +131,7 @@ def with_duplicates(files: DataFrame) -> DataFrame:
     """duplicate_lines and duplicate_ratio; exact, inside the file's row."""
     df = _add(files, _counted=_counted_lines())
     df = _add(df, _kept="size(_counted)", _repeats="IF(_parsed, size(_counted) - size(array_distinct(_counted)), 0)")
-    return _add(df, duplicate_lines=f"CAST(IF(language = 'CSS', {pattern_count('duplicate_lines')}, _repeats) AS DOUBLE)",
+    return _add(df, duplicate_lines="IF(language = 'CSS', syntax.css_repeats, CAST(_repeats AS DOUBLE))",
                 duplicate_ratio="_repeats / greatest(_kept, 1)").drop("_counted", "_kept", "_repeats")
 
 

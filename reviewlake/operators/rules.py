@@ -14,7 +14,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from reviewlake.functions.text import literal, sql_case, sql_count, sql_matches
+from reviewlake.functions.text import literal, sql_case, sql_count, sql_matches, sql_may_match
 from reviewlake.packs.rules import PHASES, SEVERITIES, Rule, builtin_packs
 
 HIT_TYPE = ("struct<rule_no:int,line_number:int,sub:int,severity:string,category:string,"
@@ -73,8 +73,11 @@ def _content_screen(rule: Rule) -> str:
 
     A line match is also a match inside the whole content, except that ``$`` has
     to see line ends and that a look-ahead may read beyond the line; the former
-    is screened in multi-line mode, the latter without the look-ahead.
+    is screened in multi-line mode, the latter without the look-ahead.  Dot-all
+    patterns would run across the whole file here, so only their words are tested.
     """
+    if "s" in rule.flags:
+        return sql_may_match("content", "folded", rule.pattern, rule.flags) or "TRUE"
     screen = re.sub(r"\(\?!.*\)$", "", rule.pattern)
     return sql_matches("content", screen, rule.flags + ("m" if screen.endswith("$") else ""), "folded")
 

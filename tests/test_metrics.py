@@ -8,7 +8,8 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from reviewlake.functions.syntax import json_report, python_report
+from reviewlake.functions.literals import required_literals
+from reviewlake.functions.syntax import css_report, json_report, python_report
 from reviewlake.functions.text import round1, split_lines, strip
 from reviewlake.operators import metrics
 from reviewlake.packs import metric_patterns as mp
@@ -179,3 +180,33 @@ def test_python_and_json_errors(spark, corpus):
     df = metrics.with_features(metrics.with_syntax(metrics.with_lines(corpus({"a.py": ("Python", "def f(:\n  # TODO x\nSELECT")}))))
     row = df.select(*mp.FEATURES).first()
     assert (row.loc, row.todo_count, row.cyclomatic_complexity, row.sql_queries, row.halstead_volume) == (3, 1, 0, 0, 0)
+
+
+def test_css_repeats_equal_the_back_reference():
+    pattern = mp.patterns_for("duplicate_lines")["CSS"][1]
+    rng = random.Random(5)
+    parts = ["a: b;", "color: red;", "r: red;", ".x { ", "}", "\n", "color:red;", "a:hover { m: 1;", ";", ":", "-w: 2 ; ", "A: b;", "xa: b;", "z"]
+    for _ in range(3000):
+        text = "".join(rng.choices(parts, k=rng.randrange(1, 14)))
+        assert css_report(text)["css_repeats"] == len(re.findall(pattern, text, re.S)), text
+
+
+def test_required_words_hold_for_every_match():
+    assert required_literals(r"\b(SELECT|INSERT)\b", "i") == ("insert", "select")
+    assert required_literals(r"(a|b)?x", "") is None and required_literals(r"[ab]+", "") is None
+    assert required_literals(r"(abc|[d]+)", "") is None
+    for language, _, f, p in mp.METRIC_PATTERNS:
+        words = required_literals(p, f)
+        if not words:
+            continue
+        for m in re.finditer(p, TEXT, flags(f)):
+            text = m.group(0).lower() if "i" in f else m.group(0)
+            assert any(w in text for w in words), (p, m.group(0))
+
+
+def test_special_letters_still_match(spark, corpus):
+    from reviewlake import issues, review
+
+    text = "pa\u017fsword = 'abcdef'\nGRANT ALL\n"  # long s counts as s when case is ignored
+    found = issues(review(corpus({"a.php": ("PHP", text)}))).select("rule_id").collect()
+    assert re.search("password", "pa\u017fsword", re.I) and [r.rule_id for r in found] == ["PHPSec005"]
