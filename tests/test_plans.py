@@ -7,7 +7,7 @@ from pyspark.sql import Window, functions as F
 
 from conftest import TESTDATA
 from reviewlake import issues, keep_where, review, store
-from reviewlake.operators import files, history, ml, rollup, scoring, training_data
+from reviewlake.operators import files, history, metrics, ml, rollup, scoring, training_data
 from reviewlake.operators.topk import top_per_group
 from reviewlake.packs.metric_patterns import FEATURES
 from reviewlake.session import shared_folder
@@ -31,9 +31,10 @@ def test_review_is_one_narrow_plan(spark):
     assert found.count("ArrowEvalPython") == 1 and "SortMergeJoin" not in found
 
 
-def test_selected_columns_only_are_computed(spark):
-    df = review(tables.program_corpus(tables.read(spark, TESTDATA, "documents"))).select("path", "loc")
-    assert "regexp_extract_all" not in plan(df) and "ArrowEvalPython" not in plan(df)
+def test_only_selected_features_are_computed(spark):
+    files = tables.program_corpus(tables.read(spark, TESTDATA, "documents"))
+    text = plan(metrics.with_features(metrics.with_syntax(metrics.with_lines(files))).select("path", "loc"))
+    assert "regexp_extract_all" not in text and "ArrowEvalPython" not in text
 
 
 def test_keep_where_runs_the_review_once(spark):
