@@ -18,7 +18,7 @@ def decode(content: Column) -> Column:
 
 def _relative(path: Column, root: str) -> Column:
     plain = root.removeprefix("file:").rstrip("/") + "/"
-    return F.element_at(F.split(path, plain.replace("\\", "\\\\"), 2), 2)
+    return F.substring(path, F.instr(path, F.lit(plain)) + len(plain), F.length(path))
 
 
 def read_files(spark: SparkSession, root: str, project_id: str | Column = "project",
