@@ -1,6 +1,9 @@
 """Registered queries of this subpackage and their DuckDB statements."""
 
-from reviewlake.llm import chat, lines
+from reviewlake.llm import chat, decontaminate, lines, mixing, simhash, substrings
 
-QUERIES = {"op3_lines": lines.op3_lines, "op8_chat": chat.op8_chat}
-ORACLE = {"op3_lines": lines.OP3_SQL, "op8_chat": chat.OP8_SQL}
+QUERIES = {
+    "op1_mix": mixing.op1_mix, "op3_lines": lines.op3_lines, "op5_decontaminate": decontaminate.op5_decontaminate,
+    "op8_chat": chat.op8_chat, "op9_simhash": simhash.op9_simhash, "op10_substrings": substrings.op10_substrings,
+}
+ORACLE = {"op3_lines": lines.OP3_SQL, "op5_decontaminate": decontaminate.OP5_SQL, "op8_chat": chat.OP8_SQL}
