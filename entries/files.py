@@ -34,7 +34,7 @@ WALKED = (f"NOT EXISTS (SELECT 1 FROM (SELECT unnest(string_split(dir, '/')) AS
           f"WHERE d IN ({_dirs}) OR starts_with(d, '.'))")
 GLOBS = ("NOT (filename LIKE '%.min.js' OR filename LIKE '%.min.css' OR filename LIKE '%.map' OR filename LIKE '%.lock' "
          "OR filename IN ('package-lock.json', 'yarn.lock') OR filename LIKE '%.generated.%')")
-SIZED = f"size > 0 AND size <= {lang.MAX_FILE_BYTES}"
+SIZED = "size > 0"
 SELECTED = f"{WALKED} AND {GLOBS} AND language IS NOT NULL AND {SIZED}"
 
 
@@ -76,7 +76,7 @@ def select_files(spark, folder):
 
 
 def file_cap(spark, folder):
-    return files.cap_files(paths(spark, folder), FILE_LIMIT).select("project_id", "path")
+    return files.first_files(paths(spark, folder), FILE_LIMIT).select("project_id", "path")
 
 
 def decode_text(spark, folder):
@@ -118,7 +118,7 @@ def file_listing(spark, folder):
 def extension_catalogue(spark, folder):
     """Languages met in the file records, by extension with and without dot, any case."""
     ext = files.extension(F.col("path"))
-    bare = F.upper(F.substring(ext, 2, 20))
+    bare = F.upper(F.ltrim(ext, F.lit(".")))
     return paths(spark, folder).select(ext.alias("extension"), bare.alias("bare")).distinct().select(
         "extension", F.coalesce(files.language_of_extension(F.col("extension")), F.lit("")).alias("language"),
         F.coalesce(files.language_of_extension(F.col("bare")), F.lit("")).alias("language_of_bare"))
@@ -130,8 +130,8 @@ def readable_sizes(spark, folder):
     return table(spark, folder, "documents").select("doc_id", files.readable_size(scaled).alias("shown"))
 
 
-_marks = " OR ".join(f"contains(substr(content, 1, {lang.CPP_HEADER_SAMPLE}), {text(m)})" for m in lang.CPP_HEADER_MARKS)
-_hints = " ".join(f"WHEN regexp_matches(substr(content, 1, {lang.CONTENT_HINT_SAMPLE}), {text(f'(?{fl})' + p)}) THEN {text(n)}"
+_marks = " OR ".join(f"contains(content, {text(m)})" for m in lang.CPP_HEADER_MARKS)
+_hints = " ".join(f"WHEN regexp_matches(content, {text(f'(?{fl})' + p)}) THEN {text(n)}"
                   for fl, p, n in lang.CONTENT_HINTS)
 
 _stats = ("count(*) AS count, CAST(sum(size) AS BIGINT) AS total_size, "

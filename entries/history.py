@@ -56,19 +56,15 @@ def consecutive(spark, folder):
 
 
 def _scan_findings(spark, folder):
-    """Findings with the scan they belong to: files are dealt to the scans by number."""
+    """Findings with the scan they belong to: a file's number names its scan."""
     issues = rules.explode_issues(reviewed(spark, folder))
     number = F.regexp_extract("path", r"src/(\d+)", 1).cast("long")
-    return issues.withColumn("analysis_id", F.pmod(number, F.lit(50)))
-
-
-def _fifty_scans(spark, folder):
-    return scans(spark, folder).where("analysis_id < 50")
+    return issues.withColumn("analysis_id", number)
 
 
 def search(**options):
     def run(spark, folder):
-        hits = history.search_issues(_fifty_scans(spark, folder), _scan_findings(spark, folder), **options)
+        hits = history.search_issues(scans(spark, folder), _scan_findings(spark, folder), **options)
         return hits.select("analysis_id", "path", "rule_id", "severity", "category", *long("line_number"))
     return run
 
@@ -149,9 +145,9 @@ def _explained_sql(select: str) -> str:
 
 
 _search = ("SELECT analysis_id, path, rule_id, severity, category, line_number FROM (SELECT i.*, "
-           "CAST(regexp_extract(path, 'src/([0-9]+)', 1) AS BIGINT) % 50 AS analysis_id FROM issues i) "
-           "WHERE analysis_id IN (SELECT event_id FROM events WHERE event_id < 50 ORDER BY ts DESC, event_id DESC LIMIT 20) AND {} "
-           "ORDER BY analysis_id DESC, path, severity_rank, line_number, rule_no LIMIT {}")
+           "CAST(regexp_extract(path, 'src/([0-9]+)', 1) AS BIGINT) AS analysis_id FROM issues i) "
+           "JOIN (SELECT event_id AS analysis_id, ts AS created_at FROM events) USING (analysis_id) WHERE {} "
+           "ORDER BY created_at DESC, analysis_id DESC, path, severity_rank, line_number, rule_no LIMIT {}")
 _joined = "lower(title || ' ' || description || ' ' || coalesce(suggestion, '') || ' ' || code_snippet || ' ' || rule_id)"
 
 ENTRIES = {

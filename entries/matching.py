@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window, functions as F
+from pyspark.sql import functions as F
 
 from entries.common import event_files, features, found, long, pages, paths, programs, reviewed, table
 from entries.files import PATHS
@@ -11,6 +11,7 @@ from reviewlake import issues, keep_where, review, spread
 from reviewlake.functions.text import unify_newlines
 from reviewlake.operators import metrics, rules
 from reviewlake.operators.files import pack_language
+from reviewlake.packs.languages import LANGUAGES
 from reviewlake.packs.rules import FOUND, Rule, builtin_packs, override
 
 LINE_KINDS = ("line", "follows", "unfreed")
@@ -78,9 +79,8 @@ def shaped_issues(spark, folder):
 
 def ordered_issues(spark, folder):
     """Position of every finding in its file's report."""
-    order = Window.partitionBy("path").orderBy("severity_rank", "line_number", "detect_seq")  # one file per group
-    return found(spark, folder).select("path", "rule_id", *long("line_number"),
-                                       F.row_number().over(order).cast("long").alias("position"))
+    return rules.explode_issues(rules.in_report_order(reviewed(spark, folder))).select(
+        "path", "rule_id", *long("line_number"), F.col("position").cast("long").alias("position"))
 
 
 def file_review(spark, folder):
@@ -116,6 +116,28 @@ def user_pack(spark, folder):
     return issues(done, packs).select("path", "rule_id", "description", *long("line_number"))
 
 
+# Patterns that see the ends of their line, set flags inside or look around: each of
+# them must be found wherever a plain test of the single lines finds it.
+USER_PATTERNS = (
+    Rule("USR101", "static", "LOW", "style", "line", "", r"^[a-z]+ ", "Starts in lower case", FOUND),
+    Rule("USR102", "static", "LOW", "style", "line", "", r"\.$", "Ends in a full stop", FOUND),
+    Rule("USR103", "static", "LOW", "style", "line", "", r"(?i)THE", "Article", FOUND),
+    Rule("USR104", "static", "LOW", "style", "line", "", r"(?i:OF|DE) [a-z]", "Preposition", FOUND),
+    Rule("USR105", "static", "LOW", "style", "line", "i", r" of(?! the)", "Not before an article", FOUND),
+    Rule("USR106", "static", "LOW", "style", "line", "", r"(?<=[a-z])\.\s*$", "Stop after a letter", FOUND),
+    Rule("USR107", "static", "LOW", "style", "line", "", r"\A[A-Z]\w*\Z", "One word", FOUND),
+    Rule("USR108", "static", "LOW", "style", "absent", "", r"(?i)\bTHE\b", "No article", FOUND),
+    Rule("USR109", "static", "LOW", "style", "count", "", r"(?i:AND) ", "Many conjunctions", "{n}", threshold=3),
+)
+
+
+def user_patterns(spark, folder):
+    """The same user rules in the packs of all languages."""
+    packs = {language: USER_PATTERNS for language in LANGUAGES}
+    done = rules.with_hits(features(programs(spark, folder)), packs)
+    return issues(done, packs).select("path", "language", "rule_id", *long("line_number"))
+
+
 _kind = lambda kinds: " OR ".join(f"rule_id = '{r}'" for r in sorted(
     {r.rule_id for pack in builtin_packs().values() for r in pack if r.kind in kinds}))
 _select = "SELECT path, language, rule_id, line_number FROM issues"
@@ -159,6 +181,18 @@ ENTRIES = {
     "review_unsupported_files": (unsupported_files, None),
     "user_rules_and_weights": (extra_rules, None),
     "user_language_pack": (user_pack, None),
+    "user_rule_patterns": (user_patterns, corpus(
+        "SELECT path, language, rule_id, line_number FROM (SELECT path, language, line_number, unnest(list_filter(["
+        "CASE WHEN regexp_matches(raw, '^[a-z]+ ') THEN 'USR101' END, "
+        "CASE WHEN regexp_matches(one, '\\.$') THEN 'USR102' END, "
+        "CASE WHEN contains(lower(raw), 'the') THEN 'USR103' END, "
+        "CASE WHEN regexp_matches(raw, '(of|oF|Of|OF|de|dE|De|DE) [a-z]') THEN 'USR104' END, "
+        "CASE WHEN regexp_matches(regexp_replace(lower(raw), ' of the', ' zz', 'g'), ' of') THEN 'USR105' END, "
+        "CASE WHEN regexp_matches(raw, '[a-z]\\.\\s*$') THEN 'USR106' END, "
+        "CASE WHEN regexp_matches(one, '^[A-Z][\\p{L}\\p{N}_]*$') THEN 'USR107' END], lambda x: x IS NOT NULL)) AS rule_id "
+        "FROM (SELECT *, rtrim(raw, chr(10)) AS one FROM lines)) "
+        "UNION ALL SELECT path, language, 'USR108', 1 FROM files WHERE NOT regexp_matches(lower(content), '(^|[^\\p{L}\\p{N}_])the([^\\p{L}\\p{N}_]|$)') "
+        "UNION ALL SELECT path, language, 'USR109', 1 FROM files WHERE len(regexp_extract_all(lower(content), 'and ')) > 3", PROGRAM_FILES, LINES)),
 }
 # Files without a pack carry an error and no scores; the others are checked above.
 ENTRIES["review_failed_files"] = (

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from reviewlake.functions.literals import required_literals
+from reviewlake.functions.literals import required_words
 
 # --- Fixed values -----------------------------------------------------------
 # Characters that end a line, and characters removed by stripping.
@@ -43,28 +43,30 @@ def sql_fold(text: str) -> str:
     return f"lower(IF({odd}, {plain}, {text}))"
 
 
-def sql_may_match(text: str, folded: str, pattern: str, flags: str) -> str | None:
+def sql_may_match(folded: str, pattern: str, flags: str = "") -> str | None:
     """A substring test that holds wherever the pattern matches (null: none known).
 
     Substring search is many times cheaper than a regex scan, and most patterns
     need some word that most files lack.
     """
-    words = required_literals(pattern, flags)
-    if not words:
-        return None
-    where = folded if "i" in flags else text
-    return "(" + " OR ".join(f"contains({where}, {literal(w)})" for w in words) + ")"
+    def test(query):
+        if isinstance(query, str):
+            return f"contains({folded}, {literal(query)})"
+        return "(" + f" {query[0].upper()} ".join(sorted(map(test, query[1]))) + ")"
+
+    words = required_words(pattern, flags)
+    return test(words) if words is not None else None
 
 
 def sql_matches(text: str, pattern: str, flags: str = "", folded: str | None = None) -> str:
     test = f"{text} RLIKE {literal(dialect(pattern, flags))}"
-    first = sql_may_match(text, folded, pattern, flags) if folded else None
+    first = sql_may_match(folded, pattern, flags) if folded else None
     return f"({first} AND {test})" if first else test
 
 
 def sql_count(text: str, pattern: str, flags: str = "", folded: str | None = None) -> str:
     count = f"regexp_count({text}, {literal(dialect(pattern, flags))})"
-    first = sql_may_match(text, folded, pattern, flags) if folded else None
+    first = sql_may_match(folded, pattern, flags) if folded else None
     return f"IF({first}, {count}, 0)" if first else count
 
 

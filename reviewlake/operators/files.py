@@ -35,15 +35,14 @@ def language_of_extension(ext: Column) -> Column:
 
 
 def language_of_header(content: Column) -> Column:
-    """C or C++ for a ``.h`` file, from marks near its start."""
+    """C or C++ for a ``.h`` file, from its marks."""
     marks = "|".join(re.escape(m) for m in lang.CPP_HEADER_MARKS)
-    return F.when(F.substring(content, 1, lang.CPP_HEADER_SAMPLE).rlike(marks), "C++").otherwise("C")
+    return F.when(content.rlike(marks), "C++").otherwise("C")
 
 
 def language_of_content(content: Column) -> Column:
     """First content heuristic that matches, else null."""
-    sample = F.substring(content, 1, lang.CONTENT_HINT_SAMPLE)
-    return F.coalesce(*[F.when(matches(sample, p, flags), F.lit(name)) for flags, p, name in lang.CONTENT_HINTS])
+    return F.coalesce(*[F.when(matches(content, p, flags), F.lit(name)) for flags, p, name in lang.CONTENT_HINTS])
 
 
 def detect_language(path: Column, content: Column) -> Column:
@@ -80,26 +79,25 @@ def supported(path: Column) -> Column:
     return extension(path).isin(list(lang.EXTENSIONS))
 
 
-def size_in_bounds(size: Column, max_bytes: int = lang.MAX_FILE_BYTES) -> Column:
-    return (size > 0) & (size <= max_bytes)
+def size_in_bounds(size: Column, max_bytes: int | None = None) -> Column:
+    """Not empty and, if the caller sets a limit, not beyond it."""
+    return size > 0 if max_bytes is None else (size > 0) & (size <= max_bytes)
 
 
-def select_files(files: DataFrame, max_bytes: int = lang.MAX_FILE_BYTES) -> DataFrame:
+def select_files(files: DataFrame, max_bytes: int | None = None) -> DataFrame:
     """Keep reviewable files: walked directory, wanted name, supported, sized."""
     return files.where(in_walked_dir(F.col("relative_path")) & wanted_name(F.col("relative_path"))
                        & supported(F.col("relative_path")) & size_in_bounds(F.col("size"), max_bytes))
 
 
-def cap_files(files: DataFrame, limit: int = lang.MAX_FILES_PER_PROJECT) -> DataFrame:
-    """First ``limit`` files per project by path (the scan's own file limit).
+def first_files(files: DataFrame, limit: int) -> DataFrame:
+    """First ``limit`` files per project by path.
 
-    Only projects that exceed the limit have a cut-off path; contents are never
-    shuffled, the cut-offs join as a small table when their size allows.
+    The paths are ranked without the contents; those meet again by project and
+    path, so a project with most of the files is no hot key.
     """
-    cut = (top_per_group(files.select("project_id", "path"), ["project_id"], [F.col("path")], limit, rank="_rank")
-           .where(F.col("_rank") == limit).select("project_id", F.col("path").alias("_last")))
-    return (files.join(cut, "project_id", "left")
-            .where(F.col("_last").isNull() | (F.col("path") <= F.col("_last"))).drop("_last"))
+    chosen = top_per_group(files.select("project_id", "path"), ["project_id"], [F.col("path")], limit, rank="_rank")
+    return files.join(chosen.select("project_id", "path").distinct(), ["project_id", "path"], "left_semi")
 
 
 def list_files(files: DataFrame, limit: int = lang.FILE_LISTING_ROWS) -> DataFrame:

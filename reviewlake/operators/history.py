@@ -8,9 +8,7 @@ from reviewlake.operators.topk import top_per_group
 
 # --- Fixed values -----------------------------------------------------------
 HISTORY_ROWS = 20
-SEARCHED_SCANS = 20
 SEARCH_ROWS = 50
-SEARCH_ROWS_MAX = 200
 SUMMARY = ("analysis_id", "project_id", "created_at", "duration_seconds", "overall_score", "total_files",
            "total_issues", "critical_issues")
 # ----------------------------------------------------------------------------
@@ -92,34 +90,41 @@ def search_text() -> Column:
 
 def search_issues(analyses: DataFrame, issues: DataFrame, query: str = "", severity: str | None = None,
                   language: str | None = None, category: str | None = None, limit: int = SEARCH_ROWS,
-                  scans: int = SEARCHED_SCANS) -> DataFrame:
-    """Matching findings of the newest scans, first ``limit`` in report order."""
-    recent = analyses.orderBy(*newest_first()).limit(scans).select("analysis_id")
-    found = issues.join(F.broadcast(recent), "analysis_id", "left_semi")  # at most ``scans`` ids
+                  scans: int | None = None) -> DataFrame:
+    """Matching findings, first ``limit`` by newest scan, then in report order.
+
+    All scans are searched unless the caller asks for the newest ``scans``.
+    """
+    searched = analyses.select("analysis_id", "created_at")
+    if scans is not None:
+        searched = searched.orderBy(*newest_first()).limit(scans)
+    found = issues.join(searched, "analysis_id")
     for name, wanted in (("severity", severity), ("language", language), ("category", category)):
         if wanted:
             found = found.where(F.lower(name) == wanted.lower())
     if query:
         found = found.where(F.contains(search_text(), F.lit(query.lower())))
-    order = [F.desc("analysis_id"), F.col("path"), F.col("severity_rank"), F.col("line_number"), F.col("detect_seq")]
-    return found.orderBy(*order).limit(min(limit, SEARCH_ROWS_MAX))
+    order = [*newest_first(), F.col("path"), F.col("severity_rank"), F.col("line_number"), F.col("detect_seq")]
+    return found.orderBy(*order).limit(limit)
 
 
 def rehydrate(analyses: DataFrame, payload: str, schema: str) -> DataFrame:
     """Fixed columns overlaid by the keys of the JSON payload; bad JSON is ignored."""
-    from pyspark.sql.types import _parse_datatype_string
-
-    fields = _parse_datatype_string(schema).fieldNames()
     parsed = analyses.withColumn("_json", F.from_json(payload, schema))
-    for name in fields:
+    for name in parsed.schema["_json"].dataType.fieldNames():
         over = F.col(f"_json.{name}")
         parsed = parsed.withColumn(name, F.coalesce(over, F.col(name)) if name in analyses.columns else over)
     return parsed.drop("_json")
 
 
 def create_projects(existing: DataFrame, incoming: DataFrame) -> DataFrame:
-    """Existing projects plus incoming ones with a new path."""
-    fresh = incoming.dropDuplicates(["path"]).join(existing.select("path"), "path", "left_anti")
+    """Existing projects plus incoming ones with a new path.
+
+    Of several incoming rows with one path the smallest stays, column by column
+    in their order.
+    """
+    first = incoming.groupBy("path").agg(F.min(F.struct(*incoming.columns)).alias("row")).select("row.*")
+    fresh = first.join(existing.select("path"), "path", "left_anti")
     return existing.unionByName(fresh)
 
 

@@ -9,11 +9,11 @@ many rules that never fire in a file.
 
 from __future__ import annotations
 
-import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
+from reviewlake.functions.literals import reads_context
 from reviewlake.functions.text import literal, sql_case, sql_count, sql_matches, sql_may_match
 from reviewlake.packs.rules import PHASES, SEVERITIES, Rule, builtin_packs
 
@@ -71,15 +71,13 @@ def _line_test(rule: Rule) -> str:
 def _content_screen(rule: Rule) -> str:
     """True for every content in which some line can match.
 
-    A line match is also a match inside the whole content, except that ``$`` has
-    to see line ends and that a look-ahead may read beyond the line; the former
-    is screened in multi-line mode, the latter without the look-ahead.  Dot-all
-    patterns would run across the whole file here, so only their words are tested.
+    A line match is also a match inside the whole content, except where the pattern
+    sees the ends of its text.  Those patterns, and dot-all ones that would run
+    across the whole file, are screened by their words alone.
     """
-    if "s" in rule.flags:
-        return sql_may_match("content", "folded", rule.pattern, rule.flags) or "TRUE"
-    screen = re.sub(r"\(\?!.*\)$", "", rule.pattern)
-    return sql_matches("content", screen, rule.flags + ("m" if screen.endswith("$") else ""), "folded")
+    if "s" in rule.flags or reads_context(rule.pattern):
+        return sql_may_match("folded", rule.pattern, rule.flags) or "TRUE"
+    return sql_matches("content", rule.pattern, rule.flags, "folded")
 
 
 def _rule_hits(number: int, rule: Rule) -> str:
@@ -139,7 +137,8 @@ def explode_issues(reviewed: DataFrame, packs=None, keys: tuple[str, ...] = ("pr
     """One row per finding, with the rule's texts filled in."""
     # Outer explode: the plain form makes the optimizer push "size(hits) > 0" below
     # the projections, where the whole rule set would be evaluated a second time.
-    hits = reviewed.select(*keys, F.explode_outer("hits").alias("h")).where("h IS NOT NULL").select(*keys, "h.*")
+    hits = reviewed.select(*keys, F.posexplode_outer("hits").alias("_at", "h")).where("h IS NOT NULL").select(
+        *keys, (F.col("_at") + 1).alias("position"), "h.*")
     rules = rule_table(reviewed.sparkSession, packs).select("rule_no", "rule_id", "phase", "title", "template",
                                                            "suggestion", "reason")
     joined = hits.join(F.broadcast(rules), "rule_no")  # one row per rule of the packs
@@ -153,7 +152,7 @@ def explode_issues(reviewed: DataFrame, packs=None, keys: tuple[str, ...] = ("pr
         "severity", "category", "line_number", F.lit(0).alias("column"), F.lit(0).alias("end_line"),
         "suggestion", "reason", F.col("snippet").alias("code_snippet"),
         severity_rank(F.col("severity")).alias("severity_rank"),
-        (F.col("rule_no").cast("long") * 1_000_000_000 + F.col("sub")).alias("detect_seq"))
+        (F.col("rule_no").cast("long") * 1_000_000_000 + F.col("sub")).alias("detect_seq"), "position")
 
 
 def severity_rank(severity: Column) -> Column:
@@ -164,8 +163,15 @@ def severity_rank(severity: Column) -> Column:
 
 
 def order_issues(issues: DataFrame) -> DataFrame:
-    """Report order: per file by severity, line, then detection order."""
-    return issues.orderBy("path", "severity_rank", "line_number", "detect_seq")
+    """Report order: per project and file by severity, line, then detection order."""
+    return issues.orderBy("project_id", "path", "severity_rank", "line_number", "detect_seq")
+
+
+def in_report_order(reviewed: DataFrame) -> DataFrame:
+    """Files whose ``hits`` stand in report order, sorted inside the file's own row."""
+    rank = "CASE h.severity " + " ".join(f"WHEN {literal(s)} THEN {i}" for i, s in enumerate(SEVERITIES)) + " ELSE 99 END"
+    keyed = f"transform(hits, h -> named_struct('a', {rank}, 'b', h.line_number, 'c', h.rule_no, 'd', h.sub, 'h', h))"
+    return reviewed.withColumn("hits", F.expr(f"transform(array_sort({keyed}), x -> x.h)"))
 
 
 def validity(files: DataFrame) -> DataFrame:
@@ -186,5 +192,5 @@ def validity(files: DataFrame) -> DataFrame:
             .withColumn("is_valid", ~parsed | (F.size("parse_errors") == 0)))
 
 
-__all__ = ["catalogue", "rule_table", "with_hits", "explode_issues", "order_issues", "severity_rank",
+__all__ = ["catalogue", "rule_table", "with_hits", "explode_issues", "order_issues", "in_report_order", "severity_rank",
            "validity", "PHASES", "HIT_TYPE"]

@@ -42,7 +42,7 @@ EXTENSIONS: dict[str, str] = {
 # Extensions known to the detector but reviewed by no language pack.
 UNREVIEWED_EXTENSIONS = (".fish",)
 
-# Literals that make a ".h" file C++ (looked for in its first characters).
+# Literals that make a ".h" file C++ (looked for anywhere).
 CPP_HEADER_MARKS = (
     "class ",
     "namespace ",
@@ -53,7 +53,6 @@ CPP_HEADER_MARKS = (
     "override",
     "nullptr",
 )
-CPP_HEADER_SAMPLE = 2048
 
 # Content heuristics, first match wins: (flags, pattern, language).
 CONTENT_HINTS: tuple[tuple[str, str, str], ...] = (
@@ -72,7 +71,6 @@ CONTENT_HINTS: tuple[tuple[str, str, str], ...] = (
     ("im", r"^\s*CREATE TABLE", "SQL"),
     ("m", r"^\s*\{", "JSON"),
 )
-CONTENT_HINT_SAMPLE = 4096
 
 # Directory names that are never walked (hidden ones are skipped as well).
 EXCLUDED_DIRS = (
@@ -88,8 +86,6 @@ EXCLUDED_GLOBS = (
     "package-lock.json", "yarn.lock", "*.generated.*",
 )
 
-MAX_FILE_BYTES = 10 * 1024 * 1024
-MAX_FILES_PER_PROJECT = 5000
 FILE_LISTING_ROWS = 200
 # ----------------------------------------------------------------------------
 

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from reviewlake.functions.text import unify_newlines
-from reviewlake.operators.files import detect_language, file_name, pack_language, select_files
-from reviewlake.packs.languages import MAX_FILE_BYTES
+from reviewlake.operators.files import detect_language, file_name, pack_language, select_files, size_in_bounds
+from reviewlake.packs.languages import EXTENSIONS
 
 
 def decode(content: Column) -> Column:
@@ -21,15 +21,27 @@ def _relative(path: Column, root: str) -> Column:
     return F.substring(path, F.instr(path, F.lit(plain)) + len(plain), F.length(path))
 
 
+def _listing(spark: SparkSession, root: str) -> DataFrame:
+    either = lambda ext: "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in ext)
+    return (spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+            .option("pathGlobFilter", "*{" + ",".join(map(either, EXTENSIONS)) + "}").load(root))
+
+
+def skipped_files(spark: SparkSession, root: str, max_bytes: int) -> DataFrame:
+    """Supported files beyond the limit that a caller has set, with the reason; nothing is opened."""
+    big = _listing(spark, root).select("path", F.col("length").alias("size")).where(F.col("size") > max_bytes)
+    return big.withColumn("error", F.concat(F.lit("Larger than "), F.lit(str(max_bytes)), F.lit(" bytes.")))
+
+
 def read_files(spark: SparkSession, root: str, project_id: str | Column = "project",
-               max_bytes: int = MAX_FILE_BYTES) -> DataFrame:
+               max_bytes: int | None = None) -> DataFrame:
     """Reviewable files under ``root`` with decoded content.
 
-    Name, directory and size tests need no content; the size test is pushed to
-    the reader, which skips opening files beyond it.
+    The reader opens only files with a supported extension (``pathGlobFilter``)
+    and, as the size test is pushed to it, none that is empty or beyond
+    ``max_bytes``; ``skipped_files`` lists the latter.
     """
-    raw = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-           .where((F.col("length") > 0) & (F.col("length") <= max_bytes)))
+    raw = _listing(spark, root).where(size_in_bounds(F.col("length"), max_bytes))
     found = select_files(raw.select(
         (project_id if isinstance(project_id, Column) else F.lit(project_id)).alias("project_id"), "path",
         _relative(F.col("path"), root).alias("relative_path"), F.col("length").alias("size"),

@@ -8,7 +8,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from reviewlake.functions.literals import required_literals
+from reviewlake.functions.literals import required_words
 from reviewlake.functions.syntax import css_report, json_report, python_report
 from reviewlake.functions.text import round1, split_lines, strip
 from reviewlake.operators import metrics
@@ -191,17 +191,24 @@ def test_css_repeats_equal_the_back_reference():
         assert css_report(text)["css_repeats"] == len(re.findall(pattern, text, re.S)), text
 
 
+def holds(query, text):
+    if query is None or isinstance(query, str):
+        return query is None or query in text
+    return (all if query[0] == "and" else any)(holds(q, text) for q in query[1])
+
+
 def test_required_words_hold_for_every_match():
-    assert required_literals(r"\b(SELECT|INSERT)\b", "i") == ("insert", "select")
-    assert required_literals(r"(a|b)?x", "") is None and required_literals(r"[ab]+", "") is None
-    assert required_literals(r"(abc|[d]+)", "") is None
+    assert required_words(r"\b(SELECT|INSERT)\b", "i") == ("or", frozenset({"insert", "select"}))
+    assert required_words(r"(?i)Grant\s+(?i:ALL)") == ("and", frozenset({"grant", "all"}))
+    assert required_words(r"(?x) a b") is None and required_words(r"\p{L}ab") is None
+    assert required_words(r"(a|b)?x", "") is None and required_words(r"[ab]+", "") is None
+    assert required_words(r"(abc|[d]+)", "") is None
     for language, _, f, p in mp.METRIC_PATTERNS:
-        words = required_literals(p, f)
+        words = required_words(p, f)
         if not words:
             continue
         for m in re.finditer(p, TEXT, flags(f)):
-            text = m.group(0).lower() if "i" in f else m.group(0)
-            assert any(w in text for w in words), (p, m.group(0))
+            assert holds(words, m.group(0).lower()), (p, m.group(0))
 
 
 def test_special_letters_still_match(spark, corpus):

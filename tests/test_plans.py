@@ -80,7 +80,7 @@ def test_top_per_group_with_a_hot_group(spark):
 
 def test_file_cap(spark):
     df = spark.createDataFrame([("a", f"/f{i:04d}") for i in range(30)] + [("b", "/x")], "project_id string, path string")
-    kept = files.cap_files(df, 10).collect()
+    kept = files.first_files(df, 10).collect()
     assert sorted(r.path for r in kept if r.project_id == "a") == [f"/f{i:04d}" for i in range(10)]
     assert len(kept) == 11
 
