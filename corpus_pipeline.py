@@ -1,11 +1,79 @@
-"""The corpus pipeline: stages over ``documents``, each written and read again by the next."""
+"""The corpus pipeline: five stages over ``documents``, each written and read again by the next.
 
-STAGES = []
+Language ID, line dedup, SimHash near-dedup, benchmark decontamination and mixing,
+in this order.  All but the last return the columns of ``documents``.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from reviewlake import store
+from reviewlake.llm import decontaminate, language, lines, mixing, simhash
+from reviewlake.llm.common import identity, same, table
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: A document is rejected if its language is less likely than this.
+LEAST_SCORE = 0.4
+#: A line found in so many documents stays in the first one only.
+LINE_DOCS = 10
+#: Items of fewer words are no evidence of a leak.
+ITEM_WORDS = 5
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is recognised; ``lang`` is filled in where it was unknown."""
+    model = language.train(docs, F.lit(True))
+    found = language.identify(docs, model, tuple(COLUMNS))
+    known = found.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_SCORE))
+    return known.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*COLUMNS)
+
+
+def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the lines that an earlier document has and many share."""
+    out = lines.dedup_lines(docs, LINE_DOCS, True, carry=("doc_id", "lang", "source"))
+    return out.select("doc_id", F.col("kept").alias("text"), "lang", "source", F.length("kept").cast("long").alias("n_chars"))
+
+
+def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group with five-word shingle sets similar by 0.8 or more."""
+    return simhash.keep_one(docs.select(*COLUMNS))
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no window of a benchmark item."""
+    items = table(spark, sf_dir, "benchmark").where(F.size(decontaminate.raw_words(F.col("text"))) >= ITEM_WORDS)
+    hits, _ = decontaminate.occurrences(docs, items)
+    marked = docs.select(*COLUMNS, identity().alias("_text"))
+    leaks = hits.select(F.col("doc_id").alias("_id"), F.col("_text").alias("_hash")).distinct()
+    on = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_hash"))
+    return marked.join(leaks, on, "left_anti").select(*COLUMNS)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix: each document as often as it is taken; ``copy`` counts its repeats from 0."""
+    taken = mixing.mix(docs).groupBy("doc_id", "tie").agg(F.sum("copies").alias("copies")).where(F.col("copies") > 0)
+    rows = docs.select(*COLUMNS, F.xxhash64("doc_id", "text").alias("tie")).dropDuplicates(["doc_id", "tie"])
+    rows = same(rows, taken, ["doc_id", "tie"], "inner")
+    return rows.select(*COLUMNS, F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).alias("copy"))
+
+
+STAGES = [
+    ("language_id", identify_language),
+    ("line_dedup", dedup_lines),
+    ("simhash_near_dedup", dedup_near),
+    ("benchmark_decontamination", drop_leaks),
+    ("source_mixing", mix_sources),
+]
+
+#: No SQL: learned weights, fingerprints and random rounding are checked against plain versions in the tests.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents of a folder."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = store(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

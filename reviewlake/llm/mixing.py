@@ -144,12 +144,12 @@ def rounded(rows: DataFrame, leaves: int, leaf: int = LEAF, seed: int = SEED) ->
     for part in done:
         rows = rows.unionByName(part)
     last = uniform("tie", F.lit(-1), seed=seed) < F.col("p")
-    return rows.select("doc_id", "source", "size", (F.col("floor") + last.cast("long")).alias("copies"))
+    return rows.select("doc_id", "source", "tie", "size", (F.col("floor") + last.cast("long")).alias("copies"))
 
 
 def mix(docs: DataFrame, weight: Column | None = None, share: float = 1.5, most: float = 2.0, leaf: int = LEAF,
         seed: int = SEED) -> DataFrame:
-    """One row per document: doc_id, source, size, source_size, target, copies.
+    """One row per document: doc_id, tie (hash of id and text), source, size, source_size, target, copies.
 
     ``weight`` is an expression over ``source`` and its rank ``_rank``; by default
     3, 1, 2 in turn.
@@ -168,7 +168,7 @@ def mix(docs: DataFrame, weight: Column | None = None, share: float = 1.5, most:
     most_leaves = aims.agg(F.max(leaves)).first()[0] or 0
     taken = rounded(rows, most_leaves, leaf, seed)
     return same(taken, aims.select("source", "source_size", "target"), ["source"]).select(
-        "doc_id", "source", "size", "source_size", "target", "copies")
+        "doc_id", "tie", "source", "size", "source_size", "target", "copies")
 
 
 def op1_mix(spark, folder):
