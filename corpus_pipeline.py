@@ -14,8 +14,8 @@ from reviewlake.llm import decontaminate, language, lines, mixing, simhash
 from reviewlake.llm.common import identity, same, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-#: A document is rejected if its language is less likely than this.
-LEAST_SCORE = 0.4
+#: A document is rejected if its language is no likelier than this many times chance.
+LEAST_LEAD = 1.2
 #: A line found in so many documents stays in the first one only.
 LINE_DOCS = 10
 #: Items of fewer words are no evidence of a leak.
@@ -26,7 +26,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Documents whose language is recognised; ``lang`` is filled in where it was unknown."""
     model = language.train(docs, F.lit(True))
     found = language.identify(docs, model, tuple(COLUMNS))
-    known = found.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_SCORE))
+    least = LEAST_LEAD / len(model.languages) if len(model.languages) > 1 else 0.0
+    known = found.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= least))
     return known.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*COLUMNS)
 
 

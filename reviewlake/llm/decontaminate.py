@@ -17,6 +17,8 @@ null ids are ids like any other; further columns are ignored.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -67,10 +69,7 @@ def tokens(docs: DataFrame, sizes: list[int], *columns: str) -> DataFrame:
     """Shingles of the documents at the sizes that windows have."""
     at = positions(docs)
     parts = [at.select(*columns, F.lit(k).alias("k"), shingle_at(F.col("words"), F.col("pos"), k).alias("token")) for k in sizes]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return reduce(DataFrame.unionByName, parts)
 
 
 def small(df: DataFrame, text: str, limit: int) -> bool:
@@ -104,16 +103,19 @@ def occurrences(docs: DataFrame, items: DataFrame, window: int = WINDOW, shingle
     start = F.col("pos") - F.col("offset")
     room = (start >= 0) & (start + F.col("n") <= F.size("words"))
     equal = lowered(F.array_join(F.slice("words", start + 1, F.col("n")), " ")) == F.col("wtext")
+    hit = ["doc_id", "_text", start.alias("start"), "n", "wtext"]
     if small(prefix, "wtext", prefix_bytes):
-        near = tokens(docs, sizes, "doc_id", "_text", "words", "pos").join(F.broadcast(prefix), ["k", "token"])
-        found = near.where(room).where(equal)
+        # Each size is joined on its own: the words of a document stand beside its positions
+        # only until the comparison, in one pass; a union below the join would copy them.
+        parts = [tokens(docs, [k], "doc_id", "_text", "words", "pos").join(F.broadcast(prefix.where(F.col("k") == k)), ["k", "token"])
+                 .where(room).where(equal).select(*hit) for k in sizes]
+        found = reduce(DataFrame.unionByName, parts)
     else:
         near = tokens(docs, sizes, "doc_id", "_text", "pos").join(prefix, ["k", "token"]).where(start >= 0)
         near = near.select("doc_id", "_text", "pos", "offset", "n", "wtext").distinct()
         full = docs.select("doc_id", identity().alias("_text"), raw_words(F.col("text")).alias("words")).dropDuplicates(["doc_id", "_text"])
-        found = same(near, full, ["doc_id", "_text"], "inner").where(room).where(equal)
-    hits = found.select("doc_id", "_text", start.alias("start"), "n", "wtext")
-    return store(hits.distinct(), "hits"), of_items
+        found = same(near, full, ["doc_id", "_text"], "inner").where(room).where(equal).select(*hit)
+    return store(found.distinct(), "hits"), of_items
 
 
 def covered(hits: DataFrame) -> DataFrame:

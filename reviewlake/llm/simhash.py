@@ -34,6 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reviewlake import store
+from reviewlake.llm.bloom import repeat_filter
 from reviewlake.llm.common import identity, mixed, partitions, same, table, texts
 
 SEED = 42
@@ -66,22 +67,16 @@ def fingerprint(h: np.ndarray, lanes: int = 1) -> bytes:
     return b"".join(out)
 
 
-def fingerprints(docs: DataFrame, words: int = 5, lanes: int = 1, minhashes: int = 0) -> DataFrame:
-    """doc_id, _text, fp and, for MinHash buckets, the smallest hash of each of ``minhashes`` orders."""
+def fingerprints(docs: DataFrame, words: int = 5, bits: int = 64) -> DataFrame:
+    """doc_id, _text, fp of every document."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
         for batch in batches:
-            fps, keys = [], []
-            for text in texts(batch, "text"):
-                h = shingle_hashes(text, words)
-                fps.append(fingerprint(h, lanes))
-                keys.append([int(mixed(h, 101 + i).min().view(np.int64)) ^ i if len(h) else i for i in range(minhashes)])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("_text"), pa.array(fps, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
-                                             ["doc_id", "_text", "fp", "keys"])
+            fps = [fingerprint(shingle_hashes(t, words), bits // 64) for t in texts(batch, "text")]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("_text"), pa.array(fps, pa.binary())], ["doc_id", "_text", "fp"])
 
-    return docs.select("doc_id", identity().alias("_text"), "text").mapInArrow(
-        run, f"doc_id {kind}, _text bigint, fp binary, keys array<bigint>")
+    return docs.select("doc_id", identity().alias("_text"), "text").mapInArrow(run, f"doc_id {kind}, _text bigint, fp binary")
 
 
 def blocks_for(nodes: int, radius: int, bits: int) -> int:
@@ -192,7 +187,7 @@ def small_pairs(keys: np.ndarray, fps: np.ndarray, radius: int):
             yield i, i + d
 
 
-def large_pairs(fps: np.ndarray, radius: int):
+def large_pairs(fps: np.ndarray, radius: int, confirmed=None):
     """A spanning forest of the links: each node against those not yet reached."""
     planes, bits = planes_of(fps), np.unpackbits(fps, axis=1)
     waiting = pack_lanes(np.ones(len(fps), bool), planes.shape[1])
@@ -206,14 +201,18 @@ def large_pairs(fps: np.ndarray, radius: int):
             i = queue.popleft()
             mine = bits[i]
             found = within(lambda plane, at: planes[plane][at] ^ ONES if mine[plane] else planes[plane][at], len(planes), radius, waiting)  # noqa: B023
-            waiting &= ~found
             for j in lanes_of(found).tolist():
-                queue.append(j)
-                yield i, j
+                if confirmed is None or confirmed(i, j):
+                    waiting[j >> 6] &= ~(np.uint64(1) << np.uint64(j & 63))
+                    queue.append(j)
+                    yield i, j
+
 
+def stars(pairs, fps: list[bytes], confirmed=None):
+    """(node, smallest node of its connected set) for every other node of the set.
 
-def stars(pairs, fps: list[bytes]):
-    """(node, smallest node of its connected set) for every other node of the set."""
+    ``confirmed(i, j)`` is asked only for pairs that are not connected yet.
+    """
     parent: dict[int, int] = {}
 
     def root(x):
@@ -224,20 +223,27 @@ def stars(pairs, fps: list[bytes]):
 
     for i, j in pairs:
         a, b = root(i), root(j)
-        if a != b:
+        if a != b and (confirmed is None or confirmed(i, j)):
             if fps[a] > fps[b]:
                 a, b = b, a
             parent[b] = a
     return [(fps[x], fps[root(x)]) for x in list(parent) if root(x) != x]
 
 
-def links(buckets: DataFrame, radius: int) -> DataFrame:
-    """Stars (hi, lo) over all buckets (key, fp)."""
+def links(buckets: DataFrame, radius: int, similarity: float | None = None) -> DataFrame:
+    """Stars (hi, lo) over all buckets (key, fp), each node once per bucket.
+
+    With ``similarity`` the buckets also have a sketch of the node's shingles, and
+    links within the radius must reach that similarity as well.
+    """
 
     def emit(rows):
         return pa.RecordBatch.from_arrays([pa.array([a for a, _ in rows], pa.binary()), pa.array([b for _, b in rows], pa.binary())], ["hi", "lo"])
 
-    def compared(key, fps):
+    def check(sketches):
+        return (lambda i, j: alike(sketches[i], sketches[j], similarity)) if similarity is not None else None
+
+    def compared(key, fps, sketches):
         """Stars of complete buckets, sorted by key."""
         cut = np.flatnonzero(np.diff(key)) + 1
         start = np.concatenate(([0], cut))
@@ -247,30 +253,32 @@ def links(buckets: DataFrame, radius: int) -> DataFrame:
         small = np.flatnonzero((of_row > 1) & (of_row <= SMALL))
         if len(small):
             mine = [fps[i] for i in small]
-            out += stars(small_pairs(key[small], np.frombuffer(b"".join(mine), np.uint8).reshape(len(mine), -1), radius), mine)
+            pairs = small_pairs(key[small], np.frombuffer(b"".join(mine), np.uint8).reshape(len(mine), -1), radius)
+            out += stars(pairs, mine, check([sketches[i] for i in small]))
         for s, n in zip(start[size > SMALL], size[size > SMALL], strict=True):
             mine = fps[s:s + n]
-            out += stars(large_pairs(np.frombuffer(b"".join(mine), np.uint8).reshape(n, -1), radius), mine)
+            out += stars(large_pairs(np.frombuffer(b"".join(mine), np.uint8).reshape(n, -1), radius, check(sketches[s:s + n])), mine)
         return out
 
     def run(batches):
-        keys, fps = [], []
+        keys, fps, sketches = [], [], []
         for batch in batches:
             if not len(batch):
                 continue
             keys.append(batch.column("key").to_numpy())
             fps.extend(batch.column("fp").to_pylist())
+            sketches.extend(batch.column("sketch").to_pylist() if similarity is not None else [None] * len(batch))
             if keys[-1][-1] == keys[0][0]:
                 continue  # one bucket so far
             key = np.concatenate(keys)
             whole = int(np.searchsorted(key, key[-1]))
             if whole:
-                yield emit(compared(key[:whole], fps[:whole]))
-                keys, fps = [key[whole:]], fps[whole:]
+                yield emit(compared(key[:whole], fps[:whole], sketches[:whole]))
+                keys, fps, sketches = [key[whole:]], fps[whole:], sketches[whole:]
         if keys:
-            yield emit(compared(np.concatenate(keys), fps))
+            yield emit(compared(np.concatenate(keys), fps, sketches))
 
-    dealt = buckets.distinct().repartition(partitions(buckets), "key").sortWithinPartitions("key")
+    dealt = buckets.repartition(partitions(buckets), "key").sortWithinPartitions("key")
     return dealt.mapInArrow(run, "hi binary, lo binary")
 
 
@@ -292,9 +300,9 @@ def components(edges: DataFrame) -> DataFrame:
         edges = store(moved.union(lowest.select("hi", F.col("m").alias("lo"))).distinct(), "stars")
 
 
-def classes(marked: DataFrame, buckets: DataFrame, radius: int) -> DataFrame:
+def classes(marked: DataFrame, stars: DataFrame) -> DataFrame:
     """``marked`` (doc_id, _text, fp) with component_id, the smallest doc_id of its component."""
-    roots = components(links(buckets, radius)).select(F.col("hi").alias("fp"), F.col("lo").alias("root"))
+    roots = components(stars).select(F.col("hi").alias("fp"), F.col("lo").alias("root"))
     nodes = marked.groupBy("fp").agg(F.min("doc_id").alias("first"))
     nodes = store(nodes.join(roots, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"), F.col("root").isNotNull().alias("linked")), "nodes")
     # Only roots with links need a second look; the others are their own component.
@@ -307,19 +315,43 @@ def classes(marked: DataFrame, buckets: DataFrame, radius: int) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, words: int = 5, radius: int = 4, bits: int = 64) -> DataFrame:
     """doc_id, _text, fp, component_id: every pair within the radius is linked."""
-    marked = store(fingerprints(docs, words, bits // 64).drop("keys"), "fingerprints")
+    marked = store(fingerprints(docs, words, bits), "fingerprints")
     nodes = store(marked.select("fp").distinct(), "distinct")
     blocks = blocks_for(nodes.count(), radius, bits)
-    return classes(marked, block_keys(nodes, radius, bits, blocks), radius)
+    return classes(marked, links(block_keys(nodes, radius, bits, blocks), radius))
 
 
-#: For similar shingle sets (Jaccard): bits of the fingerprint and orders of the MinHash buckets.
-WIDE_LANES, ORDERS = 4, 8
+#: For similar shingle sets (Jaccard): bits of the fingerprint, orders of the MinHash
+#: buckets, hashes of a sketch.
+WIDE_BITS, ORDERS, SKETCH = 256, 8, 512
 
 
 def similar_radius(similarity: float, bits: int) -> int:
-    """Expected differing bits of two equally large sets of that Jaccard similarity."""
-    return int(np.arccos(2 * similarity / (1 + similarity)) / np.pi * bits)
+    """Differing bits of two equally large sets of that similarity, with 3.5 standard deviations to spare."""
+    share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    return int(share * bits + 3.5 * np.sqrt(share * (1 - share) * bits))
+
+
+def minhashes(h: np.ndarray) -> np.ndarray:
+    """The smallest hash of the shingles in each order; documents without shingles share theirs."""
+    return np.array([mixed(h, 101 + i).min() ^ np.uint64(i) if len(h) else i for i in range(ORDERS)], np.uint64)
+
+
+def sketch(h: np.ndarray) -> bytes:
+    """The smallest hashes of the shingle set: all of them for up to SKETCH shingles."""
+    return np.unique((mixed(h, 77) >> np.uint64(32)).astype(np.uint32))[:SKETCH].tobytes()
+
+
+def alike(a: bytes, b: bytes, similarity: float) -> bool:
+    """Jaccard similarity from sketches: exact if both are whole sets, else over the smallest hashes of the union."""
+    x, y = np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32)
+    both = np.sort(np.concatenate((x, y)))
+    twice = both[1:] == both[:-1]
+    union = len(both) - int(twice.sum())
+    if union > SKETCH and SKETCH in (len(x), len(y)):
+        last = both[np.concatenate(([True], ~twice))][SKETCH - 1]
+        twice, union = twice & (both[1:] <= last), SKETCH
+    return int(twice.sum()) >= similarity * union
 
 
 def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -327,11 +359,33 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8)
 
     A similarity of 0.8 changes too many bits for exact blocks.  Here a pair meets if
     any of ``ORDERS`` MinHash values is common (missed with probability
-    (1 - similarity) ** ORDERS, 3 in a million at 0.8) and is linked if its 256-bit
-    fingerprints differ in no more bits than that similarity makes them.
+    (1 - similarity) ** ORDERS, 3 in a million at 0.8); the bit-sliced comparison
+    leaves few pairs, and sketches of the shingle sets decide.  Only documents with a
+    MinHash value that the repeat filter reports send a sketch.
     """
-    marked = store(fingerprints(docs, words, WIDE_LANES, ORDERS), "fingerprints")
-    return classes(marked, marked.select(F.explode("keys").alias("key"), "fp"), similar_radius(similarity, 64 * WIDE_LANES))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    probe = repeat_filter(docs.select("text"), lambda batch: (minhashes(shingle_hashes(t, words)) for t in texts(batch, "text")))
+
+    def run(batches):
+        for batch in batches:
+            fps, keys, sketches = [], [], []
+            for text in texts(batch, "text"):
+                h = shingle_hashes(text, words)
+                own = minhashes(h)
+                own = own[probe(own)]
+                fps.append(fingerprint(h, WIDE_BITS // 64))
+                keys.append(own.view(np.int64).tolist())
+                sketches.append(sketch(h) if len(own) else None)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), batch.column("_text"), pa.array(fps, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.binary())],
+                ["doc_id", "_text", "fp", "keys", "sketch"])
+
+    marked = store(docs.select("doc_id", identity().alias("_text"), "text").mapInArrow(
+        run, f"doc_id {kind}, _text bigint, fp binary, keys array<bigint>, sketch binary"), "fingerprints")
+    # Copies collapse before anything is sent with its sketch.
+    nodes = store(marked.where(F.size("keys") > 0).groupBy("fp").agg(F.min(F.struct("sketch", "keys")).alias("n")), "suspects")
+    buckets = nodes.select(F.explode("n.keys").alias("key"), "fp", F.col("n.sketch").alias("sketch"))
+    return classes(marked, links(buckets, similar_radius(similarity, WIDE_BITS), similarity))
 
 
 def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:

@@ -86,7 +86,7 @@ def simhash(docs, size=4, radius=4):
 
 def substrings(docs, length=20):
     seen, out = set(), {}
-    for i, t in sorted(docs, key=lambda r: r[0]):
+    for i, t in sorted(docs, key=lambda r: (r[0] is not None, r[0] or 0)):
         w, gone = words(t), set()
         for a in range(len(w) - length + 1):
             key = tuple(w[a:a + length])
