@@ -20,6 +20,11 @@ def programs(spark: SparkSession, folder: str) -> DataFrame:
     return tables.program_corpus(spread(table(spark, folder, "documents"), "doc_id"))
 
 
+def syntax_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Python and JSON files built from the documents table."""
+    return tables.syntax_corpus(spread(table(spark, folder, "documents"), "doc_id"))
+
+
 def pages(spark: SparkSession, folder: str) -> DataFrame:
     return tables.page_corpus(spread(table(spark, folder, "pages"), "page_id"))
 

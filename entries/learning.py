@@ -1,43 +1,45 @@
-"""Training data, models and scoring.  Rows are generated from the documents' ids."""
+"""Training data, models and scoring, from the documents' program files and the given labels."""
 
 from __future__ import annotations
 
-import math
+from functools import lru_cache
 
 from pyspark.sql import functions as F
 
 from entries.common import features, long, programs, rounded, table
-from oracle.base import text
-from reviewlake import spread
-from reviewlake.operators import ml, training_data as td
-from reviewlake.session import store
+from oracle.base import LINES, PROGRAM_FILES, corpus, features as feature_ctes, heuristics
+from reviewlake import review
+from reviewlake.operators import ml, scoring
+from reviewlake.packs.metric_patterns import FEATURES
 
-TREES, ROUNDS = 20, 10
-CHECKED_FEATURES = ("loc", "comment_ratio", "function_count", "cyclomatic_complexity", "magic_numbers", "sloc",
-                    "halstead_volume", "duplicate_ratio", "todo_count")
-CHECKED_LABELS = ("label_quality_score", "label_bug_probability")
+#: Repeated CSS declarations are found by a back-reference, which the checking engine lacks.
+CHECKED_FEATURES = tuple(f for f in FEATURES if f != "duplicate_lines")
+LABELS = ("label_has_bug", "label_has_security_risk", "label_severity", "label_quality_score",
+          "label_maintainability_score", "label_readability_score")
 
 
 def rows(spark, folder):
-    return td.training_rows(spread(table(spark, folder, "documents").select("doc_id"), "doc_id"), "doc_id")
+    """Features of every file; low quality and toxicity are given for some, the other labels are the rule-based scores."""
+    df = scoring.with_heuristics(features(programs(spark, folder)))
+    df = df.withColumn("doc_id", F.regexp_extract("path", r"src/(\d+)", 1).cast("long"))
+    given = table(spark, folder, "labels").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
+    return df.join(given, "doc_id", "left").select(
+        F.col("doc_id").cast("string").alias("id"), *FEATURES, (1 - F.col("quality")).cast("int").alias("label_has_bug"),
+        F.col("toxic").cast("int").alias("label_has_security_risk"), F.col("predicted_severity").alias("label_severity"),
+        *[F.col(c).alias(f"label_{c}") for c in ("quality_score", "maintainability_score", "readability_score")])
 
 
 def training_rows(spark, folder):
-    return rows(spark, folder).select("id", "archetype", *rounded(*CHECKED_FEATURES))
+    return rows(spark, folder).select("id", *rounded(*CHECKED_FEATURES))
 
 
 def training_labels(spark, folder):
-    return rows(spark, folder).select("id", "label_severity", *long("label_has_bug", "label_has_security_risk"),
-                                      *rounded(*CHECKED_LABELS))
-
-
-def archetypes(spark, folder):
-    return td.archetype_counts(rows(spark, folder))
+    return rows(spark, folder).select("id", *long(*LABELS[:2]), "label_severity", *rounded(*LABELS[3:]))
 
 
 def scaler(spark, folder):
     stats = ml.scaler_stats(rows(spark, folder)).where(F.col("feature").isin(*CHECKED_FEATURES))
-    return stats.select("feature", F.round("mean", 4).alias("mean"), F.round("scale", 4).alias("scale"))
+    return stats.select("feature", F.round("mean", 3).alias("mean"), F.round("scale", 3).alias("scale"))
 
 
 def scaled(spark, folder):
@@ -47,7 +49,8 @@ def scaled(spark, folder):
 
 def split(label):
     def run(spark, folder):
-        return ml.split_train(rows(spark, folder), label).select("id", "is_train")
+        known = rows(spark, folder)
+        return ml.split_train(known.where(F.col(label).isNotNull()) if label else known, label).select("id", "is_train")
     return run
 
 
@@ -65,100 +68,69 @@ def regression_error(spark, folder):
 
 def fit(model):
     def run(spark, folder):
-        _, scores = ml.train(rows(spark, folder), [model], TREES, ROUNDS)
+        _, scores = ml.train(rows(spark, folder), [model])
         return spark.createDataFrame([(model, k, float(v)) for k, v in scores[model].items()],
                                      "model string, metric string, value double")
     return run
 
 
-FAST = ["bug_detector", "severity_classifier", "maintainability_scorer"]
+@lru_cache(maxsize=2)
+def _fitted(spark, folder):
+    """All six models; the queries that only read them share one fit."""
+    return ml.train(rows(spark, folder))[0]
 
 
 def batch_scores(spark, folder):
-    """Models trained on the generated rows, applied to the program files."""
-    models, _ = ml.train(rows(spark, folder), FAST, TREES, ROUNDS)
-    from reviewlake import review
-
-    done = review(programs(spark, folder), models=models)
-    return done.select("path", "language", "predicted_severity", *rounded("bug_probability", "maintainability_score", "overall"))
+    """The fitted models applied to the program files."""
+    done = review(programs(spark, folder), models=_fitted(spark, folder))
+    return done.select("path", "language", "predicted_severity",
+                       *rounded("bug_probability", "security_risk_score", "quality_score", "maintainability_score", "readability_score", "overall"))
 
 
 def metadata(spark, folder):
-    models, _ = ml.train(rows(spark, folder), FAST, TREES, ROUNDS)
-    return ml.metadata_table(spark, models)
+    return ml.metadata_table(spark, _fitted(spark, folder))
 
 
 def importances(spark, folder):
-    models, _ = ml.train(rows(spark, folder), ["bug_detector", "maintainability_scorer"], TREES, ROUNDS)
-    return ml.importances(spark, models)
-
-
-# --- the same draws in DuckDB ---------------------------------------------------
-def _u(name: str) -> str:
-    return f"(('0x' || substr(md5(id || '|{name}'), 1, 8))::BIGINT::DOUBLE / 4294967296.0::DOUBLE)"
-
+    return ml.importances(spark, _fitted(spark, folder))
 
-def _pick(values) -> str:
-    return "([" + ", ".join(f"{float(v)}::DOUBLE" for v in values) + "])[a]"
 
-
-def _range(key: str, draw: str) -> str:
-    low, high = zip(*td.RANGES[key])
-    return f"({_pick(low)} + ({_pick(high)} - {_pick(low)}) * {_u(draw)})"
-
-
-def _normal(draw: str, key: str, spread: float) -> str:
-    return (f"({_pick(td.CENTRES[key])} + {spread} * sqrt(-2.0::DOUBLE * ln(1.0::DOUBLE - {_u(draw + '/r')})) "
-            f"* cos({2 * math.pi!r}::DOUBLE * {_u(draw + '/a')}))")
-
-
-_names = lambda v: "([" + ", ".join(map(text, v)) + "])[a]"
-ROWS = (
-    "ids AS (SELECT CAST(doc_id AS VARCHAR) AS id FROM documents), "
-    f"drawn AS (SELECT id, {_u('archetype')} AS u FROM ids), "
-    "typed AS (SELECT id, CASE WHEN u < 0.15 THEN 1 WHEN u < 0.4 THEN 2 WHEN u < 0.7 THEN 3 WHEN u < 0.9 THEN 4 ELSE 5 END AS a FROM drawn), "
-    f"based AS (SELECT id, a, floor({_range('loc', 'loc')}) AS loc, {_range('comment_ratio', 'comment_ratio')} AS comment_ratio, "
-    f"floor({_range('function_count', 'function_count')}) AS function_count, {_range('cyclomatic', 'cyclomatic')} AS cyclomatic_complexity, "
-    f"floor({_range('magic_numbers', 'magic_numbers')}) AS magic_numbers, {_range('duplicate_ratio', 'duplicate_ratio')} AS duplicate_ratio, "
-    f"floor(floor({_range('magic_numbers', 'todo')}) / 3) AS todo_count, {_u('blank')} AS blank FROM typed), "
-    "rows AS (SELECT *, sloc * log2(greatest(cyclomatic_complexity * 2, 2)) AS halstead_volume FROM (SELECT *, "
-    "greatest(1, loc - floor(loc * (0.05::DOUBLE + (0.2::DOUBLE - 0.05::DOUBLE) * blank)) - floor(loc * comment_ratio)) AS sloc, "
-    f"{_names(td.ARCHETYPES)} AS archetype, {_names(td.SEVERITY_OF_ARCHETYPE)} AS label_severity, "
-    f"greatest(0, least(100, {_normal('quality_score', 'quality_score', 5.0)})) AS label_quality_score, "
-    f"greatest(0, least(100, {_normal('readability_score', 'readability_score', 5.0)})) AS label_readability_score, "
-    f"greatest(0, least(1, {_normal('bug_probability', 'bug_probability', 0.05)})) AS label_bug_probability, "
-    f"CAST({_normal('has_bug', 'bug_probability', 0.1)} > 0.5 AS BIGINT) AS label_has_bug, "
-    f"CAST({_normal('has_security_risk', 'security_risk', 0.1)} > 0.5 AS BIGINT) AS label_has_security_risk FROM based))")
+ROWS = ("rows AS (SELECT CAST(doc_id AS VARCHAR) AS id, h.*, CAST(1 - quality AS BIGINT) AS label_has_bug, "
+        "CAST(toxic AS BIGINT) AS label_has_security_risk, predicted_severity AS label_severity, quality_score AS label_quality_score, "
+        "maintainability_score AS label_maintainability_score, readability_score AS label_readability_score "
+        "FROM (SELECT CAST(regexp_extract(path, 'src/([0-9]+)', 1) AS BIGINT) AS doc_id, * FROM heuristics) h LEFT JOIN "
+        "(SELECT doc_id, min(quality) AS quality, max(toxic) AS toxic FROM labels GROUP BY doc_id) USING (doc_id))")
 
 
 def _rows(select: str) -> str:
-    return f"WITH {ROWS} {select}"
+    return corpus(select, PROGRAM_FILES, LINES, feature_ctes(), heuristics(), ROWS)
 
 
 _r = lambda names, d=6: ", ".join(f"round(CAST({n} AS DOUBLE), {d}) AS {n}" for n in names)
 _hash = "('0x' || substr(md5('split|' || id), 1, 8))::BIGINT"
 
 
-def _split(stratum: str) -> str:
+def _split(stratum: str, where: str = "TRUE") -> str:
     return _rows(f"SELECT id, row_number() OVER (PARTITION BY {stratum} ORDER BY {_hash}, id) <= "
-                 f"round(count(*) OVER (PARTITION BY {stratum}) * 0.8) AS is_train FROM rows")
+                 f"round(count(*) OVER (PARTITION BY {stratum}) * 0.8) AS is_train FROM rows WHERE {where}")
 
 
 def _weights(label: str) -> str:
     return _rows(f"SELECT CAST({label} AS VARCHAR) AS class, count(*) AS n, round(CAST(sum(count(*)) OVER () AS DOUBLE) "
-                 f"/ (count(*) OVER () * count(*)), 6) AS weight FROM rows GROUP BY {label}")
+                 f"/ (count(*) OVER () * count(*)), 6) AS weight FROM rows WHERE {label} IS NOT NULL GROUP BY {label}")
+
 
+_z = lambda n: f"({n} - avg({n}) OVER ()) / CASE WHEN stddev_pop({n}) OVER () > 0 THEN stddev_pop({n}) OVER () ELSE 1 END"
 
 ENTRIES = {
-    "training_rows": (training_rows, _rows(f"SELECT id, archetype, {_r(CHECKED_FEATURES)} FROM rows")),
+    "training_rows": (training_rows, _rows(f"SELECT id, {_r(CHECKED_FEATURES)} FROM rows")),
     "training_labels": (training_labels, _rows(
-        f"SELECT id, label_severity, label_has_bug, label_has_security_risk, {_r(CHECKED_LABELS)} FROM rows")),
-    "archetype_counts": (archetypes, _rows("SELECT archetype, count(*) AS rows FROM rows GROUP BY archetype")),
+        f"SELECT id, label_has_bug, label_has_security_risk, label_severity, {_r(LABELS[3:])} FROM rows")),
     "scaler_statistics": (scaler, _rows(" UNION ALL ".join(
-        f"SELECT '{n}' AS feature, round(avg({n}), 4) AS mean, round(stddev_pop({n}), 4) AS scale FROM rows" for n in CHECKED_FEATURES))),
-    "scaled_features": (scaled, _rows("SELECT id, " + ", ".join(
-        f"round(({n} - avg({n}) OVER ()) / stddev_pop({n}) OVER (), 4) AS {n}" for n in CHECKED_FEATURES) + " FROM rows")),
+        f"SELECT '{n}' AS feature, round(avg({n}), 3) AS mean, round(stddev_pop({n}), 3) AS scale FROM rows" for n in CHECKED_FEATURES))),
+    "scaled_features": (scaled, _rows("SELECT id, " + ", ".join(f"round({_z(n)}, 4) AS {n}" for n in CHECKED_FEATURES) + " FROM rows")),
     "split_stratified": (split("label_severity"), _split("label_severity")),
+    "split_labelled": (split("label_has_bug"), _split("label_has_bug", "label_has_bug IS NOT NULL")),
     "split_plain": (split(None), _split("1")),
     "class_weights_severity": (weights("label_severity"), _weights("label_severity")),
     "class_weights_bug": (weights("label_has_bug"), _weights("label_has_bug")),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from entries.common import event_files, features, long, pages, programs, rounded, sql_long, sql_rounded
+from entries.common import event_files, features, long, pages, programs, rounded, sql_long, sql_rounded, syntax_files
 from oracle.base import EVENT_FILES, PAGE_FILES, PYTHON_TREE, corpus, from_features, from_lines
 from reviewlake.operators import metrics
 from reviewlake.packs.metric_patterns import FEATURES, SYNTAX_FEATURES
@@ -55,6 +55,23 @@ def python_tree(spark, folder):
     return df.select("path", *rounded(*SYNTAX_FEATURES))
 
 
+def syntax_metrics(spark, folder):
+    df = features(syntax_files(spark, folder).where("language = 'Python'"))
+    return df.select("path", *rounded(*SYNTAX_FEATURES))
+
+
+# Counted by hand for the four Python programs of the syntax files (the second is broken).
+BY_HAND = {
+    "function_count": (2, 0, 1, 1), "class_count": (1, 0, 0, 0), "method_count": (2, 0, 0, 0), "import_count": (0, 0, 3, 1),
+    "global_variables": (0, 0, 0, 1), "constants": (1, 0, 0, 2), "parameter_count": (5, 0, 1, 8), "return_statements": (3, 0, 1, 1),
+    "exception_handling": (1, 0, 0, 0), "loop_count": (0, 0, 3, 2), "nested_loops": (0, 0, 1, 1), "conditional_count": (0, 0, 1, 0),
+    "recursion_count": (0, 0, 1, 0), "max_nesting_depth": (0, 0, 3, 2), "avg_function_length": (4.0, 0, 11.0, 9.0),
+    "avg_class_size": (2.0, 0, 0, 0), "avg_identifier_length": (8 / 4, 0, 59 / 15, 46 / 15), "naming_violations": (2, 0, 0, 3),
+    "long_methods": (0, 0, 0, 0), "large_classes": (0, 0, 0, 0), "long_parameter_lists": (0, 0, 0, 1), "magic_numbers": (1, 0, 1, 1),
+    "eval_usage": (0, 0, 1, 0), "file_operations": (0, 0, 0, 1), "network_operations": (0, 0, 0, 1),
+}
+
+
 def one_language(language, names, corpus_of=programs):
     def run(spark, folder):
         return features(corpus_of(spark, folder).where(F.col("language") == language)).select("path", *long(*names))
@@ -101,6 +118,10 @@ ENTRIES = {
     "python_syntax_metrics": (python_tree, corpus(
         "SELECT path, " + ", ".join(f"round(CAST({PYTHON_TREE[n]} AS DOUBLE), 6) AS {n}" for n in SYNTAX_FEATURES)
         + " FROM files WHERE language = 'Python'")),
+    "python_syntax_programs": (syntax_metrics,
+        "SELECT 'syn/' || doc_id || '.py' AS path, " + ", ".join(
+            f"round(([{', '.join(f'{float(v)!r}::DOUBLE' for v in BY_HAND[n])}])[1 + doc_id % 6], 6) AS {n}" for n in SYNTAX_FEATURES)
+        + " FROM documents WHERE doc_id % 6 < 4"),
     "typescript_extras": (one_language("TypeScript", ("class_count", "naming_violations")),
                           _features(("class_count", "naming_violations"), where="WHERE language = 'TypeScript'", lead="path")),
     "cpp_overrides": (one_language("C++", ("class_count", "exception_handling", "function_count")),

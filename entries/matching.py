@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from entries.common import event_files, features, found, long, pages, paths, programs, reviewed, table
+from entries.common import event_files, features, found, long, pages, paths, programs, reviewed, syntax_files, table
 from entries.files import PATHS
-from oracle.base import EVENT_FILES, LINES, PAGE_FILES, PROGRAM_FILES, corpus, from_issues, from_review, round1
-from reviewlake import issues, keep_where, review, spread
+from oracle.base import EVENT_FILES, LINES, PAGE_FILES, PROGRAM_FILES, corpus, from_issues, from_review, round1, text
+from reviewlake import LanguagePack, issues, keep_where, review, spread
 from reviewlake.functions.text import unify_newlines
 from reviewlake.operators import metrics, rules
 from reviewlake.operators.files import pack_language
@@ -46,6 +46,28 @@ def tree_rules(spark, folder):
     return rules.explode_issues(hits).select("path", "rule_id", "description", *long("line_number"))
 
 
+def syntax_rules(spark, folder):
+    hits = rules.with_hits(features(syntax_files(spark, folder)), kinds=("syntax",))
+    return rules.explode_issues(hits).select("path", "rule_id", "description", *long("line_number"))
+
+
+def syntax_validity(spark, folder):
+    df = rules.validity(metrics.with_syntax(syntax_files(spark, folder)))
+    return df.select("path", "language", "is_valid", F.concat_ws("|", "parse_errors").alias("parse_errors"))
+
+
+# What the parser and the tree rules say of the six programs, by hand.
+SYNTAX_ERRORS = {1: "SyntaxError at line 1: invalid syntax", 5: "JSON parse error at line 1: Expecting value"}
+SYNTAX_FINDINGS = (
+    (0, "PY004", 1, "'Shape' has no docstring."), (0, "PY004", 6, "'scale' has no docstring."),
+    (0, "PY007", 9, "Using bare `except:` catches all exceptions including system exits."),
+    (1, "PY001", 1, SYNTAX_ERRORS[1]), (2, "PY008", 1, "Import 'json' may be unused."),
+    (2, "PYP001", 4, "Function 'walk' has loops nested 3 levels deep (O(n^3) complexity)."),
+    (3, "PY003", 3, "Function 'fetch' has 8 parameters."), (3, "PYP002", 3, "Function 'fetch' has nested loops (O(n²) complexity)."),
+    (5, "JSON001", 1, SYNTAX_ERRORS[5]),
+)
+
+
 def query_in_loop(spark, folder):
     return _hits(programs(spark, folder), ("follows",))
 
@@ -138,6 +160,21 @@ def user_patterns(spark, folder):
     return issues(done, packs).select("path", "language", "rule_id", *long("line_number"))
 
 
+NOTES = LanguagePack(
+    "Notes", ("note", ".MEMO"), (Rule("NOTE001", "static", "LOW", "style", "line", "i", r"^the\b", "Article first", FOUND),),
+    comment_prefixes=("Th", "|"), duplicate_skip="Th", maintainability=42.0, patterns=(("function_count", "", r"\w+ed "), ("conditional_count", "i", r" of ")))
+
+
+def own_language(spark, folder):
+    """Documents as files of a language that only the user knows, named in another case."""
+    files = spread(table(spark, folder, "documents"), "doc_id").select(
+        F.col("source").alias("project_id"), F.concat(F.lit("notes/"), F.col("doc_id").cast("string"), F.lit(".memo")).alias("path"),
+        F.lit("NOTES").alias("language"), unify_newlines(F.col("text")).alias("content"))
+    done = review(files, own=(NOTES,))
+    return done.select("path", "language", *long("loc", "comment_lines", "function_count", "cyclomatic_complexity", "maintainability_index",
+                                                 "duplicate_lines", "total"))
+
+
 _kind = lambda kinds: " OR ".join(f"rule_id = '{r}'" for r in sorted(
     {r.rule_id for pack in builtin_packs().values() for r in pack if r.kind in kinds}))
 _select = "SELECT path, language, rule_id, line_number FROM issues"
@@ -162,6 +199,14 @@ ENTRIES = {
     "match_json_rules": (event_rules, from_issues(_select, EVENT_FILES, ("JSON",))),
     "match_tree_rules": (tree_rules, from_issues(
         f"SELECT path, rule_id, description, CAST(line_number AS BIGINT) AS line_number FROM issues WHERE {_kind(('syntax',))}")),
+    "match_syntax_rules": (syntax_rules,
+        "SELECT 'syn/' || doc_id || CASE WHEN doc_id % 6 < 4 THEN '.py' ELSE '.json' END AS path, rule_id, description, CAST(line AS BIGINT) AS line_number "
+        "FROM documents JOIN (VALUES " + ", ".join(f"({n}, {text(r)}, {line}, {text(d)})" for n, r, line, d in SYNTAX_FINDINGS)
+        + ") v(n, rule_id, line, description) ON doc_id % 6 = n"),
+    "check_syntax_validity": (syntax_validity,
+        "SELECT 'syn/' || doc_id || CASE WHEN doc_id % 6 < 4 THEN '.py' ELSE '.json' END AS path, CASE WHEN doc_id % 6 < 4 THEN 'Python' ELSE 'JSON' END "
+        "AS language, doc_id % 6 NOT IN (1, 5) AS is_valid, CASE doc_id % 6 " + " ".join(f"WHEN {n} THEN {text(e)}" for n, e in SYNTAX_ERRORS.items())
+        + " ELSE '' END AS parse_errors FROM documents"),
     "match_query_in_loop": (query_in_loop, from_issues(f"{_select} WHERE rule_id = 'PHPPERF001'")),
     "match_unfreed_memory": (unfreed_memory, from_issues(f"{_select} WHERE rule_id = 'CP001'", MEMORY_FILES, ("C",))),
     "check_validity": (validity, corpus(
@@ -181,6 +226,14 @@ ENTRIES = {
     "review_unsupported_files": (unsupported_files, None),
     "user_rules_and_weights": (extra_rules, None),
     "user_language_pack": (user_pack, None),
+    "user_own_language": (own_language, corpus(
+        "SELECT path, 'Notes' AS language, count(*) AS loc, count_if(starts_with(stripped, 'Th') OR starts_with(stripped, '|')) AS comment_lines, "
+        "any_value(len(regexp_extract_all(content, '[\\p{L}\\p{N}_]+ed '))) AS function_count, "
+        "any_value(1 + len(regexp_extract_all(content, '(?i) of '))) AS cyclomatic_complexity, CAST(42 AS BIGINT) AS maintainability_index, "
+        "count_if(stripped <> '' AND NOT starts_with(stripped, 'Th')) - count(DISTINCT CASE WHEN stripped <> '' AND NOT starts_with(stripped, 'Th') "
+        "THEN stripped END) AS duplicate_lines, count_if(regexp_matches(lower(raw), '^the([^\\p{L}\\p{N}_]|$)')) AS total FROM lines GROUP BY path",
+        "files AS (SELECT source AS project_id, 'notes/' || doc_id || '.memo' AS path, 'Notes' AS language, "
+        "regexp_replace(text, '\\r\\n?', chr(10), 'g') AS content FROM documents)", LINES)),
     "user_rule_patterns": (user_patterns, corpus(
         "SELECT path, language, rule_id, line_number FROM (SELECT path, language, line_number, unnest(list_filter(["
         "CASE WHEN regexp_matches(raw, '^[a-z]+ ') THEN 'USR101' END, "

@@ -35,9 +35,23 @@ def json_records(spark, folder):
     path = f"{shared_folder(spark, 'json')}/report"
     exports.write_json(exports.json_records(store(reviewed(spark, folder), "review")), path)
     back = spark.read.schema("project_id string, value string, record string").json(path)
-    size = F.when(F.col("record") == "file", F.json_array_length(F.get_json_object("value", "$.issues"))).otherwise(
-        F.get_json_object("value", "$.summary.total").cast("long"))
-    return back.groupBy("record", "project_id").agg(F.count("*").alias("records"), F.sum(size).alias("findings"))
+    finding = ("struct<rule_id:string,title:string,description:string,severity:string,line_number:bigint,column:int,end_line:int,"
+               "suggestion:string,reason:string,code_snippet:string>")
+    listed = "array<struct<rank:int,path:string,title:string,language:string>>"
+    parsed = back.select("record", "project_id", F.from_json(
+        "value", f"struct<issues:array<{finding}>,summary:struct<total:bigint>,language_distribution:{listed},"
+                 f"most_problematic_files:{listed},top_critical_issues:{listed}>").alias("v"))
+    number = lambda *parts: F.conv(F.substring(F.md5(F.concat_ws("|", *parts)), 1, 8), 16, 10).cast("long")
+    issue = F.aggregate("v.issues", F.lit(0).cast("long"), lambda n, i: n + number(
+        i["rule_id"], i["title"], i["description"], i["severity"], i["line_number"].cast("string"), i["code_snippet"]))
+    ranked = lambda name, *fields: F.aggregate(f"v.{name}", F.lit(0).cast("long"), lambda n, x: n + number(
+        *[x[f].cast("string") for f in fields]))
+    heads = ranked("language_distribution", "language") + ranked("most_problematic_files", "rank", "path") + F.coalesce(
+        ranked("top_critical_issues", "rank", "title", "path"), F.lit(0))
+    file = F.col("record") == "file"
+    return parsed.groupBy("record", "project_id").agg(
+        F.count("*").alias("records"), F.sum(F.when(file, F.size("v.issues")).otherwise(F.col("v.summary.total"))).cast("long").alias("findings"),
+        F.sum(F.when(file, issue).otherwise(heads)).alias("contents"))
 
 
 def sections(form):
@@ -67,6 +81,7 @@ def report_listing(spark, folder):
 
 _named = {"markdown": (("85", "Excellent"), ("70", "Good"), ("55", "Fair")),
           "html": (("85", "Excellent"), ("70", "Good"), ("55", "Fair"), ("40", "Poor"))}
+_named["pdf"] = _named["html"]
 
 
 def _sections_sql(form: str) -> str:
@@ -80,7 +95,7 @@ def _sections_sql(form: str) -> str:
                  + round1("CAST(n AS DOUBLE) / CAST(sum(n) OVER (PARTITION BY project_id) AS DOUBLE) * 100")
                  + " AS VARCHAR) FROM (SELECT project_id, language, count(*) AS n FROM reviewed GROUP BY ALL)")
     parts.append("SELECT project_id, 'files', rank, path, overall, language FROM (SELECT *, row_number() OVER (PARTITION BY project_id "
-                 "ORDER BY critical * 100 + high * 10 + medium DESC, path) AS rank FROM reviewed) WHERE rank <= 10")
+                 "ORDER BY critical * 100 + high * 10 + medium DESC, path) AS rank FROM reviewed) WHERE rank <= " + str(exports.SECTION_FILES[form]))
     parts.append("SELECT project_id, 'top_issues', rank, title, CAST(line_number AS DOUBLE), path FROM (SELECT *, row_number() OVER "
                  "(PARTITION BY project_id ORDER BY severity_rank, path, line_number, rule_no) AS rank FROM issues "
                  f"WHERE severity IN ('CRITICAL','HIGH')) WHERE rank <= {exports.SECTION_ISSUES[form]}")
@@ -90,6 +105,8 @@ def _sections_sql(form: str) -> str:
             + " UNION ALL ".join(parts))
 
 
+_number = lambda names: f"('0x' || substr(md5(concat_ws('|', {names})), 1, 8))::BIGINT"
+
 ENTRIES = {
     "export_csv": (csv_rows, from_review(
         "SELECT string_split(i.path, '/')[-1] AS file, i.language, i.severity, i.category, i.title, i.line_number, i.rule_id, "
@@ -97,10 +114,19 @@ ENTRIES = {
     "export_csv_without_findings": (no_issue_rows,
         "SELECT 'No issues found' AS file, '' AS language, '' AS rule_id FROM documents LIMIT 1"),
     "export_json": (json_records, from_review(
-        "SELECT 'file' AS record, project_id, count(*) AS records, CAST(sum(total) AS BIGINT) AS findings FROM reviewed GROUP BY project_id "
-        "UNION ALL SELECT 'project', project_id, 1, CAST(sum(total) AS BIGINT) FROM reviewed GROUP BY project_id")),
+        f"SELECT 'file' AS record, project_id, count(*) AS records, CAST(sum(total) AS BIGINT) AS findings, CAST(coalesce((SELECT "
+        f"sum({_number('rule_id, title, description, severity, line_number, code_snippet')}) FROM issues i WHERE i.project_id = r.project_id), 0) AS BIGINT) "
+        "AS contents FROM reviewed r GROUP BY project_id "
+        "UNION ALL SELECT 'project', project_id, 1, CAST(sum(total) AS BIGINT), CAST("
+        f"(SELECT sum({_number('language')}) FROM (SELECT DISTINCT language FROM reviewed l WHERE l.project_id = r.project_id)) + "
+        f"(SELECT sum({_number('rank, path')}) FROM (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY critical * 100 + high * 10 + medium DESC, path) "
+        "AS rank FROM reviewed) f WHERE rank <= 10 AND f.project_id = r.project_id) + "
+        f"coalesce((SELECT sum({_number('rank, title, path')}) FROM (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY severity_rank, path, "
+        "line_number, rule_no) AS rank FROM issues WHERE severity IN ('CRITICAL','HIGH')) t WHERE rank <= 50 AND t.project_id = r.project_id), 0) AS BIGINT) "
+        "FROM reviewed r GROUP BY project_id")),
     "report_sections_markdown": (sections("markdown"), _sections_sql("markdown")),
     "report_sections_html": (sections("html"), _sections_sql("html")),
+    "report_sections_pdf": (sections("pdf"), _sections_sql("pdf")),
     "append_scan": (scan_append, from_review(
         f"SELECT CAST(s AS BIGINT) AS analysis_id, project_id, overall_score, total_files, total_issues, critical_issues FROM "
         f"(SELECT project_id, {round1(mean('overall'))} AS overall_score, count(*) AS total_files, CAST(sum(total) AS BIGINT) AS total_issues, "

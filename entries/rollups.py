@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from entries.common import found, long, reviewed, rounded, sql_rounded
+from entries.common import found, long, programs, reviewed, rounded, sql_rounded
 from oracle.base import from_issues, from_review, mean, round1
+from reviewlake import review
 from reviewlake.operators import rollup
 from reviewlake.operators.scoring import SCORES, score_series
 
@@ -75,7 +76,7 @@ def model_averages(spark, folder):
 
 
 def first_predictions(spark, folder):
-    df = rollup.first_predictions(reviewed(spark, folder))
+    df = rollup.first_predictions(programs(spark, folder), review)
     return df.select("path", "predicted_severity", *rounded("quality_score", "bug_probability"))
 
 

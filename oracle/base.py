@@ -243,7 +243,23 @@ def scores(weights=(0.30, 0.25, 0.20, 0.15, 0.10)) -> str:
                 " + 12 * count_if(category = 'performance' AND severity = 'HIGH')"
                 " + 6 * count_if(category = 'performance' AND severity = 'MEDIUM')"
                 " + 2 * count_if(category = 'performance' AND severity = 'LOW') AS cost FROM issues GROUP BY path)")
-    heuristics = (
+    q, s, m, p, r = (f"{w}::DOUBLE" for w in weights)
+    scored = ("scored AS (SELECT h.*, quality_score AS quality, (1 - security_risk_score) * 100 AS security, "
+              "maintainability_score AS maintainability, readability_score AS readability, "
+              "greatest(0.0::DOUBLE, least(100.0::DOUBLE, 100.0::DOUBLE - coalesce(c.cost, 0) - least(20.0::DOUBLE, nested_loops * 5) "
+              "- least(10.0::DOUBLE, nested_iterations * 3))) AS performance, "
+              + ", ".join(f"coalesce(c.{n}, 0) AS {n}" for n in ("total", "critical", "high", "medium", "low", "info"))
+              + " FROM heuristics h LEFT JOIN issue_counts c USING (path))")
+    total = (f"greatest(0.0::DOUBLE, least(100.0::DOUBLE, quality * {q} + security * {s} + maintainability * {m} "
+             f"+ performance * {p} + readability * {r}))")
+    weighted = f"weighted AS (SELECT *, {total} AS raw_overall FROM scored)"
+    return ", ".join((counts, heuristics(), scored, weighted)) + \
+        f", reviewed AS MATERIALIZED (SELECT * EXCLUDE (raw_overall), {round1('raw_overall')} AS overall FROM weighted)"
+
+
+def heuristics() -> str:
+    """CTE heuristics; needs features."""
+    return (
         "heuristics AS (SELECT *, "
         "least(1.0, CASE WHEN cyclomatic_complexity > 20 THEN 0.3::DOUBLE WHEN cyclomatic_complexity > 10 THEN 0.15 ELSE 0 END "
         "+ CASE WHEN duplicate_ratio > 0.2 THEN 0.1::DOUBLE ELSE 0 END + CASE WHEN nested_loops > 3 THEN 0.15::DOUBLE ELSE 0 END "
@@ -260,18 +276,6 @@ def scores(weights=(0.30, 0.25, 0.20, 0.15, 0.10)) -> str:
         "WHEN cyclomatic_complexity > 30 OR shell_executions > 3 THEN 'HIGH' "
         "WHEN cyclomatic_complexity > 15 OR duplicate_ratio > 0.3 THEN 'MEDIUM' "
         "WHEN magic_numbers > 10 OR naming_violations > 10 THEN 'LOW' ELSE 'INFO' END AS predicted_severity FROM features)")
-    q, s, m, p, r = (f"{w}::DOUBLE" for w in weights)
-    scored = ("scored AS (SELECT h.*, quality_score AS quality, (1 - security_risk_score) * 100 AS security, "
-              "maintainability_score AS maintainability, readability_score AS readability, "
-              "greatest(0.0::DOUBLE, least(100.0::DOUBLE, 100.0::DOUBLE - coalesce(c.cost, 0) - least(20.0::DOUBLE, nested_loops * 5) "
-              "- least(10.0::DOUBLE, nested_iterations * 3))) AS performance, "
-              + ", ".join(f"coalesce(c.{n}, 0) AS {n}" for n in ("total", "critical", "high", "medium", "low", "info"))
-              + " FROM heuristics h LEFT JOIN issue_counts c USING (path))")
-    total = (f"greatest(0.0::DOUBLE, least(100.0::DOUBLE, quality * {q} + security * {s} + maintainability * {m} "
-             f"+ performance * {p} + readability * {r}))")
-    weighted = f"weighted AS (SELECT *, {total} AS raw_overall FROM scored)"
-    return ", ".join((counts, heuristics, scored, weighted)) + \
-        f", reviewed AS MATERIALIZED (SELECT * EXCLUDE (raw_overall), {round1('raw_overall')} AS overall FROM weighted)"
 
 
 def corpus(select: str, source: str = PROGRAM_FILES, *parts: str) -> str:

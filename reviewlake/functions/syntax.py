@@ -14,6 +14,7 @@ import re
 import sys
 from collections import Counter
 
+import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column, functions as F, types as T
@@ -187,22 +188,45 @@ def json_report(content: str) -> dict:
 _CSS_NAME = re.compile(r"[a-z-]+(?=:.)", re.DOTALL)
 
 
+_FACTOR = 0x5851F42D4C957F2D
+
+
+def _suffix_hashes(text: str) -> np.ndarray:
+    """Hash of every suffix, by distance from the end, so that equal suffixes of different texts agree."""
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)[::-1].astype(np.uint64) + np.uint64(1)
+    powers = np.cumprod(np.concatenate(([1], np.full(max(len(codes) - 1, 0), _FACTOR))).astype(np.uint64))[:len(codes)]
+    return np.cumsum(codes * powers)[::-1]
+
+
 def css_report(content: str) -> dict:
     """Repeated CSS declarations: matches of ``name: value;`` up to its last repetition.
 
     A declaration reaches from some letter of a property name to the next ``;``,
     so it is a suffix of one ``;``-separated piece and repeats where a later
-    piece ends the same way.  A table of those suffixes replaces the regex with
-    a back-reference, whose time grows with the square of the file.
+    piece ends the same way.  One hash per such suffix finds the last piece that
+    has it, in memory proportional to the file.
     """
     pieces = content.split(";")[:-1]
-    tails = [[piece[o:] for m in _CSS_NAME.finditer(piece) for o in range(m.start(), m.end())] for piece in pieces]
-    last = {tail: i for i, some in enumerate(tails) for tail in some}
+    hashes, owner = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for i, piece in enumerate(pieces):
+        spans = [m.span() for m in _CSS_NAME.finditer(piece)]
+        if spans:
+            at = np.concatenate([np.arange(*s) for s in spans])
+            hashes.append(_suffix_hashes(piece)[at])
+            owner.append(np.full(len(at), i))
+    key, piece_of = np.concatenate(hashes), np.concatenate(owner)
+    order = np.lexsort((piece_of, key))
+    group = np.cumsum(np.concatenate(([0], np.diff(key[order]) != 0))) if len(key) else order
+    final = np.zeros(len(key), np.int64)
+    if len(key):
+        ends = np.flatnonzero(np.concatenate((np.diff(group) != 0, [True])))
+        final[order] = piece_of[order][ends[group]]
+    start = np.searchsorted(piece_of, np.arange(len(pieces) + 1))
     repeats, i = 0, 0
     while i < len(pieces):
-        end = next((last[tail] for tail in tails[i] if last[tail] > i), None)
-        repeats += end is not None
-        i = i + 1 if end is None else end + 1
+        later = np.flatnonzero(final[start[i]:start[i + 1]] > i)
+        repeats += len(later) > 0
+        i = int(final[start[i] + later[0]]) + 1 if len(later) else i + 1
     return {"has_tree": True, "parse_errors": [], "findings": [], "failure": None, **_EMPTY,
             "css_repeats": float(repeats)}
 

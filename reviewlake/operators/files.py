@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from reviewlake.functions.text import matches, round1
 from reviewlake.operators.topk import top_per_group
 from reviewlake.packs import languages as lang
+from reviewlake.packs.own import extensions_of
 
 
 def file_name(path: Column) -> Column:
@@ -24,14 +25,14 @@ def extension(path: Column) -> Column:
     return F.lower(suffix)
 
 
-def _extension_map() -> Column:
-    return F.create_map(*[F.lit(x) for kv in lang.EXTENSIONS.items() for x in kv])
+def _extension_map(own=()) -> Column:
+    return F.create_map(*[F.lit(x) for kv in (lang.EXTENSIONS | extensions_of(own)).items() for x in kv])
 
 
-def language_of_extension(ext: Column) -> Column:
+def language_of_extension(ext: Column, own=()) -> Column:
     """Language of an extension given with or without dot, in any case."""
     dotted = F.lower(F.when(F.startswith(ext, F.lit(".")), ext).otherwise(F.concat(F.lit("."), ext)))
-    return F.try_element_at(_extension_map(), dotted)
+    return F.try_element_at(_extension_map(own), dotted)
 
 
 def language_of_header(content: Column) -> Column:
@@ -45,20 +46,21 @@ def language_of_content(content: Column) -> Column:
     return F.coalesce(*[F.when(matches(content, p, flags), F.lit(name)) for flags, p, name in lang.CONTENT_HINTS])
 
 
-def detect_language(path: Column, content: Column) -> Column:
+def detect_language(path: Column, content: Column, own=()) -> Column:
     ext = extension(path)
     return (F.when(ext == ".h", language_of_header(content))
-            .otherwise(F.coalesce(F.try_element_at(_extension_map(), ext), language_of_content(content))))
+            .otherwise(F.coalesce(F.try_element_at(_extension_map(own), ext), language_of_content(content))))
 
 
-def pack_language(path: Column) -> Column:
+def pack_language(path: Column, own=()) -> Column:
     """Language whose pack reviews the file (``.h`` is always reviewed as C)."""
     ext = extension(path)
-    return F.when(~ext.isin(list(lang.UNREVIEWED_EXTENSIONS)), F.try_element_at(_extension_map(), ext))
+    without = [e for e in lang.UNREVIEWED_EXTENSIONS if e not in extensions_of(own)]
+    return F.when(~ext.isin(without), F.try_element_at(_extension_map(own), ext))
 
 
-def has_pack(path: Column) -> Column:
-    return pack_language(path).isNotNull()
+def has_pack(path: Column, own=()) -> Column:
+    return pack_language(path, own).isNotNull()
 
 
 def in_walked_dir(relative_path: Column) -> Column:
@@ -75,8 +77,8 @@ def wanted_name(path: Column) -> Column:
     return ~file_name(path).rlike(f"(?s)^(?:{globs})$")
 
 
-def supported(path: Column) -> Column:
-    return extension(path).isin(list(lang.EXTENSIONS))
+def supported(path: Column, own=()) -> Column:
+    return extension(path).isin([*lang.EXTENSIONS, *extensions_of(own)])
 
 
 def size_in_bounds(size: Column, max_bytes: int | None = None) -> Column:
@@ -84,10 +86,10 @@ def size_in_bounds(size: Column, max_bytes: int | None = None) -> Column:
     return size > 0 if max_bytes is None else (size > 0) & (size <= max_bytes)
 
 
-def select_files(files: DataFrame, max_bytes: int | None = None) -> DataFrame:
+def select_files(files: DataFrame, max_bytes: int | None = None, own=()) -> DataFrame:
     """Keep reviewable files: walked directory, wanted name, supported, sized."""
     return files.where(in_walked_dir(F.col("relative_path")) & wanted_name(F.col("relative_path"))
-                       & supported(F.col("relative_path")) & size_in_bounds(F.col("size"), max_bytes))
+                       & supported(F.col("relative_path"), own) & size_in_bounds(F.col("size"), max_bytes))
 
 
 def first_files(files: DataFrame, limit: int) -> DataFrame:

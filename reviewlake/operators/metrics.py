@@ -37,13 +37,20 @@ def numbered_lines(files: DataFrame) -> DataFrame:
                            "raw", strip(F.col("raw")).alias("stripped"))
 
 
-def _inherited(table: dict) -> dict:
-    """language -> entry, taking the parent language's entry where there is none."""
+def _inherited(table: dict, own=(), entry=lambda pack: None) -> dict:
+    """language -> entry, taking the parent language's entry where there is none.
+
+    ``own`` are the user's languages; ``entry`` picks the like entry of one.
+    """
     found = {}
     for language in LANGUAGES:
         source = next((s for s in mp.lineage(language) if s in table), None)
         if source:
             found[language] = table[source]
+    for pack in own:
+        value = entry(pack) or found.get(pack.like)
+        if value:
+            found[pack.language] = value
     return found
 
 
@@ -55,10 +62,10 @@ def _per_language(values: dict[str, str], default: str) -> str:
     return sql_case([(in_languages(langs), sql) for sql, langs in groups.items()], default)
 
 
-def pattern_count(metric: str) -> str:
+def pattern_count(metric: str, own=()) -> str:
     """Count metric of the row's language (0 where it has none)."""
     counts = {lang: sql_count("content", pattern, flags, "folded")
-              for lang, (flags, pattern) in _inherited(mp.patterns_for(metric)).items()}
+              for lang, (flags, pattern) in _inherited(mp.patterns_for(metric), own, lambda p: p.pattern(metric)).items()}
     if metric == "function_count":
         # A C function head ends in ") {": without one the backtracking scan is skipped.
         for lang in ("C", "C++"):
@@ -74,23 +81,23 @@ def _occurrences(text: str) -> str:
     return f"(length(content) - length(replace(content, {literal(text)}, ''))) DIV {len(text)}"
 
 
-def comment_lines() -> str:
+def comment_lines(own=()) -> str:
     prefixed = {k: f"size(filter(stripped, l -> {_starts_with(p)}))"
-                for k, p in _inherited(mp.COMMENT_PREFIXES).items()}
-    counted = {k: _occurrences(t) for k, t in _inherited(mp.COMMENT_LITERALS).items()}
+                for k, p in _inherited(mp.COMMENT_PREFIXES, own, lambda p: p.comment_prefixes).items()}
+    counted = {k: _occurrences(t) for k, t in _inherited(mp.COMMENT_LITERALS, own, lambda p: p.comment_literal).items()}
     return _per_language({k: " + ".join(d[k] for d in (prefixed, counted) if k in d)
-                          for k in LANGUAGES if k in prefixed or k in counted}, "0")
+                          for k in dict.fromkeys([*prefixed, *counted])}, "0")
 
 
-def _counted_lines() -> str:
+def _counted_lines(own=()) -> str:
     """Lines that take part in duplicate counting, per language."""
     return _per_language({k: f"filter(stripped, l -> l != '' AND NOT startswith(l, {literal(skip)}))"
-                          for k, skip in _inherited(mp.DUPLICATE_SKIP).items()}, _NO_STRINGS)
+                          for k, skip in _inherited(mp.DUPLICATE_SKIP, own, lambda p: p.duplicate_skip).items()}, _NO_STRINGS)
 
 
-def _tokens(metric: str) -> str:
+def _tokens(metric: str, own=()) -> str:
     return _per_language({k: f"regexp_extract_all(content, {literal(dialect(pattern, flags))}, 0)"
-                          for k, (flags, pattern) in _inherited(mp.patterns_for(metric)).items()}, _NO_STRINGS)
+                          for k, (flags, pattern) in _inherited(mp.patterns_for(metric), own, lambda p: p.pattern(metric)).items()}, _NO_STRINGS)
 
 
 def _add(df: DataFrame, **expressions: str) -> DataFrame:
@@ -102,11 +109,11 @@ def with_syntax(files: DataFrame) -> DataFrame:
     return files.withColumn("syntax", syntax_report(F.col("language"), F.col("content")))
 
 
-def with_line_counts(files: DataFrame) -> DataFrame:
+def with_line_counts(files: DataFrame, own=()) -> DataFrame:
     """loc, blank_lines, comment_lines, sloc, comment_ratio."""
     df = _add(files, loc="CAST(size(lines) AS DOUBLE)",
               blank_lines="CAST(size(filter(stripped, l -> l = '')) AS DOUBLE)",
-              comment_lines=f"CAST({comment_lines()} AS DOUBLE)")
+              comment_lines=f"CAST({comment_lines(own)} AS DOUBLE)")
     return _add(df, sloc="loc - blank_lines - IF(language = 'Python', comment_lines, 0)",
                 comment_ratio="comment_lines / greatest(loc, 1)")
 
@@ -119,17 +126,17 @@ def _halstead_values(df: DataFrame) -> DataFrame:
     return _add(df, halstead_effort="halstead_difficulty * halstead_volume").drop("_t1", "_t2", "_d1", "_d2")
 
 
-def with_halstead(files: DataFrame) -> DataFrame:
+def with_halstead(files: DataFrame, own=()) -> DataFrame:
     """Halstead length, volume, difficulty and effort from token counts."""
-    df = _add(files, _operators=_tokens("operators"), _operands=_tokens("operands"))
+    df = _add(files, _operators=_tokens("operators", own), _operands=_tokens("operands", own))
     df = _add(df, _t1="size(_operators)", _d1="size(array_distinct(_operators))",
               _t2="size(_operands)", _d2="size(array_distinct(_operands))").drop("_operators", "_operands")
     return _halstead_values(df)
 
 
-def with_duplicates(files: DataFrame) -> DataFrame:
+def with_duplicates(files: DataFrame, own=()) -> DataFrame:
     """duplicate_lines and duplicate_ratio; exact, inside the file's row."""
-    df = _add(files, _counted=_counted_lines())
+    df = _add(files, _counted=_counted_lines(own))
     df = _add(df, _kept="size(_counted)", _repeats="IF(_parsed, size(_counted) - size(array_distinct(_counted)), 0)")
     return _add(df, duplicate_lines="IF(language = 'CSS', syntax.css_repeats, CAST(_repeats AS DOUBLE))",
                 duplicate_ratio="_repeats / greatest(_kept, 1)").drop("_counted", "_kept", "_repeats")
@@ -141,11 +148,11 @@ _COMPUTED_ELSEWHERE = {
     "maintainability_index", "duplicate_lines", "duplicate_ratio", "method_count"}
 
 
-def _count_feature(name: str) -> str:
+def _count_feature(name: str, own=()) -> str:
     """Structural count of one feature: syntax tree for Python, patterns else."""
-    value = pattern_count(name)
+    value = pattern_count(name, own)
     if name == "class_count":
-        value = f"{value} + {pattern_count('extra_types')}"
+        value = f"{value} + {pattern_count('extra_types', own)}"
     if name in mp.SYNTAX_FEATURES:
         value = f"IF(language = 'Python', syntax.{name}, {value})"
     elif name not in ("todo_count", "fixme_count"):
@@ -153,17 +160,17 @@ def _count_feature(name: str) -> str:
     return f"CAST({value} AS DOUBLE)"
 
 
-def with_features(files: DataFrame) -> DataFrame:
+def with_features(files: DataFrame, own=()) -> DataFrame:
     """Add all 51 features as DOUBLE columns (needs lines, stripped, syntax)."""
-    df = _add(with_line_counts(files), _parsed="language != 'Python' OR syntax.has_tree")
-    df = with_duplicates(with_halstead(df))
-    df = _add(df, **{n: _count_feature(n) for n in mp.FEATURES if n not in _COMPUTED_ELSEWHERE})
+    df = _add(with_line_counts(files, own), _parsed="language != 'Python' OR syntax.has_tree")
+    df = with_duplicates(with_halstead(df, own), own)
+    df = _add(df, **{n: _count_feature(n, own) for n in mp.FEATURES if n not in _COMPUTED_ELSEWHERE})
     df = _add(df, method_count=("CASE WHEN language = 'Python' THEN syntax.method_count "
                                 "WHEN language IN ('Java', 'C#') THEN function_count ELSE 0D END"),
               cyclomatic_complexity=("CASE WHEN NOT _parsed THEN 0D WHEN language IN ('HTML', 'CSS', 'JSON') THEN 1D "
                                      "ELSE 1D + conditional_count + loop_count "
                                      "+ IF(language = 'C++', 0D, exception_handling) END"))
-    fixed = [(f"language = {literal(k)}", f"{v}D") for k, v in mp.FIXED_MAINTAINABILITY.items()]
+    fixed = [(f"language = {literal(k)}", f"{v}D") for k, v in (mp.FIXED_MAINTAINABILITY | {p.language: p.maintainability for p in own if p.maintainability is not None}).items()]
     index = ("greatest(0D, least(100D, 171D - 5.2D * ln(halstead_volume) - 0.23D * cyclomatic_complexity"
              " - 16.2D * ln(sloc)))")
     return _add(df, maintainability_index=sql_case(

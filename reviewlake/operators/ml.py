@@ -39,8 +39,8 @@ KERNEL_FEATURES = 256
 PENALTY_C = 10.0
 # ----------------------------------------------------------------------------
 
-
-ROWS_PER_TASK = 100_000
+#: Labelled rows that training uses at most; a fit needs no more to settle its trees.
+MAX_TRAINING_ROWS = 1_000_000
 
 
 # --- scaling ---------------------------------------------------------------
@@ -76,47 +76,70 @@ def scaled_vector(scaler: dict[str, tuple[float, float]]) -> Column:
 
 # --- splitting and weighting -------------------------------------------------
 
-BUCKETS = 65536
+BUCKET_SHIFT = 16  # 65 536 buckets of a 32-bit hash
 
 
-def split_train(rows: DataFrame, label: str | None = None, share: float = TRAIN_SHARE, key: str = "id") -> DataFrame:
-    """Add ``is_train``: exactly ``share`` of each class (or of all rows), by hash order.
+def by_class(values: dict, label: Column) -> Column:
+    """Look-up in a literal map with one entry per class; null for classes without one."""
+    if not values:
+        return F.lit(None)
+    return F.try_element_at(F.create_map(*[F.lit(x) for kv in values.items() for x in kv]), label)
+
+
+def _stratum(label: str | None) -> Column:
+    return F.col(label).cast("string") if label else F.lit("all")
+
+
+def _split_hash(key: str) -> Column:
+    return F.conv(F.substring(F.md5(F.concat_ws("|", F.lit("split"), key)), 1, 8), 16, 10).cast("long")
+
 
-    Ranking a whole class would sort it in one task.  A histogram of the hash
-    finds the bucket that holds the class's cut; only rows of that bucket (about
-    one in 65536) are ranked, all others are decided by their bucket alone.
+def split_cuts(rows: DataFrame, label: str | None = None, share: float = TRAIN_SHARE, key: str = "id") -> dict[str, tuple]:
+    """(hash, key) of the last training row of each class, in hash order.
+
+    Ranking a whole class would sort it in one task.  A histogram of the hash finds
+    the bucket that holds the class's cut; only the rows of that bucket (about one
+    in 65 536) are ranked.  One row per class comes back.
     """
-    stratum = F.col(label).cast("string") if label else F.lit("all")
-    hashed = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit("split"), key)), 1, 8), 16, 10).cast("long")
-    df = rows.withColumns({"_stratum": stratum, "_hash": hashed})
-    df = df.withColumn("_bucket", F.shiftright("_hash", 16))
-    sizes = df.groupBy("_stratum", "_bucket").agg(F.count("*").alias("_n"))
-    order = Window.partitionBy("_stratum").orderBy("_bucket")  # at most 65536 rows per class
-    whole = Window.partitionBy("_stratum")
-    cut = (sizes.withColumns({"_upto": F.sum("_n").over(order), "_wanted": F.round(F.sum("_n").over(whole) * share)})
-           .where((F.col("_upto") >= F.col("_wanted")) & (F.col("_upto") - F.col("_n") < F.col("_wanted")))
-           .select("_stratum", F.col("_bucket").alias("_cut"),
-                   (F.col("_wanted") - (F.col("_upto") - F.col("_n"))).alias("_room")))
-    joined = df.join(cut, "_stratum", "left")  # one row per class
-    edge = (joined.where(F.col("_bucket") == F.col("_cut")).withColumn("_rank", F.row_number().over(
-        Window.partitionBy("_stratum").orderBy("_hash", key))).select(key, "_rank"))
-    ranked = joined.join(edge, key, "left")
-    train = (F.col("_bucket") < F.col("_cut")) | ((F.col("_bucket") == F.col("_cut"))
-                                                   & (F.col("_rank") <= F.col("_room")))
-    return ranked.withColumn("is_train", F.coalesce(train, F.lit(False))).drop(
-        "_stratum", "_hash", "_bucket", "_cut", "_room", "_rank")
+    df = rows.select(key, _stratum(label).alias("_class"), _split_hash(key).alias("_hash"))
+    df = df.where("_class IS NOT NULL").withColumn("_bucket", F.shiftright("_hash", BUCKET_SHIFT))
+    sizes = df.groupBy("_class", "_bucket").agg(F.count("*").alias("_n"))
+    order = Window.partitionBy("_class").orderBy("_bucket")  # at most 65 536 rows per class
+    whole = Window.partitionBy("_class")
+    sizes = sizes.withColumns({"_upto": F.sum("_n").over(order), "_wanted": F.round(F.sum("_n").over(whole) * share)})
+    cuts = sizes.where((F.col("_upto") >= F.col("_wanted")) & (F.col("_upto") - F.col("_n") < F.col("_wanted"))).select(
+        "_class", "_bucket", (F.col("_wanted") - F.col("_upto") + F.col("_n")).cast("long").alias("_room")).collect()
+    edge = df.where(F.col("_bucket") == by_class({r["_class"]: r["_bucket"] for r in cuts}, F.col("_class")))
+    rank = F.row_number().over(Window.partitionBy("_class").orderBy("_hash", key))
+    last = edge.withColumn("_rank", rank).where(F.col("_rank") == by_class({r["_class"]: r["_room"] for r in cuts}, F.col("_class")))
+    return {r["_class"]: (r["_hash"], r[key]) for r in last.collect()}
+
+
+def split_train(rows: DataFrame, label: str | None = None, share: float = TRAIN_SHARE, key: str = "id") -> DataFrame:
+    """Add ``is_train``: exactly ``share`` of each class (or of all rows), by hash order; a narrow projection."""
+    cuts = split_cuts(rows, label, share, key)
+    h, stratum = _split_hash(key), _stratum(label)
+    last_hash, last_key = (by_class({k: v[i] for k, v in cuts.items()}, stratum) for i in (0, 1))
+    return rows.withColumn("is_train", F.coalesce((h < last_hash) | ((h == last_hash) & (F.col(key) <= last_key)), F.lit(False)))
 
 
 def class_weights(rows: DataFrame, label: str) -> DataFrame:
     """Balanced weight n / (k * n_c) per class; counts first, then one small window."""
-    counts = rows.groupBy(F.col(label).cast("string").alias("class")).agg(F.count("*").alias("n"))
+    counts = rows.where(F.col(label).isNotNull()).groupBy(F.col(label).cast("string").alias("class")).agg(F.count("*").alias("n"))
     every = Window.partitionBy()  # one row per class
     return counts.withColumn("weight", F.sum("n").over(every) / (F.count("*").over(every) * F.col("n")))
 
 
 def with_class_weight(rows: DataFrame, label: str) -> DataFrame:
-    weights = class_weights(rows, label).select(F.col("class").alias("_class"), F.col("weight").alias("class_weight"))
-    return rows.join(weights, F.col(label).cast("string") == F.col("_class"), "left").drop("_class")
+    """Add ``class_weight`` from a literal map: no row moves."""
+    weights = {r["class"]: r["weight"] for r in class_weights(rows, label).collect()}
+    return rows.withColumn("class_weight", by_class(weights, F.col(label).cast("string")))
+
+
+def bounded(rows: DataFrame, max_rows: int, key: str = "id") -> DataFrame:
+    """About ``max_rows`` rows at most, chosen by a hash of their key."""
+    share = min(1.0, max_rows / max(1, rows.count()))
+    return rows.where(F.pmod(F.xxhash64(F.lit("sample"), key), F.lit(1 << 30)) < int(share * (1 << 30)))
 
 
 # --- models --------------------------------------------------------------------
@@ -226,8 +249,9 @@ def training_frame(rows: DataFrame, scaler: dict[str, tuple[float, float]]) -> D
 
 
 def labelled(frame: DataFrame, model: str) -> DataFrame:
-    """Training frame of one model: split, target and (for classifiers) weights."""
+    """Training frame of one model: split, target and (for classifiers) weights; rows without the label are left out."""
     label, _, stratified = TARGETS[model]
+    frame = frame.where(F.col(label).isNotNull())
     df = split_train(frame, label if stratified else None).withColumn("target", _target(label))
     return with_class_weight(df, label) if model in ("bug_detector", "severity_classifier") else df
 
@@ -255,9 +279,7 @@ def fit_one(frame: DataFrame, model: str, estimator) -> tuple[Model, dict[str, f
     vector = "kernel" if model == "severity_classifier" else "scaled"
     df = labelled(frame, model)
     df = df.select("id", "target", vector, "is_train", *[c for c in ("class_weight",) if c in df.columns])
-    # Boosting runs hundreds of short jobs: tasks as large as memory allows, not as many as cores.
-    tasks = max(1, frame.count() // ROWS_PER_TASK)
-    df = df.coalesce(tasks).persist()
+    df = df.persist()
     fitted = estimator.fit(df.where("is_train"))
     scores = evaluate(model, fitted.transform(df.where("NOT is_train")))
     df.unpersist()
@@ -265,7 +287,7 @@ def fit_one(frame: DataFrame, model: str, estimator) -> tuple[Model, dict[str, f
 
 
 def train(rows: DataFrame, models: list[str] | None = None, trees: int = 100, rounds: int = 150,
-          parallel: int = 6) -> tuple[Scorers, dict[str, dict[str, float]]]:
+          parallel: int = 6, max_rows: int = MAX_TRAINING_ROWS) -> tuple[Scorers, dict[str, dict[str, float]]]:
     """Fit the scaler on all rows and the models on their training part.
 
     The fits are independent, so their Spark jobs are submitted side by side.
@@ -274,7 +296,8 @@ def train(rows: DataFrame, models: list[str] | None = None, trees: int = 100, ro
     spark = rows.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:  # boosting cuts its lineage there
         spark.sparkContext.setCheckpointDir(shared_folder(spark, "checkpoints"))
-    rows = store(rows, "rows")  # read twice: by the scaler and by the frame
+    rows = store(rows, "rows")  # read by the bound, the scaler and the frame
+    rows = bounded(rows, max_rows)
     scaler = fit_scaler(rows)
     frame = training_frame(rows, scaler)
     chosen = {k: v for k, v in estimators(trees, rounds).items() if models is None or k in models}

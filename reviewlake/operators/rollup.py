@@ -124,6 +124,8 @@ def model_averages(reviewed: DataFrame) -> DataFrame:
         *[exact_mean(F.coalesce(F.col(s), F.lit(0.0))).alias(f"avg_{s}") for s in ML_SCORES[:5]])
 
 
-def first_predictions(reviewed: DataFrame, k: int = PREDICTION_ROWS) -> DataFrame:
-    """First ``k`` files by path with their model scores."""
-    return reviewed.select("path", "language", *ML_SCORES).orderBy("path").limit(k)
+def first_predictions(files: DataFrame, review, k: int = PREDICTION_ROWS) -> DataFrame:
+    """First ``k`` files by path with their model scores; ``review`` reads no other file."""
+    first = files.select("path").orderBy("path").limit(k)  # the bound allows a broadcast
+    chosen = files.join(F.broadcast(first.distinct()), "path", "left_semi")
+    return review(chosen).select("path", "language", *ML_SCORES).orderBy("path").limit(k)

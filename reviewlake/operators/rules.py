@@ -141,20 +141,25 @@ def explode_issues(reviewed: DataFrame, packs=None, keys: tuple[str, ...] = ("pr
         *keys, (F.col("_at") + 1).alias("position"), "h.*")
     rules = rule_table(reviewed.sparkSession, packs).select("rule_no", "rule_id", "phase", "title", "template",
                                                            "suggestion", "reason")
-    joined = hits.join(F.broadcast(rules), "rule_no")  # one row per rule of the packs
-    text = F.replace(F.col("template"), F.lit("{line}"), F.col("line_number").cast("string"))
-    text = F.replace(text, F.lit("{n}"), F.coalesce("detail", F.lit("")))
-    # The quoted line comes last, so braces inside it are left alone.
-    text = F.replace(text, F.lit("{text}"), F.substring("snippet", 1, TEXT_CHARS))
+    joined = hits.join(rules, "rule_no")  # one row per rule of the packs: Spark sees its size
     return joined.select(
         *keys, "rule_id", "phase", "title",
-        F.coalesce(F.when(F.col("template") == "{n}", F.col("detail")), text).alias("description"),
+        described(F.col("template"), F.col("line_number"), F.col("detail"), F.col("snippet")).alias("description"),
         "severity", "category", "line_number", F.lit(0).alias("column"), F.lit(0).alias("end_line"),
         "suggestion", "reason", F.col("snippet").alias("code_snippet"),
         severity_rank(F.col("severity")).alias("severity_rank"),
         (F.col("rule_no").cast("long") * 1_000_000_000 + F.col("sub")).alias("detect_seq"), "position")
 
 
+def described(template: Column, line_number: Column, detail: Column, snippet: Column) -> Column:
+    """Description of a finding from its rule's template."""
+    text = F.replace(template, F.lit("{line}"), line_number.cast("string"))
+    text = F.replace(text, F.lit("{n}"), F.coalesce(detail, F.lit("")))
+    # The quoted line comes last, so braces inside it are left alone.
+    text = F.replace(text, F.lit("{text}"), F.substring(snippet, 1, TEXT_CHARS))
+    return F.coalesce(F.when(template == "{n}", detail), text)
+
+
 def severity_rank(severity: Column) -> Column:
     """0 (CRITICAL) .. 4 (INFO), 99 for anything else."""
     ranked = reduce(lambda acc, kv: acc.when(severity == kv[1], kv[0]), list(enumerate(SEVERITIES)),

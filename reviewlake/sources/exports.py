@@ -44,23 +44,34 @@ def write_csv(rows: DataFrame, path: str) -> None:
     rows.write.option("header", True).option("escape", '"').mode("errorifexists").csv(path)
 
 
-def json_records(reviewed: DataFrame, packs=None) -> DataFrame:
+def _per_project(rows: DataFrame, name: str, *columns: str) -> DataFrame:
+    """A short ranked list of each project as one array."""
+    return rows.groupBy("project_id").agg(F.array_sort(F.collect_list(F.struct(*columns))).alias(name))
+
+
+def json_records(reviewed: DataFrame, packs=None, seconds: float | None = None) -> DataFrame:
     """JSON lines: one ``file`` record per file, one ``project`` record per project.
 
     A single document per project would gather a whole project in one task; the
     findings of a file are nested inside the file's own row instead.
     """
-    from reviewlake.operators.rules import rule_table
-
-    spark = reviewed.sparkSession
-    texts = [r.asDict() for r in rule_table(spark, packs).select("rule_no", "rule_id", "title", "suggestion").collect()]
-    by_no = F.map_from_entries(F.array(*[F.struct(F.lit(t["rule_no"]), F.struct(
-        F.lit(t["rule_id"]).alias("rule_id"), F.lit(t["title"]).alias("title"),
-        F.lit(t["suggestion"]).alias("suggestion"))) for t in texts]))
-    named = F.transform("hits", lambda h: F.struct(
-        F.element_at(by_no, h["rule_no"]).alias("rule"), h["severity"].alias("severity"),
-        h["category"].alias("category"), h["line_number"].alias("line_number"),
-        h["snippet"].alias("code_snippet")))
+    from reviewlake.operators.rules import catalogue, described, explode_issues
+
+    by_no = F.map_from_entries(F.array(*[F.struct(F.lit(number), F.struct(
+        *[F.lit(text).alias(name) for name, text in (("rule_id", r.rule_id), ("title", r.title), ("template", r.description),
+                                                     ("suggestion", r.suggestion), ("reason", r.reason))]))
+        for _, number, r in catalogue(packs)]))
+
+    def finding(h):
+        rule = F.element_at(by_no, h["rule_no"])
+        return F.struct(
+            rule["rule_id"].alias("rule_id"), rule["title"].alias("title"),
+            described(rule["template"], h["line_number"], h["detail"], h["snippet"]).alias("description"),
+            h["severity"].alias("severity"), h["category"].alias("category"), h["line_number"].alias("line_number"),
+            F.lit(0).alias("column"), F.lit(0).alias("end_line"), rule["suggestion"].alias("suggestion"),
+            rule["reason"].alias("reason"), h["snippet"].alias("code_snippet"))
+
+    named = F.transform("hits", finding)
     files = reviewed.select(
         "project_id", F.lit("file").alias("record"),
         F.to_json(F.struct(
@@ -69,11 +80,20 @@ def json_records(reviewed: DataFrame, packs=None) -> DataFrame:
             F.struct(*FEATURES).alias("features"), named.alias("issues"),
             F.struct(*rollup.COUNTS).alias("issue_summary"), "parse_errors", "error")).alias("value"))
     summary = rollup.project_reviews(reviewed)
-    heads = summary.select(
+    found = explode_issues(reviewed, packs)
+    lists = (
+        _per_project(rollup.language_distribution(reviewed), "language_distribution", "language", "files", "percentage"),
+        _per_project(rollup.problem_files(reviewed), "most_problematic_files", "rank", "path", "overall", "language"),
+        _per_project(rollup.top_issues(found), "top_critical_issues", "rank", "title", "severity", "path", "line_number"))
+    heads = summary.withColumn("duration_seconds", F.lit(seconds).cast("double"))
+    for part in lists:  # at most a few dozen entries per project
+        heads = heads.join(part, "project_id", "left")
+    heads = heads.select(
         "project_id", F.lit("project").alias("record"),
         F.to_json(F.struct(
             F.struct(F.current_timestamp().alias("generated_at"), F.lit("json").alias("format")).alias("report_metadata"),
-            F.struct(*[c for c in summary.columns]).alias("summary"))).alias("value"))
+            F.struct(*summary.columns, "duration_seconds").alias("summary"),
+            "language_distribution", "most_problematic_files", "top_critical_issues")).alias("value"))
     return files.unionByName(heads)
 
 
@@ -91,9 +111,37 @@ def analysis_rows(reviewed: DataFrame, scan_id: int, created_at, seconds: float)
                     *[F.col(v).alias(k) for k, v in renamed.items()])
 
 
+#: Hash buckets of projects in a stored scan.
+PROJECT_BUCKETS = 16
+
+
+def _placed(rows: DataFrame, scan_id: int) -> DataFrame:
+    return rows.withColumns({"scan": F.lit(scan_id).cast("long"), "bucket": F.pmod(F.xxhash64("project_id"), F.lit(PROJECT_BUCKETS)).cast("int")})
+
+
 def append_scan(analyses: DataFrame, path: str) -> None:
-    """Append to the history, partitioned so that a project reads only its own rows."""
-    analyses.write.mode("append").partitionBy("project_id").parquet(path)
+    """Append to the history; a scan that is appended again replaces itself.
+
+    Rows go to folders of scan and project bucket, a few files per scan however many
+    projects there are; only the folders that the rows belong to are replaced.
+    """
+    for scan_id in [r.analysis_id for r in analyses.select("analysis_id").distinct().collect()]:  # one scan as a rule
+        rows = _placed(analyses.where(F.col("analysis_id") == scan_id), scan_id)
+        rows.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("scan", "bucket").parquet(path)
+
+
+def store_scan(reviewed: DataFrame, path: str, scan_id: int, created_at, seconds: float, packs=None) -> None:
+    """One scan as two tables, ``analyses`` (summaries) and ``findings`` (every field of every finding)."""
+    from reviewlake.operators.rules import explode_issues
+
+    append_scan(analysis_rows(reviewed, scan_id, created_at, seconds), f"{path}/analyses")
+    found = explode_issues(reviewed, packs).withColumn("analysis_id", F.lit(scan_id).cast("long"))
+    _placed(found, scan_id).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("scan", "bucket").parquet(f"{path}/findings")
+
+
+def read_scans(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """The stored (analyses, findings), as ``history.search_issues`` takes them."""
+    return tuple(spark.read.parquet(f"{path}/{name}").drop("scan", "bucket") for name in ("analyses", "findings"))
 
 
 def report_sections(reviewed: DataFrame, issues: DataFrame, form: str = "markdown") -> DataFrame:
@@ -118,8 +166,7 @@ def report_sections(reviewed: DataFrame, issues: DataFrame, form: str = "markdow
         F.col("files").cast("double").alias("value"), F.col("percentage").cast("string").alias("extra"))
     parts = [numbers, languages]
     if SECTION_FILES[form]:
-        # The underlying list holds ten files, so larger report limits show ten.
-        listed = rollup.problem_files(reviewed, min(SECTION_FILES[form], rollup.PROBLEM_FILES))
+        listed = rollup.problem_files(reviewed, SECTION_FILES[form])
         parts.append(listed.select(
             "project_id", F.lit("files").alias("section"), "rank", F.col("path").alias("label"),
             round1(F.col("overall")).alias("value"), F.col("language").alias("extra")))

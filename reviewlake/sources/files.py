@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from reviewlake.functions.text import unify_newlines
 from reviewlake.operators.files import detect_language, file_name, pack_language, select_files, size_in_bounds
 from reviewlake.packs.languages import EXTENSIONS
+from reviewlake.packs.own import extensions_of
 
 
 def decode(content: Column) -> Column:
@@ -21,33 +22,33 @@ def _relative(path: Column, root: str) -> Column:
     return F.substring(path, F.instr(path, F.lit(plain)) + len(plain), F.length(path))
 
 
-def _listing(spark: SparkSession, root: str) -> DataFrame:
+def _listing(spark: SparkSession, root: str, own=()) -> DataFrame:
     either = lambda ext: "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in ext)
     return (spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-            .option("pathGlobFilter", "*{" + ",".join(map(either, EXTENSIONS)) + "}").load(root))
+            .option("pathGlobFilter", "*{" + ",".join(map(either, EXTENSIONS | extensions_of(own))) + "}").load(root))
 
 
-def skipped_files(spark: SparkSession, root: str, max_bytes: int) -> DataFrame:
+def skipped_files(spark: SparkSession, root: str, max_bytes: int, own=()) -> DataFrame:
     """Supported files beyond the limit that a caller has set, with the reason; nothing is opened."""
-    big = _listing(spark, root).select("path", F.col("length").alias("size")).where(F.col("size") > max_bytes)
+    big = _listing(spark, root, own).select("path", F.col("length").alias("size")).where(F.col("size") > max_bytes)
     return big.withColumn("error", F.concat(F.lit("Larger than "), F.lit(str(max_bytes)), F.lit(" bytes.")))
 
 
 def read_files(spark: SparkSession, root: str, project_id: str | Column = "project",
-               max_bytes: int | None = None) -> DataFrame:
+               max_bytes: int | None = None, own=()) -> DataFrame:
     """Reviewable files under ``root`` with decoded content.
 
     The reader opens only files with a supported extension (``pathGlobFilter``)
     and, as the size test is pushed to it, none that is empty or beyond
     ``max_bytes``; ``skipped_files`` lists the latter.
     """
-    raw = _listing(spark, root).where(size_in_bounds(F.col("length"), max_bytes))
+    raw = _listing(spark, root, own).where(size_in_bounds(F.col("length"), max_bytes))
     found = select_files(raw.select(
         (project_id if isinstance(project_id, Column) else F.lit(project_id)).alias("project_id"), "path",
         _relative(F.col("path"), root).alias("relative_path"), F.col("length").alias("size"),
-        F.col("modificationTime").alias("mtime"), "content"), max_bytes)
+        F.col("modificationTime").alias("mtime"), "content"), max_bytes, own)
     text = found.withColumn("content", decode(F.col("content")))
     return text.select("project_id", "path", "relative_path", file_name(F.col("path")).alias("filename"),
-                       pack_language(F.col("path")).alias("language"),
-                       detect_language(F.col("path"), F.col("content")).alias("detected_language"),
+                       pack_language(F.col("path"), own).alias("language"),
+                       detect_language(F.col("path"), F.col("content"), own).alias("detected_language"),
                        "size", "mtime", "content")

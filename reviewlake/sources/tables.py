@@ -100,6 +100,49 @@ echo $@"""),
 }"""),
 )
 
+# Python and JSON files that need a parser; two of them are broken.
+SYNTAX_PROGRAMS: tuple[tuple[str, str, str], ...] = (
+    ("Python", ".py", '''class Shape:
+    SIDES = 4
+    def area(self, w, h):
+        """Area."""
+        return w * h
+    def scale(self, f):
+        try:
+            return f * 7
+        except:
+            return 0'''),
+    ("Python", ".py", '''def broken(:
+    pass'''),
+    ("Python", ".py", '''import json
+import os.path as osp
+from sys import argv, path
+def walk(rows):
+    """Walk."""
+    total = 12
+    for row in rows:
+        for cell in row:
+            while cell > 3:
+                cell = cell - 1
+    if total == 5:
+        walk(rows)
+    open(osp)
+    return eval(argv)'''),
+    ("Python", ".py", '''import requests
+LIMIT = 9
+def fetch(a, b, c, d, e, f, g, h):
+    """Fetch."""
+    global STATE
+    STATE = requests.get(a)
+    f.write(b)
+    for i in range(3):
+        for j in range(c):
+            print(i, j)
+    return STATE'''),
+    ("JSON", ".json", '''{"a": [1, 2]}'''),
+    ("JSON", ".json", '''{"a": }'''),
+)
+
 # Path shapes for corpora that exercise file selection: (directory, name prefix, suffix).
 PATH_SHAPES: tuple[tuple[str, str, str], ...] = (
     ("src", "mod", ".py"),
@@ -143,6 +186,18 @@ def program_corpus(documents: DataFrame) -> DataFrame:
                             content.alias("content"))
 
 
+def syntax_corpus(documents: DataFrame) -> DataFrame:
+    """Documents as the comments of Python and JSON files, one of six programs by document number."""
+    index = F.pmod(F.col("doc_id"), F.lit(len(SYNTAX_PROGRAMS)))
+    mark = F.when(_pick(index, [p[0] for p in SYNTAX_PROGRAMS]) == "JSON", F.lit("// ")).otherwise(F.lit("# "))
+    comment = F.concat(F.lit("\n"), mark, F.replace(unify_newlines(F.col("text")), F.lit("\n"), F.concat(F.lit("\n"), mark)))
+    return documents.select(
+        F.col("source").alias("project_id"),
+        F.concat(F.lit("syn/"), F.col("doc_id").cast("string"), _pick(index, [p[1] for p in SYNTAX_PROGRAMS])).alias("path"),
+        _pick(index, [p[0] for p in SYNTAX_PROGRAMS]).alias("language"),
+        F.concat(_pick(index, [p[2] for p in SYNTAX_PROGRAMS]), comment).alias("content"))
+
+
 def page_corpus(pages: DataFrame) -> DataFrame:
     """Web pages as HTML files, twenty projects."""
     return pages.select(

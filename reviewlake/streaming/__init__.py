@@ -1,6 +1,5 @@
 """Structured Streaming forms of the review."""
 
-from reviewlake.streaming.review import (latest_totals, progress_percent, review_stream, run_available, running_totals,
-                                         windowed_totals)
+from reviewlake.streaming.review import (latest_totals, review_stream, run_available, running_totals, windowed_totals)
 
-__all__ = ["latest_totals", "review_stream", "running_totals", "windowed_totals", "run_available", "progress_percent"]
+__all__ = ["latest_totals", "review_stream", "running_totals", "windowed_totals", "run_available"]

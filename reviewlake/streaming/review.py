@@ -7,11 +7,6 @@ from pyspark.sql.streaming import StreamingQuery
 
 from reviewlake.plans.review import review
 
-# --- Fixed values -----------------------------------------------------------
-PERCENT_START, PERCENT_SPAN = 15, 75
-# ----------------------------------------------------------------------------
-
-
 def review_stream(spark: SparkSession, landing: str, schema, make_files=None, files_per_batch: int = 1000,
                   pattern: str | None = None, **options) -> DataFrame:
     """Review every parquet file that lands in a folder (stateless, same plan as in batch)."""
@@ -57,7 +52,3 @@ def latest_totals(spark: SparkSession, out: str) -> DataFrame:
     changes = spark.read.parquet(out)
     return changes.groupBy("project_id", "severity").agg(F.max_by("issues", "batch").alias("issues"))
 
-
-def progress_percent(done: int, total: int) -> int:
-    """Job progress: collecting ends at 15 %, reviewing at 90 %."""
-    return PERCENT_START + int(PERCENT_SPAN * done / max(total, 1))

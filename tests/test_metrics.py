@@ -191,6 +191,10 @@ def test_css_repeats_equal_the_back_reference():
         assert css_report(text)["css_repeats"] == len(re.findall(pattern, text, re.S)), text
 
 
+def test_css_repeats_of_one_huge_piece():
+    assert css_report("a: b " * 1_000_000 + ";x: y;x: y;")["css_repeats"] == 1
+
+
 def holds(query, text):
     if query is None or isinstance(query, str):
         return query is None or query in text

@@ -7,7 +7,8 @@ from pyspark.sql import Window, functions as F
 
 from conftest import TESTDATA
 from reviewlake import issues, keep_where, review, store
-from reviewlake.operators import files, history, metrics, ml, rollup, scoring, training_data
+from entries.learning import rows as training_rows
+from reviewlake.operators import files, history, metrics, ml, rollup, scoring
 from reviewlake.operators.topk import top_per_group
 from reviewlake.packs.metric_patterns import FEATURES
 from reviewlake.session import shared_folder
@@ -137,7 +138,7 @@ def test_exports(spark, done):
 
 
 def test_models_round_trip(spark, done):
-    rows = training_data.training_rows(spark.range(600))
+    rows = training_rows(spark, TESTDATA)
     models, scores = ml.train(rows, ["bug_detector", "quality_scorer", "severity_classifier"], trees=5, rounds=3)
     assert scores["bug_detector"]["accuracy"] > 0.8 and scores["severity_classifier"]["accuracy"] > 0.8
     path = shared_folder(spark, "models")
