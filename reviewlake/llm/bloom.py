@@ -7,6 +7,10 @@ the arrays of all others through two Bloom filters: a hash that the first filter
 ("seen once") already holds goes to the second ("seen twice").  Only the second
 is returned, sized by what it holds.  It may report single hashes as repeated,
 never the reverse, so users confirm what it reports by an exact count.
+
+The second filters are broadcast if their measured size allows it.  Beyond that the
+documents' hashes go to the filter of their slice instead, and those that it reports
+come back to their documents; the results are the same.
 """
 
 from __future__ import annotations
@@ -20,21 +24,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reviewlake import store
-from reviewlake.llm.common import partitions
+from reviewlake.llm.common import partitions, same
 
 PROBES = 4
 #: Bits per hash of the first and of the second filter.
 FIRST_BITS, SECOND_BITS = 12, 16
 #: Hashes that a task gathers before it sends them.
 FLUSH = 1 << 20
-#: Broadcast limit of all second filters together; beyond it callers confirm every key.
+#: Broadcast limit of all second filters together.
 LIMIT_BYTES = 64 << 20
 
 PACKED = "slice int, once binary, again binary"
 
 
 def slice_of(h: np.ndarray, slices: int) -> np.ndarray:
-    return ((h >> np.uint64(48)) * np.uint64(slices) >> np.uint64(16)).astype(np.int64)
+    return ((h >> np.uint64(32)) * np.uint64(slices) >> np.uint64(32)).astype(np.int64)
 
 
 def places(h: np.ndarray, bits: int) -> np.ndarray:
@@ -94,24 +98,55 @@ def second(group: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"slice": group["slice"].iloc[:1], "size": [len(twice.cells)], "cells": [np.packbits(twice.cells).tobytes()]})
 
 
-def repeat_filter(df: DataFrame, hashes: Callable[[pa.RecordBatch], Iterable[np.ndarray]]):
-    """Probe for repeated hashes of ``hashes(batch)`` over all rows of ``df``.
+def repeat_filter(docs: DataFrame, hashes: Callable[[pa.RecordBatch], Iterable[np.ndarray]]):
+    """Which hashes of a document occur again, here or in another document.
 
-    Returns a picklable ``probe(array) -> bool array``.  Above LIMIT_BYTES the
-    probe reports every hash, so the exact step that follows takes all of them.
+    ``docs`` has doc_id, _text and text; ``hashes(batch)`` gives one array per row.
+    Returns ``attach(docs)``, the documents as the next step must read them, and
+    ``probes(batch)``, for each of their rows a function from hashes to booleans.
     """
-    slices = partitions(df)
-    packed = df.mapInArrow(lambda batches: pack(map(hashes, batches), slices), PACKED)
+    slices = partitions(docs)
+    docs = docs.select("doc_id", "_text", "text")
+    packed = docs.mapInArrow(lambda batches: pack(map(hashes, batches), slices), PACKED)
     filters = store(packed.groupBy("slice").applyInPandas(second, "slice int, size long, cells binary"), "filters")
     total = filters.agg(F.sum(F.length("cells"))).first()[0] or 0
-    if total > LIMIT_BYTES:
-        return everything
-    held = df.sparkSession.sparkContext.broadcast({r.slice: (r.size, bytes(r.cells)) for r in filters.toLocalIterator()})
-    return Probe(held, slices)
-
-
-def everything(h: np.ndarray) -> np.ndarray:
-    return np.ones(len(h), dtype=bool)
+    if total <= LIMIT_BYTES:
+        held = docs.sparkSession.sparkContext.broadcast({r.slice: (r.size, bytes(r.cells)) for r in filters.toLocalIterator()})
+        probe = Probe(held, slices)
+        return (lambda df: df), (lambda batch: [probe] * len(batch))
+
+    def parts(batches):
+        for batch in batches:
+            rows, where, mine = [], [], []
+            for row, h in enumerate(hashes(batch)):
+                h = np.unique(h)
+                cut = np.searchsorted(slice_of(h, slices), np.arange(slices + 1))
+                for i in np.flatnonzero(np.diff(cut)).tolist():
+                    rows.append(row)
+                    where.append(i)
+                    mine.append(h[cut[i]:cut[i + 1]].tobytes())
+            at = pa.array(rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(at), batch.column("_text").take(at), pa.array(where, pa.int32()), pa.array(mine, pa.binary())],
+                                             ["doc_id", "_text", "slice", "mine"])
+
+    def reported(left: pa.Table, right: pa.Table) -> pa.Table:
+        twice = Bloom(0, 1)
+        if right.num_rows:
+            twice.cells = np.unpackbits(np.frombuffer(right["cells"][0].as_py(), np.uint8))[:right["size"][0].as_py()].astype(bool)
+        found = [h[twice.has(h)].tobytes() for h in (np.frombuffer(x, np.uint64) for x in left["mine"].to_pylist())]
+        some = pa.array([bool(x) for x in found], pa.bool_())
+        return left.select(["doc_id", "_text"]).append_column("hits", pa.array(found, pa.binary())).filter(some)
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    sent = docs.mapInArrow(parts, f"doc_id {kind}, _text bigint, slice int, mine binary")
+    hits = sent.groupBy("slice").cogroup(filters.groupBy("slice")).applyInArrow(reported, f"doc_id {kind}, _text bigint, hits binary")
+    back = store(hits.groupBy("doc_id", "_text").agg(F.collect_set("hits").alias("_hits")), "repeated")
+
+    def probes(batch):
+        every = [np.frombuffer(b"".join(x or ()), np.uint64) for x in batch.column("_hits").to_pylist()]
+        return [lambda h, x=x: np.isin(h, x) for x in every]
+
+    return (lambda df: same(df, back, ["doc_id", "_text"])), probes
 
 
 class Probe:

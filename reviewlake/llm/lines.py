@@ -47,18 +47,18 @@ def counted(key: bytes, min_chars: int) -> bool:
 def dedup_lines(docs: DataFrame, min_docs: int = 2, keep_first: bool = True, min_chars: int = 1,
                 carry: tuple[str, ...] = ("doc_id",), keys_bytes: int = KEYS_BYTES) -> DataFrame:
     """Rows of ``docs``: carried columns, kept text, n_lines, n_dropped."""
-    slim = docs.select("doc_id", "text")
+    slim = docs.select("doc_id", "text", identity().alias("_text"))
     min_chars = max(1, min_chars)
 
     def distinct(text):
         return [k for k in dict.fromkeys(keys_of(text)) if counted(k, min_chars)]
 
-    probe = repeat_filter(docs.select("text"), lambda batch: (hashes(distinct(t)) for t in texts(batch, "text")))
+    attach, probes = repeat_filter(slim, lambda batch: (hashes(distinct(t)) for t in texts(batch, "text")))
 
     def suspects(batches):
         for batch in batches:
             rows, ids = [], []
-            for i, text in enumerate(texts(batch, "text")):
+            for i, (text, probe) in enumerate(zip(texts(batch, "text"), probes(batch), strict=True)):
                 keys = keys_of(text)
                 first = {}
                 for line, k in enumerate(keys):
@@ -75,7 +75,7 @@ def dedup_lines(docs: DataFrame, min_docs: int = 2, keep_first: bool = True, min
 
     kind = slim.schema["doc_id"].dataType.simpleString()
     repeated = store(
-        slim.mapInArrow(suspects, f"doc_id {kind}, line bigint, key string").groupBy("key")
+        attach(slim).mapInArrow(suspects, f"doc_id {kind}, line bigint, key string").groupBy("key")
         .agg(F.count("*").alias("n_docs"), F.min(F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "line")).alias("first"))
         .where(F.col("n_docs") >= min_docs).select("key", "n_docs", F.col("first.doc_id").alias("first_doc"), F.col("first.line").alias("first_line")),
         "lines")
@@ -104,7 +104,7 @@ def dedup_lines(docs: DataFrame, min_docs: int = 2, keep_first: bool = True, min
                     [batch.column("doc_id").take(at), batch.column("_text").take(at), pa.array([r[1] for r in rows], pa.int64()),
                      pa.array([r[2] for r in rows], pa.binary()).cast(pa.string())], ["doc_id", "_text", "line", "key"])
 
-        lines = slim.withColumn("_text", identity()).distinct().mapInArrow(spread, f"doc_id {kind}, _text bigint, line bigint, key string")
+        lines = slim.distinct().mapInArrow(spread, f"doc_id {kind}, _text bigint, line bigint, key string")
         lines = lines.join(repeated, "key")
         if keep_first:
             lines = lines.where(~(F.col("first_doc").eqNullSafe(F.col("doc_id")) & (F.col("first_line") == F.col("line"))))

@@ -364,12 +364,13 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8)
     MinHash value that the repeat filter reports send a sketch.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
-    probe = repeat_filter(docs.select("text"), lambda batch: (minhashes(shingle_hashes(t, words)) for t in texts(batch, "text")))
+    docs = docs.select("doc_id", identity().alias("_text"), "text")
+    attach, probes = repeat_filter(docs, lambda batch: (minhashes(shingle_hashes(t, words)) for t in texts(batch, "text")))
 
     def run(batches):
         for batch in batches:
             fps, keys, sketches = [], [], []
-            for text in texts(batch, "text"):
+            for text, probe in zip(texts(batch, "text"), probes(batch), strict=True):
                 h = shingle_hashes(text, words)
                 own = minhashes(h)
                 own = own[probe(own)]
@@ -380,7 +381,7 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8)
                 [batch.column("doc_id"), batch.column("_text"), pa.array(fps, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.binary())],
                 ["doc_id", "_text", "fp", "keys", "sketch"])
 
-    marked = store(docs.select("doc_id", identity().alias("_text"), "text").mapInArrow(
+    marked = store(attach(docs).mapInArrow(
         run, f"doc_id {kind}, _text bigint, fp binary, keys array<bigint>, sketch binary"), "fingerprints")
     # Copies collapse before anything is sent with its sketch.
     nodes = store(marked.where(F.size("keys") > 0).groupBy("fp").agg(F.min(F.struct("sketch", "keys")).alias("n")), "suspects")

@@ -87,17 +87,18 @@ def drop_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, carry:
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def split(batch):
-        return [(text or b"").split() for text in texts(batch, "text")]
+        return ((text or b"").split() for text in texts(batch, "text"))  # one document's words at a time
 
     def anchors(batch):
-        return [Stretches(w, length, gram).anchor for w in split(batch) if len(w) >= length]
+        return (Stretches(w, length, gram).anchor if len(w) >= length else np.zeros(0, np.uint64) for w in split(batch))
 
-    probe = repeat_filter(docs.select("text"), anchors)
+    marked = docs.select("doc_id", identity().alias("_text"), "text")
+    attach, probes = repeat_filter(marked, anchors)
 
     def seeds(batches):
         for batch in batches:
             rows, anchor, content, start, windows, sizes = [], [], [], [], [], []
-            for row, w in enumerate(split(batch)):
+            for row, (w, probe) in enumerate(zip(split(batch), probes(batch), strict=True)):
                 if len(w) < length:
                     continue
                 s = Stretches(w, length, gram)
@@ -118,19 +119,18 @@ def drop_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, carry:
                  batch.column("doc_id").take(at), batch.column("_text").take(at), pa.array(np.concatenate(start).astype(np.int32)), lists],
                 ["anchor", "content", "doc_id", "_text", "start", "windows"])
 
-    marked = docs.select("doc_id", identity().alias("_text"), "text")
-    stretches = marked.mapInArrow(seeds, f"anchor bigint, content bigint, doc_id {kind}, _text bigint, start int, windows array<bigint>")
+    stretches = attach(marked).mapInArrow(seeds, f"anchor bigint, content bigint, doc_id {kind}, _text bigint, start int, windows array<bigint>")
     earliest = stretches.groupBy("anchor", "content").agg(F.min(F.struct("doc_id", "_text", "start", "windows")).alias("e"))
     each = earliest.select("anchor", "e.doc_id", "e._text", "e.start", F.posexplode("e.windows").alias("i", "window"))
     originals = each.groupBy("anchor", "window").agg(F.min(F.struct("doc_id", "_text", (F.col("start") + F.col("i")).alias("start"))).alias("o"))
     own = originals.select("o.doc_id", "o._text", "o.start").groupBy("doc_id", "_text").agg(F.collect_list("start").alias("_own"))
     columns = list(dict.fromkeys([*carry, "doc_id"]))
-    source = same(docs.select(*columns, "text", identity().alias("_text")), own, ["doc_id", "_text"]).select(*columns, "text", "_own")
+    source = same(attach(docs.select(*columns, "text", identity().alias("_text"))), own, ["doc_id", "_text"]).drop("_text")
 
     def cut(batches):
         for batch in batches:
             total, spans, kept = [], [], []
-            for w, own in zip(split(batch), batch.column("_own"), strict=True):
+            for w, own, probe in zip(split(batch), batch.column("_own"), probes(batch), strict=True):
                 covered = np.zeros(len(w) + 1, np.int64)
                 if len(w) >= length:
                     s = Stretches(w, length, gram)

@@ -161,7 +161,7 @@ def test_repeated_rows(spark, tmp_path):
 
 
 def test_beyond_broadcast_limits(spark, odd):
-    from reviewlake.llm import bloom, decontaminate, lines
+    from reviewlake.llm import bloom, decontaminate, lines, simhash
 
     docs = spark.read.parquet(f"{TESTDATA}/documents.parquet")
     for first in (False, True):
@@ -175,8 +175,11 @@ def test_beyond_broadcast_limits(spark, odd):
     limit, bloom.LIMIT_BYTES = bloom.LIMIT_BYTES, 0
     try:
         assert result(spark, "op10_substrings", odd) == brute.substrings(documents(spark, odd))
+        assert result(spark, "op3_lines", TESTDATA) == brute.lines(documents(spark, TESTDATA), 10)
+        kept = simhash.keep_one(docs).collect()
     finally:
         bloom.LIMIT_BYTES = limit
+    assert sorted(kept) == sorted(simhash.keep_one(docs).collect())
 
 
 def test_mix_tree_levels(spark):
