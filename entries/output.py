@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from entries.common import found, long, reviewed
 from oracle.base import from_issues, from_review, mean, round1
-from reviewlake.operators import rules
+from reviewlake.operators import history, rules
 from reviewlake.operators.scoring import SCORES
 from reviewlake.session import shared_folder, store
 from reviewlake.sources import exports
@@ -72,6 +72,17 @@ def scan_append(spark, folder):
     return back.select("analysis_id", "project_id", "overall_score", *long("total_files", "total_issues", "critical_issues"))
 
 
+def stored_search(spark, folder):
+    """Two scans stored with their findings, one of them twice, then searched."""
+    path = shared_folder(spark, "scans")
+    done = store(reviewed(spark, folder), "review")
+    for number in (0, 1, 1):
+        exports.store_scan(done, path, number, SCAN_TIMES[number], 12.5)
+    analyses, findings = exports.read_scans(spark, path)
+    hits = history.search_issues(analyses, findings, query="injection", limit=300)
+    return hits.select("analysis_id", "project_id", "path", "rule_id", "severity", *long("line_number"), "description", "code_snippet")
+
+
 def report_listing(spark, folder):
     """Files of a CSV export, newest first."""
     path = f"{shared_folder(spark, 'reports')}/issues"
@@ -131,5 +142,9 @@ ENTRIES = {
         f"SELECT CAST(s AS BIGINT) AS analysis_id, project_id, overall_score, total_files, total_issues, critical_issues FROM "
         f"(SELECT project_id, {round1(mean('overall'))} AS overall_score, count(*) AS total_files, CAST(sum(total) AS BIGINT) AS total_issues, "
         "CAST(sum(critical) AS BIGINT) AS critical_issues FROM reviewed WHERE project_id = 'src3' GROUP BY project_id), (VALUES (0), (1)) v(s)")),
+    "search_stored_scans": (stored_search, from_issues(
+        "SELECT analysis_id, project_id, path, rule_id, severity, line_number, description, code_snippet FROM (SELECT i.*, CAST(v.n AS BIGINT) AS analysis_id "
+        "FROM issues i, (VALUES (0), (1)) v(n)) WHERE contains(lower(title || ' ' || description || ' ' || coalesce(suggestion, '') || ' ' || code_snippet "
+        "|| ' ' || rule_id), 'injection') ORDER BY analysis_id DESC, path, severity_rank, line_number, rule_no LIMIT 300")),
     "list_report_files": (report_listing, None),
 }

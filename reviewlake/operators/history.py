@@ -56,7 +56,7 @@ def compare(analyses: DataFrame, left: int, right: int) -> DataFrame:
                              for n in ("score", "issues", "files")})
 
 
-def compare_consecutive(analyses: DataFrame, bucket: str = "day") -> DataFrame:
+def compare_consecutive(analyses: DataFrame, bucket: str = "hour") -> DataFrame:
     """Every scan against the one before it in its project.
 
     A window over a whole project would put a hot project into one task.  The
@@ -95,7 +95,7 @@ def search_issues(analyses: DataFrame, issues: DataFrame, query: str = "", sever
 
     All scans are searched unless the caller asks for the newest ``scans``.
     """
-    searched = analyses.select("analysis_id", "created_at")
+    searched = analyses.groupBy("analysis_id").agg(F.max("created_at").alias("created_at"))  # a scan may hold many projects
     if scans is not None:
         searched = searched.orderBy(*newest_first()).limit(scans)
     found = issues.join(searched, "analysis_id")

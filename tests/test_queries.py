@@ -9,7 +9,9 @@ from tools.check_oracle import TABLES, comparable
 
 SOME = ["scan_select_files", "scan_file_cap", "language_stats", "split_lines", "halstead_metrics", "match_line_rules",
         "issue_order", "check_validity", "review_files", "project_review", "problem_files", "compare_consecutive_scans",
-        "search_by_text", "explain_findings", "standards_rollup", "training_rows", "split_stratified", "split_labelled", "scaler_statistics", "class_weights_bug", "user_rule_patterns",
+        "search_by_text", "explain_findings", "standards_rollup", "training_rows", "split_stratified", "split_labelled", "scaler_statistics", "class_weights_bug", "user_rule_patterns", "user_own_language",
+        "search_stored_scans", "match_syntax_rules", "check_syntax_validity", "python_syntax_programs", "export_json",
+        "report_sections_pdf", "first_predictions",
         "stream_running_totals", "report_sections_html"]
 
 
