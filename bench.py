@@ -16,7 +16,7 @@ from pyspark.sql import functions as F  # noqa: E402
 
 from entries import QUERIES  # noqa: E402
 from entries import common  # noqa: E402
-from entries.learning import rows as training_rows  # noqa: E402
+from entries.learning import PARTITIONS, rows as training_rows  # noqa: E402
 from reviewlake import issues, review, session, store  # noqa: E402
 from reviewlake.operators import ml, rollup  # noqa: E402
 
@@ -56,7 +56,7 @@ def main():
     timed("rollup_top_issues", lambda: sink(rollup.top_issues(issues(done))))
     for name in SIMPLE:
         timed(name, lambda: sink(QUERIES[name](spark, FOLDER)))
-    timed("train_six_models", lambda: ml.train(training_rows(spark, FOLDER)))
+    timed("train_six_models", lambda: ml.train(training_rows(spark, FOLDER), partitions=PARTITIONS))
 
     counted = done.agg(F.count("*").alias("files"), F.sum("loc").alias("lines"), F.sum("total").alias("findings")).first()
     seconds = times["review_to_table"]

@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 
 from entries.common import features, long, programs, rounded, table
 from oracle.base import LINES, PROGRAM_FILES, corpus, features as feature_ctes, heuristics
-from reviewlake import review
+from reviewlake import review, store
 from reviewlake.operators import ml, scoring
 from reviewlake.packs.metric_patterns import FEATURES
 
+#: The training rows are bounded: boosting is fastest on few partitions.
+PARTITIONS = 2
 #: Repeated CSS declarations are found by a back-reference, which the checking engine lacks.
 CHECKED_FEATURES = tuple(f for f in FEATURES if f != "duplicate_lines")
 LABELS = ("label_has_bug", "label_has_security_risk", "label_severity", "label_quality_score",
@@ -49,8 +51,9 @@ def scaled(spark, folder):
 
 def split(label):
     def run(spark, folder):
-        known = rows(spark, folder)
-        return ml.split_train(known.where(F.col(label).isNotNull()) if label else known, label).select("id", "is_train")
+        known = rows(spark, folder).select("id", *([label] if label else []))
+        known = store(known.where(F.col(label).isNotNull()) if label else known, "labels")  # read three times
+        return ml.split_train(known, label).select("id", "is_train")
     return run
 
 
@@ -68,7 +71,7 @@ def regression_error(spark, folder):
 
 def fit(model):
     def run(spark, folder):
-        _, scores = ml.train(rows(spark, folder), [model])
+        _, scores = ml.train(rows(spark, folder), [model], partitions=PARTITIONS)
         return spark.createDataFrame([(model, k, float(v)) for k, v in scores[model].items()],
                                      "model string, metric string, value double")
     return run
@@ -77,7 +80,7 @@ def fit(model):
 @lru_cache(maxsize=2)
 def _fitted(spark, folder):
     """All six models; the queries that only read them share one fit."""
-    return ml.train(rows(spark, folder))[0]
+    return ml.train(rows(spark, folder), partitions=PARTITIONS)[0]
 
 
 def batch_scores(spark, folder):

@@ -275,11 +275,11 @@ def regression_error(df: DataFrame, actual: str, predicted: str) -> DataFrame:
                   (1 - F.sum(error * error) / (F.var_pop(actual) * F.count(actual))).alias("r2"))
 
 
-def fit_one(frame: DataFrame, model: str, estimator) -> tuple[Model, dict[str, float]]:
+def fit_one(frame: DataFrame, model: str, estimator, partitions: int | None = None) -> tuple[Model, dict[str, float]]:
     vector = "kernel" if model == "severity_classifier" else "scaled"
     df = labelled(frame, model)
     df = df.select("id", "target", vector, "is_train", *[c for c in ("class_weight",) if c in df.columns])
-    df = df.persist()
+    df = (df if partitions is None else df.coalesce(partitions)).persist()
     fitted = estimator.fit(df.where("is_train"))
     scores = evaluate(model, fitted.transform(df.where("NOT is_train")))
     df.unpersist()
@@ -287,10 +287,12 @@ def fit_one(frame: DataFrame, model: str, estimator) -> tuple[Model, dict[str, f
 
 
 def train(rows: DataFrame, models: list[str] | None = None, trees: int = 100, rounds: int = 150,
-          parallel: int = 6, max_rows: int = MAX_TRAINING_ROWS) -> tuple[Scorers, dict[str, dict[str, float]]]:
+          parallel: int = 6, max_rows: int = MAX_TRAINING_ROWS, partitions: int | None = None) -> tuple[Scorers, dict[str, dict[str, float]]]:
     """Fit the scaler on all rows and the models on their training part.
 
     The fits are independent, so their Spark jobs are submitted side by side.
+    Boosting runs a short job per tree level: for some ten thousand rows a few
+    ``partitions`` are faster than one per core (default: as the table comes).
     """
     started = time.time()
     spark = rows.sparkSession
@@ -302,7 +304,7 @@ def train(rows: DataFrame, models: list[str] | None = None, trees: int = 100, ro
     frame = training_frame(rows, scaler)
     chosen = {k: v for k, v in estimators(trees, rounds).items() if models is None or k in models}
     with ThreadPoolExecutor(parallel) as pool:
-        done = dict(zip(chosen, pool.map(lambda kv: fit_one(frame, *kv), chosen.items())))
+        done = dict(zip(chosen, pool.map(lambda kv: fit_one(frame, *kv, partitions), chosen.items())))
     scorers = Scorers(scaler, {k: m for k, (m, _) in done.items()}, {
         "version": VERSION, "training_samples": frame.count(), "feature_names": list(FEATURES),
         "feature_count": len(FEATURES), "training_time_seconds": round(time.time() - started, 2),
