@@ -41,12 +41,14 @@ def training_labels(spark, folder):
 
 def scaler(spark, folder):
     stats = ml.scaler_stats(rows(spark, folder)).where(F.col("feature").isin(*CHECKED_FEATURES))
-    return stats.select("feature", F.round("mean", 3).alias("mean"), F.round("scale", 3).alias("scale"))
+    # Digits that the order of summation can't change, and no ties of means of a thousand rows.
+    near = lambda c: F.when(F.abs(c) < 1000, F.round(c, 6)).otherwise(F.round(c, 1)).alias(c)
+    return stats.select("feature", near("mean"), near("scale"))
 
 
 def scaled(spark, folder):
     data = rows(spark, folder)
-    return ml.scale(data, ml.fit_scaler(data)).select("id", *[F.round(n, 4).alias(n) for n in CHECKED_FEATURES])
+    return ml.scale(data, ml.fit_scaler(data)).select("id", *[(F.round(n, 4) + 0.0).alias(n) for n in CHECKED_FEATURES])  # no -0.0
 
 
 def split(label):
@@ -123,6 +125,7 @@ def _weights(label: str) -> str:
                  f"/ (count(*) OVER () * count(*)), 6) AS weight FROM rows WHERE {label} IS NOT NULL GROUP BY {label}")
 
 
+_near = lambda x: f"CASE WHEN abs({x}) < 1000 THEN round({x}, 6) ELSE round({x}, 1) END"
 _z = lambda n: f"({n} - avg({n}) OVER ()) / CASE WHEN stddev_pop({n}) OVER () > 0 THEN stddev_pop({n}) OVER () ELSE 1 END"
 
 ENTRIES = {
@@ -130,8 +133,8 @@ ENTRIES = {
     "training_labels": (training_labels, _rows(
         f"SELECT id, label_has_bug, label_has_security_risk, label_severity, {_r(LABELS[3:])} FROM rows")),
     "scaler_statistics": (scaler, _rows(" UNION ALL ".join(
-        f"SELECT '{n}' AS feature, round(avg({n}), 3) AS mean, round(stddev_pop({n}), 3) AS scale FROM rows" for n in CHECKED_FEATURES))),
-    "scaled_features": (scaled, _rows("SELECT id, " + ", ".join(f"round({_z(n)}, 4) AS {n}" for n in CHECKED_FEATURES) + " FROM rows")),
+        f"SELECT '{n}' AS feature, {_near(f'avg({n})')} AS mean, {_near(f'stddev_pop({n})')} AS scale FROM rows" for n in CHECKED_FEATURES))),
+    "scaled_features": (scaled, _rows("SELECT id, " + ", ".join(f"round({_z(n)}, 4) + 0.0::DOUBLE AS {n}" for n in CHECKED_FEATURES) + " FROM rows")),
     "split_stratified": (split("label_severity"), _split("label_severity")),
     "split_labelled": (split("label_has_bug"), _split("label_has_bug", "label_has_bug IS NOT NULL")),
     "split_plain": (split(None), _split("1")),
