@@ -227,11 +227,11 @@ ENTRIES = {
     "user_rules_and_weights": (extra_rules, None),
     "user_language_pack": (user_pack, None),
     "user_own_language": (own_language, corpus(
-        "SELECT path, 'Notes' AS language, count(*) AS loc, count_if(starts_with(stripped, 'Th') OR starts_with(stripped, '|')) AS comment_lines, "
+        "SELECT path, 'Notes' AS language, count(*) AS loc, CAST(count_if(starts_with(stripped, 'Th') OR starts_with(stripped, '|')) AS BIGINT) AS comment_lines, "
         "any_value(len(regexp_extract_all(content, '[\\p{L}\\p{N}_]+ed '))) AS function_count, "
         "any_value(1 + len(regexp_extract_all(content, '(?i) of '))) AS cyclomatic_complexity, CAST(42 AS BIGINT) AS maintainability_index, "
-        "count_if(stripped <> '' AND NOT starts_with(stripped, 'Th')) - count(DISTINCT CASE WHEN stripped <> '' AND NOT starts_with(stripped, 'Th') "
-        "THEN stripped END) AS duplicate_lines, count_if(regexp_matches(lower(raw), '^the([^\\p{L}\\p{N}_]|$)')) AS total FROM lines GROUP BY path",
+        "CAST(count_if(stripped <> '' AND NOT starts_with(stripped, 'Th')) - count(DISTINCT CASE WHEN stripped <> '' AND NOT starts_with(stripped, 'Th') "
+        "THEN stripped END) AS BIGINT) AS duplicate_lines, CAST(count_if(regexp_matches(lower(raw), '^the([^\\p{L}\\p{N}_]|$)')) AS BIGINT) AS total FROM lines GROUP BY path",
         "files AS (SELECT source AS project_id, 'notes/' || doc_id || '.memo' AS path, 'Notes' AS language, "
         "regexp_replace(text, '\\r\\n?', chr(10), 'g') AS content FROM documents)", LINES)),
     "user_rule_patterns": (user_patterns, corpus(
