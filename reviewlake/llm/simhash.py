@@ -234,9 +234,14 @@ def links(buckets: DataFrame, radius: int, similarity: float | None = None) -> D
     """Stars (hi, lo) over all buckets (key, fp), each node once per bucket.
 
     With ``similarity`` the buckets also have a sketch of the node's shingles, and
-    links within the radius must reach that similarity as well.
+    links within the radius must reach that similarity as well.  Nodes are then a wide
+    fingerprint and a digest of the set: equal fingerprints are compared as any others.
     """
 
+    def bits_of(fps):
+        every = np.frombuffer(b"".join(fps), np.uint8).reshape(len(fps), -1)
+        return every if similarity is None else np.ascontiguousarray(every[:, :WIDE_BITS // 8])
+
     def emit(rows):
         return pa.RecordBatch.from_arrays([pa.array([a for a, _ in rows], pa.binary()), pa.array([b for _, b in rows], pa.binary())], ["hi", "lo"])
 
@@ -253,11 +258,11 @@ def links(buckets: DataFrame, radius: int, similarity: float | None = None) -> D
         small = np.flatnonzero((of_row > 1) & (of_row <= SMALL))
         if len(small):
             mine = [fps[i] for i in small]
-            pairs = small_pairs(key[small], np.frombuffer(b"".join(mine), np.uint8).reshape(len(mine), -1), radius)
+            pairs = small_pairs(key[small], bits_of(mine), radius)
             out += stars(pairs, mine, check([sketches[i] for i in small]))
         for s, n in zip(start[size > SMALL], size[size > SMALL], strict=True):
             mine = fps[s:s + n]
-            out += stars(large_pairs(np.frombuffer(b"".join(mine), np.uint8).reshape(n, -1), radius, check(sketches[s:s + n])), mine)
+            out += stars(large_pairs(bits_of(mine), radius, check(sketches[s:s + n])), mine)
         return out
 
     def run(batches):
@@ -327,9 +332,13 @@ WIDE_BITS, ORDERS, SKETCH = 256, 8, 512
 
 
 def similar_radius(similarity: float, bits: int) -> int:
-    """Differing bits of two equally large sets of that similarity, with 3.5 standard deviations to spare."""
-    share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
-    return int(share * bits + 3.5 * np.sqrt(share * (1 - share) * bits))
+    """Differing bits of two sets of that similarity, with five standard deviations to spare.
+
+    Equally large sets differ most.  Small sets differ in more bits than the angle
+    says, as halves count as zero: at most a quarter more (four shingles and five).
+    """
+    share = 1.25 * np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    return int(share * bits + 5 * np.sqrt(share * (1 - share) * bits))
 
 
 def minhashes(h: np.ndarray) -> np.ndarray:
@@ -374,7 +383,8 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8)
                 h = shingle_hashes(text, words)
                 own = minhashes(h)
                 own = own[probe(own)]
-                fps.append(fingerprint(h, WIDE_BITS // 64))
+                h = np.unique(h)
+                fps.append(fingerprint(h, WIDE_BITS // 64) + xxhash.xxh3_128_digest(h.tobytes()))
                 keys.append(own.view(np.int64).tolist())
                 sketches.append(sketch(h) if len(own) else None)
             yield pa.RecordBatch.from_arrays(
@@ -383,7 +393,7 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8)
 
     marked = store(attach(docs).mapInArrow(
         run, f"doc_id {kind}, _text bigint, fp binary, keys array<bigint>, sketch binary"), "fingerprints")
-    # Copies collapse before anything is sent with its sketch.
+    # Equal sets collapse before anything is sent with its sketch.
     nodes = store(marked.where(F.size("keys") > 0).groupBy("fp").agg(F.min(F.struct("sketch", "keys")).alias("n")), "suspects")
     buckets = nodes.select(F.explode("n.keys").alias("key"), "fp", F.col("n.sketch").alias("sketch"))
     return classes(marked, links(buckets, similar_radius(similarity, WIDE_BITS), similarity))

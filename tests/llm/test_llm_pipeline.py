@@ -80,6 +80,29 @@ def test_near_stage(spark, docs):
     assert sorted(kept) == [1, 4, 6, 8]
 
 
+def near_kept(spark, rows):
+    """Ids that the stage keeps, and those it must keep."""
+    frame = odd_docs(spark, rows).select(*COLUMNS)
+    return sorted(texts(STAGE["simhash_near_dedup"](spark, frame, TESTDATA))), sorted(i for i, k in near_classes(rows).items() if i == k)
+
+
+def test_near_stage_repeats(spark):
+    """Repeated shingles count once, and equal fingerprints are no proof."""
+    cycle = " ".join(f"c{n}" for n in range(9))
+    some = lambda tag, n: " ".join(f"{tag}{k}" for k in range(n))
+    rows = [(1, f"{cycle} " * 300 + some("a", 150)), (2, f"{cycle} " * 300 + some("b", 150)),
+            (3, some("d", 150)), (4, some("d", 150) + f" {cycle}" * 300), (5, some("e", 40)), (6, f"{some('e', 40)} " * 2 + some("e", 40))]
+    got, want = near_kept(spark, rows)
+    assert got == want == [1, 2, 3, 5]
+
+
+def test_near_stage_short(spark):
+    """Four shingles against five: the largest differences of fingerprints at 0.8."""
+    rows = [row for n in range(150) for row in ((2 * n, " ".join(f"{n}w{k}" for k in range(8))), (2 * n + 1, " ".join(f"{n}w{k}" for k in range(9))))]
+    got, want = near_kept(spark, rows)
+    assert got == want == list(range(0, 300, 2))
+
+
 def test_leak_stage(spark, docs, tmp_path):
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{TESTDATA}/benchmark.parquet").collect()]
     hits = brute.decontaminate([(r.doc_id, r.text) for r in docs.collect()], items)
