@@ -25,6 +25,7 @@ ignored.
 from __future__ import annotations
 
 import itertools
+from array import array
 from collections import deque
 
 import numpy as np
@@ -236,34 +237,61 @@ def links(buckets: DataFrame, radius: int, similarity: float | None = None) -> D
     With ``similarity`` the buckets also have a sketch of the node's shingles, and
     links within the radius must reach that similarity as well.  Nodes are then a wide
     fingerprint and a digest of the set: equal fingerprints are compared as any others.
+    Then ``sure`` is false for pairs that the sketches leave open; pairs that sure links
+    of their bucket connect are left out.
     """
+    columns = ["hi", "lo"] if similarity is None else ["hi", "lo", "sure"]
 
     def bits_of(fps):
         every = np.frombuffer(b"".join(fps), np.uint8).reshape(len(fps), -1)
         return every if similarity is None else np.ascontiguousarray(every[:, :WIDE_BITS // 8])
 
-    def emit(rows):
-        return pa.RecordBatch.from_arrays([pa.array([a for a, _ in rows], pa.binary()), pa.array([b for _, b in rows], pa.binary())], ["hi", "lo"])
+    def emit(rows, sure=True):
+        arrays = [pa.array([a for a, _ in rows], pa.binary()), pa.array([b for _, b in rows], pa.binary()), pa.array([sure] * len(rows), pa.bool_())]
+        return pa.RecordBatch.from_arrays(arrays[:len(columns)], columns)
 
-    def check(sketches):
-        return (lambda i, j: alike(sketches[i], sketches[j], similarity)) if similarity is not None else None
+    def found(pairs_of, fps, sketches, large):
+        """Stars, and the pairs left open between them, in batches."""
+        if similarity is None:
+            yield emit(stars(pairs_of(None), fps))
+            return
+        left, right = array("q"), array("q")
+
+        def confirmed(i, j):
+            verdict = alike(sketches[i], sketches[j], similarity)
+            if verdict is None:
+                left.append(i)
+                right.append(j)
+            return bool(verdict)
+
+        out = stars(pairs_of(confirmed), fps, None if large else confirmed)
+        yield emit(out)
+        root = dict(out)
+        rows = []
+        for i, j in zip(left, right, strict=True):
+            a, b = fps[i], fps[j]
+            if root.get(a, a) != root.get(b, b):
+                rows.append((a, b) if a > b else (b, a))
+            if len(rows) >= OPEN_ROWS:
+                yield emit(rows, False)
+                rows = []
+        yield emit(rows, False)
 
     def compared(key, fps, sketches):
-        """Stars of complete buckets, sorted by key."""
+        """Links of complete buckets, sorted by key."""
         cut = np.flatnonzero(np.diff(key)) + 1
         start = np.concatenate(([0], cut))
         size = np.diff(np.concatenate((start, [len(key)])))
         of_row = np.repeat(size, size)
-        out = []
         small = np.flatnonzero((of_row > 1) & (of_row <= SMALL))
         if len(small):
             mine = [fps[i] for i in small]
-            pairs = small_pairs(key[small], bits_of(mine), radius)
-            out += stars(pairs, mine, check([sketches[i] for i in small]))
+            planes = bits_of(mine)
+            yield from found(lambda _: small_pairs(key[small], planes, radius), mine, [sketches[i] for i in small], False)
         for s, n in zip(start[size > SMALL], size[size > SMALL], strict=True):
             mine = fps[s:s + n]
-            out += stars(large_pairs(bits_of(mine), radius, check(sketches[s:s + n])), mine)
-        return out
+            planes = bits_of(mine)
+            yield from found(lambda confirmed, planes=planes: large_pairs(planes, radius, confirmed), mine, sketches[s:s + n], True)
 
     def run(batches):
         keys, fps, sketches = [], [], []
@@ -278,13 +306,13 @@ def links(buckets: DataFrame, radius: int, similarity: float | None = None) -> D
             key = np.concatenate(keys)
             whole = int(np.searchsorted(key, key[-1]))
             if whole:
-                yield emit(compared(key[:whole], fps[:whole], sketches[:whole]))
+                yield from compared(key[:whole], fps[:whole], sketches[:whole])
                 keys, fps, sketches = [key[whole:]], fps[whole:], sketches[whole:]
         if keys:
-            yield emit(compared(np.concatenate(keys), fps, sketches))
+            yield from compared(np.concatenate(keys), fps, sketches)
 
     dealt = buckets.repartition(partitions(buckets), "key").sortWithinPartitions("key")
-    return dealt.mapInArrow(run, "hi binary, lo binary")
+    return dealt.mapInArrow(run, "hi binary, lo binary" + ", sure boolean" * (similarity is not None))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -327,8 +355,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, radius: int = 4, bits: int
 
 
 #: For similar shingle sets (Jaccard): bits of the fingerprint, orders of the MinHash
-#: buckets, hashes of a sketch.
-WIDE_BITS, ORDERS, SKETCH = 256, 8, 512
+#: buckets, hashes of a sketch, standard deviations within which a sketch leaves a pair open.
+WIDE_BITS, ORDERS, SKETCH, DOUBT = 256, 8, 512, 5
+#: Open pairs of a batch; nodes whose whole sets are read by a broadcast.
+OPEN_ROWS, HELD_NODES = 1 << 16, 1 << 17
 
 
 def similar_radius(similarity: float, bits: int) -> int:
@@ -351,16 +381,48 @@ def sketch(h: np.ndarray) -> bytes:
     return np.unique((mixed(h, 77) >> np.uint64(32)).astype(np.uint32))[:SKETCH].tobytes()
 
 
-def alike(a: bytes, b: bytes, similarity: float) -> bool:
-    """Jaccard similarity from sketches: exact if both are whole sets, else over the smallest hashes of the union."""
+def alike(a: bytes, b: bytes, similarity: float) -> bool | None:
+    """Is the Jaccard similarity reached?  Exact for whole sets; sketches answer where it is far off, else None."""
     x, y = np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32)
     both = np.sort(np.concatenate((x, y)))
     twice = both[1:] == both[:-1]
     union = len(both) - int(twice.sum())
-    if union > SKETCH and SKETCH in (len(x), len(y)):
+    if max(len(x), len(y)) < SKETCH:
+        return int(twice.sum()) >= similarity * union
+    if union > SKETCH:
         last = both[np.concatenate(([True], ~twice))][SKETCH - 1]
-        twice, union = twice & (both[1:] <= last), SKETCH
-    return int(twice.sum()) >= similarity * union
+        twice = twice & (both[1:] <= last)
+    off = int(twice.sum()) - similarity * SKETCH
+    return None if abs(off) <= DOUBT * np.sqrt(similarity * (1 - similarity) * SKETCH) else bool(off > 0)
+
+
+def settled(docs: DataFrame, marked: DataFrame, found: DataFrame, words: int, similarity: float) -> DataFrame:
+    """Stars (hi, lo) of links (hi, lo, sure): open pairs that sure links do not connect are decided on whole sets."""
+    sure = found.where("sure").select("hi", "lo")
+    if found.where(~F.col("sure")).isEmpty():
+        return sure
+    sure = components(sure)
+    side = lambda end: sure.select(F.col("hi").alias(end), F.col("lo").alias(f"{end}_root"))
+    pairs = found.where(~F.col("sure")).select("hi", "lo").distinct().join(side("hi"), "hi", "left").join(side("lo"), "lo", "left")
+    pairs = store(pairs.where(F.coalesce("hi_root", "hi") != F.coalesce("lo_root", "lo")).select("hi", "lo"), "open")
+    nodes = pairs.select(F.col("hi").alias("fp")).union(pairs.select("lo")).distinct()
+    # One document of each node, read again for its whole set.
+    picked = store(marked.join(nodes, "fp", "left_semi").groupBy("fp").agg(F.min(F.struct("doc_id", "_text")).alias("d")).select("fp", "d.doc_id", "d._text"), "open_nodes")
+    one = same(docs, F.broadcast(picked) if picked.count() <= HELD_NODES else picked, ["doc_id", "_text"], "inner").select("fp", "text").dropDuplicates(["fp"])
+
+    def run(batches):
+        for batch in batches:
+            for fp, text in zip(batch.column("fp").to_pylist(), texts(batch, "text"), strict=True):
+                h = np.unique(shingle_hashes(text, words)).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array([fp], pa.binary()), pa.ListArray.from_arrays(pa.array([0, len(h)], pa.int32()), pa.array(h))], ["fp", "h"])
+
+    sets = store(one.mapInArrow(run, "fp binary, h array<bigint>"), "sets")
+    for end in ("hi", "lo"):
+        pairs = pairs.join(sets.select(F.col("fp").alias(end), F.col("h").alias(f"{end}_set")), end)
+    # i >= s * (n - i) for i common of n hashes in both sets, with i in one place.
+    least = F.lit(similarity / (1 + similarity)) * (F.size("hi_set") + F.size("lo_set"))
+    reached = pairs.where(F.size(F.array_intersect("hi_set", "lo_set")) + F.lit(1e-6) >= least)
+    return sure.union(reached.select("hi", "lo"))
 
 
 def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -369,8 +431,9 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8)
     A similarity of 0.8 changes too many bits for exact blocks.  Here a pair meets if
     any of ``ORDERS`` MinHash values is common (missed with probability
     (1 - similarity) ** ORDERS, 3 in a million at 0.8); the bit-sliced comparison
-    leaves few pairs, and sketches of the shingle sets decide.  Only documents with a
-    MinHash value that the repeat filter reports send a sketch.
+    leaves few pairs, sketches of the shingle sets decide those far from the similarity
+    and whole sets the others.  Only documents with a MinHash value that the repeat
+    filter reports send a sketch, only those of open pairs their set.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     docs = docs.select("doc_id", identity().alias("_text"), "text")
@@ -396,7 +459,8 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8)
     # Equal sets collapse before anything is sent with its sketch.
     nodes = store(marked.where(F.size("keys") > 0).groupBy("fp").agg(F.min(F.struct("sketch", "keys")).alias("n")), "suspects")
     buckets = nodes.select(F.explode("n.keys").alias("key"), "fp", F.col("n.sketch").alias("sketch"))
-    return classes(marked, links(buckets, similar_radius(similarity, WIDE_BITS), similarity))
+    found = store(links(buckets, similar_radius(similarity, WIDE_BITS), similarity), "links")
+    return classes(marked, settled(docs, marked, found, words, similarity))
 
 
 def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:

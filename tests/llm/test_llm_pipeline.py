@@ -103,6 +103,17 @@ def test_near_stage_short(spark):
     assert got == want == list(range(0, 300, 2))
 
 
+def test_near_stage_long(spark):
+    """Pairs of long documents just above and just below 0.8 are told apart exactly."""
+    rows = []
+    for n in range(40):
+        base = " ".join(f"{n}w{k}" for k in range(1500))
+        more = " ".join(f"{n}x{k}" for k in range(368 if n % 2 else 380))  # 1496 shingles of 1864 or 1876: 0.803 or 0.797
+        rows += [(2 * n, base), (2 * n + 1, f"{base} {more}")]
+    got, want = near_kept(spark, rows)
+    assert got == want == sorted([*range(0, 80, 2), *range(1, 80, 4)])
+
+
 def test_leak_stage(spark, docs, tmp_path):
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{TESTDATA}/benchmark.parquet").collect()]
     hits = brute.decontaminate([(r.doc_id, r.text) for r in docs.collect()], items)
