@@ -62,6 +62,9 @@ ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td",
 WALLS = {"li": {"ul", "ol"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "tbody": {"table"}, "tfoot": {"table"}, "option": set()}
 
 PIECE = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|</?[a-zA-Z](?>"[^"]*"|'[^']*'|[^'">])*+>|</?[a-zA-Z][^>]*(?:>|\Z)|[^<]+|<""", re.S)
+#: What ends a raw element; comments of a script may hold a whole inner script.
+CLOSE = {tag: re.compile(rf"</{tag}(?=[\t\n\f\r />])", re.I) for tag in RAW}
+SCRIPT = re.compile(r"<!--(?!-?>)|-->|</?script(?=[\t\n\f\r />])", re.I)
 NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
 ATTRIBUTE = re.compile(r"""\b(class|id|role|style|hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?(?=[\s/>])""", re.I)
 
@@ -79,13 +82,31 @@ class Block:
         self.path, self.tag, self.text, self.zone = path, tag, text, zone
 
 
+def raw_end(page: str, start: int, tag: str) -> int:
+    """Where the content of a raw element that begins at ``start`` ends: its end tag or the end of the page."""
+    comment = inner = False
+    for m in (SCRIPT if tag == "script" else CLOSE[tag]).finditer(page, start):
+        piece = m[0].lower()
+        if piece == "<!--":
+            comment = True
+        elif piece == "-->":
+            comment = inner = False
+        elif piece[1] != "/":
+            inner = comment
+        elif inner:
+            inner = False
+        else:
+            return m.start()
+    return len(page)
+
+
 def cut(page: str | None) -> tuple[list[Block], dict[str, list[str]]]:
     """Blocks that are no known noise, in order, and the children of each element path."""
     blocks: list[Block] = []
     children: dict[str, list[str]] = {}
     stack: list[tuple[str, str, bool, int]] = [("", "", False, 0)]  # tag, path, noise, zone (2 article, 1 main, 0 other)
     parts: list[str] = []
-    skip = None
+    page, pos = page or "", 0
 
     def flush():
         if parts:
@@ -98,12 +119,8 @@ def cut(page: str | None) -> tuple[list[Block], dict[str, list[str]]]:
     def close(upto):
         del stack[upto:]
 
-    for m in PIECE.finditer(page or ""):
-        piece = m[0]
-        if skip:
-            if piece.startswith("</") and NAME.match(piece) and NAME.match(piece)[1].lower() == skip:
-                skip = None
-            continue
+    while m := PIECE.match(page, pos):
+        piece, pos = m[0], m.end()
         if piece[0] != "<" or piece == "<":
             if not stack[-1][2]:
                 parts.append(html.unescape(piece))
@@ -124,7 +141,7 @@ def cut(page: str | None) -> tuple[list[Block], dict[str, list[str]]]:
             continue
         if tag in RAW:
             if piece[-2] != "/":
-                skip = tag
+                pos = raw_end(page, pos, tag)
             continue
         if tag in BLOCKS or tag in ENDS:
             flush()

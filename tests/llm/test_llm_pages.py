@@ -33,6 +33,21 @@ def test_main_text():
     assert text_of('<article><header><h1>t</h1></header><p>x</p><footer>f</footer></article>') == "t\nx"
 
 
+@pytest.mark.parametrize("tag", ["script", "style", "title", "textarea", "noscript", "svg"])
+@pytest.mark.parametrize("inside", ["for(i=0;i<n;i++){a()}", "<!-- x", "a <b 'c", "</%sx> <n", "x</"])
+def test_raw_elements(tag, inside):
+    """Only the end tag of a raw element ends it."""
+    inside = inside.replace("%s", tag)
+    for end in (f"</{tag}>", f"</{tag.upper()} >"):
+        assert text_of(f"<{tag}>{inside}{end}<article><p>x</p></article><{tag}>{inside}{end}<p>y") == "x"
+    assert text_of(f"<p>x</p><{tag}>{inside}") == "x"
+
+
+def test_script_in_comment_of_script():
+    assert text_of("<script><!-- w('<script>a</script>') --></script><p>x") == "x"
+    assert text_of("<script><!--></script><p>x") == text_of("<script><!-- a --> b</script><p>x") == "x"
+
+
 def test_style_tree(spark):
     words = random.Random(3)
     rows = [(n, f"http://Host.example/{n}", PAGE.format(extra=f"<p>{words.random()}</p>")) for n in range(8)]
