@@ -149,3 +149,58 @@ def quality_base(text):
             seen.add(line)
     symbols = len(re.findall(r"[#*$%&|<>]", text))
     return len(w), sum(map(len, w)), symbols, dup, len(repeat), len(w) < 20 or 100 * len(repeat) > 30 * len(w)
+
+
+def alignment(docs, byte_tokenizer, byte_texts, pieces):
+    """Rows (doc_id, text) to (n_a, n_b, n_groups, n_links, n_best, count_sum, sha), by the tokens that hold each byte."""
+    rows, held = [], collections.Counter()
+    for i, text in docs:
+        a = byte_tokenizer.encode(" " + text, add_special_tokens=False).ids if text else []
+        b = pieces.encode(text) if text else []
+        bytes_a, bytes_b = [byte_texts[x] for x in a], []
+        for x in b:
+            p = pieces.id_to_piece(x)
+            bytes_b.append(bytes.fromhex(p[3:5]) if re.fullmatch("<0x..>", p) else p.replace("▁", " ").encode())
+        if not text or not b"".join(bytes_a) == b"".join(bytes_b) == f" {text}".encode():
+            rows.append((i, [], [], [], []))
+            continue
+        of_a = [n for n, x in enumerate(bytes_a) for _ in x]
+        of_b = [n for n, x in enumerate(bytes_b) for _ in x]
+        links = list(dict.fromkeys(zip(of_a, of_b, strict=True)))
+        groups, start = [], 0
+        for at in range(len(of_a)):
+            if at + 1 == len(of_a) or (of_a[at] != of_a[at + 1] and of_b[at] != of_b[at + 1]):
+                groups.append(",".join(str(a[n]) for n in dict.fromkeys(of_a[start:at + 1])) + "|" + ",".join(str(b[n]) for n in dict.fromkeys(of_b[start:at + 1])))
+                start = at + 1
+        pairs = [(a[x], b[y]) for x, y in links]
+        held.update(set(pairs))
+        rows.append((i, a, b, groups, pairs))
+    top = collections.defaultdict(int)
+    for (x, _), n in held.items():
+        top[x] = max(top[x], n)
+    return {i: (len(a), len(b), len(groups), len(pairs), sum(held[p] == top[p[0]] for p in pairs), sum(held[p] for p in pairs),
+                sha(";".join(groups)) if a else "") for i, a, b, groups, pairs in rows}
+
+
+def cheapest_edits(rows):
+    """Rows (initial, must be deleted, truncated) to (cost, audit): every edit sequence no dearer than deleting all rows."""
+    found = []
+
+    def go(i, kept, cost, audit, inserted):
+        if cost > 3 * len(rows):
+            return
+        if i == len(rows) and re.fullmatch("(s?(ua)+)?", kept):
+            found.append((cost, audit))
+        if inserted < 2:
+            for r in "ua":
+                go(i, kept + r, cost + 2, audit + "I", inserted + 1)
+        if i < len(rows):
+            initial, must, late = rows[i]
+            go(i + 1, kept, cost + 3, audit + "D", 0)
+            if not must:
+                go(i + 1, kept + (initial or "x"), cost + late, audit + "K", 0)
+                for r in "ua":
+                    go(i + 1, kept + r, cost + 2 + late, audit + "R", 0)
+
+    go(0, "", 0, "", 0)
+    return min(found)
