@@ -12,6 +12,7 @@ from reviewlake.packs import languages as lang
 from reviewlake.session import shared_folder
 from reviewlake.sources.files import decode, read_files
 from reviewlake.sources.tables import PATH_SHAPES
+from reviewlake.sources.tree import write_tree
 
 FILE_LIMIT = 20
 LISTED = 7
@@ -43,14 +44,12 @@ def _paths(select: str) -> str:
 
 
 def directory_scan(spark, folder):
-    """Write documents as SQL files under one folder per source, then scan the directory."""
+    """Write every document as a file of its own, byte for byte, some in excluded places; then scan the directory."""
     root = shared_folder(spark, "scan")
-    words = table(spark, folder, "documents").select(
-        "source", F.regexp_replace(F.col("text"), r"\s+", " ").alias("value"))
-    words.write.partitionBy("source").option("quote", "\u0000").option("escapeQuotes", False).option(
-        "extension", "sql").csv(f"{root}/src")
-    found = read_files(spark, root, F.regexp_extract(F.col("path"), r"source=([^/]*)", 1))
-    return found.select("project_id", "filename", "language", *long("size"))
+    text = F.when(F.col("size") > 0, F.col("text"))  # the others are empty files
+    write_tree(paths(spark, folder).select(F.concat_ws("/", F.coalesce("project_id", F.lit("none")), "relative_path").alias("relative_path"), text.alias("content")), root)
+    found = read_files(spark, root, F.substring_index("relative_path", "/", 1))
+    return found.select("project_id", "filename", "language", "detected_language", *long("size"), F.md5("content").alias("content_md5"))
 
 
 def prune_dirs(spark, folder):
@@ -138,7 +137,11 @@ _stats = ("count(*) AS count, CAST(sum(size) AS BIGINT) AS total_size, "
           + round1("CAST(count(*) AS DOUBLE) / CAST(sum(count(*)) OVER ({}) AS DOUBLE) * 100") + " AS percentage")
 
 ENTRIES = {
-    "scan_directory": (directory_scan, None),
+    "scan_directory": (directory_scan, _paths(
+        "SELECT coalesce(project_id, 'none') AS project_id, filename, CASE WHEN extension <> '.fish' THEN language END AS language, "
+        f"CASE WHEN extension = '.h' THEN CASE WHEN {_marks} THEN 'C++' ELSE 'C' END ELSE language END AS detected_language, "
+        "CAST(strlen(text) AS BIGINT) AS size, md5(content) AS content_md5 FROM (SELECT p.*, d.text, regexp_replace(d.text, '\\r\\n?', chr(10), 'g') AS content "
+        f"FROM placed p JOIN documents d USING (doc_id)) WHERE {SELECTED} AND strlen(text) > 0")),
     "scan_prune_dirs": (prune_dirs, _paths(f"SELECT doc_id, relative_path FROM placed WHERE {WALKED}")),
     "scan_drop_globs": (drop_globs, _paths(f"SELECT doc_id, relative_path FROM placed WHERE {GLOBS}")),
     "scan_supported_extensions": (keep_supported, _paths("SELECT doc_id, extension FROM placed WHERE language IS NOT NULL")),

@@ -8,6 +8,7 @@ from reviewlake.functions.text import unify_newlines
 from reviewlake.operators.files import detect_language, file_name, pack_language, select_files, size_in_bounds
 from reviewlake.packs.languages import EXTENSIONS
 from reviewlake.packs.own import extensions_of
+from reviewlake.sources import tree
 
 
 def decode(content: Column) -> Column:
@@ -22,33 +23,40 @@ def _relative(path: Column, root: str) -> Column:
     return F.substring(path, F.instr(path, F.lit(plain)) + len(plain), F.length(path))
 
 
-def _listing(spark: SparkSession, root: str, own=()) -> DataFrame:
+def _globbed(spark: SparkSession, root: str, own=()) -> DataFrame:
+    """Files with a supported extension by Spark's own reader, for stores that only Spark can open."""
     either = lambda ext: "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in ext)
-    return (spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-            .option("pathGlobFilter", "*{" + ",".join(map(either, EXTENSIONS | extensions_of(own))) + "}").load(root))
+    found = (spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+             .option("pathGlobFilter", "*{" + ",".join(map(either, EXTENSIONS | extensions_of(own))) + "}").load(root))
+    return found.select("path", _relative(F.col("path"), root).alias("relative_path"), F.col("length").alias("size"),
+                        F.col("modificationTime").alias("mtime"), "content")
+
+
+def _listing(spark: SparkSession, root: str, own=()) -> DataFrame:
+    return tree.list_tree(spark, root) if tree.reachable(root) else _globbed(spark, root, own)
 
 
 def skipped_files(spark: SparkSession, root: str, max_bytes: int, own=()) -> DataFrame:
     """Supported files beyond the limit that a caller has set, with the reason; nothing is opened."""
-    big = _listing(spark, root, own).select("path", F.col("length").alias("size")).where(F.col("size") > max_bytes)
-    return big.withColumn("error", F.concat(F.lit("Larger than "), F.lit(str(max_bytes)), F.lit(" bytes.")))
+    found = select_files(_listing(spark, root, own), None, own).select("path", "size")
+    return found.where(F.col("size") > max_bytes).withColumn("error", F.concat(F.lit("Larger than "), F.lit(str(max_bytes)), F.lit(" bytes.")))
 
 
 def read_files(spark: SparkSession, root: str, project_id: str | Column = "project",
-               max_bytes: int | None = None, own=()) -> DataFrame:
+               max_bytes: int | None = None, own=(), opened=None) -> DataFrame:
     """Reviewable files under ``root`` with decoded content.
 
-    The reader opens only files with a supported extension (``pathGlobFilter``)
-    and, as the size test is pushed to it, none that is empty or beyond
-    ``max_bytes``; ``skipped_files`` lists the latter.
+    The tree is walked without entering excluded and hidden directories, the files are
+    selected by name and size, and only those selected are opened (``opened``, an
+    accumulator, counts them).  Stores that only Spark can open are read by its binary
+    reader, which lists everything and opens what has a supported extension.
     """
-    raw = _listing(spark, root, own).where(size_in_bounds(F.col("length"), max_bytes))
-    found = select_files(raw.select(
-        (project_id if isinstance(project_id, Column) else F.lit(project_id)).alias("project_id"), "path",
-        _relative(F.col("path"), root).alias("relative_path"), F.col("length").alias("size"),
-        F.col("modificationTime").alias("mtime"), "content"), max_bytes, own)
-    text = found.withColumn("content", decode(F.col("content")))
-    return text.select("project_id", "path", "relative_path", file_name(F.col("path")).alias("filename"),
-                       pack_language(F.col("path"), own).alias("language"),
+    if tree.reachable(root):
+        raw = tree.with_content(select_files(tree.list_tree(spark, root), max_bytes, own), opened)
+    else:
+        raw = select_files(_globbed(spark, root, own).where(size_in_bounds(F.col("size"), max_bytes)), max_bytes, own)
+    text = raw.withColumn("content", decode(F.col("content")))
+    return text.select((project_id if isinstance(project_id, Column) else F.lit(project_id)).alias("project_id"), "path", "relative_path",
+                       file_name(F.col("path")).alias("filename"), pack_language(F.col("path"), own).alias("language"),
                        detect_language(F.col("path"), F.col("content"), own).alias("detected_language"),
                        "size", "mtime", "content")

@@ -226,7 +226,7 @@ def path_corpus(documents: DataFrame) -> DataFrame:
     return documents.select(F.col("doc_id"), F.col("source").alias("project_id"), relative.alias("relative_path"),
                             F.concat(F.lit("/data/"), F.col("source"), F.lit("/"), relative).alias("path"),
                             F.when(F.pmod("doc_id", F.lit(97)) == 0, F.lit(0)).otherwise(F.col("n_chars")).alias("size"),
-                            unify_newlines(F.col("text")).alias("content"))
+                            unify_newlines(F.col("text")).alias("content"), F.col("text"))
 
 
 def scan_history(events: DataFrame) -> DataFrame:
