@@ -65,7 +65,8 @@ def _scan_findings(spark, folder):
 def search(**options):
     def run(spark, folder):
         hits = history.search_issues(scans(spark, folder), _scan_findings(spark, folder), **options)
-        return hits.select("analysis_id", "path", "rule_id", "severity", "category", *long("line_number"))
+        return hits.select("analysis_id", "project_id", "path", "language", "rule_id", "title", "description", "severity", "category", *long("line_number"),
+                           F.coalesce("suggestion", F.lit("")).alias("suggestion"), "code_snippet")
     return run
 
 
@@ -144,10 +145,10 @@ def _explained_sql(select: str) -> str:
     return f"{body[:-len(' SELECT')]}, {inner} {select}"
 
 
-_search = ("SELECT analysis_id, path, rule_id, severity, category, line_number FROM (SELECT i.*, "
+_search = ("SELECT analysis_id, project_id, path, language, rule_id, title, description, severity, category, line_number, coalesce(suggestion, '') AS suggestion, code_snippet FROM (SELECT i.*, "
            "CAST(regexp_extract(path, 'src/([0-9]+)', 1) AS BIGINT) AS analysis_id FROM issues i) "
            "JOIN (SELECT event_id AS analysis_id, ts AS created_at FROM events) USING (analysis_id) WHERE {} "
-           "ORDER BY created_at DESC, analysis_id DESC, path, severity_rank, line_number, rule_no LIMIT {}")
+           "ORDER BY created_at DESC, analysis_id DESC, project_id, path, severity_rank, line_number, rule_no LIMIT {}")
 _joined = "lower(title || ' ' || description || ' ' || coalesce(suggestion, '') || ' ' || code_snippet || ' ' || rule_id)"
 
 ENTRIES = {

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from entries.common import found, long, reviewed
+from entries.common import found, long, projects, reviewed, scans, table
+from entries.history import _scans
 from oracle.base import from_issues, from_review, mean, round1
-from reviewlake.operators import history, rules
+from reviewlake.operators import rules
 from reviewlake.operators.scoring import SCORES
 from reviewlake.session import shared_folder, store
-from reviewlake.sources import exports
+from reviewlake.sources import exports, scans as stored
 
 SCAN_TIMES = ("2024-05-01 08:00:00", "2024-06-01 08:00:00")
 
@@ -63,24 +64,43 @@ def sections(form):
 
 
 def scan_append(spark, folder):
-    """Two scans appended to a history partitioned by project, then read for one project."""
-    path = f"{shared_folder(spark, 'history')}/analyses"
+    """Two scans appended to a history, the second one twice, then read back whole."""
+    path = shared_folder(spark, "history")
     done = store(reviewed(spark, folder), "review")
-    for number, when in enumerate(SCAN_TIMES):
-        exports.append_scan(exports.analysis_rows(done, number, when, 12.5), path)
-    back = spark.read.parquet(path).where("project_id = 'src3'")
+    for number in (0, 1, 1):
+        stored.append_scan(spark, exports.analysis_rows(done, number, SCAN_TIMES[number], 12.5), path)
+    back = stored.Snapshot.newest(spark, path).read("analyses")
     return back.select("analysis_id", "project_id", "overall_score", *long("total_files", "total_issues", "critical_issues"))
 
 
-def stored_search(spark, folder):
-    """Two scans stored with their findings, one of them twice, then searched."""
-    path = shared_folder(spark, "scans")
-    done = store(reviewed(spark, folder), "review")
-    for number in (0, 1, 1):
-        exports.store_scan(done, path, number, SCAN_TIMES[number], 12.5)
-    analyses, findings = exports.read_scans(spark, path)
-    hits = history.search_issues(analyses, findings, query="injection", limit=300)
-    return hits.select("analysis_id", "project_id", "path", "rule_id", "severity", *long("line_number"), "description", "code_snippet")
+def stored_search(query, limit):
+    def run(spark, folder):
+        """Two scans stored with their findings and index, one of them twice, then searched."""
+        path = shared_folder(spark, "scans")
+        done = store(reviewed(spark, folder), "review")
+        for number in (0, 1, 1):
+            stored.store_scan(done, path, number, SCAN_TIMES[number], 12.5)
+        hits = stored.search_scans(spark, path, query, limit=limit)
+        return hits.select("analysis_id", "project_id", "path", "rule_id", "severity", *long("line_number"), "description", "code_snippet")
+    return run
+
+
+def stored_projects(spark, folder):
+    """Projects and their scans stored; customers created, failed users deleted with their scans, the rest touched; then read back."""
+    root = shared_folder(spark, "projects")
+    stored.save_projects(projects(spark, folder), root)
+    stored.append_scan(spark, scans(spark, folder).withColumn("analysis_id", F.pmod("analysis_id", F.lit(3))), root)
+    customers = table(spark, folder, "customer").select(
+        (F.col("c_custkey") + 1_000_000).alias("project_id"), F.concat(F.lit("customer"), "c_custkey").alias("name"),
+        F.concat(F.lit("/data/user"), "c_custkey").alias("path"), F.lit(None).cast("timestamp").alias("created_at"),
+        F.lit(None).cast("timestamp").alias("last_analyzed"))
+    missing = {c: F.lit(None).cast(t) for c, t in projects(spark, folder).dtypes if c not in customers.columns}
+    stored.create_projects(customers.withColumns(missing).select(*projects(spark, folder).columns), root)
+    failed = table(spark, folder, "events").where("event_type = 'error' AND value > 90").select(F.col("user_id").alias("project_id"))
+    stored.delete_projects(failed, root)
+    now = stored.touch_projects(spark, root)
+    sizes = now.read("analyses").groupBy("project_id").agg(F.count("*").alias("scans"))
+    return now.read("projects").join(sizes, "project_id", "left").select("project_id", "path", "name", "last_analyzed", "scans")
 
 
 def report_listing(spark, folder):
@@ -116,6 +136,13 @@ def _sections_sql(form: str) -> str:
             + " UNION ALL ".join(parts))
 
 
+def _stored_sql(query: str, limit: int) -> str:
+    return from_issues(
+        "SELECT analysis_id, project_id, path, rule_id, severity, line_number, description, code_snippet FROM (SELECT i.*, CAST(v.n AS BIGINT) AS analysis_id "
+        f"FROM issues i, (VALUES (0), (1)) v(n)) WHERE contains(lower(title || ' ' || description || ' ' || coalesce(suggestion, '') || ' ' || code_snippet "
+        f"|| ' ' || rule_id), '{query}') ORDER BY analysis_id DESC, project_id, path, severity_rank, line_number, rule_no LIMIT {limit}")
+
+
 _number = lambda names: f"('0x' || substr(md5(concat_ws('|', {names})), 1, 8))::BIGINT"
 
 ENTRIES = {
@@ -141,10 +168,13 @@ ENTRIES = {
     "append_scan": (scan_append, from_review(
         f"SELECT CAST(s AS BIGINT) AS analysis_id, project_id, overall_score, total_files, total_issues, critical_issues FROM "
         f"(SELECT project_id, {round1(mean('overall'))} AS overall_score, count(*) AS total_files, CAST(sum(total) AS BIGINT) AS total_issues, "
-        "CAST(sum(critical) AS BIGINT) AS critical_issues FROM reviewed WHERE project_id = 'src3' GROUP BY project_id), (VALUES (0), (1)) v(s)")),
-    "search_stored_scans": (stored_search, from_issues(
-        "SELECT analysis_id, project_id, path, rule_id, severity, line_number, description, code_snippet FROM (SELECT i.*, CAST(v.n AS BIGINT) AS analysis_id "
-        "FROM issues i, (VALUES (0), (1)) v(n)) WHERE contains(lower(title || ' ' || description || ' ' || coalesce(suggestion, '') || ' ' || code_snippet "
-        "|| ' ' || rule_id), 'injection') ORDER BY analysis_id DESC, path, severity_rank, line_number, rule_no LIMIT 300")),
+        "CAST(sum(critical) AS BIGINT) AS critical_issues FROM reviewed GROUP BY project_id), (VALUES (0), (1)) v(s)")),
+    "search_stored_scans": (stored_search("injection", 300), _stored_sql("injection", 300)),
+    "search_stored_snippets": (stored_search("exec", 1000), _stored_sql("exec", 1000)),
+    "stored_projects": (stored_projects, _scans(
+        "SELECT project_id, path, name, CASE WHEN last_analyzed IS NULL THEN newest WHEN newest IS NULL THEN last_analyzed ELSE greatest(last_analyzed, newest) END AS last_analyzed, scans "
+        "FROM (SELECT project_id, path, name, last_analyzed FROM projects UNION ALL SELECT c_custkey + 1000000, '/data/user' || c_custkey, 'customer' || c_custkey, NULL FROM customer "
+        "WHERE '/data/user' || c_custkey NOT IN (SELECT path FROM projects)) LEFT JOIN (SELECT project_id, max(created_at) AS newest, count(*) AS scans FROM scans GROUP BY project_id) "
+        "USING (project_id) WHERE project_id NOT IN (SELECT user_id FROM events WHERE event_type = 'error' AND value > 90)")),
     "list_report_files": (report_listing, None),
 }

@@ -104,7 +104,7 @@ def search_issues(analyses: DataFrame, issues: DataFrame, query: str = "", sever
             found = found.where(F.lower(name) == wanted.lower())
     if query:
         found = found.where(F.contains(search_text(), F.lit(query.lower())))
-    order = [*newest_first(), F.col("path"), F.col("severity_rank"), F.col("line_number"), F.col("detect_seq")]
+    order = [*newest_first(), F.col("project_id"), F.col("path"), F.col("severity_rank"), F.col("line_number"), F.col("detect_seq")]
     return found.orderBy(*order).limit(limit)
 
 

@@ -111,39 +111,6 @@ def analysis_rows(reviewed: DataFrame, scan_id: int, created_at, seconds: float)
                     *[F.col(v).alias(k) for k, v in renamed.items()])
 
 
-#: Hash buckets of projects in a stored scan.
-PROJECT_BUCKETS = 16
-
-
-def _placed(rows: DataFrame, scan_id: int) -> DataFrame:
-    return rows.withColumns({"scan": F.lit(scan_id).cast("long"), "bucket": F.pmod(F.xxhash64("project_id"), F.lit(PROJECT_BUCKETS)).cast("int")})
-
-
-def append_scan(analyses: DataFrame, path: str) -> None:
-    """Append to the history; a scan that is appended again replaces itself.
-
-    Rows go to folders of scan and project bucket, a few files per scan however many
-    projects there are; only the folders that the rows belong to are replaced.
-    """
-    for scan_id in [r.analysis_id for r in analyses.select("analysis_id").distinct().collect()]:  # one scan as a rule
-        rows = _placed(analyses.where(F.col("analysis_id") == scan_id), scan_id)
-        rows.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("scan", "bucket").parquet(path)
-
-
-def store_scan(reviewed: DataFrame, path: str, scan_id: int, created_at, seconds: float, packs=None) -> None:
-    """One scan as two tables, ``analyses`` (summaries) and ``findings`` (every field of every finding)."""
-    from reviewlake.operators.rules import explode_issues
-
-    append_scan(analysis_rows(reviewed, scan_id, created_at, seconds), f"{path}/analyses")
-    found = explode_issues(reviewed, packs).withColumn("analysis_id", F.lit(scan_id).cast("long"))
-    _placed(found, scan_id).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("scan", "bucket").parquet(f"{path}/findings")
-
-
-def read_scans(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """The stored (analyses, findings), as ``history.search_issues`` takes them."""
-    return tuple(spark.read.parquet(f"{path}/{name}").drop("scan", "bucket") for name in ("analyses", "findings"))
-
-
 def report_sections(reviewed: DataFrame, issues: DataFrame, form: str = "markdown") -> DataFrame:
     """Data of a project report as (project_id, section, rank, label, value, extra).
 
