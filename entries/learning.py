@@ -12,8 +12,6 @@ from reviewlake import review, store
 from reviewlake.operators import ml, scoring
 from reviewlake.packs.metric_patterns import FEATURES
 
-#: The training rows are bounded: boosting is fastest on few partitions.
-PARTITIONS = 2
 #: Repeated CSS declarations are found by a back-reference, which the checking engine lacks.
 CHECKED_FEATURES = tuple(f for f in FEATURES if f != "duplicate_lines")
 LABELS = ("label_has_bug", "label_has_security_risk", "label_severity", "label_quality_score",
@@ -28,7 +26,7 @@ def rows(spark, folder):
     return df.join(given, "doc_id", "left").select(
         F.col("doc_id").cast("string").alias("id"), *FEATURES, (1 - F.col("quality")).cast("int").alias("label_has_bug"),
         F.col("toxic").cast("int").alias("label_has_security_risk"), F.col("predicted_severity").alias("label_severity"),
-        *[F.col(c).alias(f"label_{c}") for c in ("quality_score", "maintainability_score", "readability_score")])
+        *[F.col(c).alias(f"label_{c}") for c in ("quality_score", "maintainability_score", "readability_score")], "bug_probability", "security_risk_score")
 
 
 def training_rows(spark, folder):
@@ -71,18 +69,28 @@ def regression_error(spark, folder):
     return ml.regression_error(both, "label_quality_score", "label_readability_score").select(*rounded("mae", "r2"))
 
 
+def score_evaluation(spark, folder):
+    """The rule-based scores as predictions of the given labels, and one score as a guess of another, by all four metrics."""
+    df = store(rows(spark, folder), "rows")  # read once per model
+    guess = lambda model, target, score, prediction: df.where(F.col(target).isNotNull()).select(
+        F.lit(model).alias("model"), "id", F.col(target).cast("double").alias("target"), prediction.cast("double").alias("prediction"), score.alias("score"))
+    bug, risk, readable = F.col("bug_probability"), F.col("security_risk_score"), F.col("label_readability_score")
+    parts = [guess("bug_detector", "label_has_bug", bug, bug > 0.1), guess("security_risk", "label_has_security_risk", risk, risk > 0.1),
+             guess("quality_scorer", "label_quality_score", readable, readable)]
+    return ml.evaluation(parts[0].unionByName(parts[1]).unionByName(parts[2])).select("model", "metric", *rounded("value"))
+
+
 def fit(model):
     def run(spark, folder):
-        _, scores = ml.train(rows(spark, folder), [model], partitions=PARTITIONS)
-        return spark.createDataFrame([(model, k, float(v)) for k, v in scores[model].items()],
-                                     "model string, metric string, value double")
+        _, predictions = ml.train(rows(spark, folder), [model])
+        return ml.evaluation(predictions)
     return run
 
 
 @lru_cache(maxsize=2)
 def _fitted(spark, folder):
     """All six models; the queries that only read them share one fit."""
-    return ml.train(rows(spark, folder), partitions=PARTITIONS)[0]
+    return ml.train(rows(spark, folder))[0]
 
 
 def batch_scores(spark, folder):
@@ -143,6 +151,14 @@ ENTRIES = {
     "regression_error": (regression_error, _rows(
         "SELECT round(avg(abs(label_quality_score - label_readability_score)), 6) AS mae, "
         "round(1 - sum(pow(label_quality_score - label_readability_score, 2)) / (var_pop(label_quality_score) * count(*)), 6) AS r2 FROM rows")),
+    "score_evaluation": (score_evaluation, _rows(
+        "SELECT model, metric, round(value, 6) AS value FROM (" + " UNION ALL ".join(
+            f"SELECT '{model}' AS model, 'accuracy' AS metric, avg(CASE WHEN ({score} > 0.1) = ({label} = 1) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS value FROM rows WHERE {label} IS NOT NULL "
+            f"UNION ALL SELECT '{model}', 'auc', CASE WHEN sum({label}) > 0 AND sum(1 - {label}) > 0 THEN (sum(r) FILTER ({label} = 1) - sum({label}) * (sum({label}) + 1) / 2.0::DOUBLE) "
+            f"/ (sum({label}) * sum(1 - {label})) END FROM (SELECT {label}, rank() OVER (ORDER BY {score}) + (count(*) OVER (PARTITION BY {score}) - 1) / 2.0::DOUBLE AS r FROM rows WHERE {label} IS NOT NULL)"
+            for model, label, score in (("bug_detector", "label_has_bug", "bug_probability"), ("security_risk", "label_has_security_risk", "security_risk_score")))
+        + " UNION ALL SELECT 'quality_scorer', 'mae', avg(abs(label_quality_score - label_readability_score)) FROM rows "
+        "UNION ALL SELECT 'quality_scorer', 'r2', 1 - sum(pow(label_quality_score - label_readability_score, 2)) / (var_pop(label_quality_score) * count(*)) FROM rows)")),
     **{f"train_{name}": (fit(name), None) for name in ml.TARGETS},
     "batch_model_scores": (batch_scores, None),
     "model_metadata": (metadata, None),

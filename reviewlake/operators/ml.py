@@ -6,17 +6,19 @@ import json
 import time
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.ml import Model, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
-from pyspark.ml.evaluation import BinaryClassificationEvaluator, MulticlassClassificationEvaluator
+from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
+from pyspark.ml.regression import RandomForestRegressor
+from pyspark import inheritable_thread_target
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from reviewlake.operators.boosting import BoostedTrees, Boosting
 from reviewlake.operators.metrics import clean_vector
 from reviewlake.packs.metric_patterns import FEATURES
 from reviewlake.session import shared_folder, store
@@ -41,6 +43,12 @@ PENALTY_C = 10.0
 
 #: Labelled rows that training uses at most; a fit needs no more to settle its trees.
 MAX_TRAINING_ROWS = 1_000_000
+#: Rows of a partition of the training frame.
+ROWS_PER_PARTITION = 4096
+#: Labels with two classes.
+TWO_CLASS = ("label_has_bug", "label_has_security_risk")
+#: All nodes of a level in one job.
+WIDE = {"maxMemoryInMB": 2048}
 
 
 # --- scaling ---------------------------------------------------------------
@@ -165,25 +173,20 @@ def kernel_map(vector: Column, n_inputs: int = len(FEATURES), n_outputs: int = K
 
 def estimators(trees: int = 100, rounds: int = 150) -> dict[str, object]:
     """The six learners with the reference settings."""
+    boosted = lambda **settings: BoostedTrees(Boosting(rounds=rounds, step=0.1, sampled=0.8, seed=SEED, **settings), len(FEATURES))
     return {
         "bug_detector": RandomForestClassifier(
             numTrees=trees, maxDepth=12, minInstancesPerNode=5, weightCol="class_weight", seed=SEED,
-            labelCol="target", featuresCol="scaled"),
-        "security_risk": GBTClassifier(
-            maxIter=rounds, maxDepth=6, stepSize=0.1, subsamplingRate=0.8, featureSubsetStrategy="0.8", seed=SEED,
-            labelCol="target", featuresCol="scaled"),
+            labelCol="target", featuresCol="scaled", **WIDE),
+        "security_risk": boosted(depth=6, columns=0.8, logistic=True),
         "severity_classifier": LogisticRegression(
             family="multinomial", regParam=0.5 / PENALTY_C / 100, maxIter=100, weightCol="class_weight",
             labelCol="target", featuresCol="kernel"),
-        "quality_scorer": GBTRegressor(
-            maxIter=rounds, maxDepth=5, stepSize=0.1, subsamplingRate=0.8, minInstancesPerNode=5, seed=SEED,
-            labelCol="target", featuresCol="scaled"),
+        "quality_scorer": boosted(depth=5, least_rows=5),
         "maintainability_scorer": RandomForestRegressor(
             numTrees=trees, maxDepth=10, minInstancesPerNode=5, featureSubsetStrategy="all", seed=SEED,
-            labelCol="target", featuresCol="scaled"),
-        "readability_scorer": GBTRegressor(
-            maxIter=rounds, maxDepth=4, stepSize=0.1, subsamplingRate=0.8, minInstancesPerNode=5, seed=SEED,
-            labelCol="target", featuresCol="scaled"),
+            labelCol="target", featuresCol="scaled", **WIDE),
+        "readability_scorer": boosted(depth=4, least_rows=5),
     }
 
 
@@ -256,60 +259,90 @@ def labelled(frame: DataFrame, model: str) -> DataFrame:
     return with_class_weight(df, label) if model in ("bug_detector", "severity_classifier") else df
 
 
-def evaluate(model: str, predictions: DataFrame) -> dict[str, float]:
-    """Accuracy and AUC for two-class models, accuracy for severity, MAE and R2 else."""
-    if model == "severity_classifier":
-        return {"accuracy": MulticlassClassificationEvaluator(
-            labelCol="target", metricName="accuracy").evaluate(predictions)}
-    if model in ("bug_detector", "security_risk"):
-        accuracy = MulticlassClassificationEvaluator(labelCol="target", metricName="accuracy").evaluate(predictions)
-        auc = BinaryClassificationEvaluator(labelCol="target").evaluate(predictions)
-        return {"accuracy": accuracy, "auc": auc}
-    return regression_error(predictions, "target", "prediction").first().asDict()
+def rank_auc(rows: DataFrame, by: str, target: str, score: str) -> DataFrame:
+    """Exact area under the ROC curve per group: (by, auc), ties counted half; null where a class is missing.
+
+    Equal scores collapse on the map side.  The distinct scores are range partitioned;
+    ranks are taken inside a range, and one row per range carries the negatives below it.
+    """
+    one = F.col(target).cast("long")
+    tied = rows.where(F.col(target).isNotNull() & F.col(score).isNotNull()).groupBy(by, score).agg(F.sum(one).alias("pos"), F.sum(1 - one).alias("neg"))
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # Stored, because a range that is computed again may be cut elsewhere.
+    ranged = store(tied.repartitionByRange(parts, by, score).withColumn("_part", F.spark_partition_id()), "scores")
+    below = Window.partitionBy(by, "_part").orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
+    exact = lambda c: c.cast("decimal(38,0)")
+    pairs = exact(F.col("pos")) * exact(2 * F.coalesce(F.sum("neg").over(below), F.lit(0)) + F.col("neg"))  # twice the pairs won
+    inside = ranged.withColumn("_won", pairs).groupBy(by, "_part").agg(F.sum("_won").alias("won"), F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    earlier = Window.partitionBy(by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row per range
+    whole = inside.withColumn("won", F.col("won") + exact(2 * F.coalesce(F.sum("neg").over(earlier), F.lit(0))) * exact(F.col("pos")))
+    return whole.groupBy(by).agg(F.try_divide(F.sum("won").cast("double"), 2.0 * F.sum("pos") * F.sum("neg")).alias("auc"))
+
+
+def evaluation(predictions: DataFrame) -> DataFrame:
+    """Accuracy and AUC of two-class models, accuracy of the severity, MAE and R2 of the scores: (model, metric, value).
+
+    ``predictions`` has model, id, target, prediction and score (the probability of two-class models).
+    """
+    two = F.col("model").isin([m for m, (label, _, _) in TARGETS.items() if label in TWO_CLASS])
+    classes = two | (F.col("model") == "severity_classifier")
+    right = predictions.where(classes).groupBy("model").agg(F.avg((F.col("target") == F.col("prediction")).cast("double")).alias("value")).withColumn("metric", F.lit("accuracy"))
+    auc = rank_auc(predictions.where(two), "model", "target", "score").select("model", F.col("auc").alias("value"), F.lit("auc").alias("metric"))
+    error = regression_error(predictions.where(~classes), "target", "prediction", "model")
+    errors = error.select("model", F.expr("stack(2, 'mae', mae, 'r2', r2) AS (metric, value)"))
+    return right.unionByName(auc).unionByName(errors).select("model", "metric", "value")
 
 
-def regression_error(df: DataFrame, actual: str, predicted: str) -> DataFrame:
+def regression_error(df: DataFrame, actual: str, predicted: str, *by: str) -> DataFrame:
     """MAE and R2 as one aggregate (sums only, one pass)."""
     error = F.col(actual) - F.col(predicted)
-    return df.agg(F.avg(F.abs(error)).alias("mae"),
-                  (1 - F.sum(error * error) / (F.var_pop(actual) * F.count(actual))).alias("r2"))
+    return df.groupBy(*by).agg(F.avg(F.abs(error)).alias("mae"),
+                               F.when(F.var_pop(actual) > 0, 1 - F.sum(error * error) / (F.var_pop(actual) * F.count(actual))).alias("r2"))
 
 
-def fit_one(frame: DataFrame, model: str, estimator, partitions: int | None = None) -> tuple[Model, dict[str, float]]:
+def fit_one(frame: DataFrame, model: str, estimator) -> tuple[Model, DataFrame]:
+    """The fitted model, and its predictions for the rows that it has not learned from."""
     vector = "kernel" if model == "severity_classifier" else "scaled"
     df = labelled(frame, model)
     df = df.select("id", "target", vector, "is_train", *[c for c in ("class_weight",) if c in df.columns])
-    df = (df if partitions is None else df.coalesce(partitions)).persist()
+    n = df.count()
+    df = df.coalesce(max(1, -(-n // ROWS_PER_PARTITION))).persist()
     fitted = estimator.fit(df.where("is_train"))
-    scores = evaluate(model, fitted.transform(df.where("NOT is_train")))
+    out = fitted.transform(df.where("NOT is_train"))
+    score = F.element_at(vector_to_array("probability"), 2) if TARGETS[model][0] in TWO_CLASS else F.col("prediction")
+    out = store(out.select(F.lit(model).alias("model"), "id", F.col("target"), "prediction", score.alias("score")), "predictions")
     df.unpersist()
-    return fitted, scores
+    return fitted, out
 
 
 def train(rows: DataFrame, models: list[str] | None = None, trees: int = 100, rounds: int = 150,
-          parallel: int = 6, max_rows: int = MAX_TRAINING_ROWS, partitions: int | None = None) -> tuple[Scorers, dict[str, dict[str, float]]]:
-    """Fit the scaler on all rows and the models on their training part.
+          parallel: int = 6, max_rows: int = MAX_TRAINING_ROWS) -> tuple[Scorers, DataFrame]:
+    """Fit the scaler on all rows and the models on their training part; the models, and their predictions for the held-out rows.
 
-    The fits are independent, so their Spark jobs are submitted side by side.
-    Boosting runs a short job per tree level: for some ten thousand rows a few
-    ``partitions`` are faster than one per core (default: as the table comes).
+    The fits are independent, so their Spark jobs are submitted side by side, each in a
+    pool of its own where the cluster schedules fairly.
     """
     started = time.time()
     spark = rows.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:  # boosting cuts its lineage there
+    if spark.sparkContext.getCheckpointDir() is None:  # long fits cut their lineage there
         spark.sparkContext.setCheckpointDir(shared_folder(spark, "checkpoints"))
     rows = store(rows, "rows")  # read by the bound, the scaler and the frame
     rows = bounded(rows, max_rows)
     scaler = fit_scaler(rows)
     frame = training_frame(rows, scaler)
     chosen = {k: v for k, v in estimators(trees, rounds).items() if models is None or k in models}
+
+    def fit(item):
+        spark.sparkContext.setLocalProperty("spark.scheduler.pool", item[0])
+        return fit_one(frame, *item)
+
     with ThreadPoolExecutor(parallel) as pool:
-        done = dict(zip(chosen, pool.map(lambda kv: fit_one(frame, *kv, partitions), chosen.items())))
+        done = dict(zip(chosen, pool.map(inheritable_thread_target(spark)(fit), chosen.items())))
     scorers = Scorers(scaler, {k: m for k, (m, _) in done.items()}, {
         "version": VERSION, "training_samples": frame.count(), "feature_names": list(FEATURES),
         "feature_count": len(FEATURES), "training_time_seconds": round(time.time() - started, 2),
         "algorithms": {k: type(v).__name__ for k, v in chosen.items()}})
-    return scorers, {k: s for k, (_, s) in done.items()}
+    return scorers, reduce(DataFrame.unionByName, [p for _, p in done.values()])
 
 
 def metadata_table(spark, scorers: Scorers) -> DataFrame:
