@@ -106,6 +106,14 @@ def ranks_agree(text: str) -> bool:
     return len(vocabulary) == len(model["vocab"]) and ordered == sorted(ordered) and ordered[0] >= 256 and all(merged(x, rules) == [x] for x in vocabulary)
 
 
+def end_to_end(table: pa.BinaryArray, at: np.ndarray) -> bytes:
+    """Entries of a table, joined: a take lays them one after the other in its buffer."""
+    if not len(at):
+        return b""
+    taken = table.take(pa.array(at))
+    return taken.buffers()[2].to_pybytes()[:int.from_bytes(taken.buffers()[1][4 * len(at):4 * len(at) + 4].to_pybytes(), "little")]
+
+
 class Pair:
     """Both tokenizers, from the contents of their files."""
 
@@ -119,7 +127,8 @@ class Pair:
         self.bytes_b = [self.piece_bytes(i) for i in range(self.pieces.get_piece_size())]
         self.size_a, self.size_b = (np.array([len(x) for x in table], np.int64) for table in (self.bytes_a, self.bytes_b))
         self.ids = max(len(self.bytes_a), len(self.bytes_b))
-        self.signed = [f"{i}{sign}" for sign in ",|;" for i in range(self.ids)]
+        self.signed = pa.array([f"{i}{sign}".encode() for sign in ",|;" for i in range(self.ids)], pa.binary())
+        self.joinable = pa.array(self.bytes_b, pa.binary())
         self.ranked = None
         if fast:
             import tiktoken
@@ -141,21 +150,23 @@ class Pair:
         byte = re.fullmatch("<0x([0-9A-F]{2})>", piece)
         return bytes([int(byte[1], 16)]) if byte else piece.replace("▁", " ").encode()
 
-    def encode(self, texts: list[str]) -> list[tuple[list[int], list[int]]]:
+    def encode(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
         """Ids of both tokenizers for texts that are not empty."""
         both = []
         for text, b in zip(texts, self.pieces.encode(texts, num_threads=1), strict=True):
+            whole = b" " + text.encode()
             if self.ranked is not None and not LONG_SPACE.search(text):
-                a = self.ranked.encode_ordinary(" " + text)
-                given = self.ranked.decode_bytes(a)
+                a = self.ranked.encode_to_numpy(" " + text, disallowed_special=())
+                same = self.size_a[a].sum() == len(whole)  # these tokens are slices of the text one after the other
             else:
                 a = self.ruled.encode(" " + text, add_special_tokens=False).ids
-                given = b"".join(map(self.bytes_a.__getitem__, a))
-            same = given == b" " + text.encode() == b"".join(map(self.bytes_b.__getitem__, b))
-            both.append((a, b) if same else ([], []))
+                same = b"".join(map(self.bytes_a.__getitem__, a)) == whole
+            b = np.array(b, np.int64)
+            both.append((np.asarray(a, np.int64), b) if same and end_to_end(self.joinable, b) == whole else NONE)
         return both
 
 
+NONE = np.zeros(0, np.int64), np.zeros(0, np.int64)
 _PAIRS: dict[str, Pair] = {}
 
 
@@ -219,27 +230,24 @@ class Aligned:
         signed_b[self.cut_b - 1] += 2 * pair.ids
         out[np.arange(len(self.a)) + np.repeat(self.cut_b - from_b, from_a)] = signed_a
         out[np.arange(len(self.b)) + np.repeat(self.cut_a, from_b)] = signed_b
-        return "".join(map(pair.signed.__getitem__, out.tolist()))[:-1]
+        return end_to_end(pair.signed, out)[:-1].decode()
 
 
-def align(a: list[int], b: list[int], pair: Pair) -> Aligned:
-    """Groups and links of one document; groups of one token on either side need no walk."""
-    ids_a, ids_b = np.array(a, np.int64), np.array(b, np.int64)
-    ends_a, ends_b = np.cumsum(pair.size_a[ids_a]), np.cumsum(pair.size_b[ids_b])
-    ends_a, ends_b = ends_a.tolist(), ends_b.tolist()
+def align(a: np.ndarray, b: np.ndarray, pair: Pair) -> Aligned:
+    """Groups and links of one document; only groups of several tokens on both sides need a walk."""
+    ends_a, ends_b = np.cumsum(pair.size_a[a]).tolist(), np.cumsum(pair.size_b[b]).tolist()
     cut_a, cut_b = slices(ends_a, ends_b)
-    from_a, from_b = cut_a - np.diff(cut_a, prepend=0), cut_b - np.diff(cut_b, prepend=0)
-    many = (cut_a - from_a > 1) | (cut_b - from_b > 1)
+    width_a, width_b = np.diff(cut_a, prepend=0), np.diff(cut_b, prepend=0)
+    # A token alone in its group links all tokens on the other side.
+    of_a, of_b = np.repeat(np.arange(len(cut_a)), width_a), np.repeat(np.arange(len(cut_b)), width_b)
+    alone_a, alone_b = width_a[of_b] == 1, (width_b[of_a] == 1) & (width_a[of_a] > 1)
+    plain = a[cut_a[of_b[alone_a]] - 1] << SHIFT | b[alone_a], a[alone_b] << SHIFT | b[cut_b[of_a[alone_b]] - 1]
     links = []
-    for i, x, j, y in zip(from_a[many].tolist(), cut_a[many].tolist(), from_b[many].tolist(), cut_b[many].tolist(), strict=True):
-        if x - i == 1:
-            links += [a[i] << SHIFT | id for id in b[j:y]]
-        elif y - j == 1:
-            links += [id << SHIFT | b[j] for id in a[i:x]]
-        else:
-            links += crossed(a[i:x], b[j:y], ends_a[i:x], ends_b[j:y])
-    plain = ids_a[cut_a[~many] - 1] << SHIFT | ids_b[cut_b[~many] - 1]
-    return Aligned(ids_a, ids_b, cut_a, cut_b, np.concatenate((plain, np.array(links, np.int64))))
+    for g in np.flatnonzero((width_a > 1) & (width_b > 1)).tolist():
+        x, y = cut_a[g], cut_b[g]
+        i, j = x - width_a[g], y - width_b[g]
+        links += crossed(a[i:x].tolist(), b[j:y].tolist(), ends_a[i:x], ends_b[j:y])
+    return Aligned(a, b, cut_a, cut_b, np.concatenate((*plain, np.array(links, np.int64))))
 
 
 def packed(counts: list[np.ndarray]) -> pa.ListArray:
@@ -265,10 +273,10 @@ def encoded(docs: DataFrame, held, groups: bool = False) -> DataFrame:
         some = iter(pair.encode([x for x in texts if x]))
         rows, keys, times = [], [], []
         for text in texts:
-            a, b = next(some) if text else ([], [])
+            a, b = next(some) if text else NONE
             done = align(a, b, pair)
             listed = done.written(pair)
-            rows.append((len(a), len(b), len(done.cut_a), len(done.links), digest(listed.encode()) if a else "", listed))
+            rows.append((len(a), len(b), len(done.cut_a), len(done.links), digest(listed.encode()) if listed else "", listed))
             mine = np.unique(done.links, return_counts=True)
             keys.append(mine[0])
             times.append(mine[1])

@@ -124,7 +124,8 @@ def test_alignment_libraries_agree(tokenizers):
         model = f.read()
     fast, slow = align.Pair(file, model, True), align.Pair(file, model, False)
     texts = [x for x in STRANGE if x] + [r[0] for r in duckdb.sql(f"SELECT text FROM '{TESTDATA}/documents.parquet' WHERE text <> ''").fetchall()]
-    assert fast.encode(texts) == slow.encode(texts)
+    plain = lambda pair: [(a.tolist(), b.tolist()) for a, b in pair.encode(texts)]
+    assert plain(fast) == plain(slow)
 
 
 def test_alignment_groups(spark):
