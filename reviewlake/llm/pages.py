@@ -1,8 +1,10 @@
 """HTML extraction (6): a site style tree weighs the branches of all pages of a host.
 
 1. Each page is cut into blocks with their element paths (tags with their classes).
-   Known presentation elements (menus, footers, adverts, forms, comments ...) are
-   noise on any page.
+   Known presentation elements (menus, footers, forms, scripts ...) are noise on any
+   page.  Class and id words (advert, sidebar, comments ...) mark a block element as
+   noise unless it holds an article, the main element or most of the text, as a
+   wrapper does.
 2. The pages of a host are merged path by path.  A leaf path is worth the entropy of
    its contents over the pages that have it: text that is the same on every page
    carries nothing.  An element path is worth the entropy of its presentations (the
@@ -10,8 +12,8 @@
    Pages, not hosts, are the rows that are added up, with map-side sums.
 3. Branches of low importance on enough pages are removed from each page.
 
-The main text is what is left of the page's articles, else of its main element, else
-of its body.  A branch is never removed if that would leave nothing, or if it is a
+The main text is what is left of the page's articles (unless they are teasers, with less
+than half of the text of the main element), else of its main element, else of its body.  A branch is never removed if that would leave nothing, or if it is a
 heading or paragraph of an article: pages of a host may well share one article.
 
 Low branches (one row per host that has any) are broadcast if their measured size
@@ -42,9 +44,9 @@ BLOCKS = frozenset(
     "h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split())
 EMPTY = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose content is not markup.
-RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes template svg math".split())
+RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes template svg".split())
 #: Elements that are noise wherever they stand.
-NOISE = frozenset("nav footer aside form script style noscript template iframe svg math button select textarea dialog menu head search object canvas".split())
+NOISE = frozenset("nav footer aside form script style noscript template iframe svg button select textarea dialog menu head search object canvas".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar form".split())
 #: Words of class and id values that mark noise.
 MARKS = frozenset(
@@ -52,8 +54,12 @@ MARKS = frozenset(
     "cookies consent gdpr notice notices notification notifications newsletter subscribe subscription signup popup modal overlay lightbox sidebar "
     "sidebars widget widgets menu menus nav navbar navigation breadcrumb breadcrumbs pagination pager footer comment comments commentlist "
     "respond disqus reply replies share sharing social related recommended recommendations teaser teasers login toolbar alert alerts skip".split())
+#: First words of class values that say what a layout has or lacks.
+MODIFIERS = frozenset("has have no not with without is hide hides show shows".split())
 #: Noise outside an article, part of the article inside one.
 OUTER = frozenset(["header", "masthead"])
+#: Words of an article that is none.
+COMMENTS = frozenset("comment comments reply teaser related promo sponsored ad".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 p pre blockquote".split())
 #: An open element of the second kind ends where one of the first starts.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
@@ -70,16 +76,50 @@ ATTRIBUTE = re.compile(r"""\b(class|id|role|style|hidden)(?:\s*=\s*(?:"([^"]*)"|
 
 #: Share of presentation in the importance of a branch; importance of noise; pages that a verdict needs.
 PRESENTATION, LOW, MIN_PAGES = 0.1, 0.3, 4
-#: A low branch inside an article goes only if it holds less than this share of its text.
+#: A low branch inside an article goes only if it alone holds less than this share of its text.
 MINOR = 0.3
+#: A marked element with more than this share of the page's text is a wrapper; articles with less than
+#: this share of the text of a main element are teasers inside it.
+MOST, TEASERS = 0.5, 0.5
 LOW_BYTES = 16 << 20
 
 
 class Block:
-    __slots__ = ("path", "tag", "text", "zone")
+    __slots__ = ("path", "tag", "text", "zone", "mark")
 
-    def __init__(self, path, tag, text, zone):
-        self.path, self.tag, self.text, self.zone = path, tag, text, zone
+    def __init__(self, path, tag, text, zone, mark):
+        self.path, self.tag, self.text, self.zone, self.mark = path, tag, text, zone, mark
+
+
+class Open:
+    """An open element; ``block`` is the nearest block element around its text, itself included."""
+
+    __slots__ = ("tag", "path", "noise", "zone", "mark", "block")
+
+    def __init__(self, tag, path, noise, zone, mark, block):
+        self.tag, self.path, self.noise, self.zone, self.mark, self.block = tag, path, noise, zone, mark, block or self
+
+
+def key(text: str, path: int = 0) -> int:
+    """Signed 64-bit name of a path's next step, or of a content."""
+    return xxhash.xxh64_intdigest(text.encode(), path & 0xFFFFFFFFFFFFFFFF) - (1 << 63)
+
+
+def marked(tag: str, attributes: dict[str, str], zone: int) -> bool:
+    """Whether class and id of a block element speak for noise.
+
+    Outside an article any word of a value does (``cookie-notice``, ``left_sidebar``);
+    inside one all words of it must, and headings and paragraphs are never marked.
+    """
+    if tag not in BLOCKS or tag in ("html", "body", "main") or zone == 2 and tag in HEADINGS:
+        return False
+    for value in (attributes.get("class", "") + " " + attributes.get("id", "")).split():
+        words = [w for w in re.split("[^a-z0-9]+", value) if w]
+        if not words or len(words) > 1 and words[0] in MODIFIERS:
+            continue
+        if (all if zone == 2 else any)(w in MARKS for w in words) or zone < 2 and not OUTER.isdisjoint(words):
+            return True
+    return False
 
 
 def raw_end(page: str, start: int, tag: str) -> int:
@@ -100,11 +140,18 @@ def raw_end(page: str, start: int, tag: str) -> int:
     return len(page)
 
 
-def cut(page: str | None) -> tuple[list[Block], dict[str, list[str]]]:
-    """Blocks that are no known noise, in order, and the children of each element path."""
+def cut(page: str | None) -> tuple[list[Block], dict[int, list[str]], dict[int, int]]:
+    """Blocks that are no known noise, in order, the children of each element path, and the parent of each path.
+
+    Paths are rolling hashes and open tags are counted, so time and memory are linear in
+    the page, however deep it is.
+    """
     blocks: list[Block] = []
-    children: dict[str, list[str]] = {}
-    stack: list[tuple[str, str, bool, int]] = [("", "", False, 0)]  # tag, path, noise, zone (2 article, 1 main, 0 other)
+    children: dict[int, list[str]] = {}
+    parents: dict[int, int] = {}
+    marks: list[list] = [[-1, 0, False]]  # of each marked element: the one around it, text, holds an article or main
+    stack = [Open("", 0, False, 0, 0, None)]  # zone: 2 article, 1 main, 0 other
+    count: dict[str, int] = {}
     parts: list[str] = []
     page, pos = page or "", 0
 
@@ -112,17 +159,23 @@ def cut(page: str | None) -> tuple[list[Block], dict[str, list[str]]]:
         if parts:
             text = " ".join("".join(parts).split())
             parts.clear()
-            tag, path, noise, zone = next(x for x in reversed(stack) if x[0] in BLOCKS or not x[0])
-            if text and not noise:
-                blocks.append(Block(path, tag, text, zone))
+            at = stack[-1].block
+            if text and not at.noise:
+                blocks.append(Block(at.path, at.tag, text, at.zone, at.mark))
+                marks[at.mark][1] += len(text)
 
     def close(upto):
+        for x in stack[upto:]:
+            count[x.tag] -= 1
         del stack[upto:]
 
+    def innermost(tag):
+        return next(i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == tag) if count.get(tag) else 0
+
     while m := PIECE.match(page, pos):
         piece, pos = m[0], m.end()
         if piece[0] != "<" or piece == "<":
-            if not stack[-1][2]:
+            if not stack[-1].noise:
                 parts.append(html.unescape(piece))
             continue
         name = NAME.match(piece)
@@ -130,10 +183,10 @@ def cut(page: str | None) -> tuple[list[Block], dict[str, list[str]]]:
             continue  # comment, declaration, or a tag that the page's end cuts off
         tag = name[1].lower()
         if piece[1] == "/":
-            at = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == tag), 0)
+            at = innermost(tag)
             if tag in BLOCKS:
                 flush()
-            if at and (tag in BLOCKS or not any(x[0] in BLOCKS for x in stack[at + 1:])):
+            if at and (tag in BLOCKS or stack[-1].block is stack[at].block):
                 close(at)
             continue
         if tag == "br":
@@ -145,36 +198,47 @@ def cut(page: str | None) -> tuple[list[Block], dict[str, list[str]]]:
             continue
         if tag in BLOCKS or tag in ENDS:
             flush()
-            if tag in BLOCKS:
-                at = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == "p"), 0)
-                if at:
-                    close(at)
-            if tag in ENDS:
+            if tag in BLOCKS and (at := innermost("p")):
+                close(at)
+            if tag in ENDS and any(count.get(t) for t in ENDS[tag]):
                 for i in range(len(stack) - 1, 0, -1):
-                    if stack[i][0] in WALLS[tag]:
+                    if stack[i].tag in WALLS[tag]:
                         break
-                    if stack[i][0] in ENDS[tag]:
+                    if stack[i].tag in ENDS[tag]:
                         close(i)
         if tag in EMPTY:
             continue
-        _, path, noise, zone = stack[-1]
+        up = stack[-1]
+        path, zone, mark = up.path, up.zone, up.mark
         attributes = {a.lower(): (x or y or z or "").lower() for a, x, y, z in ATTRIBUTE.findall(piece)} if " " in piece or "\n" in piece else {}
-        words = set(re.split(r"[^a-z0-9]+", attributes.get("class", "") + " " + attributes.get("id", "")))
         if tag in BLOCKS:
             own = tag + "".join("." + c for c in sorted(attributes.get("class", "").split()))
             children.setdefault(path, []).append(own)
-            path = f"{path}/{own}"
-        noise = (noise or tag in NOISE or "hidden" in attributes or attributes.get("role") in ROLES or bool(words & MARKS)
-                 or "display:none" in attributes.get("style", "").replace(" ", "") or zone < 2 and (tag == "header" or bool(words & OUTER)))
-        if tag in ("html", "body", "article", "main"):
-            noise = stack[-1][2] or (tag == "article" and bool(words & {"comment", "comments", "reply", "teaser", "related", "promo", "sponsored", "ad"}))
-        stack.append((tag, path, noise, 2 if tag == "article" else max(zone, 1) if tag == "main" else zone))
+            path = key(own, up.path)
+            parents[path] = up.path
+        if tag in ("article", "main"):
+            marks[mark][2] = True
+        elif marked(tag, attributes, zone):
+            marks.append([mark, 0, False])
+            mark = len(marks) - 1
+        noise = up.noise
+        if tag == "article":  # a teaser or a reader's comment may be an article too
+            noise = noise or not COMMENTS.isdisjoint(re.split("[^a-z0-9]+", attributes.get("class", "") + " " + attributes.get("id", "")))
+        elif tag not in ("html", "body", "main"):
+            noise = (noise or tag in NOISE or "hidden" in attributes or attributes.get("role") in ROLES
+                     or "display:none" in attributes.get("style", "").replace(" ", "") or zone < 2 and tag == "header")
+        zone = 2 if tag == "article" else max(zone, 1) if tag == "main" else zone
+        stack.append(Open(tag, path, noise, zone, mark, None if tag in BLOCKS else up.block))
+        count[tag] = count.get(tag, 0) + 1
     flush()
-    return blocks, children
-
-
-def key(path: str) -> int:
-    return xxhash.xxh64_intdigest(path.encode()) - (1 << 63)
+    for up, text, holds in reversed(marks[1:]):  # inner elements come later
+        marks[up][1] += text
+        marks[up][2] |= holds
+    noisy = [False]
+    for up, text, holds in marks[1:]:
+        noisy.append(noisy[up] or not holds and text <= MOST * marks[0][1])
+    kept = [b for b in blocks if not noisy[b.mark]]
+    return kept or blocks, children, parents
 
 
 def style_rows(pages: DataFrame) -> DataFrame:
@@ -184,12 +248,12 @@ def style_rows(pages: DataFrame) -> DataFrame:
         for batch in batches:
             rows = []
             for host, page in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
-                blocks, children = cut(page)
-                content: dict[str, list[str]] = {}
+                blocks, children, parents = cut(page)
+                content: dict[int, list[str]] = {}
                 for b in blocks:
                     content.setdefault(b.path, []).append(b.text)
-                rows += [(host, key(p), key(p.rpartition("/")[0]), True, key("\n".join(t))) for p, t in content.items()]
-                rows += [(host, key(p), 0, False, key(" ".join(c))) for p, c in children.items()]
+                rows += [(host, p, parents.get(p, 0), True, key("\n".join(t))) for p, t in content.items()]
+                rows += [(host, p, 0, False, key(" ".join(c))) for p, c in children.items()]
             host, path, parent, leaf, value = zip(*rows, strict=True) if rows else ((),) * 5
             yield pa.RecordBatch.from_arrays([pa.array(host, pa.string()), pa.array(path, pa.int64()), pa.array(parent, pa.int64()), pa.array(leaf, pa.bool_()),
                                               pa.array(value, pa.int64())], ["host", "path", "parent", "leaf", "value"])
@@ -210,14 +274,16 @@ def importances(pages: DataFrame) -> DataFrame:
 
 
 def main_text(page: str | None, low: set[int]) -> str:
-    blocks, _ = cut(page)
-    zone = max((b.zone for b in blocks), default=0)
-    blocks = [b for b in blocks if b.zone == zone]
+    blocks, *_ = cut(page)
+    size = lambda zone: sum(len(b.text) for b in blocks if b.zone >= zone)
+    zone = 0 if not size(1) else 2 if size(2) >= TEASERS * size(1) and size(2) else 1
+    blocks = [b for b in blocks if b.zone >= zone]
     if low:
-        weak = [key(b.path) in low and not (zone == 2 and b.tag in HEADINGS) for b in blocks]
-        lost, total = sum(len(b.text) for b, w in zip(blocks, weak, strict=True) if w), sum(len(b.text) for b in blocks)
-        if lost < (total * MINOR if zone == 2 else total):
-            blocks = [b for b, w in zip(blocks, weak, strict=True) if not w]
+        held, total = {}, sum(len(b.text) for b in blocks)
+        for b in blocks:
+            held[b.path] = held.get(b.path, 0) + len(b.text)
+        goes = lambda b: b.path in low and (zone < 2 or b.tag not in HEADINGS and held[b.path] < total * MINOR)
+        blocks = [b for b in blocks if not goes(b)] or blocks
     return "\n".join(b.text for b in blocks)
 
 
