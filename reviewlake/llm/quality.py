@@ -182,7 +182,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS)
             rows = [statistics(t)[1] for t in texts(batch, "text")]
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.float64())), batch.column("quality")], ["x", "quality"])
 
-    rows = sample.mapInArrow(run, "x array<double>, quality double").orderBy("quality", "x").limit(2 * max_rows).toArrow()
+    rows = sample.mapInArrow(run, "x array<double>, quality double").orderBy(F.xxhash64("x"), "quality", "x").limit(2 * max_rows).toArrow()  # repeated documents lose no class
     x = np.array(rows["x"].to_pylist(), float).reshape(-1, len(FEATURES))
     return x, (rows["quality"].to_numpy() >= 0.5).astype(float)
 
