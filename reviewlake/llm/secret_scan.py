@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reviewlake.functions.literals import PatternReader, all_of, any_of
+from reviewlake.functions.text import FOLDED_SPECIALLY
 from reviewlake.llm.common import table
 
 
@@ -57,13 +58,28 @@ MORE = (
 )
 
 def trigrams(strings) -> object:
-    """A text must hold all trigrams of one of the strings."""
-    return any_of(all_of(*(s[i:i + 3] for i in range(len(s) - 2))) for s in strings)
+    """A text must hold all ASCII trigrams of one of the strings (other letters fold in ways of their own)."""
+    return any_of(all_of(*(s[i:i + 3] for i in range(len(s) - 2) if s[i:i + 3].isascii())) for s in strings)
 
 
 def query_of(pattern: str) -> object:
-    """Boolean trigram query of a regex over case-folded text; None is always true."""
-    return PatternReader(pattern, trigrams).query()
+    """Boolean trigram query of a regex over folded text; None is always true, as for a regex that the reader can't read."""
+    try:
+        re.compile(pattern)
+    except re.error as e:
+        raise ValueError(f"no regex: {pattern}") from e
+    try:
+        return PatternReader(pattern, trigrams).query()
+    except ValueError:
+        return None
+
+
+def fold(text: str) -> bytes:
+    """Lower case in which every character that matches an ASCII letter in any case is that letter."""
+    if not text.isascii():
+        for odd, plain in FOLDED_SPECIALLY.items():
+            text = text.replace(odd, plain)
+    return text.lower().encode()
 
 
 def trigrams_of(query) -> set[str]:
@@ -87,7 +103,7 @@ def candidates(query, postings: dict[str, np.ndarray], every: np.ndarray) -> np.
 
 def spans_in(texts: list[str], rules, queries, wanted: list[bytes]) -> list[list[tuple[int, int, int]]]:
     """(start, rule, end) of every text of a segment."""
-    folded = [x.encode().lower() for x in texts]
+    folded = [fold(x) for x in texts]
     postings = {t.decode(): np.array([i for i, x in enumerate(folded) if t in x], np.int64) for t in wanted}
     every, out = np.arange(len(texts)), [[] for _ in texts]
     for n, (rule, query) in enumerate(zip(rules, queries, strict=True)):
