@@ -134,10 +134,10 @@ def format_records(df: DataFrame, key: str, record: str, layouts=None) -> DataFr
     def one(text):
         try:
             value = json.loads(text) if text is not None else None
-        except ValueError:
-            value = None
-        name = found.get(fingerprint(field_paths(value) & known)) if isinstance(value, dict) else None
-        if name is None:
+            name = found.get(fingerprint(field_paths(value) & known)) if isinstance(value, dict) else None
+        except (ValueError, RecursionError):  # no JSON, or nested beyond what any layout has
+            name = None
+        if name is None or "each" in layouts[name] and not all(isinstance(x, dict) for x in value[layouts[name]["each"]]):
             return None, None, None, None
         turns = turns_of(value, layouts[name])
         formatted, mask = render(turns)

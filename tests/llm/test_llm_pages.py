@@ -48,6 +48,36 @@ def test_script_in_comment_of_script():
     assert text_of("<script><!--></script><p>x") == text_of("<script><!-- a --> b</script><p>x") == "x"
 
 
+@pytest.mark.parametrize("wrapper", ["content has-sidebar", "no-sidebar", "ad-free", "right-sidebar-layout", "nav-open", "site menu-open widget", "sidebar"])
+def test_wrappers_are_no_noise(wrapper):
+    """Marks on an element around the article, the main element or most of the text."""
+    inside = "<h1>Head</h1><p>Some text of the story that goes on.</p>"
+    for page in (f"<article>{inside}</article>", f"<main>{inside}</main>", f"<div>{inside}</div>"):
+        assert text_of(f'<body class="{wrapper}"><div id="x" class="{wrapper}">{page}</div><div class="sidebar">Links</div></body>') == "Head\nSome text of the story that goes on."
+
+
+def test_marks_inside_articles():
+    assert text_of('<article><p id="notice">a</p><p class="social science">b</p><section id="related-work">c</section></article>') == "a\nb\nc"
+    assert text_of('<article><p>x <span class="hljs-comment">// y</span> <b class="alert-word">z</b> <math><mi>m</mi></math></p></article>') == "x // y z m"
+    assert text_of('<article><p>x and more</p><div class="ad-banner">buy</div><div class="related">r</div><div class="share">s</div></article>') == "x and more"
+    assert text_of('<main><p>The long story of the page itself.</p><article class="card">one teaser</article></main>') == "The long story of the page itself.\none teaser"
+    assert text_of('<main><article><p>The long story of the page itself.</p></article><p>by me</p></main>') == "The long story of the page itself."
+
+
+@pytest.mark.parametrize("tag", ['<div class="abc">', "<b>", "<li>", "<p><span>", "<ul><li>", "</div>", "<td>", "<section></b>"])
+def test_deep_pages_are_linear(tag):
+    """100 000 open elements in seconds, and their text is whole."""
+    import time
+    import tracemalloc
+
+    started = time.time()
+    tracemalloc.start()
+    text = text_of(f"<div>{tag}x " * 50_000 + "<article>end</article>")
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert text == "end" and time.time() - started < 40 and peak < 300e6
+
+
 def test_style_tree(spark):
     words = random.Random(3)
     rows = [(n, f"http://Host.example/{n}", PAGE.format(extra=f"<p>{words.random()}</p>")) for n in range(8)]
@@ -99,6 +129,18 @@ def test_index_loses_nothing(spark):
         assert bool(want) == (text != "nothing")
 
 
+@pytest.mark.parametrize("pattern, text", [
+    ("(?i)token", "my TO\u212aEN"), ("(?i)secret", "\u017fECRET"), ("(?i)ключ", "КЛЮЧ 5"), ("(?i)title", "T\u0130TLE t\u0131tle"), ("(?i)σοφος", "ΣΟΦΟΣ"), ("straße", "straße"),
+    ("(?x) abc  def", "abcdef"), ("(?-i:abc)d", "abcd"), ("[[a-z]+]x", "[q]x"), ("(?P<n>ab)(?P=n)", "abab"), ("é{2}token", "éétoken")])
+def test_user_rules_through_the_index(spark, pattern, text):
+    """Rules with letters that fold beyond ASCII, and rules that the reader can't read, find what their regex finds."""
+    import re
+
+    frame = spark.createDataFrame([(1, text), (2, "nothing")], "doc_id int, text string")
+    got = {r.doc_id: [(s.start, s.end) for s in r.spans] for r in secret_scan.find_secrets(frame, (secret_scan.SecretRule("own", pattern),)).collect()}
+    assert got == {1: [m.span() for m in re.finditer(pattern, text)], 2: []} and got[1]
+
+
 def test_language_accuracy(spark):
     rows = queries()["op2_language"](spark, "/root/testdata/sf0.01").collect()
     truth = {r.doc_id: r.lang for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
@@ -135,6 +177,13 @@ def test_quality_model(spark):
     assert quality.train(docs, labels.where("quality = 1")) is None
 
 
+def test_quality_bound_keeps_both_classes(spark):
+    docs = spark.createDataFrame([(n % 20, f"text {n % 20} " * (5 + n % 20)) for n in range(80)], "doc_id int, text string")
+    labels = spark.createDataFrame([(n, n % 2) for n in range(20)], "doc_id int, quality int")
+    _, y = quality.training_rows(docs, labels, 20)
+    assert 0 < y.sum() < len(y) <= 40
+
+
 def test_layouts(spark):
     records = [
         {"messages": [{"role": "user", "content": "q"}, {"role": "assistant", "content": "a"}], "id": 3},
@@ -143,14 +192,14 @@ def test_layouts(spark):
         {"question": "q", "answer": "a"}, {"prompt": {"user": "q"}, "response": {"text": "a"}}, {"dialog": [{"speaker": "user", "utterance": "q"}, {"speaker": "bot", "utterance": "a"}]},
     ]
     extra = [{"instruction": "q", "input": "more", "output": "a"}, {"system": "s", "prompt": "q", "completion": "a"}, {"messages": []}]
-    unknown = [None, "no json", "[1]", '{"x": 1}']
+    unknown = [None, "no json", "[1]", '{"x": 1}', '{"messages":[5]}', '{"conversations":["a"]}', "[" * 100_000, '{"messages":' + "[" * 900 + "]" * 900 + "}"]
     rows = list(enumerate([json.dumps(r) for r in records + extra] + unknown))
     got = {r.k: r for r in chat.format_records(spark.createDataFrame(rows, "k int, record string"), "k", "record").collect()}
     for n in range(len(records)):
         assert [tuple(t) for t in got[n].turns] == [("user", "q"), ("assistant", "a")], n
     assert [tuple(t) for t in got[8].turns] == [("user", "q\n\nmore"), ("assistant", "a")]
     assert got[9].turns[0] == ("system", "s") and got[10].turns == [] and got[10].formatted == ""
-    assert all(got[n].layout is None and got[n].formatted is None for n in range(11, 15))
+    assert all(got[n].layout is None and got[n].formatted is None for n in range(11, 19))
     assert len({r.layout for r in got.values()}) == len(chat.LAYOUTS) + 1
 
 
