@@ -56,7 +56,8 @@ def main():
     timed("rollup_top_issues", lambda: sink(rollup.top_issues(issues(done))))
     for name in SIMPLE:
         timed(name, lambda: sink(QUERIES[name](spark, FOLDER)))
-    timed("train_six_models", lambda: ml.train(training_rows(spark, FOLDER), partitions=PARTITIONS))
+    timed("training_rows", lambda: state.update(rows=store(training_rows(spark, FOLDER), "rows")))
+    timed("train_six_models", lambda: ml.train(state["rows"]))
 
     counted = done.agg(F.count("*").alias("files"), F.sum("loc").alias("lines"), F.sum("total").alias("findings")).first()
     seconds = times["review_to_table"]

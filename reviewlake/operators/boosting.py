@@ -17,6 +17,7 @@ from __future__ import annotations
 import base64
 import json
 import uuid
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -30,6 +31,7 @@ from reviewlake.session import shared_folder
 
 #: Bins of a feature, rows of a task, and the unit in which gradients are summed.
 BINS, ROWS_PER_TASK, UNIT = 32, 16_384, float(1 << 20)
+QUANTILE_ERROR = 0.001
 NODE = "tree int, node int, feature int, threshold double, below int, above int, value double, gain double, rows bigint"
 
 
@@ -48,12 +50,10 @@ class Boosting:
 
 
 def cuts(frame: DataFrame, vector: str, size: int) -> list[list[float]]:
-    """Thresholds of each feature, from approximate quantiles of its values; one aggregate."""
-    x = frame.select(vector_to_array(vector).alias("x"))
-    shares = [i / BINS for i in range(1, BINS)]
-    each = [F.array_distinct(F.array_append(F.percentile_approx(F.col("x")[i], shares, 10_000), F.max(F.col("x")[i]))) for i in range(size)]
-    row = x.agg(*[e.alias(f"f{i}") for i, e in enumerate(each)]).first()
-    return [sorted(v)[:-1] if v else [] for v in row]  # nothing lies above the largest value
+    """Thresholds of each feature: quantiles of its values without the largest, above which nothing lies; one job."""
+    x = frame.select(vector_to_array(vector).alias("x")).select(*[F.col("x")[i].alias(f"f{i}") for i in range(size)])
+    shares = [i / BINS for i in range(1, BINS)] + [1.0]
+    return [sorted(set(v))[:-1] for v in x.approxQuantile(x.columns, shares, QUANTILE_ERROR)]
 
 
 def _uniform(h: np.ndarray, salt: int) -> np.ndarray:
@@ -177,13 +177,14 @@ def _barrier_total(task):
     return total
 
 
-def grow(frame: DataFrame, vector: str, target: str, key: str, spec: Boosting, size: int, tasks: int | None = None) -> DataFrame:
+def grow(frame: DataFrame, vector: str, target: str, key: str, spec: Boosting, size: int, tasks: int | None = None,
+         thresholds: list[list[float]] | None = None) -> DataFrame:
     """Nodes of all trees; tree -1 is the constant that boosting starts from.  One barrier job."""
     spark = frame.sparkSession
     n = frame.count()
     if not n:
         return spark.createDataFrame([(-1, 0, -1, 0.0, -1, -1, 0.0, 0.0, 0)], NODE)  # nothing to learn from: the constant 0
-    thresholds = cuts(frame, vector, size)
+    thresholds = thresholds or cuts(frame, vector, size)
     tasks = tasks or max(1, min(spark.sparkContext.defaultParallelism, -(-n // ROWS_PER_TASK)))
 
     def run(batches):
@@ -234,7 +235,7 @@ def native_model(nodes: DataFrame, spec: Boosting, size: int, native, path: str)
     head = _described(kind, params, defaults, spark, numFeatures=size, numTrees=trees)
     tree_defaults = {k: v for k, v in defaults.items() if k in ("featuresCol", "labelCol", "predictionCol", "leafCol", "maxBins", "maxDepth")}
     tree = _described("regression.DecisionTreeRegressionModel", {}, tree_defaults, spark)
-    spark.createDataFrame([(head,)], "value string").coalesce(1).write.text(f"{path}/metadata")
+    spark.range(1).coalesce(1).select(F.lit(head).alias("value")).write.text(f"{path}/metadata")
     spark.range(trees).select(F.col("id").cast("int").alias("_1"), F.lit(tree).alias("_2"), F.lit(1.0).alias("_3")).coalesce(1).write.parquet(f"{path}/treesMetadata")
     return (GBTClassificationModel if spec.logistic else GBTRegressionModel).load(path)
 
@@ -248,6 +249,7 @@ class BoostedTrees:
     features: str = "scaled"
     label: str = "target"
     key: str = "id"
+    thresholds: Callable[[], list[list[float]]] | None = None  # gives those shared by the models of one frame
 
     def native(self):
         s = self.spec
@@ -259,5 +261,5 @@ class BoostedTrees:
         spark = rows.sparkSession
         if spark.conf.get("spark.dynamicAllocation.enabled", "false") == "true":  # Spark allows no barriers then
             return self.native().fit(rows)
-        nodes = grow(rows, self.features, self.label, self.key, self.spec, self.size)
+        nodes = grow(rows, self.features, self.label, self.key, self.spec, self.size, thresholds=self.thresholds and self.thresholds())
         return native_model(nodes, self.spec, self.size, self.native(), shared_folder(spark, "boosted"))

@@ -18,7 +18,7 @@ from pyspark import inheritable_thread_target
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from reviewlake.operators.boosting import BoostedTrees, Boosting
+from reviewlake.operators.boosting import BoostedTrees, Boosting, cuts
 from reviewlake.operators.metrics import clean_vector
 from reviewlake.packs.metric_patterns import FEATURES
 from reviewlake.session import shared_folder, store
@@ -44,7 +44,7 @@ PENALTY_C = 10.0
 #: Labelled rows that training uses at most; a fit needs no more to settle its trees.
 MAX_TRAINING_ROWS = 1_000_000
 #: Rows of a partition of the training frame.
-ROWS_PER_PARTITION = 4096
+ROWS_PER_PARTITION = 2048
 #: Labels with two classes.
 TWO_CLASS = ("label_has_bug", "label_has_security_risk")
 #: All nodes of a level in one job.
@@ -171,9 +171,10 @@ def kernel_map(vector: Column, n_inputs: int = len(FEATURES), n_outputs: int = K
     return array_to_vector(project(vector_to_array(vector)))
 
 
-def estimators(trees: int = 100, rounds: int = 150) -> dict[str, object]:
-    """The six learners with the reference settings."""
-    boosted = lambda **settings: BoostedTrees(Boosting(rounds=rounds, step=0.1, sampled=0.8, seed=SEED, **settings), len(FEATURES))
+def estimators(trees: int = 100, rounds: int = 150, thresholds=None) -> dict[str, object]:
+    """The six learners with the reference settings; boosted ones share the thresholds of their frame."""
+    boosted = lambda **settings: BoostedTrees(
+        Boosting(rounds=rounds, step=0.1, sampled=0.8, seed=SEED, **settings), len(FEATURES), thresholds=thresholds)
     return {
         "bug_detector": RandomForestClassifier(
             numTrees=trees, maxDepth=12, minInstancesPerNode=5, weightCol="class_weight", seed=SEED,
@@ -300,13 +301,12 @@ def regression_error(df: DataFrame, actual: str, predicted: str, *by: str) -> Da
                                F.when(F.var_pop(actual) > 0, 1 - F.sum(error * error) / (F.var_pop(actual) * F.count(actual))).alias("r2"))
 
 
-def fit_one(frame: DataFrame, model: str, estimator) -> tuple[Model, DataFrame]:
+def fit_one(frame: DataFrame, rows: int, model: str, estimator) -> tuple[Model, DataFrame]:
     """The fitted model, and its predictions for the rows that it has not learned from."""
     vector = "kernel" if model == "severity_classifier" else "scaled"
     df = labelled(frame, model)
     df = df.select("id", "target", vector, "is_train", *[c for c in ("class_weight",) if c in df.columns])
-    n = df.count()
-    df = df.coalesce(max(1, -(-n // ROWS_PER_PARTITION))).persist()
+    df = df.coalesce(max(1, -(-rows // ROWS_PER_PARTITION))).persist()
     fitted = estimator.fit(df.where("is_train"))
     out = fitted.transform(df.where("NOT is_train"))
     score = F.element_at(vector_to_array("probability"), 2) if TARGETS[model][0] in TWO_CLASS else F.col("prediction")
@@ -330,16 +330,20 @@ def train(rows: DataFrame, models: list[str] | None = None, trees: int = 100, ro
     rows = bounded(rows, max_rows)
     scaler = fit_scaler(rows)
     frame = training_frame(rows, scaler)
-    chosen = {k: v for k, v in estimators(trees, rounds).items() if models is None or k in models}
+    samples = frame.count()
+    wanted = [k for k in TARGETS if models is None or k in models]
 
     def fit(item):
         spark.sparkContext.setLocalProperty("spark.scheduler.pool", item[0])
-        return fit_one(frame, *item)
+        return fit_one(frame, samples, *item)
 
-    with ThreadPoolExecutor(parallel) as pool:
+    with ThreadPoolExecutor(parallel + 1) as pool:
+        boosted = any(isinstance(v, BoostedTrees) for k, v in estimators().items() if k in wanted)
+        thresholds = pool.submit(cuts, frame, "scaled", len(FEATURES)).result if boosted else None  # while the forests grow
+        chosen = {k: estimators(trees, rounds, thresholds)[k] for k in wanted}
         done = dict(zip(chosen, pool.map(inheritable_thread_target(spark)(fit), chosen.items())))
     scorers = Scorers(scaler, {k: m for k, (m, _) in done.items()}, {
-        "version": VERSION, "training_samples": frame.count(), "feature_names": list(FEATURES),
+        "version": VERSION, "training_samples": samples, "feature_names": list(FEATURES),
         "feature_count": len(FEATURES), "training_time_seconds": round(time.time() - started, 2),
         "algorithms": {k: type(v).__name__ for k, v in chosen.items()}})
     return scorers, reduce(DataFrame.unionByName, [p for _, p in done.values()])
