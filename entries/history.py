@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from entries.common import found, long, projects, reviewed, rounded, scans, table
 from oracle.base import from_issues
 from reviewlake.operators import enrich, history, rules
+from reviewlake.packs.explanations import FIELDS
 
 SUMMARY = history.SUMMARY
 SCANS = (
@@ -113,7 +114,7 @@ def dashboard(spark, folder):
 
 def explained(spark, folder):
     return enrich.explain(found(spark, folder)).select(
-        "path", "rule_id", *long("line_number"), "problematic_explain", "best_practice", "standards", "difficulty", "confidence")
+        "path", "rule_id", *long("line_number"), *FIELDS)
 
 
 def standards(spark, folder):
@@ -137,7 +138,7 @@ def _explained_sql(select: str) -> str:
 
     d = {f: text(v) for f, v in zip(FIELDS, DEFAULTS)}
     quoted = "CASE WHEN code_snippet <> '' THEN code_snippet ELSE 'at line ' || line_number END"
-    cells = [f"coalesce(t.{f}, {d[f]}) AS {f}" for f in ("best_practice", "standards", "difficulty", "confidence")]
+    cells = [f"coalesce(t.{f}, {d[f]}) AS {f}" for f in FIELDS if f != "problematic_explain"]
     explain = f"coalesce(t.problematic_explain, replace({d['problematic_explain']}, '{{fragment}}', {quoted})) AS problematic_explain"
     inner = (f"{_explanation_ctes()}, explained AS (SELECT k.path, k.rule_id, k.line_number, {explain}, {', '.join(cells)} "
              "FROM keyed k LEFT JOIN texts t ON t.explained_by = k.key)")
@@ -191,7 +192,7 @@ ENTRIES = {
         "SELECT (SELECT count(*) FROM scans) AS total_analyses, (SELECT count(*) FROM projects) AS total_projects, "
         + ", ".join(f"{c} AS latest_{c}" for c in SUMMARY) + " FROM scans ORDER BY created_at DESC, analysis_id DESC LIMIT 1")),
     "explain_findings": (explained, _explained_sql(
-        "SELECT path, rule_id, line_number, problematic_explain, best_practice, standards, difficulty, confidence FROM explained")),
+        f"SELECT path, rule_id, line_number, {', '.join(FIELDS)} FROM explained")),
     "standards_rollup": (standards, _explained_sql(
         "SELECT standard, count(*) AS findings FROM (SELECT unnest(string_split(standards, ', ')) AS standard FROM explained) GROUP BY standard")),
 }

@@ -12,8 +12,6 @@ from reviewlake import review, store
 from reviewlake.operators import ml, scoring
 from reviewlake.packs.metric_patterns import FEATURES
 
-#: Repeated CSS declarations are found by a back-reference, which the checking engine lacks.
-CHECKED_FEATURES = tuple(f for f in FEATURES if f != "duplicate_lines")
 LABELS = ("label_has_bug", "label_has_security_risk", "label_severity", "label_quality_score",
           "label_maintainability_score", "label_readability_score")
 
@@ -30,7 +28,7 @@ def rows(spark, folder):
 
 
 def training_rows(spark, folder):
-    return rows(spark, folder).select("id", *rounded(*CHECKED_FEATURES))
+    return rows(spark, folder).select("id", *rounded(*FEATURES))
 
 
 def training_labels(spark, folder):
@@ -38,7 +36,7 @@ def training_labels(spark, folder):
 
 
 def scaler(spark, folder):
-    stats = ml.scaler_stats(rows(spark, folder)).where(F.col("feature").isin(*CHECKED_FEATURES))
+    stats = ml.scaler_stats(rows(spark, folder))
     # Digits that the order of summation can't change, and no ties of means of a thousand rows.
     near = lambda c: F.when(F.abs(c) < 1000, F.round(c, 6)).otherwise(F.round(c, 1)).alias(c)
     return stats.select("feature", near("mean"), near("scale"))
@@ -46,7 +44,7 @@ def scaler(spark, folder):
 
 def scaled(spark, folder):
     data = rows(spark, folder)
-    return ml.scale(data, ml.fit_scaler(data)).select("id", *[(F.round(n, 4) + 0.0).alias(n) for n in CHECKED_FEATURES])  # no -0.0
+    return ml.scale(data, ml.fit_scaler(data)).select("id", *[(F.round(n, 4) + 0.0).alias(n) for n in FEATURES])  # no -0.0
 
 
 def split(label):
@@ -137,12 +135,12 @@ _near = lambda x: f"CASE WHEN abs({x}) < 1000 THEN round({x}, 6) ELSE round({x},
 _z = lambda n: f"({n} - avg({n}) OVER ()) / CASE WHEN stddev_pop({n}) OVER () > 0 THEN stddev_pop({n}) OVER () ELSE 1 END"
 
 ENTRIES = {
-    "training_rows": (training_rows, _rows(f"SELECT id, {_r(CHECKED_FEATURES)} FROM rows")),
+    "training_rows": (training_rows, _rows(f"SELECT id, {_r(FEATURES)} FROM rows")),
     "training_labels": (training_labels, _rows(
         f"SELECT id, label_has_bug, label_has_security_risk, label_severity, {_r(LABELS[3:])} FROM rows")),
     "scaler_statistics": (scaler, _rows(" UNION ALL ".join(
-        f"SELECT '{n}' AS feature, {_near(f'avg({n})')} AS mean, {_near(f'stddev_pop({n})')} AS scale FROM rows" for n in CHECKED_FEATURES))),
-    "scaled_features": (scaled, _rows("SELECT id, " + ", ".join(f"round({_z(n)}, 4) + 0.0::DOUBLE AS {n}" for n in CHECKED_FEATURES) + " FROM rows")),
+        f"SELECT '{n}' AS feature, {_near(f'avg({n})')} AS mean, {_near(f'stddev_pop({n})')} AS scale FROM rows" for n in FEATURES))),
+    "scaled_features": (scaled, _rows("SELECT id, " + ", ".join(f"round({_z(n)}, 4) + 0.0::DOUBLE AS {n}" for n in FEATURES) + " FROM rows")),
     "split_stratified": (split("label_severity"), _split("label_severity")),
     "split_labelled": (split("label_has_bug"), _split("label_has_bug", "label_has_bug IS NOT NULL")),
     "split_plain": (split(None), _split("1")),

@@ -14,8 +14,6 @@ STRUCTURE = ("function_count", "class_count", "method_count", "import_count", "g
              "nested_loops", "conditional_count", "exception_handling", "eval_usage", "magic_numbers", "sql_queries",
              "shell_executions", "network_operations", "file_operations")
 HALSTEAD = ("halstead_length", "halstead_volume", "halstead_difficulty", "halstead_effort")
-UNCHECKED = ("duplicate_lines",)  # a back-reference in CSS, which the checking engine lacks
-CHECKED = tuple(f for f in FEATURES if f not in UNCHECKED)
 
 
 def split_lines(spark, folder):
@@ -42,7 +40,7 @@ def measures(names):
 
 
 def duplicates(spark, folder):
-    df = features(programs(spark, folder)).where("language != 'CSS'")
+    df = features(programs(spark, folder))
     return df.select("path", *long("duplicate_lines"), *rounded("duplicate_ratio"))
 
 
@@ -80,12 +78,12 @@ def one_language(language, names, corpus_of=programs):
 
 def vector(spark, folder):
     cleaned = metrics.clean_vector(features(programs(spark, folder)))
-    return cleaned.select("path", *rounded(*CHECKED))
+    return cleaned.select("path", *rounded(*FEATURES))
 
 
 def feature_rows(spark, folder):
     df = metrics.features_long(features(programs(spark, folder)), ["path", "language"])
-    return df.where(~F.col("feature").isin(*UNCHECKED)).groupBy("language", "feature").agg(
+    return df.groupBy("language", "feature").agg(
         F.count("*").alias("files"), F.round(F.sum(F.col("value").cast("decimal(28,4)")).cast("double"), 1).alias("total"))
 
 
@@ -99,7 +97,7 @@ def _features(names, kind=sql_long, where="", lead="path, language"):
     return from_features(f"SELECT {lead}, {kind(*names)} FROM features {where}")
 
 
-_melt = " UNION ALL ".join(f"SELECT language, '{n}' AS feature, CAST({n} AS DOUBLE) AS value FROM features" for n in CHECKED)
+_melt = " UNION ALL ".join(f"SELECT language, '{n}' AS feature, CAST({n} AS DOUBLE) AS value FROM features" for n in FEATURES)
 
 ENTRIES = {
     "split_lines": (split_lines, from_lines("SELECT path, line_number, md5(stripped) AS line_md5 FROM lines")),
@@ -113,8 +111,9 @@ ENTRIES = {
     "halstead_metrics": (measures(HALSTEAD), _features(HALSTEAD, sql_rounded)),
     "maintainability_index": (measures(("maintainability_index",)), _features(("maintainability_index",), sql_rounded)),
     "duplicate_lines": (duplicates, from_features(
-        f"SELECT path, {sql_long('duplicate_lines')}, {sql_rounded('duplicate_ratio')} FROM features WHERE language <> 'CSS'")),
-    "css_duplicate_declarations": (css_duplicates, None),
+        f"SELECT path, {sql_long('duplicate_lines')}, {sql_rounded('duplicate_ratio')} FROM features")),
+    "css_duplicate_declarations": (css_duplicates, from_features(
+        f"SELECT path, {sql_long('duplicate_lines')} FROM features WHERE language = 'CSS'")),
     "python_syntax_metrics": (python_tree, corpus(
         "SELECT path, " + ", ".join(f"round(CAST({PYTHON_TREE[n]} AS DOUBLE), 6) AS {n}" for n in SYNTAX_FEATURES)
         + " FROM files WHERE language = 'Python'")),
@@ -128,7 +127,7 @@ ENTRIES = {
                       _features(("class_count", "exception_handling", "function_count"), where="WHERE language = 'C++'", lead="path")),
     "json_metrics": (one_language("JSON", ("hardcoded_credentials", "magic_numbers"), event_files), from_features(
         f"SELECT path, {sql_long('hardcoded_credentials', 'magic_numbers')} FROM features", EVENT_FILES)),
-    "feature_vector": (vector, from_features(f"SELECT path, {sql_rounded(*CHECKED)} FROM features")),
+    "feature_vector": (vector, from_features(f"SELECT path, {sql_rounded(*FEATURES)} FROM features")),
     "feature_rows": (feature_rows, from_features(
         "SELECT language, feature, count(*) AS files, round(CAST(sum(CAST(value AS DECIMAL(28,4))) AS DOUBLE), 1) AS total "
         f"FROM ({_melt}) GROUP BY language, feature")),

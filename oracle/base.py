@@ -117,6 +117,25 @@ def _prefix_test(prefixes) -> str:
     return "(" + " OR ".join(f"starts_with(stripped, {text(p)})" for p in prefixes) + ")"
 
 
+# A declaration is the end of a piece between semicolons, from some letter of a name on; it repeats where a
+# later piece ends alike.  The walk goes on behind the last repetition of the first declaration that has one.
+CSS_REPEATS = (
+    "css_pieces AS (SELECT path, unnest(p[:-2]) AS piece, unnest(range(1, len(p))) AS i FROM "
+    "(SELECT path, string_split(content, ';') AS p FROM files WHERE language = 'CSS')), "
+    "css_names AS (SELECT path, i, piece, unnest(regexp_extract_all(piece, '[a-z-]+:')) AS name, "
+    "unnest(string_split_regex(piece, '[a-z-]+:')[:-2]) AS gap, unnest(range(1, len(regexp_extract_all(piece, '[a-z-]+:')) + 1)) AS k FROM css_pieces), "
+    "css_starts AS (SELECT path, i, piece, length(name) AS wide, "
+    "CAST(sum(length(gap) + length(name)) OVER (PARTITION BY path, i ORDER BY k) AS BIGINT) AS upto FROM css_names), "
+    "css_letters AS (SELECT path, i, piece, unnest(range(upto - wide + 1, upto)) AS spot FROM css_starts WHERE upto < length(piece)), "
+    "css_last AS (SELECT s.path, s.i, s.spot, max(q.i) AS j FROM css_letters s JOIN css_pieces q ON q.path = s.path AND q.i >= s.i "
+    "AND ends_with(q.piece, substr(s.piece, s.spot)) GROUP BY s.path, s.i, s.spot), "
+    "css_moves AS (SELECT path, i, coalesce(arg_min(j, spot) FILTER (j > i) + 1, i + 1) AS next, CAST(count(*) FILTER (j > i) > 0 AS BIGINT) AS repeats "
+    "FROM css_pieces LEFT JOIN css_last USING (path, i) GROUP BY path, i), "
+    "css_walk AS (SELECT path, i, 0::BIGINT AS n FROM css_pieces WHERE i = 1 UNION ALL "
+    "SELECT w.path, m.next, w.n + m.repeats FROM css_walk w JOIN css_moves m ON m.path = w.path AND m.i = w.i), "
+    "css_counts AS (SELECT path, max(n) AS css_repeats FROM css_walk GROUP BY path)")
+
+
 def features() -> str:
     """CTEs line_stats, counted, features (one row per file)."""
     comment = _case({k: _prefix_test(p) for k, p in _inherit(mp.COMMENT_PREFIXES).items()}, "FALSE")
@@ -152,15 +171,15 @@ def features() -> str:
               "CASE WHEN n1 > 0 AND n2 > 0 THEN (big1 + big2) * log2(n1 + n2) ELSE 0 END AS halstead_volume, "
               "CASE WHEN n1 > 0 AND n2 > 0 THEN (n1 / 2.0) * (big2 / n2::DOUBLE) ELSE 0 END AS halstead_difficulty FROM sized)")
     fixed = " ".join(f"WHEN {text(k)} THEN {v}" for k, v in mp.FIXED_MAINTAINABILITY.items())
-    final = ("features AS MATERIALIZED (SELECT * EXCLUDE (ops, opnds), halstead_volume * halstead_difficulty AS halstead_effort, "
+    final = ("features AS MATERIALIZED (SELECT * EXCLUDE (ops, opnds, css_repeats), halstead_volume * halstead_difficulty AS halstead_effort, "
              "comment_lines / greatest(loc, 1)::DOUBLE AS comment_ratio, "
-             "kept - kept_distinct AS duplicate_lines, (kept - kept_distinct) / greatest(kept, 1)::DOUBLE AS duplicate_ratio, "
+             "CASE WHEN language = 'CSS' THEN coalesce(css_repeats, 0) ELSE kept - kept_distinct END AS duplicate_lines, (kept - kept_distinct) / greatest(kept, 1)::DOUBLE AS duplicate_ratio, "
              f"CASE WHEN language = 'Python' THEN {PYTHON_TREE['method_count']} "
              "WHEN language IN ('Java','C#') THEN function_count ELSE 0 END AS method_count, "
              f"CASE language {fixed} ELSE CASE WHEN halstead_volume > 0 AND sloc > 0 THEN greatest(0, least(100, "
              "171 - 5.2 * ln(halstead_volume) - 0.23 * cyclomatic_complexity - 16.2 * ln(sloc))) ELSE 0 END END "
-             "AS maintainability_index FROM measured)")
-    return ", ".join((stats, counted, halstead, volume, final))
+             "AS maintainability_index FROM measured LEFT JOIN css_counts USING (path))")
+    return ", ".join((stats, counted, halstead, volume, CSS_REPEATS, final))
 
 
 def _rules():
@@ -279,7 +298,7 @@ def heuristics() -> str:
 
 
 def corpus(select: str, source: str = PROGRAM_FILES, *parts: str) -> str:
-    return re.sub(r"\s+$", "", f"WITH {', '.join((source, *parts))} {select}")
+    return re.sub(r"\s+$", "", f"WITH RECURSIVE {', '.join((source, *parts))} {select}")
 
 
 def from_lines(select: str, source: str = PROGRAM_FILES) -> str:
