@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from entries.common import event_files, features, long, pages, programs, rounded, sql_long, sql_rounded, syntax_files
-from oracle.base import EVENT_FILES, PAGE_FILES, PYTHON_TREE, corpus, from_features, from_lines
+from entries.common import event_files, features, long, pages, programs, rounded, sql_long, sql_rounded, syntax_files, table
+from oracle.base import CSS_REPEATS, EVENT_FILES, PAGE_FILES, PYTHON_TREE, corpus, from_features, from_lines
+from reviewlake import spread
+from reviewlake.functions.text import unify_newlines
 from reviewlake.operators import metrics
 from reviewlake.packs.metric_patterns import FEATURES, SYNTAX_FEATURES
 
@@ -45,7 +47,12 @@ def duplicates(spark, folder):
 
 
 def css_duplicates(spark, folder):
-    return features(programs(spark, folder)).where("language = 'CSS'").select("path", *long("duplicate_lines"))
+    """Every document as a style sheet: each two words a declaration, so that some repeat."""
+    declared = F.regexp_replace(F.coalesce("text", F.lit("")), "([a-z]+)[ ,.]+([a-z]+)", "$1: $2;")
+    files = table(spark, folder, "documents").select(
+        F.col("source").alias("project_id"), F.concat(F.lit("css/"), "doc_id", F.lit(".css")).alias("path"), F.lit("CSS").alias("language"),
+        unify_newlines(declared).alias("content"))
+    return features(spread(files, "path")).select("path", *long("duplicate_lines"))
 
 
 def python_tree(spark, folder):
@@ -112,8 +119,10 @@ ENTRIES = {
     "maintainability_index": (measures(("maintainability_index",)), _features(("maintainability_index",), sql_rounded)),
     "duplicate_lines": (duplicates, from_features(
         f"SELECT path, {sql_long('duplicate_lines')}, {sql_rounded('duplicate_ratio')} FROM features")),
-    "css_duplicate_declarations": (css_duplicates, from_features(
-        f"SELECT path, {sql_long('duplicate_lines')} FROM features WHERE language = 'CSS'")),
+    "css_duplicate_declarations": (css_duplicates, corpus(
+        "SELECT path, coalesce(css_repeats, 0) AS duplicate_lines FROM files LEFT JOIN css_counts USING (path)",
+        "files AS (SELECT source AS project_id, 'css/' || doc_id || '.css' AS path, 'CSS' AS language, regexp_replace(regexp_replace("
+        "coalesce(text, ''), '([a-z]+)[ ,.]+([a-z]+)', '\\1: \\2;', 'g'), '\\r\\n?', chr(10), 'g') AS content FROM documents)", CSS_REPEATS)),
     "python_syntax_metrics": (python_tree, corpus(
         "SELECT path, " + ", ".join(f"round(CAST({PYTHON_TREE[n]} AS DOUBLE), 6) AS {n}" for n in SYNTAX_FEATURES)
         + " FROM files WHERE language = 'Python'")),

@@ -127,8 +127,8 @@ CSS_REPEATS = (
     "css_starts AS (SELECT path, i, piece, length(name) AS wide, "
     "CAST(sum(length(gap) + length(name)) OVER (PARTITION BY path, i ORDER BY k) AS BIGINT) AS upto FROM css_names), "
     "css_letters AS (SELECT path, i, piece, unnest(range(upto - wide + 1, upto)) AS spot FROM css_starts WHERE upto < length(piece)), "
-    "css_last AS (SELECT s.path, s.i, s.spot, max(q.i) AS j FROM css_letters s JOIN css_pieces q ON q.path = s.path AND q.i >= s.i "
-    "AND ends_with(q.piece, substr(s.piece, s.spot)) GROUP BY s.path, s.i, s.spot), "
+    # A piece that ends like this suffix has the same suffix at a letter of one of its own names.
+    "css_last AS (SELECT path, i, spot, max(i) OVER (PARTITION BY path, substr(piece, spot)) AS j FROM css_letters), "
     "css_moves AS (SELECT path, i, coalesce(arg_min(j, spot) FILTER (j > i) + 1, i + 1) AS next, CAST(count(*) FILTER (j > i) > 0 AS BIGINT) AS repeats "
     "FROM css_pieces LEFT JOIN css_last USING (path, i) GROUP BY path, i), "
     "css_walk AS (SELECT path, i, 0::BIGINT AS n FROM css_pieces WHERE i = 1 UNION ALL "

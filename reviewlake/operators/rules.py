@@ -50,6 +50,14 @@ def rule_table(spark: SparkSession, packs=None) -> DataFrame:
     return spark.createDataFrame(rows, RULE_SCHEMA)
 
 
+def rule_texts(packs, rule_no: Column) -> Column:
+    """Texts of a rule by its number: rule_id, phase, title, template, suggestion, reason."""
+    entries = catalogue(packs)
+    names = (("rule_id", "rule_id"), ("phase", "phase"), ("title", "title"), ("template", "description"), ("suggestion", "suggestion"), ("reason", "reason"))
+    rows = [F.struct(*[F.lit(getattr(r, field)).cast("string").alias(name) for name, field in names]) for _, _, r in entries]
+    return F.get(F.array(*rows), rule_no - 1) if rows else F.lit(None).cast("struct<" + ",".join(f"{name}:string" for name, _ in names) + ">")
+
+
 def _found(number: int, line: str, sub: str = "0", detail: str = "CAST(NULL AS STRING)") -> str:
     return f"named_struct('n', {number}, 'i', {line}, 's', {sub}, 'd', {detail})"
 
@@ -139,9 +147,8 @@ def explode_issues(reviewed: DataFrame, packs=None, keys: tuple[str, ...] = ("pr
     # the projections, where the whole rule set would be evaluated a second time.
     hits = reviewed.select(*keys, F.posexplode_outer("hits").alias("_at", "h")).where("h IS NOT NULL").select(
         *keys, (F.col("_at") + 1).alias("position"), "h.*")
-    rules = rule_table(reviewed.sparkSession, packs).select("rule_no", "rule_id", "phase", "title", "template",
-                                                           "suggestion", "reason")
-    joined = hits.join(rules, "rule_no")  # one row per rule of the packs: Spark sees its size
+    # Texts are looked up in a literal array: a rule that fires on most lines is no hot key of a join.
+    joined = hits.withColumn("_rule", rule_texts(packs, F.col("rule_no"))).select("*", "_rule.*")
     return joined.select(
         *keys, "rule_id", "phase", "title",
         described(F.col("template"), F.col("line_number"), F.col("detail"), F.col("snippet")).alias("description"),
@@ -197,5 +204,5 @@ def validity(files: DataFrame) -> DataFrame:
             .withColumn("is_valid", ~parsed | (F.size("parse_errors") == 0)))
 
 
-__all__ = ["catalogue", "rule_table", "with_hits", "explode_issues", "order_issues", "in_report_order", "severity_rank",
+__all__ = ["catalogue", "rule_table", "rule_texts", "with_hits", "explode_issues", "order_issues", "in_report_order", "severity_rank",
            "validity", "PHASES", "HIT_TYPE"]

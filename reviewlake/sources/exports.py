@@ -55,15 +55,10 @@ def json_records(reviewed: DataFrame, packs=None, seconds: float | None = None)
     A single document per project would gather a whole project in one task; the
     findings of a file are nested inside the file's own row instead.
     """
-    from reviewlake.operators.rules import catalogue, described, explode_issues
-
-    by_no = F.map_from_entries(F.array(*[F.struct(F.lit(number), F.struct(
-        *[F.lit(text).alias(name) for name, text in (("rule_id", r.rule_id), ("title", r.title), ("template", r.description),
-                                                     ("suggestion", r.suggestion), ("reason", r.reason))]))
-        for _, number, r in catalogue(packs)]))
+    from reviewlake.operators.rules import described, explode_issues, rule_texts
 
     def finding(h):
-        rule = F.element_at(by_no, h["rule_no"])
+        rule = rule_texts(packs, h["rule_no"])
         return F.struct(
             rule["rule_id"].alias("rule_id"), rule["title"].alias("title"),
             described(rule["template"], h["line_number"], h["detail"], h["snippet"]).alias("description"),
