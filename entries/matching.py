@@ -8,6 +8,7 @@ from entries.common import event_files, features, found, long, pages, paths, pro
 from entries.files import PATHS
 from oracle.base import EVENT_FILES, LINES, PAGE_FILES, PROGRAM_FILES, corpus, from_issues, from_review, round1, text
 from reviewlake import LanguagePack, issues, keep_where, review, spread
+from reviewlake.functions.syntax import Limits
 from reviewlake.functions.text import unify_newlines
 from reviewlake.operators import metrics, rules
 from reviewlake.operators.files import pack_language
@@ -254,6 +255,18 @@ ENTRIES["review_failed_files"] = (
 # SQL files: SQL001 lowered to LOW (4 points back), one user rule on GRANT lines, other weights.
 _custom = round1("greatest(0, least(100, quality * 0.5::DOUBLE + security * 0.05::DOUBLE + maintainability * 0.2::DOUBLE "
                  "+ (performance + 4 * stars) * 0.15::DOUBLE + readability * 0.1::DOUBLE))")
+def user_limits(spark, folder):
+    """Tighter limits of the user's own for Python functions and parameter lists."""
+    done = review(programs(spark, folder), limits=Limits(function_lines=7, parameters=1))
+    found = issues(done).where(F.col("rule_id").isin("PY002", "PY003"))
+    lists = found.groupBy("path").agg(F.sort_array(F.collect_list(F.struct("rule_id", *long("line_number"), "description"))).alias("f"))
+    counts = done.where("language = 'Python'").select("path", *long("long_methods", "long_parameter_lists"))
+    return counts.join(lists, "path", "left").select("path", "long_methods", "long_parameter_lists", F.inline_outer("f"))
+
+
+ENTRIES["user_limits"] = (user_limits, corpus(
+    "SELECT path, CAST(1 AS BIGINT) AS long_methods, CAST(1 AS BIGINT) AS long_parameter_lists, rule_id, CAST(2 AS BIGINT) AS line_number, description FROM files, "
+    "(VALUES ('PY002', 'Function ''load'' is 8 lines long.'), ('PY003', 'Function ''load'' has 2 parameters.')) v(rule_id, description) WHERE language = 'Python'"))
 ENTRIES["user_rules_and_weights"] = (extra_rules, from_review(
     f"SELECT path, total + grants AS total, high + grants AS high, medium - stars AS medium, low + stars AS low, {_custom} AS overall "
     "FROM reviewed JOIN (SELECT path, CAST(count_if(regexp_matches(raw, '(?i)\\bgrant\\b')) AS BIGINT) AS grants, "

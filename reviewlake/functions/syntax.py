@@ -13,6 +13,8 @@ import json
 import re
 import sys
 from collections import Counter
+from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -44,12 +46,19 @@ ORDINARY_NUMBERS = (0, 1, -1, 2, 100)
 SHORT_NAMES = frozenset("ijkxynefv_")
 NETWORK_ATTRIBUTES = ("get", "post", "request", "urlopen")
 FILE_ATTRIBUTES = ("open", "read", "write")
-LONG_FUNCTION_LINES = 50
-MANY_PARAMETERS = 7
-MANY_METHODS = 20
-MANY_NUMBERS = 5
 # ----------------------------------------------------------------------------
 
+
+@dataclass(frozen=True)
+class Limits:
+    """Beyond these a Python function is long, a parameter list or class large, a file full of magic numbers."""
+
+    function_lines: int = 50
+    parameters: int = 7
+    methods: int = 20
+    numbers: int = 5
+
+
 _FUNCTIONS = (ast.FunctionDef, ast.AsyncFunctionDef)
 _LOOPS = (ast.For, ast.While)
 _EMPTY = dict.fromkeys((*SYNTAX_FEATURES, "css_repeats"), 0.0)
@@ -76,7 +85,7 @@ def _subtree_facts(tree: ast.AST, order: list[ast.AST]) -> dict[int, tuple[int,
     return facts
 
 
-def python_report(content: str) -> dict:
+def python_report(content: str, limits: Limits = Limits()) -> dict:
     """Features and findings of one Python file."""
     try:
         tree = ast.parse(content)
@@ -122,26 +131,26 @@ def python_report(content: str) -> dict:
         "avg_class_size": sum(methods) / max(len(methods), 1),
         "avg_identifier_length": sum(map(len, names)) / max(len(names), 1),
         "naming_violations": sum(len(n) == 1 and n not in SHORT_NAMES for n in names),
-        "long_methods": sum(n > LONG_FUNCTION_LINES for n in lengths),
-        "large_classes": sum(n > MANY_METHODS for n in methods),
-        "long_parameter_lists": sum(n > MANY_PARAMETERS for n in parameters),
+        "long_methods": sum(n > limits.function_lines for n in lengths),
+        "large_classes": sum(n > limits.methods for n in methods),
+        "long_parameter_lists": sum(n > limits.parameters for n in parameters),
         "magic_numbers": sum(_is_magic(n) for a in assigns for n in ast.walk(a)),
         "eval_usage": sum(isinstance(c.func, ast.Name) and c.func.id in ("eval", "exec") for c in calls),
         "file_operations": sum(attributes[a] for a in FILE_ATTRIBUTES),
         "network_operations": sum(attributes[a] for a in NETWORK_ATTRIBUTES),
     }
-    findings = list(_python_findings(content, order, functions, lengths, parameters, depths))
+    findings = list(_python_findings(content, order, functions, lengths, parameters, depths, limits))
     return {"has_tree": True, "parse_errors": [], "failure": None, "css_repeats": 0.0,
             "findings": [dict(rule_id=r, line=line, sub=i, detail=d) for i, (r, line, d) in enumerate(findings)],
             **{k: float(v) for k, v in features.items()}}
 
 
-def _python_findings(content, order, functions, lengths, parameters, depths):
+def _python_findings(content, order, functions, lengths, parameters, depths, limits):
     """Yield (rule_id, line, description) for the tree rules."""
     for f, length, n_parameters, depth in zip(functions, lengths, parameters, depths):
-        if length > LONG_FUNCTION_LINES:
+        if length > limits.function_lines:
             yield "PY002", f.lineno, f"Function '{f.name}' is {length} lines long."
-        if n_parameters > MANY_PARAMETERS:
+        if n_parameters > limits.parameters:
             yield "PY003", f.lineno, f"Function '{f.name}' has {n_parameters} parameters."
         if depth >= 3:
             yield "PYP001", f.lineno, (f"Function '{f.name}' has loops nested {depth} levels deep "
@@ -162,7 +171,7 @@ def _python_findings(content, order, functions, lengths, parameters, depths):
                 bound = alias.asname or alias.name.partition(".")[0]
                 if content.count(bound) <= 1:
                     yield "PY008", node.lineno, f"Import '{alias.name}' may be unused."
-    if n_magic > MANY_NUMBERS:
+    if n_magic > limits.numbers:
         yield "PY005", 1, f"Found {n_magic} magic numbers in the code."
 
 
@@ -235,21 +244,26 @@ _PARSERS = {"Python": python_report, "JSON": json_report, "CSS": css_report}
 _COLUMNS = REPORT.fieldNames()
 
 
-@F.pandas_udf(REPORT)
-def _reports(language: pd.Series, content: pd.Series) -> pd.DataFrame:
-    rows = []
-    for lang, text in zip(language, content):
-        parser = _PARSERS.get(lang)
-        if parser is None or text is None:
-            rows.append({"has_tree": True, "parse_errors": [], "findings": [], "failure": None, **_EMPTY})
-            continue
-        try:
-            rows.append(parser(text))
-        except Exception as e:
-            rows.append({"has_tree": False, "parse_errors": [], "findings": [], "failure": str(e), **_EMPTY})
-    return pd.DataFrame(rows, columns=_COLUMNS)
+@lru_cache
+def _reports(limits: Limits):
+    """The Arrow function for some limits."""
+    @F.pandas_udf(REPORT)
+    def reports(language: pd.Series, content: pd.Series) -> pd.DataFrame:
+        rows = []
+        for lang, text in zip(language, content):
+            parser = _PARSERS.get(lang)
+            if parser is None or text is None:
+                rows.append({"has_tree": True, "parse_errors": [], "findings": [], "failure": None, **_EMPTY})
+                continue
+            try:
+                rows.append(parser(text, limits) if lang == "Python" else parser(text))
+            except Exception as e:
+                rows.append({"has_tree": False, "parse_errors": [], "findings": [], "failure": str(e), **_EMPTY})
+        return pd.DataFrame(rows, columns=_COLUMNS)
+
+    return reports
 
 
-def syntax_report(language: Column, content: Column) -> Column:
+def syntax_report(language: Column, content: Column, limits: Limits = Limits()) -> Column:
     """Struct of syntax features and findings; empty for other languages."""
-    return _reports(language, F.when(language.isin(*_PARSERS), content))
+    return _reports(limits)(language, F.when(language.isin(*_PARSERS), content))

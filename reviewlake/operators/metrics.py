@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from reviewlake.functions.syntax import syntax_report
+from reviewlake.functions.syntax import Limits, syntax_report
 from reviewlake.functions.text import (dialect, in_languages, literal, split_lines, sql_case, sql_count, sql_fold,
                                        sql_matches, strip)
 from reviewlake.packs import metric_patterns as mp
@@ -104,9 +104,9 @@ def _add(df: DataFrame, **expressions: str) -> DataFrame:
     return df.withColumns({name: F.expr(sql) for name, sql in expressions.items()})
 
 
-def with_syntax(files: DataFrame) -> DataFrame:
+def with_syntax(files: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """Add the ``syntax`` report struct (Python, JSON and CSS only)."""
-    return files.withColumn("syntax", syntax_report(F.col("language"), F.col("content")))
+    return files.withColumn("syntax", syntax_report(F.col("language"), F.col("content"), limits))
 
 
 def with_line_counts(files: DataFrame, own=()) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from reviewlake.functions.syntax import Limits
 from reviewlake.operators import metrics, rules, scoring
 from reviewlake.operators.files import has_pack
 from reviewlake.packs.metric_patterns import FEATURES
@@ -24,14 +25,15 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= wanted else df.repartition(wanted, *keys)
 
 
-def review(files: DataFrame, packs=None, extra_rules=None, weights=None, models=None, own=()) -> DataFrame:
+def review(files: DataFrame, packs=None, extra_rules=None, weights=None, models=None, own=(), limits: Limits = Limits()) -> DataFrame:
     """Review files given as (project_id, path, language, content).
 
     Returns one row per file with the 51 features, ``hits`` (findings), the six
     model scores, the six combined scores, issue counts, ``parse_errors`` and
     ``error``.  ``extra_rules`` maps a language to rules to add, ``weights``
     overrides health weights, ``models`` is an optional fitted scorer set, ``own``
-    are the user's languages (``LanguagePack``).  Language names match in any case.
+    are the user's languages (``LanguagePack``), ``limits`` say when Python functions,
+    parameter lists and classes are too large.  Language names match in any case.
     """
     packs = builtin_packs() if packs is None else packs
     if extra_rules:
@@ -42,7 +44,7 @@ def review(files: DataFrame, packs=None, extra_rules=None, weights=None, models=
     known = F.col("language").isin(list(packs)) & has_pack(F.col("path"), own)
     df = files.withColumn("_reviewable", F.coalesce(known, F.lit(False)))
     df = df.withColumn("content", F.when(F.col("_reviewable"), F.col("content")).otherwise(F.lit("")))
-    df = metrics.with_syntax(metrics.with_lines(df))
+    df = metrics.with_syntax(metrics.with_lines(df), limits)
     df = rules.with_hits(metrics.with_features(rules.validity(df), own), packs)
     df = df.withColumn("error", F.when(~F.col("_reviewable"), F.lit(NO_PACK)).otherwise(F.col("syntax.failure")))
     ok = F.col("error").isNull()

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from reviewlake.functions.literals import required_words
-from reviewlake.functions.syntax import css_report, json_report, python_report
+from reviewlake.functions.syntax import Limits, css_report, json_report, python_report
 from reviewlake.functions.text import round1, split_lines, strip
 from reviewlake.operators import metrics
 from reviewlake.packs import metric_patterns as mp
@@ -221,3 +221,17 @@ def test_special_letters_still_match(spark, corpus):
     text = "pa\u017fsword = 'abcdef'\nGRANT ALL\n"  # long s counts as s when case is ignored
     found = issues(review(corpus({"a.php": ("PHP", text)}))).select("rule_id").collect()
     assert re.search("password", "pa\u017fsword", re.I) and [r.rule_id for r in found] == ["PHPSec005"]
+
+
+def test_limits_of_python_metrics():
+    """Long functions, large classes, long parameter lists and many numbers at the default limits and at others."""
+    body = lambda n: "".join(f"    v{i} = {i + 1000}\n" for i in range(n))
+    program = f"def long(a, b, c, d, e, f, g, h):\n{body(50)}\ndef short(a):\n{body(49)}\nclass Large:\n" + "".join(f"    def m{i}(self): pass\n" for i in range(21))
+    found = lambda r: {f["rule_id"] if isinstance(f, dict) else f[0] for f in r["findings"]}
+    r = python_report(program)
+    assert (r["long_methods"], r["large_classes"], r["long_parameter_lists"], r["magic_numbers"]) == (1, 1, 1, 99)
+    assert {"PY002", "PY003", "PY005"} <= found(r)
+    r = python_report(program, Limits(function_lines=51, parameters=8, methods=21, numbers=99))
+    assert (r["long_methods"], r["large_classes"], r["long_parameter_lists"]) == (0, 0, 0)
+    assert not {"PY002", "PY003", "PY005"} & found(r)
+    assert python_report(program, Limits(function_lines=0))["long_methods"] == 23
