@@ -98,7 +98,7 @@ def test_stored_projects(spark, tmp_path):
     before = Snapshot.newest(spark, root)
     assert len(before.parts("projects")) > 2
     row = held.orderBy("project_id").first()
-    made = lambda **cells: tuple({**dict.fromkeys(held.columns), "created_at": row.created_at, **cells}[c] for c in held.columns)
+    made = lambda **cells: tuple({**dict.fromkeys(held.columns), "description": "", "created_at": row.created_at, **cells}[c] for c in held.columns)
     fresh = spark.createDataFrame([made(project_id=10**6, name="new", path="/new"), made(project_id=5, name="known path", path=row.path)], held.schema)
     now = scans.create_projects(fresh, root)
     changed = {p for p, f in now.parts("projects").items() if before.parts("projects").get(p) != f}
