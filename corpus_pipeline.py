@@ -2,6 +2,11 @@
 
 Language ID, line dedup, SimHash near-dedup, benchmark decontamination and mixing,
 in this order.  All but the last return the columns of ``documents``.
+
+Defined cases, beside those of the operators: a null or letterless text is rejected by
+the first stage; repeated rows pass the first two stages and leave one row in the third;
+ties go to the smallest doc_id, null last; empty tables give empty results; further
+columns of the documents are left behind.
 """
 
 from __future__ import annotations
@@ -11,15 +16,17 @@ from pyspark.sql import functions as F
 
 from reviewlake import store
 from reviewlake.llm import decontaminate, language, lines, mixing, simhash
-from reviewlake.llm.common import identity, same, table
+from reviewlake.llm.common import identity, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: A document is rejected if its language is no likelier than this many times chance.
 LEAST_LEAD = 1.2
 #: A line found in so many documents stays in the first one only.
 LINE_DOCS = 10
-#: Items of fewer words are no evidence of a leak.
-ITEM_WORDS = 5
+#: Shingle length and bit distance of near-duplicates.
+SHINGLE_WORDS, BIT_DISTANCE = 4, 4
+#: Items of fewer words are evidence of a leak only where at most this share of the documents holds them.
+ITEM_WORDS, RARE_SHARE = 5, 0.001
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,31 +39,41 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that an earlier document has and many share."""
+    """Documents without the lines that an earlier document has and many share; a null text becomes an empty one."""
     out = lines.dedup_lines(docs, LINE_DOCS, True, carry=("doc_id", "lang", "source"))
     return out.select("doc_id", F.col("kept").alias("text"), "lang", "source", F.length("kept").cast("long").alias("n_chars"))
 
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group with five-word shingle sets similar by 0.8 or more."""
-    return simhash.keep_one(docs.select(*COLUMNS))
+    """One document of each group whose SimHash fingerprints chain within the bit distance; texts without words are one group."""
+    return simhash.keep_one(docs.select(*COLUMNS), SHINGLE_WORDS, BIT_DISTANCE)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no window of a benchmark item."""
-    items = table(spark, sf_dir, "benchmark").where(F.size(decontaminate.raw_words(F.col("text"))) >= ITEM_WORDS)
-    hits, _ = decontaminate.occurrences(docs, items)
-    marked = docs.select(*COLUMNS, identity().alias("_text"))
-    leaks = hits.select(F.col("doc_id").alias("_id"), F.col("_text").alias("_hash")).distinct()
-    on = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_hash"))
-    return marked.join(leaks, on, "left_anti").select(*COLUMNS)
+    """Documents that hold no window of a benchmark item; an item shorter than a window is one.
+
+    Items of one to four words are common speech as often as leaks: they count where they
+    are rare in the documents.  Documents without words stay.
+    """
+    hits, _ = decontaminate.occurrences(docs, table(spark, sf_dir, "benchmark"))
+    short = hits.where(F.col("n") < ITEM_WORDS).select("wtext", "doc_id", "_text").distinct().groupBy("wtext").agg(F.count("*").alias("held"))
+    usual = short.where(F.col("held") > RARE_SHARE * docs.count()).select("wtext")
+    leaks = hits.join(usual, "wtext", "left_anti").select(F.xxhash64("doc_id").alias("_id"), "_text").distinct()
+    marked = docs.select(*COLUMNS, F.xxhash64("doc_id").alias("_id"), identity().alias("_text"))
+    return marked.join(leaks, ["_id", "_text"], "left_anti").select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix: each document as often as it is taken; ``copy`` counts its repeats from 0."""
+    """The mix: each document as often as it is taken; ``copy`` counts its repeats from 0.
+
+    Repeated rows are one document, taken as often as they are together; documents
+    without words are never taken, a null source is a source.
+    """
     taken = mixing.mix(docs).groupBy("doc_id", "tie").agg(F.sum("copies").alias("copies")).where(F.col("copies") > 0)
-    rows = docs.select(*COLUMNS, F.xxhash64("doc_id", "text").alias("tie")).dropDuplicates(["doc_id", "tie"])
-    rows = same(rows, taken, ["doc_id", "tie"], "inner")
+    # The tie names the document, id and text; texts meet it once and repeats on the same key.
+    rows = docs.select(*COLUMNS, F.xxhash64("doc_id").alias("_id"), F.xxhash64("doc_id", "text").alias("tie"))
+    taken = taken.select(F.xxhash64("doc_id").alias("_id"), "tie", "copies")
+    rows = rows.join(taken, ["_id", "tie"]).dropDuplicates(["_id", "tie"])
     return rows.select(*COLUMNS, F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).alias("copy"))
 
 

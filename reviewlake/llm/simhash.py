@@ -25,7 +25,6 @@ ignored.
 from __future__ import annotations
 
 import itertools
-from array import array
 from collections import deque
 
 import numpy as np
@@ -35,13 +34,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reviewlake import store
-from reviewlake.llm.bloom import repeat_filter
-from reviewlake.llm.common import identity, mixed, partitions, same, table, texts
+from reviewlake.llm.common import identity, mixed, partitions, table, texts
 
 SEED = 42
+BITS = 64
 #: Buckets up to this size are compared lane by lane, larger ones node by node.
 SMALL = 64
 ONES = np.uint64(0xFFFFFFFFFFFFFFFF)
+#: A fingerprint of more than one in so many documents is joined by broadcast.
+HOT = 10_000
 
 
 def shingle_hashes(text: bytes | None, words: int) -> np.ndarray:
@@ -58,23 +59,19 @@ def shingle_hashes(text: bytes | None, words: int) -> np.ndarray:
     return np.array([digest(joined[a:b], SEED) for a, b in zip(starts, (ends[words - 1:] - 1).tolist(), strict=True)], np.uint64)
 
 
-def fingerprint(h: np.ndarray, lanes: int = 1) -> bytes:
-    """A bit is set if more than half of the hashes have it; each further 64 bits use a hash of the hash."""
-    out = []
-    for j in range(lanes):
-        x = mixed(h, j) if j else h
-        bits = np.unpackbits(x.astype(">u8").view(np.uint8)).reshape(-1, 64).sum(axis=0, dtype=np.int64)
-        out.append(np.packbits(2 * bits > len(h)).tobytes())
-    return b"".join(out)
+def fingerprint(h: np.ndarray) -> bytes:
+    """A bit is set if more than half of the hashes have it."""
+    bits = np.unpackbits(h.astype(">u8").view(np.uint8)).reshape(-1, BITS).sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * bits > len(h)).tobytes()
 
 
-def fingerprints(docs: DataFrame, words: int = 5, bits: int = 64) -> DataFrame:
+def fingerprints(docs: DataFrame, words: int = 5) -> DataFrame:
     """doc_id, _text, fp of every document."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
         for batch in batches:
-            fps = [fingerprint(shingle_hashes(t, words), bits // 64) for t in texts(batch, "text")]
+            fps = [fingerprint(shingle_hashes(t, words)) for t in texts(batch, "text")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("_text"), pa.array(fps, pa.binary())], ["doc_id", "_text", "fp"])
 
     return docs.select("doc_id", identity().alias("_text"), "text").mapInArrow(run, f"doc_id {kind}, _text bigint, fp binary")
@@ -188,7 +185,7 @@ def small_pairs(keys: np.ndarray, fps: np.ndarray, radius: int):
             yield i, i + d
 
 
-def large_pairs(fps: np.ndarray, radius: int, confirmed=None):
+def large_pairs(fps: np.ndarray, radius: int):
     """A spanning forest of the links: each node against those not yet reached."""
     planes, bits = planes_of(fps), np.unpackbits(fps, axis=1)
     waiting = pack_lanes(np.ones(len(fps), bool), planes.shape[1])
@@ -203,17 +200,13 @@ def large_pairs(fps: np.ndarray, radius: int, confirmed=None):
             mine = bits[i]
             found = within(lambda plane, at: planes[plane][at] ^ ONES if mine[plane] else planes[plane][at], len(planes), radius, waiting)  # noqa: B023
             for j in lanes_of(found).tolist():
-                if confirmed is None or confirmed(i, j):
-                    waiting[j >> 6] &= ~(np.uint64(1) << np.uint64(j & 63))
-                    queue.append(j)
-                    yield i, j
+                waiting[j >> 6] &= ~(np.uint64(1) << np.uint64(j & 63))
+                queue.append(j)
+                yield i, j
 
 
-def stars(pairs, fps: list[bytes], confirmed=None):
-    """(node, smallest node of its connected set) for every other node of the set.
-
-    ``confirmed(i, j)`` is asked only for pairs that are not connected yet.
-    """
+def stars(pairs, fps: list[bytes]):
+    """(node, smallest node of its connected set) for every other node of the set."""
     parent: dict[int, int] = {}
 
     def root(x):
@@ -224,60 +217,23 @@ def stars(pairs, fps: list[bytes], confirmed=None):
 
     for i, j in pairs:
         a, b = root(i), root(j)
-        if a != b and (confirmed is None or confirmed(i, j)):
+        if a != b:
             if fps[a] > fps[b]:
                 a, b = b, a
             parent[b] = a
     return [(fps[x], fps[root(x)]) for x in list(parent) if root(x) != x]
 
 
-def links(buckets: DataFrame, radius: int, similarity: float | None = None) -> DataFrame:
-    """Stars (hi, lo) over all buckets (key, fp), each node once per bucket.
+def links(buckets: DataFrame, radius: int) -> DataFrame:
+    """Stars (hi, lo) over all buckets (key, fp), each node once per bucket."""
 
-    With ``similarity`` the buckets also have a sketch of the node's shingles, and
-    links within the radius must reach that similarity as well.  Nodes are then a wide
-    fingerprint and a digest of the set: equal fingerprints are compared as any others.
-    Then ``sure`` is false for pairs that the sketches leave open; pairs that sure links
-    of their bucket connect are left out.
-    """
-    columns = ["hi", "lo"] if similarity is None else ["hi", "lo", "sure"]
+    def emit(rows):
+        return pa.RecordBatch.from_arrays([pa.array([a for a, _ in rows], pa.binary()), pa.array([b for _, b in rows], pa.binary())], ["hi", "lo"])
 
     def bits_of(fps):
-        every = np.frombuffer(b"".join(fps), np.uint8).reshape(len(fps), -1)
-        return every if similarity is None else np.ascontiguousarray(every[:, :WIDE_BITS // 8])
+        return np.frombuffer(b"".join(fps), np.uint8).reshape(len(fps), -1)
 
-    def emit(rows, sure=True):
-        arrays = [pa.array([a for a, _ in rows], pa.binary()), pa.array([b for _, b in rows], pa.binary()), pa.array([sure] * len(rows), pa.bool_())]
-        return pa.RecordBatch.from_arrays(arrays[:len(columns)], columns)
-
-    def found(pairs_of, fps, sketches, large):
-        """Stars, and the pairs left open between them, in batches."""
-        if similarity is None:
-            yield emit(stars(pairs_of(None), fps))
-            return
-        left, right = array("q"), array("q")
-
-        def confirmed(i, j):
-            verdict = alike(sketches[i], sketches[j], similarity)
-            if verdict is None:
-                left.append(i)
-                right.append(j)
-            return bool(verdict)
-
-        out = stars(pairs_of(confirmed), fps, None if large else confirmed)
-        yield emit(out)
-        root = dict(out)
-        rows = []
-        for i, j in zip(left, right, strict=True):
-            a, b = fps[i], fps[j]
-            if root.get(a, a) != root.get(b, b):
-                rows.append((a, b) if a > b else (b, a))
-            if len(rows) >= OPEN_ROWS:
-                yield emit(rows, False)
-                rows = []
-        yield emit(rows, False)
-
-    def compared(key, fps, sketches):
+    def compared(key, fps):
         """Links of complete buckets, sorted by key."""
         cut = np.flatnonzero(np.diff(key)) + 1
         start = np.concatenate(([0], cut))
@@ -286,33 +242,30 @@ def links(buckets: DataFrame, radius: int, similarity: float | None = None) -> D
         small = np.flatnonzero((of_row > 1) & (of_row <= SMALL))
         if len(small):
             mine = [fps[i] for i in small]
-            planes = bits_of(mine)
-            yield from found(lambda _: small_pairs(key[small], planes, radius), mine, [sketches[i] for i in small], False)
+            yield emit(stars(small_pairs(key[small], bits_of(mine), radius), mine))
         for s, n in zip(start[size > SMALL], size[size > SMALL], strict=True):
             mine = fps[s:s + n]
-            planes = bits_of(mine)
-            yield from found(lambda confirmed, planes=planes: large_pairs(planes, radius, confirmed), mine, sketches[s:s + n], True)
+            yield emit(stars(large_pairs(bits_of(mine), radius), mine))
 
     def run(batches):
-        keys, fps, sketches = [], [], []
+        keys, fps = [], []
         for batch in batches:
             if not len(batch):
                 continue
             keys.append(batch.column("key").to_numpy())
             fps.extend(batch.column("fp").to_pylist())
-            sketches.extend(batch.column("sketch").to_pylist() if similarity is not None else [None] * len(batch))
             if keys[-1][-1] == keys[0][0]:
                 continue  # one bucket so far
             key = np.concatenate(keys)
             whole = int(np.searchsorted(key, key[-1]))
             if whole:
-                yield from compared(key[:whole], fps[:whole], sketches[:whole])
-                keys, fps, sketches = [key[whole:]], fps[whole:], sketches[whole:]
+                yield from compared(key[:whole], fps[:whole])
+                keys, fps = [key[whole:]], fps[whole:]
         if keys:
-            yield from compared(np.concatenate(keys), fps, sketches)
+            yield from compared(np.concatenate(keys), fps)
 
     dealt = buckets.repartition(partitions(buckets), "key").sortWithinPartitions("key")
-    return dealt.mapInArrow(run, "hi binary, lo binary" + ", sure boolean" * (similarity is not None))
+    return dealt.mapInArrow(run, "hi binary, lo binary")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -334,143 +287,48 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def classes(marked: DataFrame, stars: DataFrame) -> DataFrame:
-    """``marked`` (doc_id, _text, fp) with component_id, the smallest doc_id of its component."""
+    """``marked`` (doc_id, _text, fp) with the root of its component and component_id, its smallest doc_id.
+
+    Fingerprints that hold more than one in ``HOT`` of the documents (say, all empty texts)
+    are broadcast, being ``HOT`` at most; the others meet their documents by shuffle.
+    """
     roots = components(stars).select(F.col("hi").alias("fp"), F.col("lo").alias("root"))
-    nodes = marked.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    nodes = store(nodes.join(roots, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"), F.col("root").isNotNull().alias("linked")), "nodes")
+    nodes = marked.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"))
+    nodes = store(nodes.join(roots, "fp", "left").select("fp", "first", "n", F.coalesce("root", "fp").alias("root"), F.col("root").isNotNull().alias("linked")), "nodes")
     # Only roots with links need a second look; the others are their own component.
     linked = nodes.join(roots.select("root").distinct(), "root", "left_semi")
     best = linked.groupBy("root").agg(F.min("first").alias("component_id"))
-    moved = linked.join(best, "root").select("fp", F.col("component_id").alias("moved"))
-    final = nodes.select("fp", "first").join(moved, "fp", "left").select("fp", F.coalesce("moved", "first").alias("component_id"))
-    return marked.select("doc_id", "_text", "fp").join(final, "fp")
-
-
-def near_duplicates(docs: DataFrame, words: int = 5, radius: int = 4, bits: int = 64) -> DataFrame:
-    """doc_id, _text, fp, component_id: every pair within the radius is linked."""
-    marked = store(fingerprints(docs, words, bits), "fingerprints")
+    moved = linked.join(best, "root").select("fp", F.col("component_id").alias("moved"), F.lit(True).alias("known"))
+    final = nodes.select("fp", "first", "n", "root").join(moved, "fp", "left")
+    final = store(final.select("fp", "n", "root", F.when(F.col("known"), F.col("moved")).otherwise(F.col("first")).alias("component_id")), "components")
+    least = (nodes.agg(F.sum("n")).first()[0] or 0) / HOT
+    hot = final.where(F.col("n") > least).select("fp", "root", "component_id", F.lit(True).alias("hot"))
+    rows = marked.select("doc_id", "_text", "fp").join(F.broadcast(hot), "fp", "left")
+    rest = rows.where("hot IS NULL").select("doc_id", "_text", "fp").join(final.where(F.col("n") <= least).drop("n"), "fp")
+    return rows.where("hot").drop("hot").unionByName(rest)
+
+
+def near_duplicates(docs: DataFrame, words: int = 5, radius: int = 4) -> DataFrame:
+    """doc_id, _text, fp, root, component_id: every pair within the radius is linked."""
+    marked = store(fingerprints(docs, words), "fingerprints")
     nodes = store(marked.select("fp").distinct(), "distinct")
-    blocks = blocks_for(nodes.count(), radius, bits)
-    return classes(marked, links(block_keys(nodes, radius, bits, blocks), radius))
-
+    blocks = blocks_for(nodes.count(), radius, BITS)
+    return classes(marked, links(block_keys(nodes, radius, BITS, blocks), radius))
 
-#: For similar shingle sets (Jaccard): bits of the fingerprint, orders of the MinHash
-#: buckets, hashes of a sketch, standard deviations within which a sketch leaves a pair open.
-WIDE_BITS, ORDERS, SKETCH, DOUBT = 256, 8, 512, 5
-#: Open pairs of a batch; nodes whose whole sets are read by a broadcast.
-OPEN_ROWS, HELD_NODES = 1 << 16, 1 << 17
 
+def keep_one(docs: DataFrame, words: int = 5, radius: int = 4) -> DataFrame:
+    """One document of each component, the one of the smallest doc_id; repeated rows leave one.
 
-def similar_radius(similarity: float, bits: int) -> int:
-    """Differing bits of two sets of that similarity, with five standard deviations to spare.
-
-    Equally large sets differ most.  Small sets differ in more bits than the angle
-    says, as halves count as zero: at most a quarter more (four shingles and five).
-    """
-    share = 1.25 * np.arccos(2 * similarity / (1 + similarity)) / np.pi
-    return int(share * bits + 5 * np.sqrt(share * (1 - share) * bits))
-
-
-def minhashes(h: np.ndarray) -> np.ndarray:
-    """The smallest hash of the shingles in each order; documents without shingles share theirs."""
-    return np.array([mixed(h, 101 + i).min() ^ np.uint64(i) if len(h) else i for i in range(ORDERS)], np.uint64)
-
-
-def sketch(h: np.ndarray) -> bytes:
-    """The smallest hashes of the shingle set: all of them for up to SKETCH shingles."""
-    return np.unique((mixed(h, 77) >> np.uint64(32)).astype(np.uint32))[:SKETCH].tobytes()
-
-
-def alike(a: bytes, b: bytes, similarity: float) -> bool | None:
-    """Is the Jaccard similarity reached?  Exact for whole sets; sketches answer where it is far off, else None."""
-    x, y = np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32)
-    both = np.sort(np.concatenate((x, y)))
-    twice = both[1:] == both[:-1]
-    union = len(both) - int(twice.sum())
-    if max(len(x), len(y)) < SKETCH:
-        return int(twice.sum()) >= similarity * union
-    if union > SKETCH:
-        last = both[np.concatenate(([True], ~twice))][SKETCH - 1]
-        twice = twice & (both[1:] <= last)
-    off = int(twice.sum()) - similarity * SKETCH
-    return None if abs(off) <= DOUBT * np.sqrt(similarity * (1 - similarity) * SKETCH) else bool(off > 0)
-
-
-def settled(docs: DataFrame, marked: DataFrame, found: DataFrame, words: int, similarity: float) -> DataFrame:
-    """Stars (hi, lo) of links (hi, lo, sure): open pairs that sure links do not connect are decided on whole sets."""
-    sure = found.where("sure").select("hi", "lo")
-    if found.where(~F.col("sure")).isEmpty():
-        return sure
-    sure = components(sure)
-    side = lambda end: sure.select(F.col("hi").alias(end), F.col("lo").alias(f"{end}_root"))
-    pairs = found.where(~F.col("sure")).select("hi", "lo").distinct().join(side("hi"), "hi", "left").join(side("lo"), "lo", "left")
-    pairs = store(pairs.where(F.coalesce("hi_root", "hi") != F.coalesce("lo_root", "lo")).select("hi", "lo"), "open")
-    nodes = pairs.select(F.col("hi").alias("fp")).union(pairs.select("lo")).distinct()
-    # One document of each node, read again for its whole set.
-    picked = store(marked.join(nodes, "fp", "left_semi").groupBy("fp").agg(F.min(F.struct("doc_id", "_text")).alias("d")).select("fp", "d.doc_id", "d._text"), "open_nodes")
-    one = same(docs, F.broadcast(picked) if picked.count() <= HELD_NODES else picked, ["doc_id", "_text"], "inner").select("fp", "text").dropDuplicates(["fp"])
-
-    def run(batches):
-        for batch in batches:
-            for fp, text in zip(batch.column("fp").to_pylist(), texts(batch, "text"), strict=True):
-                h = np.unique(shingle_hashes(text, words)).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array([fp], pa.binary()), pa.ListArray.from_arrays(pa.array([0, len(h)], pa.int32()), pa.array(h))], ["fp", "h"])
-
-    sets = store(one.mapInArrow(run, "fp binary, h array<bigint>"), "sets")
-    for end in ("hi", "lo"):
-        pairs = pairs.join(sets.select(F.col("fp").alias(end), F.col("h").alias(f"{end}_set")), end)
-    # i >= s * (n - i) for i common of n hashes in both sets, with i in one place.
-    least = F.lit(similarity / (1 + similarity)) * (F.size("hi_set") + F.size("lo_set"))
-    reached = pairs.where(F.size(F.array_intersect("hi_set", "lo_set")) + F.lit(1e-6) >= least)
-    return sure.union(reached.select("hi", "lo"))
-
-
-def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """doc_id, _text, fp, component_id: documents whose shingle sets are similar.
-
-    A similarity of 0.8 changes too many bits for exact blocks.  Here a pair meets if
-    any of ``ORDERS`` MinHash values is common (missed with probability
-    (1 - similarity) ** ORDERS, 3 in a million at 0.8); the bit-sliced comparison
-    leaves few pairs, sketches of the shingle sets decide those far from the similarity
-    and whole sets the others.  Only documents with a MinHash value that the repeat
-    filter reports send a sketch, only those of open pairs their set.
+    Of different texts under that doc_id, the one of the smallest text hash stays; a null
+    id stays only where its component has no other.  The rows that stay and their repeats
+    meet on one key, so texts are shuffled once at most.
     """
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    docs = docs.select("doc_id", identity().alias("_text"), "text")
-    attach, probes = repeat_filter(docs, lambda batch: (minhashes(shingle_hashes(t, words)) for t in texts(batch, "text")))
-
-    def run(batches):
-        for batch in batches:
-            fps, keys, sketches = [], [], []
-            for text, probe in zip(texts(batch, "text"), probes(batch), strict=True):
-                h = shingle_hashes(text, words)
-                own = minhashes(h)
-                own = own[probe(own)]
-                h = np.unique(h)
-                fps.append(fingerprint(h, WIDE_BITS // 64) + xxhash.xxh3_128_digest(h.tobytes()))
-                keys.append(own.view(np.int64).tolist())
-                sketches.append(sketch(h) if len(own) else None)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("_text"), pa.array(fps, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.binary())],
-                ["doc_id", "_text", "fp", "keys", "sketch"])
-
-    marked = store(attach(docs).mapInArrow(
-        run, f"doc_id {kind}, _text bigint, fp binary, keys array<bigint>, sketch binary"), "fingerprints")
-    # Equal sets collapse before anything is sent with its sketch.
-    nodes = store(marked.where(F.size("keys") > 0).groupBy("fp").agg(F.min(F.struct("sketch", "keys")).alias("n")), "suspects")
-    buckets = nodes.select(F.explode("n.keys").alias("key"), "fp", F.col("n.sketch").alias("sketch"))
-    found = store(links(buckets, similar_radius(similarity, WIDE_BITS), similarity), "links")
-    return classes(marked, settled(docs, marked, found, words, similarity))
-
-
-def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """Documents without those similar to one of smaller doc_id; repeated rows leave one."""
-    columns = docs.columns
-    found = similar_documents(docs, words, similarity)
-    stay = found.where(F.col("component_id").eqNullSafe(F.col("doc_id"))).groupBy("component_id").agg(
-        F.min("_text").alias("_text")).select(F.col("component_id").alias("doc_id"), "_text")
-    kept = same(docs.withColumn("_text", identity()), stay, ["doc_id", "_text"], "inner")
-    return kept.dropDuplicates(["doc_id", "_text"]).select(*columns)
+    columns, key = docs.columns, ["_keep_id", "_keep_text"]
+    found = near_duplicates(docs, words, radius)
+    first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_text")).alias("first"))
+    stay = first.select(F.xxhash64("first.doc_id").alias(key[0]), F.col("first._text").alias(key[1]))
+    named = docs.select("*", F.xxhash64("doc_id").alias(key[0]), identity().alias(key[1]))
+    return named.join(stay, key, "left_semi").dropDuplicates(key).select(*columns)
 
 
 def op9_simhash(spark, folder):

@@ -1,10 +1,10 @@
 """The pipeline, stage by stage, against plain versions of its decisions."""
 
 import collections
-import itertools
 
 import brute
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline as pipeline
 from conftest import TESTDATA
@@ -20,31 +20,6 @@ def texts(frame):
     return {r.doc_id: r.text for r in rows}
 
 
-def near_classes(docs, similarity=0.8):
-    """Smallest id of each class of documents with similar five-word shingle sets."""
-    sets = {}
-    for i, t in docs:
-        w = brute.words(brute.ascii_lower(t or ""))
-        sets[i] = {tuple(w[a:a + 5]) for a in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
-    root = {i: i for i in sets}
-
-    def find(x):
-        while root[x] != x:
-            x = root[x]
-        return x
-
-    holders = collections.defaultdict(list)
-    for i, s in sets.items():
-        for x in s or {()}:
-            holders[x].append(i)
-    pairs = {p for ids in holders.values() for p in itertools.combinations(sorted(ids), 2)}
-    for a, b in pairs:
-        if len(sets[a] & sets[b]) >= similarity * len(sets[a] | sets[b]):
-            x, y = sorted((find(a), find(b)))
-            root[y] = x
-    return {i: find(i) for i in sets}
-
-
 @pytest.fixture(scope="module")
 def docs(spark):
     return spark.read.parquet(f"{TESTDATA}/documents.parquet")
@@ -70,48 +45,39 @@ def test_line_stage(spark, docs):
     assert got == want and want != dict(rows)
 
 
-def test_near_stage(spark, docs):
-    rows = [(r.doc_id, r.text) for r in docs.collect()]
-    got, want = texts(STAGE["simhash_near_dedup"](spark, docs, TESTDATA)), near_classes(rows)
-    assert set(got) == {i for i, k in want.items() if i == k} and len(got) < len(rows)
-    edited = PASSAGE.replace("shared30", "changed")
-    odd = odd_docs(spark, [(1, PASSAGE), (2, PASSAGE), (2, PASSAGE), (3, edited), (4, LONG), (5, LONG + " x"), (6, None), (7, ""), (8, "few words"), (None, "few words")])
-    kept = texts(STAGE["simhash_near_dedup"](spark, odd.select(*COLUMNS), TESTDATA))
-    assert sorted(kept) == [1, 4, 6, 8]
-
-
 def near_kept(spark, rows):
-    """Ids that the stage keeps, and those it must keep."""
+    """Texts that the stage keeps by id, and the ids that it must keep."""
     frame = odd_docs(spark, rows).select(*COLUMNS)
-    return sorted(texts(STAGE["simhash_near_dedup"](spark, frame, TESTDATA))), sorted(i for i, k in near_classes(rows).items() if i == k)
+    return texts(STAGE["simhash_near_dedup"](spark, frame, TESTDATA)), {i for i, (_, least) in brute.simhash([r for r in rows if r[0] is not None]).items() if i == least}
 
 
-def test_near_stage_repeats(spark):
-    """Repeated shingles count once, and equal fingerprints are no proof."""
-    cycle = " ".join(f"c{n}" for n in range(9))
-    some = lambda tag, n: " ".join(f"{tag}{k}" for k in range(n))
-    rows = [(1, f"{cycle} " * 300 + some("a", 150)), (2, f"{cycle} " * 300 + some("b", 150)),
-            (3, some("d", 150)), (4, some("d", 150) + f" {cycle}" * 300), (5, some("e", 40)), (6, f"{some('e', 40)} " * 2 + some("e", 40))]
+def test_near_stage(spark, docs):
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    got = texts(STAGE["simhash_near_dedup"](spark, docs, TESTDATA))
+    assert set(got) == {i for i, (_, least) in brute.simhash(rows).items() if i == least} and len(got) < len(rows)
+    long = [f"w{n * n % 7919}" for n in range(4000)]
+    edited = lambda *at: " ".join("changed" if n in at else w for n, w in enumerate(long))
+    rows = [(1, PASSAGE), (2, PASSAGE), (2, PASSAGE), (4, edited()), (5, edited(7)), (3, edited(7, 2000)), (6, None), (7, ""), (9, " \n"),
+            (8, "few words"), (None, "few words"), (10, LONG), (11, LONG + " x")]
     got, want = near_kept(spark, rows)
-    assert got == want == [1, 2, 3, 5]
+    assert set(got) == want == {1, 3, 6, 8, 10} and got[3] == edited(7, 2000)
 
 
-def test_near_stage_short(spark):
-    """Four shingles against five: the largest differences of fingerprints at 0.8."""
-    rows = [row for n in range(150) for row in ((2 * n, " ".join(f"{n}w{k}" for k in range(8))), (2 * n + 1, " ".join(f"{n}w{k}" for k in range(9))))]
-    got, want = near_kept(spark, rows)
-    assert got == want == list(range(0, 300, 2))
+def test_near_stage_ids(spark):
+    """One id with different texts: every group keeps one; nulls stay where a group has no other id."""
+    frame = odd_docs(spark, [(1, PASSAGE), (1, "quite another text"), (2, "quite another text"), (None, "only null has this"), (None, "only null has this")])
+    kept = sorted(map(str, ((r.doc_id, r.text) for r in STAGE["simhash_near_dedup"](spark, frame.select(*COLUMNS), TESTDATA).collect())))
+    assert kept == sorted(map(str, [(1, PASSAGE), (1, "quite another text"), (None, "only null has this")]))
 
 
-def test_near_stage_long(spark):
-    """Pairs of long documents just above and just below 0.8 are told apart exactly."""
-    rows = []
-    for n in range(40):
-        base = " ".join(f"{n}w{k}" for k in range(1500))
-        more = " ".join(f"{n}x{k}" for k in range(368 if n % 2 else 380))  # 1496 shingles of 1864 or 1876: 0.803 or 0.797
-        rows += [(2 * n, base), (2 * n + 1, f"{base} {more}")]
-    got, want = near_kept(spark, rows)
-    assert got == want == sorted([*range(0, 80, 2), *range(1, 80, 4)])
+def test_line_stage_odd(spark):
+    """Repeated rows are one document; null, empty and very long texts; a line stays in its first document."""
+    rows = [(2, "Shared\nown")] * 12 + [(n, f" shared \n{n}") for n in range(10, 18)] + [(3, None), (4, ""), (5, LONG)]
+    kept = lambda rows: sorted((r.doc_id, r.text) for r in STAGE["line_dedup"](spark, odd_docs(spark, rows).select(*COLUMNS), TESTDATA).collect())
+    assert kept(rows) == sorted((i, t or "") for i, t in rows)
+    rows += [(20, "SHARED")]
+    want = [(i, "" if i == 20 else t.split("\n")[1] if 10 <= i < 18 else t or "") for i, t in rows]
+    assert kept(rows) == sorted(want)
 
 
 def test_leak_stage(spark, docs, tmp_path):
@@ -123,6 +89,12 @@ def test_leak_stage(spark, docs, tmp_path):
     odd = odd_docs(spark)
     kept = texts(STAGE["benchmark_decontamination"](spark, odd.select(*COLUMNS), str(tmp_path)))
     assert set(kept) == {i for i, _ in ODD} - {10, 11}
+    spark.createDataFrame([(1, "the"), (2, "zyxq vvut")], "item_id bigint, text string").write.parquet(f"{tmp_path}/short/benchmark.parquet")
+    clean = spark.range(2000).select(F.col("id").alias("doc_id"), F.concat(F.lit("the words of "), "id").alias("text"),
+                                     *[F.lit(None).cast("string").alias(c) for c in ("lang", "source")], F.lit(None).cast("bigint").alias("n_chars"))
+    many = clean.unionByName(odd_docs(spark, [(9001, "so zyxq, VVUT it is"), (9001, "so zyxq, VVUT it is"), (9002, "zyxq then vvut")]).select(*COLUMNS))
+    kept = texts(STAGE["benchmark_decontamination"](spark, many, f"{tmp_path}/short"))
+    assert 9001 not in kept and 9002 in kept and len(kept) == 2001
 
 
 def test_mix_stage(spark, docs):
@@ -140,6 +112,13 @@ def test_mix_stage(spark, docs):
     assert all(abs(taken[s] - aim) <= largest[s] for s, (_, aim) in aims.items())
 
 
+def test_mix_stage_odd(spark):
+    rows = STAGE["source_mixing"](spark, odd_docs(spark, [*ODD, ODD[7], ODD[7]]).select(*COLUMNS), TESTDATA).collect()
+    copies = collections.Counter((r.doc_id, r.text) for r in rows)
+    assert all(n <= (6 if i == 8 else 2) and brute.words(t) for (i, t), n in copies.items())
+    assert all(sorted(r.copy for r in rows if r.doc_id == i and r.text == t) == list(range(n)) for (i, t), n in copies.items())
+
+
 def test_whole_pipeline(spark, docs):
     rows = pipeline.run(spark, TESTDATA).collect()
     ids = {r.doc_id for r in rows}
