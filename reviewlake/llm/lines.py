@@ -3,7 +3,8 @@
 1. Every line key is hashed; the repeat filter (``bloom``) learns which hashes
    occur in more than one document.  No line leaves its task.
 2. Only suspected lines are sent, once per document, and counted exactly by their
-   key with map-side sums, together with their first occurrence.
+   key with map-side sums, together with their first occurrence.  A document is its
+   doc_id and text: rows that repeat both are found by hashes and sent once.
 3. Confirmed keys are dropped from every document, or from all but the first.
 
 The confirmed keys are broadcast if their measured size allows it; otherwise the
@@ -11,7 +12,7 @@ line numbers to drop reach each document by two joins.
 
 Defined cases: a null or empty text is one empty line; keys shorter than
 ``min_chars`` are never dropped; a key repeated inside one document counts once;
-repeated rows count as documents of their own; first occurrences go by doc_id (null
+repeated rows (doc_id and text) count as one document and are treated alike; first occurrences go by doc_id (null
 first), then line; further columns are carried only when named in ``carry``.
 """
 
@@ -44,6 +45,17 @@ def counted(key: bytes, min_chars: int) -> bool:
     return len(key) >= min_chars and (min_chars <= 1 or len(key.decode()) >= min_chars)
 
 
+def once(docs: DataFrame) -> DataFrame:
+    """Rows of (doc_id, text, _text), repeated ones once; only texts that repeat are shuffled."""
+    key = ["_id", "_text"]
+    named = docs.withColumn("_id", F.xxhash64("doc_id"))
+    again = store(named.groupBy(*key).count().where("count > 1").select(*key), "repeated")
+    if again.isEmpty():
+        return docs
+    lone, repeated = named.join(again, key, "left_anti"), named.join(again, key, "left_semi")
+    return lone.unionByName(repeated.dropDuplicates(key)).select(*docs.columns)
+
+
 def dedup_lines(docs: DataFrame, min_docs: int = 2, keep_first: bool = True, min_chars: int = 1,
                 carry: tuple[str, ...] = ("doc_id",), keys_bytes: int = KEYS_BYTES) -> DataFrame:
     """Rows of ``docs``: carried columns, kept text, n_lines, n_dropped."""
@@ -75,7 +87,7 @@ def dedup_lines(docs: DataFrame, min_docs: int = 2, keep_first: bool = True, min
 
     kind = slim.schema["doc_id"].dataType.simpleString()
     repeated = store(
-        attach(slim).mapInArrow(suspects, f"doc_id {kind}, line bigint, key string").groupBy("key")
+        attach(once(slim)).mapInArrow(suspects, f"doc_id {kind}, line bigint, key string").groupBy("key")
         .agg(F.count("*").alias("n_docs"), F.min(F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "line")).alias("first"))
         .where(F.col("n_docs") >= min_docs).select("key", "n_docs", F.col("first.doc_id").alias("first_doc"), F.col("first.line").alias("first_line")),
         "lines")
@@ -136,12 +148,12 @@ def op3_lines(spark, folder):
 STRIPPED = r"trim(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"
 
 OP3_SQL = f"""
-WITH lines AS (
-  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
-    unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS i FROM documents),
-keyed AS (SELECT doc_id, i, line, {STRIPPED} AS key FROM lines),
-heavy AS (SELECT key FROM keyed WHERE key <> '' GROUP BY key HAVING count(DISTINCT doc_id) >= 10)
-SELECT doc_id, count(*) AS n_lines, count(heavy.key) AS n_dropped,
+WITH docs AS (SELECT doc_id, coalesce(text, '') AS text, row(doc_id, md5(text)) AS doc, row_number() OVER () AS rid FROM documents),
+lines AS (
+  SELECT doc_id, doc, rid, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS i FROM docs),
+keyed AS (SELECT doc_id, doc, rid, i, line, {STRIPPED} AS key FROM lines),
+heavy AS (SELECT key FROM keyed WHERE key <> '' GROUP BY key HAVING count(DISTINCT doc) >= 10)
+SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(heavy.key) AS n_dropped,
   sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (heavy.key IS NULL), '')) AS kept_sha256
-FROM keyed LEFT JOIN heavy USING (key) GROUP BY doc_id
+FROM keyed LEFT JOIN heavy USING (key) GROUP BY rid
 """

@@ -22,9 +22,9 @@ def words(text):
 
 
 def lines(docs, least):
-    """{doc_id: (n_lines, n_dropped, sha)} of rows (doc_id, text)."""
+    """{doc_id: (n_lines, n_dropped, sha)} of rows (doc_id, text); repeated rows are one document."""
     key = lambda x: ascii_lower(re.sub(f"^{WS}+|{WS}+$", "", x))
-    found = collections.Counter(k for _, t in docs for k in {key(x) for x in (t or "").split("\n")})
+    found = collections.Counter(k for _, t in set(docs) for k in {key(x) for x in (t or "").split("\n")})
     out = {}
     for i, t in docs:
         every = (t or "").split("\n")

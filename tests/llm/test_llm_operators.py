@@ -164,6 +164,7 @@ def test_beyond_broadcast_limits(spark, odd):
     from reviewlake.llm import bloom, decontaminate, lines, simhash
 
     docs = spark.read.parquet(f"{TESTDATA}/documents.parquet")
+    wide = result(spark, "op9_simhash", odd)
     for first in (False, True):
         a = lines.dedup_lines(docs, 3, first).collect()
         b = lines.dedup_lines(docs, 3, first, keys_bytes=0).collect()
@@ -176,10 +177,28 @@ def test_beyond_broadcast_limits(spark, odd):
     try:
         assert result(spark, "op10_substrings", odd) == brute.substrings(documents(spark, odd))
         assert result(spark, "op3_lines", TESTDATA) == brute.lines(documents(spark, TESTDATA), 10)
-        kept = simhash.keep_one(docs).collect()
     finally:
         bloom.LIMIT_BYTES = limit
-    assert sorted(kept) == sorted(simhash.keep_one(docs).collect())
+    hot, simhash.HOT = simhash.HOT, 20
+    try:
+        assert result(spark, "op9_simhash", odd) == wide
+    finally:
+        simhash.HOT = hot
+
+
+@pytest.mark.parametrize("others, dropped", [(8, 0), (9, 1)])
+def test_lines_of_repeated_rows(spark, tmp_path, others, dropped):
+    """Twelve rows of one document count once, here and in SQL."""
+    rows = [(1, "shared\nown")] * 12 + [(n, f"Shared \n{n}") for n in range(2, others + 2)]
+    odd_docs(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    df = queries()["op3_lines"](spark, str(tmp_path))
+    got = [tuple(r) for r in df.collect()]
+    want = brute.lines(rows, 10)
+    assert sorted(got) == sorted((i, *want[i]) for i, _ in rows) and {r[2] for r in got} == {dropped}
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    rel = duck.sql(oracle_sql()["op3_lines"])
+    assert comparable(got, df.columns) == comparable(rel.fetchall(), rel.columns)
 
 
 def test_mix_tree_levels(spark):
