@@ -25,20 +25,29 @@ def _relative(path: Column, root: str) -> Column:
 
 def _globbed(spark: SparkSession, root: str, own=()) -> DataFrame:
     """Files with a supported extension by Spark's own reader, for stores that only Spark can open."""
+    return _records(spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+                    .option("pathGlobFilter", supported_glob(own)).load(root), root)
+
+
+def supported_glob(own=()) -> str:
+    """File names with a supported extension, in any case."""
     either = lambda ext: "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in ext)
-    found = (spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-             .option("pathGlobFilter", "*{" + ",".join(map(either, EXTENSIONS | extensions_of(own))) + "}").load(root))
+    return "*{" + ",".join(map(either, EXTENSIONS | extensions_of(own))) + "}"
+
+
+def _records(found: DataFrame, root: str) -> DataFrame:
     return found.select("path", _relative(F.col("path"), root).alias("relative_path"), F.col("length").alias("size"),
                         F.col("modificationTime").alias("mtime"), "content")
 
 
-def _listing(spark: SparkSession, root: str, own=()) -> DataFrame:
+def listing(spark: SparkSession, root: str, own=()) -> DataFrame:
+    """Files below ``root`` without their contents, where the store can be walked."""
     return tree.list_tree(spark, root) if tree.reachable(root) else _globbed(spark, root, own)
 
 
 def skipped_files(spark: SparkSession, root: str, max_bytes: int, own=()) -> DataFrame:
     """Supported files beyond the limit that a caller has set, with the reason; nothing is opened."""
-    found = select_files(_listing(spark, root, own), None, own).select("path", "size")
+    found = select_files(listing(spark, root, own), None, own).select("path", "size")
     return found.where(F.col("size") > max_bytes).withColumn("error", F.concat(F.lit("Larger than "), F.lit(str(max_bytes)), F.lit(" bytes.")))
 
 
@@ -55,6 +64,22 @@ def read_files(spark: SparkSession, root: str, project_id: str | Column = "proje
         raw = tree.with_content(select_files(tree.list_tree(spark, root), max_bytes, own), opened)
     else:
         raw = select_files(_globbed(spark, root, own).where(size_in_bounds(F.col("size"), max_bytes)), max_bytes, own)
+    return _decoded(raw, project_id, own)
+
+
+def stream_files(spark: SparkSession, root: str, project_id: str | Column = "project", max_bytes: int | None = None,
+                 own=(), files_per_batch: int = 1000) -> DataFrame:
+    """The files of :func:`read_files` as a stream, each once, as they land below ``root``.
+
+    Spark's own reader finds them: files of excluded directories are dropped by name after it.
+    """
+    found = (spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length bigint, content binary")
+             .option("recursiveFileLookup", "true").option("pathGlobFilter", supported_glob(own))
+             .option("maxFilesPerTrigger", files_per_batch).load(root))
+    return _decoded(select_files(_records(found, root), max_bytes, own), project_id, own)
+
+
+def _decoded(raw: DataFrame, project_id: str | Column, own) -> DataFrame:
     text = raw.withColumn("content", decode(F.col("content")))
     return text.select((project_id if isinstance(project_id, Column) else F.lit(project_id)).alias("project_id"), "path", "relative_path",
                        file_name(F.col("path")).alias("filename"), pack_language(F.col("path"), own).alias("language"),
