@@ -21,7 +21,7 @@ def streamed_review(spark, folder):
     """Documents reviewed as a stream; the findings land in a parquet table."""
     root = shared_folder(spark, "stream")
     schema = table(spark, folder, "documents").schema
-    done = review_stream(spark, folder, schema, tables.program_corpus, pattern="documents.parquet")
+    done = review_stream(spark, tables.stream_path(folder, "documents"), schema, tables.program_corpus)
     run_available(rules.explode_issues(done), f"{root}/issues", f"{root}/checkpoint")
     issues = spark.read.parquet(f"{root}/issues")
     return issues.groupBy("project_id", "language", "rule_id").agg(F.count("*").alias("findings"))
@@ -61,8 +61,7 @@ def redelivered_totals(spark, folder):
 
 
 def _event_findings(spark, folder):
-    return _findings_of(spark.readStream.schema(table(spark, folder, "events").schema)
-                        .option("pathGlobFilter", "events.parquet").parquet(folder))
+    return _findings_of(spark.readStream.schema(table(spark, folder, "events").schema).parquet(tables.stream_path(folder, "events")))
 
 
 def _findings_of(events):

@@ -72,3 +72,14 @@ def test_totals_do_not_grow_with_batches(spark, tmp_path):
     from reviewlake.streaming.review import merge_totals
     merge_totals(spark.createDataFrame([("p0", "HIGH", 99)], "project_id string, severity string, issues bigint"), now.tables["totals"]["batch"], out)
     assert Snapshot.newest(spark, out).version == now.version
+
+
+@pytest.mark.parametrize("name", ["stream_review", "stream_running_totals"])
+def test_streams_read_tables_of_part_files(spark, tmp_path, name):
+    """A table is one file or a folder of part files; a table whose name only begins alike is another one."""
+    for t in ("documents", "events"):
+        given = spark.read.parquet(f"{TESTDATA}/{t}.parquet")
+        given.repartition(3).write.parquet(str(tmp_path / "tables" / f"{t}.parquet"))
+        given.limit(5).write.parquet(str(tmp_path / "tables" / f"{t}.parquet.old"))
+    whole, parts = (sorted(map(tuple, queries()[name](spark, folder).collect()), key=str) for folder in (TESTDATA, str(tmp_path / "tables")))
+    assert whole == parts and whole
