@@ -85,6 +85,18 @@ def test_the_native_model_scores_like_the_trees(spark, classes, tmp_path):
         assert own > 0.9 and own > spark_own - 0.05
 
 
+@pytest.mark.parametrize("classes", [False, True])
+def test_rows_of_several_tasks_are_boosted_without_barriers(spark, monkeypatch, classes):
+    """Spark holds every exchange of a barrier stage for a second, a level of a tree each."""
+    df, *_ = frame(spark, 1500, classes)
+    monkeypatch.setattr(boosting, "ROWS_PER_TASK", 500)
+    monkeypatch.setattr(boosting, "grow", lambda *a, **b: pytest.fail("a barrier job of several tasks"))
+    estimator = BoostedTrees(Boosting(rounds=10, depth=4, logistic=classes, step=0.3), 5)
+    models = [estimator.fit(rows) for rows in (df, df.repartition(7))]
+    assert models[0].toDebugString.split("\n", 1)[1] == models[1].toDebugString.split("\n", 1)[1]  # after the line with the uid
+    assert models[0].getNumTrees == 10 and np.mean([abs(r.prediction - r.target) for r in models[0].transform(df).collect()]) < (0.05 if classes else 0.4)
+
+
 def test_boosting_of_odd_rows(spark):
     """No rows, one row, one class, constant features."""
     df, *_ = frame(spark, 50)
