@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+from itertools import accumulate
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from reviewlake.functions.text import unify_newlines
 from reviewlake.operators.files import detect_language, file_name, pack_language, select_files, size_in_bounds
 from reviewlake.packs.languages import EXTENSIONS
 from reviewlake.packs.own import extensions_of
+from reviewlake.session import store
 from reviewlake.sources import tree
 
 
@@ -79,6 +83,39 @@ def stream_files(spark: SparkSession, root: str, project_id: str | Column = "pro
     return _decoded(select_files(_records(found, root), max_bytes, own), project_id, own)
 
 
+def arrivals(spark: SparkSession, root: str, known: str, max_bytes: int | None = None, own=(), files_per_batch: int = 1000) -> int:
+    """List the reviewable files below ``root`` that ``known`` does not name and add them there; returns how many files ``root`` has.
+
+    ``known`` holds one parquet file of paths and sizes for each ``files_per_batch`` files, which
+    :func:`stream_listed` takes as one batch.  Files are known by their path.
+    """
+    chosen = store(select_files(listing(spark, root, own), max_bytes, own), "chosen")
+    total, fresh = chosen.count(), chosen
+    if tree.exists(spark, known):
+        before = spark.read.schema(chosen.schema).option("recursiveFileLookup", "true").parquet(known)
+        fresh = store(chosen.join(before, "path", "left_anti").select(*chosen.columns), "fresh")
+    # Numbers without gaps: those before a row's partition, and its place in the partition.
+    numbered = store(fresh.withColumn("_id", F.monotonically_increasing_id()), "numbered")
+    part = F.shiftright("_id", 33)
+    sizes = sorted(map(tuple, numbered.groupBy(part).count().collect()))
+    if sizes:
+        before = dict(zip((k for k, _ in sizes), accumulate((n for _, n in sizes), initial=0)))
+        start = F.element_at(F.create_map(*[F.lit(x) for kv in before.items() for x in kv]), part)
+        batch = F.floor((start + F.col("_id").bitwiseAND((1 << 33) - 1)) / files_per_batch)
+        rows = numbered.withColumn("batch", batch).drop("_id")
+        rows.repartition("batch").write.partitionBy("batch").parquet(f"{known}/{uuid.uuid4().hex}")
+    return total
+
+
+def stream_listed(spark: SparkSession, known: str, project_id: str | Column = "project", own=()) -> DataFrame:
+    """The files that :func:`arrivals` has listed as a stream, a batch for each of its parts; only listed files are opened."""
+    held = spark.read.option("recursiveFileLookup", "true").parquet(known)
+    # Batches are of like size, as they hold as many files; the largest says how many partitions the contents need.
+    largest = held.groupBy(F.input_file_name()).agg(F.sum("size").alias("size")).agg(F.max("size")).first()[0] or 0
+    found = spark.readStream.schema(held.schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(known)
+    return _decoded(tree.opened_files(found, largest), project_id, own)
+
+
 def _decoded(raw: DataFrame, project_id: str | Column, own) -> DataFrame:
     text = raw.withColumn("content", decode(F.col("content")))
     return text.select((project_id if isinstance(project_id, Column) else F.lit(project_id)).alias("project_id"), "path", "relative_path",

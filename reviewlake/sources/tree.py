@@ -149,10 +149,13 @@ def with_content(files: DataFrame, opened=None) -> DataFrame:
     The selection is stored first: its sizes say how many partitions the contents need.
     Rows go out as soon as a batch is full.
     """
-    spark = files.sparkSession
     chosen = store(files, "selected")
-    total = chosen.agg(F.sum("size")).first()[0] or 0
-    least = spark.sparkContext.defaultParallelism if total > BATCH_BYTES else 1
+    return opened_files(chosen, chosen.agg(F.sum("size")).first()[0] or 0, opened)
+
+
+def opened_files(chosen: DataFrame, total: int, opened=None) -> DataFrame:
+    """Add ``content`` to listed files of ``total`` bytes, or to each batch of a stream of them."""
+    least = chosen.sparkSession.sparkContext.defaultParallelism if total > BATCH_BYTES else 1
     names = chosen.columns
 
     def run(batches):
@@ -172,6 +175,11 @@ def with_content(files: DataFrame, opened=None) -> DataFrame:
     return chosen.repartition(max(least, -(-total // PARTITION_BYTES)), "path").mapInArrow(run, f"{shape}, content binary")
 
 
+def exists(spark: SparkSession, uri: str) -> bool:
+    path = spark._jvm.org.apache.hadoop.fs.Path(uri)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+
+
 def write_tree(rows: DataFrame, root: str) -> None:
     """Write each row's ``content`` (binary) as the file ``relative_path`` below ``root``; a task that runs again writes the same files."""
 

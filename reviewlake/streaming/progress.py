@@ -13,7 +13,8 @@ from pyspark.sql.streaming import StreamingQueryListener
 from reviewlake.operators.files import select_files
 from reviewlake.operators.rules import explode_issues
 from reviewlake.plans.review import review
-from reviewlake.sources.files import listing, stream_files
+from reviewlake.sources import tree
+from reviewlake.sources.files import arrivals, listing, stream_files, stream_listed
 from reviewlake.streaming.review import run_available
 
 # --- Fixed values -----------------------------------------------------------
@@ -67,13 +68,22 @@ def review_job(spark: SparkSession, root: str, out: str, checkpoint: str, report
 
     ``report`` gets a step as the job is queued, collects, runs (one step a batch), saves
     and is completed.  ``total`` counts all files of the directory by a listing that opens none.
+    The listing is kept in the checkpoint and is what is streamed: Spark's own reader lists every
+    file of a batch once more, by a task each.  Stores that can't be walked are left to it.
     """
     at = lambda stage, done, total: report(Step(stage, done, total, float(PERCENT[stage])))
     at("queued", 0, 0)
     at("collecting", 0, 0)
-    total = select_files(listing(spark, root, own), max_bytes, own).count()
+    if tree.reachable(root):
+        known = f"{checkpoint.rstrip('/')}/arrived"
+        total = arrivals(spark, root, known, max_bytes, own, files_per_batch)
+        arrived = stream_listed(spark, known, project_id, own) if tree.exists(spark, known) else None
+    else:
+        total = select_files(listing(spark, root, own), max_bytes, own).count()
+        arrived = stream_files(spark, root, project_id, max_bytes, own, files_per_batch)
+    if arrived is None:  # nothing has ever been there
+        arrived = stream_files(spark, root, project_id, max_bytes, own, files_per_batch)
     listener = Listener(f"review-{uuid.uuid4().hex}", total, report)
-    arrived = stream_files(spark, root, project_id, max_bytes, own, files_per_batch)
     reviewed = review(arrived.observe(REVIEWED, F.count(F.lit(1)).alias("files")), own=own, **options)
     spark.streams.addListener(listener)
     try:

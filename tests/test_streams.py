@@ -83,3 +83,29 @@ def test_streams_read_tables_of_part_files(spark, tmp_path, name):
         given.limit(5).write.parquet(str(tmp_path / "tables" / f"{t}.parquet.old"))
     whole, parts = (sorted(map(tuple, queries()[name](spark, folder).collect()), key=str) for folder in (TESTDATA, str(tmp_path / "tables")))
     assert whole == parts and whole
+
+
+def test_jobs_stream_their_listing_and_not_every_file(spark, tmp_path):
+    """Spark's file reader lists the files of a batch once more, by a task each; a batch here is one file of paths."""
+    for n in range(23):
+        (tmp_path / "in" / f"d{n % 3}").mkdir(parents=True, exist_ok=True)
+        (tmp_path / "in" / f"d{n % 3}" / f"{n}.py").write_text(f"eval('{n}')\n")
+    for run, (done, batches) in enumerate(((23, 3), (1, 4), (0, 4))):
+        steps = []
+        review_job(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "checkpoint"), steps.append, files_per_batch=10)
+        assert [s.done for s in steps if s.stage == "running"] == ([10, 20, 23] if not run else [done] * (done > 0)) and steps[-1].total == 23 + (run > 0)
+        log = tmp_path / "checkpoint" / "sources" / "0"
+        streamed = {line for f in log.iterdir() if not f.name.endswith(".crc") for line in f.read_text().splitlines() if line.startswith("{")}
+        assert len(streamed) == batches
+        (tmp_path / "in" / "d1" / "late.py").write_text("eval('late')\n")
+    found = spark.read.parquet(str(tmp_path / "out"))
+    assert found.select("path").distinct().count() == 24
+
+
+def test_a_directory_without_files_is_reviewed(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    for total in (0, 1):
+        steps = []
+        review_job(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "checkpoint"), steps.append)
+        assert steps[-1][:3] == ("completed", total, total)
+        (tmp_path / "in" / "a.py").write_text("eval('1')\n")
