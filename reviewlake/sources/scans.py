@@ -14,7 +14,12 @@ trigram and read everything.
 
 from __future__ import annotations
 
+import sys
+from itertools import groupby
+
+import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from reviewlake.operators import history
@@ -22,11 +27,16 @@ from reviewlake.session import store
 from reviewlake.sources.exports import analysis_rows
 from reviewlake.sources.snapshots import Snapshot
 
+# Ship the trigram helpers with each task: executors need not have the package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 #: Findings of a bucket (one folder, one task's sort) and of a block.
 BUCKET_ROWS, BLOCK_ROWS = 500_000, 2048
 #: Summaries or projects of a bucket.
 SUMMARY_ROWS = 1_000_000
 GRAM = 3
+#: Trigrams over an alphabet are marked in a table of at most so many entries, beyond that they are sorted.
+GRAM_TABLE = 1 << 24
 
 
 def _buckets(rows: int, of_bucket: int) -> int:
@@ -44,24 +54,63 @@ def blocked(found: DataFrame, bucket_rows: int = BUCKET_ROWS, block_rows: int =
     return rows.withColumn("block", F.floor((F.row_number().over(order) - 1) / block_rows).cast("int"))
 
 
+def _gram_codes(texts: list[str]) -> np.ndarray:
+    """The distinct trigrams of some texts, a row of three code points each."""
+    codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    if len(codes) < GRAM:
+        return np.zeros((0, GRAM), np.uint32)
+    seen = np.zeros(int(codes.max()) + 1, bool)
+    seen[codes] = True
+    alphabet = np.flatnonzero(seen)
+    place = np.zeros(len(seen), np.int64)
+    place[alphabet] = np.arange(len(alphabet))
+    at, size = place[codes], len(alphabet)
+    keys = (at[:-2] * size + at[1:-1]) * size + at[2:]
+    ends = np.cumsum([len(t) for t in texts])
+    within = np.ones(len(keys), bool)  # no trigram reaches into the next text
+    for back in (1, 2):
+        within[(ends - back)[(ends >= back) & (ends - back < len(keys))]] = False
+    keys = keys[within]
+    if size ** 3 <= GRAM_TABLE:
+        held = np.zeros(size ** 3, bool)
+        held[keys] = True
+        keys = np.flatnonzero(held)
+    else:
+        keys = np.unique(keys)
+    return alphabet[np.stack((keys // (size * size), keys // size % size, keys % size), axis=1)].astype(np.uint32)
+
+
+def grams_of(texts: list[str]) -> set[str]:
+    """The distinct trigrams of some texts."""
+    found = _gram_codes(texts).tobytes().decode("utf-32-le", "surrogatepass")
+    return {found[i:i + GRAM] for i in range(0, len(found), GRAM)}
+
+
 def postings(findings: DataFrame) -> DataFrame:
     """(analysis_id, bucket, gram, blocks): the trigrams of each block, turned around.
 
     A block leaves its task as its distinct trigrams, not as those of every finding.
     """
+    spark = findings.sparkSession
+    # A number of our own: texts are small when packed, and blocks would be gathered in a task or two.
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     text = findings.select("analysis_id", "bucket", "block", history.search_text().alias("text"))
-    text = text.repartition("analysis_id", "bucket", "block").sortWithinPartitions("analysis_id", "bucket", "block")
+    text = text.repartition(tasks, "analysis_id", "bucket", "block").sortWithinPartitions("analysis_id", "bucket", "block")
 
     def run(batches):
         key, grams = None, set()
         for batch in batches:
             done = []
-            for *at, t in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            *keys, texts = (c.to_pylist() for c in batch.columns)
+            first = 0
+            for at, rows in groupby(zip(*keys, strict=True)):
+                last = first + sum(1 for _ in rows)
                 if at != key:
                     if key is not None:
                         done.append((*key, list(grams)))
                     key, grams = at, set()
-                grams.update(map("".join, zip(t, t[1:], t[2:])))
+                grams |= grams_of(texts[first:last])
+                first = last
             if done:
                 yield packed(done)
         if key is not None:

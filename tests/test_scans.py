@@ -120,3 +120,24 @@ def test_stored_projects(spark, tmp_path):
 def test_projects_of_an_empty_store(spark, tmp_path):
     scans.create_projects(project_table(spark, TESTDATA), str(tmp_path))
     assert scans.read_projects(spark, str(tmp_path)).count() == project_table(spark, TESTDATA).count()
+
+
+def test_trigrams_by_table_and_by_sorting(monkeypatch):
+    texts = ["", "ab", "abcabc", "x\n\"é \U0001f600y", "abc", "zzzz", "q", "rs"]
+    want = {t[i:i + 3] for t in texts for i in range(len(t) - 2)}
+    assert scans.grams_of(texts) == want
+    monkeypatch.setattr(scans, "GRAM_TABLE", 0)
+    assert scans.grams_of(texts) == want
+    assert scans.grams_of([]) == scans.grams_of(["ab", "cd"]) == set()
+
+
+def test_blocks_are_indexed_in_many_tasks(spark, done, tmp_path):
+    """Packed texts are small: dealt by key alone, all blocks would be gathered in one task."""
+    root = str(tmp_path)
+    scans.store_scan(done, root, 1, "2024-01-01", 1.0, bucket_rows=200, block_rows=16)
+    findings = Snapshot.newest(spark, root).read("findings")
+    index = scans.postings(findings)
+    assert "REPARTITION_BY_COL" not in index._jdf.queryExecution().toString()
+    texts = findings.select("bucket", "block", history.search_text().alias("t")).collect()
+    want = {(r.bucket, r.block, r.t[i:i + 3]) for r in texts for i in range(len(r.t) - 2)}
+    assert {(r.bucket, b, r.gram) for r in index.collect() for b in r.blocks} == want
