@@ -10,6 +10,7 @@ from reviewlake.functions.text import round1
 from reviewlake.operators import rollup, scoring
 from reviewlake.operators.files import file_name
 from reviewlake.packs.metric_patterns import FEATURES
+from reviewlake.sources.snapshots import _fs
 
 # --- Fixed values -----------------------------------------------------------
 CSV_COLUMNS = ("file", "language", "severity", "category", "title", "description", "line_number", "suggestion",
@@ -93,7 +94,13 @@ def json_records(reviewed: DataFrame, packs=None, seconds: float | None = None)
 
 
 def write_json(records: DataFrame, path: str) -> None:
-    records.select("project_id", "record", "value").write.partitionBy("record").mode("errorifexists").json(path)
+    """JSON lines in a folder per kind of record, each written by itself: a dynamic partition would sort all rows first."""
+    fs, at = _fs(records.sparkSession, path)
+    if fs.exists(at):
+        raise FileExistsError(path)
+    kinds = records.select("project_id", "record", "value")
+    for kind in ("file", "project"):
+        kinds.where(F.col("record") == kind).drop("record").write.mode("errorifexists").json(f"{path}/record={kind}")
 
 
 def analysis_rows(reviewed: DataFrame, scan_id: int, created_at, seconds: float) -> DataFrame:

@@ -188,3 +188,36 @@ def test_rehydrate_ignores_bad_json(spark):
 def test_report_sections(done):
     rows = exports.report_sections(done, issues(done), "pdf")
     assert {r.section for r in rows.select("section").distinct().collect()} == {"scores", "issues", "languages", "top_issues"}
+
+
+def test_rule_texts_are_one_expression(spark, monkeypatch):
+    """Built as columns, the texts of all rules are thousands of calls to the JVM for each use."""
+    from dataclasses import replace
+
+    from reviewlake.operators import rules
+    from reviewlake.packs.rules import JSON, builtin_packs
+
+    odd = replace(JSON[0], title="it's \\ \"quoted\"\n\\n {n}", suggestion="", reason="50 % é '")
+    packs = builtin_packs() | {"JSON": (odd,)}
+    calls = []
+    lit = rules.F.lit
+    monkeypatch.setattr(rules.F, "lit", lambda x: calls.append(x) or lit(x))
+    texts = rules.rule_texts(packs, rules.F.col("n"))
+    assert len(calls) < 10
+    entries = rules.catalogue(packs)
+    got = {r.n: r.t for r in spark.range(1, len(entries) + 2).selectExpr("CAST(id AS INT) AS n").select("n", texts.alias("t")).collect()}
+    for _, n, r in entries:
+        assert tuple(got[n]) == (r.rule_id, r.phase, r.title, r.description, r.suggestion, r.reason)
+    assert got[len(entries) + 1] is None
+
+
+def test_json_records_are_written_once_and_apart(spark, done):
+    path = f"{shared_folder(spark, 'test')}/json"
+    records = exports.json_records(done)
+    exports.write_json(records, path)
+    back = spark.read.json(path)
+    assert sorted(map(tuple, back.select("project_id", "record", "value").where("record = 'file'").collect())) == sorted(
+        map(tuple, records.select("project_id", "record", "value").where("record = 'file'").collect()))
+    assert back.where("record = 'project'").count() == done.select("project_id").distinct().count()
+    with pytest.raises(FileExistsError):
+        exports.write_json(records, path)
