@@ -97,6 +97,36 @@ def test_rows_of_several_tasks_are_boosted_without_barriers(spark, monkeypatch,
     assert models[0].getNumTrees == 10 and np.mean([abs(r.prediction - r.target) for r in models[0].transform(df).collect()]) < (0.05 if classes else 0.4)
 
 
+@pytest.mark.parametrize("model", ["maintainability_scorer", "bug_detector"])
+def test_tasks_of_a_forest_do_not_grow_with_the_rows(spark, monkeypatch, model):
+    """Each task sends the sums of all nodes of a level, so more tasks than slots only add work; the trees are the same however the rows came."""
+    monkeypatch.setattr(ml, "ROWS_PER_PARTITION", 50)
+    df, *_ = frame(spark, 900, model == "bug_detector")
+    df = df.withColumn(ml.TARGETS[model][0], F.round("target", 0)).drop("target")  # sums of whole numbers are exact
+    df = df.withColumn("id", F.when(F.col("id") != "7", F.col("id")))  # one without a key
+    seen = []
+    kind = type(ml.estimators()[model])
+
+    class Watched(kind):
+        def _fit(self, rows):
+            seen.append((rows.rdd.getNumPartitions(), rows.count()))
+            return super()._fit(rows)
+
+    out = []
+    for n in (15, 11):
+        estimator = Watched(numTrees=5, maxDepth=4, seed=1, labelCol="target", featuresCol="scaled")
+        _, predictions = ml.fit_one(df.repartition(n).persist(), 900, model, estimator)
+        out.append(sorted((r.id or "", round(r.prediction, 9)) for r in predictions.collect()))
+    spark.catalog.clearCache()
+    assert [n for n, _ in seen] == [spark.sparkContext.defaultParallelism] * 2 and seen[0] == seen[1]
+    assert out[0] == out[1] and len(out[0]) + seen[0][1] == 900
+    # Few rows stay in the partitions that they were in.
+    assert ml.dealt(df.withColumn("target", F.lit(1.0)).repartition(3), 100).rdd.getNumPartitions() == 2
+    # Many rows are dealt in lots of a bounded size.
+    monkeypatch.setattr(ml, "ROWS_PER_FOREST_TASK", 100)
+    assert ml.dealt(df.withColumn("target", F.lit(1.0)), 900).rdd.getNumPartitions() == 3 * spark.sparkContext.defaultParallelism
+
+
 def test_boosting_of_odd_rows(spark):
     """No rows, one row, one class, constant features."""
     df, *_ = frame(spark, 50)
