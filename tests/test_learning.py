@@ -10,8 +10,9 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
 from conftest import TESTDATA
+from entries.common import programs
 from entries.learning import rows as training_rows
-from reviewlake import store
+from reviewlake import review, store
 from reviewlake.operators import boosting, ml
 from reviewlake.operators.boosting import BoostedTrees, Boosting
 
@@ -195,3 +196,19 @@ def test_spark_agrees_on_the_auc(spark, trained):
     own = next(r.value for r in ml.evaluation(p).collect() if r.metric == "auc")
     assert abs(BinaryClassificationEvaluator(labelCol="target", rawPredictionCol="raw").evaluate(p) - own) < 0.02
     assert p.select(vector_to_array("raw")).count() > 0
+
+
+def test_texts_do_not_queue_at_the_kernel(spark, trained):
+    """Rows wait for Python a batch at a time: with their texts and lines they would be written out many times over."""
+    def nodes(plan):
+        children = plan.children()
+        inner = [plan.initialPlan()] if plan.nodeName().startswith("AdaptiveSparkPlan") else [children.apply(i) for i in range(children.size())]
+        return [plan, *(x for child in inner for x in nodes(child))]
+
+    done = review(programs(spark, TESTDATA), models=trained[0])
+    steps = [x for x in nodes(done.drop("hits")._jdf.queryExecution().executedPlan()) if x.nodeName() == "ArrowEvalPython" and "project" in x.udfs().toString()]
+    passed = [step.output().apply(i).name() for step in steps for i in range(step.output().size())]
+    assert steps and not {"content", "folded", "lines", "folded_lines", "stripped", "syntax"} & set(passed)
+    assert done.count() == programs(spark, TESTDATA).count()
+    # Nor are the kernel features stored, which are five times the room of the vectors.
+    assert "kernel" not in ml.training_frame(training_rows(spark, TESTDATA), trained[0].scaler).columns
