@@ -1,6 +1,7 @@
 """Boosting in one barrier job, exact ranking metrics, and the written predictions of all six models."""
 
 import random
+import re
 
 import duckdb
 import numpy as np
@@ -15,6 +16,7 @@ from entries.learning import rows as training_rows
 from reviewlake import review, store
 from reviewlake.operators import boosting, ml
 from reviewlake.operators.boosting import BoostedTrees, Boosting
+from reviewlake.packs.metric_patterns import FEATURES
 
 
 def frame(spark, n=3000, classes=False):
@@ -212,3 +214,41 @@ def test_texts_do_not_queue_at_the_kernel(spark, trained):
     assert done.count() == programs(spark, TESTDATA).count()
     # Nor are the kernel features stored, which are five times the room of the vectors.
     assert "kernel" not in ml.training_frame(training_rows(spark, TESTDATA), trained[0].scaler).columns
+
+
+def test_training_learns_from_every_row(spark, monkeypatch):
+    """No row of a large table is left out of the scaler, the frame or the fits."""
+    n, seen = 1_010_000, []
+    rows = spark.range(n).select(F.col("id").cast("string").alias("id"), *[(F.col("id") % (i + 2)).cast("double").alias(c) for i, c in enumerate(FEATURES)],
+                                 F.lit("LOW").alias("label_severity"))
+    monkeypatch.setattr(ml, "fit_one", lambda frame, rows, *a, **b: seen.append((frame.count(), rows)) or (None, frame.limit(0)))
+    models, _ = ml.train(rows, ["severity_classifier"])
+    assert seen == [(n, n)] and models.metadata["training_samples"] == n
+    for i in (0, 50):
+        assert abs(models.scaler[FEATURES[i]][0] - sum(k % (i + 2) for k in range(n)) / n) < 1e-9
+
+
+def test_thresholds_of_large_frames_are_of_all_rows(spark):
+    """Spark's trees would take them from a sample of some ten thousand rows."""
+    x = F.array(F.rand(1), F.rand(2), F.when(F.rand(3) > 0.98, F.ceil(F.rand(4) * 60)).otherwise(0).cast("double"), F.lit(1.0),
+                F.when(F.rand(5) > 0.99, F.rand(6)).otherwise(1.0))
+    df = spark.range(24_000).select(F.col("id").cast("string").alias("id"), array_to_vector(x).alias("scaled"))
+    df = df.withColumn("v", vector_to_array("scaled")).withColumn("target", (F.col("v")[0] > 0.4).cast("double") + 3 * (F.col("v")[2] > 30).cast("double"))
+    df = store(df.withColumn("label_maintainability_score", F.col("target")), "frame")
+    plain = boosting.cuts(df, "scaled", 5)
+    filled = boosting.filled_cuts(df, "scaled", plain)
+    values = np.array([r.v for r in df.select("v").collect()])
+    # Frequent values leave their room to the others; the largest value is no threshold.
+    assert [len(t) for t in filled] == [31, 31, 31, 0, 31] and [len(t) for t in plain][2:] == [1, 0, 0]
+    assert all(set(p) <= set(f) and f == sorted(set(f)) and set(f) <= set(values[:, i]) - {values[:, i].max()} for i, (p, f) in enumerate(zip(plain, filled)))
+    forest = type(ml.estimators()["maintainability_scorer"])(numTrees=3, maxDepth=6, seed=1, labelCol="target", featuresCol="scaled", featureSubsetStrategy="all")
+    fitted = [ml.fit_one(df, 24_000, "maintainability_scorer", forest, filled=lambda: filled)[0],
+              BoostedTrees(Boosting(rounds=8, depth=4, step=0.5), 5).fit(df),
+              BoostedTrees(Boosting(rounds=4, depth=3, step=0.5, logistic=True), 5).fit(df.withColumn("target", (F.col("target") > 0).cast("double")))]
+    for model in fitted:
+        used = [(int(f), float(t)) for f, t in re.findall(r"feature (\d+) <= (\S+?)\)", model.toDebugString)]
+        assert used and all(t in filled[f] for f, t in used)
+    errors = [np.mean([abs(r.prediction - r.target) for r in m.transform(df).select("prediction", "target").collect()]) for m in fitted[:2]]
+    assert max(errors) < 0.06
+    # The model of the values predicts for them what the trees did for their bins.
+    assert fitted[0].getFeaturesCol() == "scaled" and len(fitted[0].trees) == 3
